@@ -7,20 +7,26 @@ from pyspark.sql import functions as F
 
 WILDCARD = "<*>"
 
+# The Unicode characters that count as white space in a line of text.
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def strip(c: str | Column) -> Column:
-    """Trim every Unicode white-space character on both ends."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    """Trim every white-space character on both ends."""
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def tokens(c: str | Column) -> Column:
     """White-space tokens; a blank text has none."""
     s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, r"(?U)\s+"))
+    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{SPACES}]+"))
 
 
 def non_empty(parts: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.stats import chi2_p, normal_p
+from tracewell.session import cut_lineage
 
 # A test: (x, y, conditioning variables), all as positions in vec.
 Test = tuple[int, int, tuple[int, ...]]
@@ -26,12 +27,11 @@ CELLS = "test_id long, s long, x int, y int, cnt long"
 
 
 def cardinalities(patterns: DataFrame) -> list[int]:
-    """Number of codes per variable: one row of maxima."""
-    width = patterns.agg(F.max(F.size("vec"))).first()[0] or 0
-    if not width:
-        return []
-    row = patterns.agg(*[F.max(F.col("vec")[i]) for i in range(width)]).first()
-    return [int(m) + 1 for m in row]
+    """Number of codes per variable: one row per variable."""
+    per_variable = (
+        patterns.select(F.posexplode("vec").alias("i", "code")).groupBy("i").agg(F.max("code").alias("top"))
+    )
+    return [r["top"] + 1 for r in per_variable.orderBy("i").collect()]
 
 
 def test_cells(test: Test, cards: Sequence[int]) -> int:
@@ -188,9 +188,17 @@ def with_p(stats: DataFrame) -> DataFrame:
     return stats.withColumn("p", chi2_p("stat", "dof"))
 
 
-def pair_tests(patterns: DataFrame, names: Sequence[str], kind: str = "chi2") -> DataFrame:
-    """Unconditional test of every variable pair: (x, y, stat, dof, p)."""
-    cells = count_pair_cells(patterns, cardinalities(patterns))
+def pair_tests(
+    patterns: DataFrame, names: Sequence[str], kind: str = "chi2", cards: Sequence[int] | None = None
+) -> DataFrame:
+    """Unconditional test of every variable pair: (x, y, stat, dof, p).
+
+    ``cards`` gives the number of codes per variable where it is known, such as 2 for 0/1 vectors.
+    """
+    if cards is None:
+        patterns = cut_lineage(patterns)
+        cards = cardinalities(patterns)
+    cells = count_pair_cells(patterns, cards)
     stats = independence(cells, ["a", "b"], kind, None)
     return with_p(name_pairs(stats, names))
 

@@ -9,7 +9,7 @@ against the state at the frontier, and only the first range that changes it move
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from tracewell.operators.order import with_halo
 from tracewell.session import cut_lineage, shared_folder
 
 HOT_ROWS = 500_000
+OUT_ROWS = 10_000
 BUCKET = ["source", "n_tokens"]
 
 
@@ -218,22 +219,34 @@ def mine_templates(
 
 
 def _mine_whole(long: DataFrame, args: tuple) -> DataFrame:
-    """Buckets of bounded size: one grouped task each."""
+    """Buckets of bounded size: sorted partitions stream through, one open bucket at a time."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no", kind="stable")
-        tree = Tree(*args)
-        cluster = [tree.assign(t) for t in pdf["toks"]]
+    def finish(key, tree: Tree, line_no: list, cluster: list) -> pd.DataFrame:
         final = [" ".join(t) for t in tree.templates()]
         return pd.DataFrame(
-            {
-                "source": pdf["source"],
-                "line_no": pdf["line_no"],
-                "template": [final[c] for c in cluster],
-            }
+            {"source": key[0], "line_no": line_no, "template": [final[c] for c in cluster]}
         )
 
-    return long.groupBy(*BUCKET).applyInPandas(run, "source string, line_no long, template string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, tree, line_no, cluster, done, rows = None, None, [], [], [], 0
+        for pdf in batches:
+            for s, n, i, t in zip(pdf["source"], pdf["n_tokens"], pdf["line_no"], pdf["toks"]):
+                if (s, n) != key:
+                    if tree is not None:
+                        done.append(finish(key, tree, line_no, cluster))
+                        rows += len(line_no)
+                        if rows >= OUT_ROWS:
+                            yield pd.concat(done)
+                            done, rows = [], 0
+                    key, tree, line_no, cluster = (s, n), Tree(*args), [], []
+                line_no.append(i)
+                cluster.append(tree.assign(t))
+        if tree is not None:
+            done.append(finish(key, tree, line_no, cluster))
+            yield pd.concat(done)
+
+    placed = long.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "line_no")
+    return placed.mapInPandas(run, "source string, line_no long, template string")
 
 
 def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFrame:

@@ -130,6 +130,7 @@ def acyclic_orientations(edges: DataFrame, forbid_new_colliders: bool = False) -
     Bit k of ``code`` turns the k-th pair, in name order, from low->high to high->low. Candidates
     are a Spark range checked in batches; only the variable graph itself is sent to the tasks.
     """
+    edges = cut_lineage(edges)
     pairs = [tuple(r) for r in undirected_pairs(edges).orderBy("x", "y").collect()]
     if len(pairs) > MAX_ORIENTED:
         raise ValueError(f"{len(pairs)} undirected pairs give too many orientations")

@@ -21,11 +21,11 @@ from tracewell.operators.citest import (
     cardinalities,
     count_cells,
     count_pair_cells,
-    fisher_z,
     independence,
     test_batches,
     with_p,
 )
+from tracewell.session import cut_lineage
 
 TESTS = "x string, y string, given string, level int, stat double, dof long, p double"
 EDGES = "source string, target string, relation string"
@@ -44,9 +44,9 @@ class Graph:
         return [(a, b) for a, kin in enumerate(self.adjacent) for b in sorted(kin) if a < b]
 
 
-def discrete_tester(patterns: DataFrame, kind: str) -> Callable:
+def discrete_tester(patterns: DataFrame, kind: str, cards: Sequence[int] | None = None) -> Callable:
     """Evaluates tests on pattern counts: yields (test, stat, dof, p)."""
-    cards = cardinalities(patterns)
+    cards = cards or cardinalities(patterns)
 
     def evaluate(tests: Iterator[Test], level: int) -> Iterator[tuple]:
         if level == 0:
@@ -205,9 +205,11 @@ def discover(
     kind: str = "chi2",
     alpha: float = 0.01,
     max_level: int | None = 3,
+    cards: Sequence[int] | None = None,
 ) -> Graph:
-    """PC on discrete patterns."""
-    return skeleton(names, discrete_tester(patterns, kind), alpha, max_level)
+    """PC on discrete patterns. They are checkpointed once and read again by every level."""
+    tester = discrete_tester(cut_lineage(patterns), kind, cards)
+    return skeleton(names, tester, alpha, max_level)
 
 
 def discover_gaussian(
@@ -217,13 +219,19 @@ def discover_gaussian(
     return skeleton(names, gaussian_tester(correlated, names), alpha, max_level)
 
 
-def compare_tests(spark, patterns: DataFrame, names: Sequence[str], alpha: float, max_level: int | None = 3) -> DataFrame:
+def compare_tests(
+    spark,
+    patterns: DataFrame,
+    names: Sequence[str],
+    alpha: float,
+    max_level: int | None = 3,
+    cards: Sequence[int] | None = None,
+) -> DataFrame:
     """Edges of the oriented chi-square graph against those of the G-square skeleton."""
-    chi = discover(patterns, names, "chi2", alpha, max_level)
-    gsq = discover(patterns, names, "gsq", alpha, max_level)
+    patterns = cut_lineage(patterns)
+    chi = skeleton(names, discrete_tester(patterns, "chi2", cards), alpha, max_level)
+    gsq = skeleton(names, discrete_tester(patterns, "gsq", cards), alpha, max_level)
     return spark.createDataFrame(
         [("chi2", len(chi.pairs())), ("gsq", len(gsq.pairs()))], "test string, edges long"
     )
 
-
-__all__ = ["Graph", "discover", "discover_gaussian", "fisher_z", "orient", "typed_edges"]

@@ -25,6 +25,10 @@ def basket_patterns(spark, sf):
     return matrix.indicator_vectors(matrix.set_patterns(sets), names), names
 
 
+def binary(names):
+    return [2] * len(names)
+
+
 def window_patterns(spark, sf, w=WINDOW):
     """Sliding windows of the event series as weighted 0/1 vectors."""
     names = variable_names(tables.events(spark, sf), "template")
@@ -35,7 +39,7 @@ def window_patterns(spark, sf, w=WINDOW):
 def _statistics(kind):
     def run(spark, sf):
         patterns, names = basket_patterns(spark, sf)
-        out = citest.pair_tests(patterns, names, kind)
+        out = citest.pair_tests(patterns, names, kind, binary(names))
         return out.select("x", "y", F.round("stat", 6).alias("stat"), "dof", (F.col("p") <= ALPHA).alias("dependent"))
 
     return run
@@ -43,7 +47,7 @@ def _statistics(kind):
 
 def pair_contingency(spark, sf):
     patterns, names = basket_patterns(spark, sf)
-    cells = citest.count_pair_cells(patterns, citest.cardinalities(patterns))
+    cells = citest.count_pair_cells(patterns, binary(names))
     return citest.name_pairs(citest.pair_table(cells), names)
 
 
@@ -80,11 +84,13 @@ def fisherz_pairs(spark, sf):
 
 
 def pc_skeleton(spark, sf):
-    return pc.skeleton_edges(spark, pc.discover(*window_patterns(spark, sf), "gsq", ALPHA))
+    patterns, names = window_patterns(spark, sf)
+    return pc.skeleton_edges(spark, pc.discover(patterns, names, "gsq", ALPHA, cards=binary(names)))
 
 
 def pc_orient(spark, sf):
-    return pc.typed_edges(spark, pc.discover(*window_patterns(spark, sf), "chi2", ALPHA))
+    patterns, names = window_patterns(spark, sf)
+    return pc.typed_edges(spark, pc.discover(patterns, names, "chi2", ALPHA, cards=binary(names)))
 
 
 def pc_fisherz(spark, sf):
@@ -94,13 +100,14 @@ def pc_fisherz(spark, sf):
 
 
 def pair_pmax(spark, sf):
-    graph = pc.discover(*basket_patterns(spark, sf), "chi2", ALPHA, max_level=1)
+    patterns, names = basket_patterns(spark, sf)
+    graph = pc.discover(patterns, names, "chi2", ALPHA, max_level=1, cards=binary(names))
     return pc.max_p(pc.test_table(spark, graph)).withColumn("p_max", F.round("p_max", 4)).filter("p_max > 0")
 
 
 def test_compare(spark, sf):
     patterns, names = window_patterns(spark, sf)
-    return pc.compare_tests(spark, patterns, names, ALPHA)
+    return pc.compare_tests(spark, patterns, names, ALPHA, cards=binary(names))
 
 
 def pc_var_subset(spark, sf):
@@ -109,7 +116,7 @@ def pc_var_subset(spark, sf):
     sets = windows.window_sets(tables.series(spark, sf), WINDOW)
     patterns = matrix.indicator_vectors(matrix.set_patterns(sets), pair)
     patterns = patterns.groupBy("vec").agg(F.sum("weight").alias("weight"))
-    graph = pc.discover(patterns, pair, "chi2", ALPHA)
+    graph = pc.discover(patterns, pair, "chi2", ALPHA, cards=binary(pair))
     return pc.test_table(spark, graph).select(
         "x", "y", F.round("stat", 6).alias("stat"), "dof", (F.col("p") <= ALPHA).alias("dependent")
     )
