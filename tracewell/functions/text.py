@@ -25,12 +25,12 @@ def strip(c: str | Column) -> Column:
 
 def tokens(c: str | Column) -> Column:
     """White-space tokens; a blank text has none."""
-    s = strip(c)
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, f"[{SPACES}]+"))
+    plain = F.translate(_col(c), SPACES, " " * len(SPACES))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def non_empty(parts: Column) -> Column:
-    return F.filter(parts, lambda x: x != "")
+    return F.array_remove(parts, "")
 
 
 def comma_parts(c: str | Column) -> Column:

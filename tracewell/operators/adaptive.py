@@ -7,11 +7,13 @@ differs from its guess. Bin starts merge quickly, so a few rounds settle all chu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import cut_lineage, shared_folder
+from tracewell.session import cut_lineage, materialize
 
 CHUNK = 500_000
 OUT = "source string, line_no long, template string, bin long"
@@ -41,21 +43,36 @@ def bins_adaptive(lines: DataFrame, k: int = 5, chunk: int = CHUNK) -> DataFrame
         .collect()
     ]
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        return pdf.assign(bin=_bins(pdf["template"], k, set())[0])
-
     if not long:
-        return lines.groupBy("source").applyInPandas(whole, OUT)
+        return _bins_whole(lines, k)
     names = F.broadcast(lines.sparkSession.createDataFrame(long, "source string"))
-    short = lines.join(names, "source", "left_anti").groupBy("source").applyInPandas(whole, OUT)
+    short = _bins_whole(lines.join(names, "source", "left_anti"), k)
     return short.unionByName(_bins_chunked(lines.join(names, "source", "left_semi"), k, chunk))
 
 
+def _bins_whole(lines: DataFrame, k: int) -> DataFrame:
+    """Sources of bounded length: sorted partitions stream through, one open bin at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source, current, seen = None, 0, set()
+        for pdf in batches:
+            out = []
+            for s, t in zip(pdf["source"], pdf["template"]):
+                if s != source:
+                    source, current, seen = s, 0, set()
+                out.append(current)
+                seen.add(t)
+                if len(seen) == k:
+                    current, seen = current + 1, set()
+            yield pdf.assign(bin=out)
+
+    return lines.repartition("source").sortWithinPartitions("source", "line_no").mapInPandas(run, OUT)
+
+
 def _bins_chunked(lines: DataFrame, k: int, chunk: int) -> DataFrame:
-    spark = lines.sparkSession
-    path = shared_folder(spark, "chunked-lines")
-    lines.withColumn("chunk", F.floor(F.col("line_no") / chunk).cast("long")).write.parquet(path)
+    stored = materialize(
+        lines.withColumn("chunk", F.floor(F.col("line_no") / chunk).cast("long")), "chunked-lines"
+    )
     keys = ["source", "chunk"]
     ends = "source string, chunk long, start array<string>, end array<string>, closed long"
 
@@ -71,11 +88,11 @@ def _bins_chunked(lines: DataFrame, k: int, chunk: int) -> DataFrame:
         )
 
     def run(guesses: DataFrame) -> DataFrame:
-        data = spark.read.parquet(path).join(guesses.select(*keys), keys, "left_semi")
+        data = stored.join(guesses.select(*keys), keys, "left_semi")
         return data.groupBy(*keys).cogroup(guesses.groupBy(*keys)).applyInPandas(state, ends)
 
     none = F.array().cast("array<string>")
-    first = spark.read.parquet(path).select(*keys).distinct().withColumn("start", none)
+    first = cut_lineage(stored.select(*keys).distinct().withColumn("start", none))
     known = cut_lineage(run(first))
     in_order = Window.partitionBy("source").orderBy("chunk")
     while True:
@@ -103,5 +120,4 @@ def _bins_chunked(lines: DataFrame, k: int, chunk: int) -> DataFrame:
             }
         )
 
-    stored = spark.read.parquet(path)
     return stored.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(number, OUT)

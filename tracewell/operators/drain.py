@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import WILDCARD, mask, short_id, tokens
 from tracewell.operators.order import with_halo
-from tracewell.session import cut_lineage, shared_folder
+from tracewell.session import cut_lineage, materialize
 
 HOT_ROWS = 500_000
 OUT_ROWS = 10_000
@@ -194,10 +194,16 @@ def mine_templates(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(source, line_no, template): every line with the final template of its cluster."""
-    tokenized = tokenize(lines, patterns).select("source", "line_no", "n_tokens", "toks")
+    # Three jobs read the masked lines; tokens hold no blanks, so the joined text splits back.
+    tokenized = materialize(
+        tokenize(lines, patterns).select(
+            "source", "line_no", "n_tokens", F.array_join("toks", " ").alias("text")
+        ),
+        "masked-lines",
+    )
     # A line shorter than the routing depth never joins a cluster: its template is its own text.
     short = tokenized.filter(F.col("n_tokens") < depth - 2).select(
-        "source", "line_no", F.array_join("toks", " ").alias("template")
+        "source", "line_no", F.col("text").alias("template")
     )
     long = tokenized.filter(F.col("n_tokens") >= depth - 2)
     # At most rows / hot_rows buckets come back.
@@ -230,7 +236,7 @@ def _mine_whole(long: DataFrame, args: tuple) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, tree, line_no, cluster, done, rows = None, None, [], [], [], 0
         for pdf in batches:
-            for s, n, i, t in zip(pdf["source"], pdf["n_tokens"], pdf["line_no"], pdf["toks"]):
+            for s, n, i, t in zip(pdf["source"], pdf["n_tokens"], pdf["line_no"], pdf["text"]):
                 if (s, n) != key:
                     if tree is not None:
                         done.append(finish(key, tree, line_no, cluster))
@@ -240,7 +246,7 @@ def _mine_whole(long: DataFrame, args: tuple) -> DataFrame:
                             done, rows = [], 0
                     key, tree, line_no, cluster = (s, n), Tree(*args), [], []
                 line_no.append(i)
-                cluster.append(tree.assign(t))
+                cluster.append(tree.assign(t.split(" ")))
         if tree is not None:
             done.append(finish(key, tree, line_no, cluster))
             yield pd.concat(done)
@@ -252,11 +258,9 @@ def _mine_whole(long: DataFrame, args: tuple) -> DataFrame:
 def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFrame:
     """Hot buckets: find the exact tree state at the start of every line range, then assign."""
     spark = long.sparkSession
-    table = shared_folder(spark, "hot-lines")
-    long.withColumn("chunk", F.floor(F.col("line_no") / rows).cast("long")).write.partitionBy(
-        "chunk"
-    ).parquet(table)
-    stored = spark.read.parquet(table).select("source", "n_tokens", "line_no", "toks", "chunk")
+    stored = materialize(
+        long.withColumn("chunk", F.floor(F.col("line_no") / rows).cast("long")), "hot-lines", "chunk"
+    )
     last = {(r["source"], r["n_tokens"]): r["last"] // rows for r in hot}
     frontier = dict.fromkeys(last, 0)
     width = dict.fromkeys(last, 1)
@@ -265,8 +269,8 @@ def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFram
 
     def check(key, data: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         tree = Tree(*args, start["state"].iloc[0])
-        for t in data.sort_values("line_no")["toks"]:
-            tree.assign(t)
+        for t in data.sort_values("line_no")["text"]:
+            tree.assign(t.split(" "))
         state = tree.state() if tree.changed else None
         return pd.DataFrame(
             [(*key, tree.changed, state)], columns=["source", "n_tokens", "chunk", "changed", "state"]
@@ -320,11 +324,12 @@ def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFram
                 "source": data["source"],
                 "n_tokens": data["n_tokens"],
                 "line_no": data["line_no"],
-                "cluster": [tree.assign(t) for t in data["toks"]],
+                "cluster": [tree.assign(t.split(" ")) for t in data["text"]],
             }
         )
 
-    chunks = spark.read.parquet(table).select(*BUCKET, "chunk").distinct()
+    # New column ids: both sides of the later cogroup come from the same table.
+    chunks = stored.select(*BUCKET, "chunk").distinct().toDF(*BUCKET, "chunk")
     starts = (
         chunks.join(states, BUCKET)
         .filter(F.col("since") <= F.col("chunk"))

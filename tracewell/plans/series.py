@@ -8,8 +8,8 @@ from tracewell.operators import adaptive, drain, windows
 from tracewell.plans.fragments import FREQUENT, LINES, SERIES
 from tracewell.sources import tables
 
-# Fixed masking patterns of the mining queries: numbers of two and more digits, e-mail addresses.
-MASKS = [r"[0-9]{2,}", r"[A-Za-z0-9_.]+@[A-Za-z0-9.]+"]
+# Fixed masking patterns of the mining queries: web addresses, numbers of two and more digits.
+MASKS = [r"https?://[^ ]+", r"[0-9]{2,}"]
 
 
 def _frequent(spark, sf):
@@ -70,8 +70,8 @@ QUERIES = {
 }
 
 _TOKENS = LINES + r""", mk AS (
-  SELECT source, line_no, regexp_replace(regexp_replace(template, '[0-9]{2,}', '<*>', 'g'),
-         '[A-Za-z0-9_.]+@[A-Za-z0-9.]+', '<*>', 'g') AS masked FROM ln)
+  SELECT source, line_no, regexp_replace(regexp_replace(template, 'https?://[^ ]+', '<*>', 'g'),
+         '[0-9]{2,}', '<*>', 'g') AS masked FROM ln)
 , tk AS (SELECT source, line_no, regexp_split_to_array(regexp_replace(masked, '^\s+|\s+$', '', 'g'), '\s+') AS toks FROM mk)"""
 
 SQL = {

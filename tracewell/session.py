@@ -54,3 +54,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows survive the loss of any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """Write rows that several jobs read as a Parquet table in the shared folder.
+
+    Unlike a checkpoint it is columnar: later jobs read only the columns and partitions they need.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
