@@ -29,7 +29,7 @@ def test_running_before_sums_values(spark):
 def test_dictionary_ids_follow_first_sight(spark):
     words = "b a b c a d c".split()
     df = spark.createDataFrame(list(enumerate(words)), "i long, t string").repartition(3)
-    d = order.first_seen_dictionary(df, "t", F.struct("i"), [("i", 2)], "id")
+    d = order.first_seen_dictionary(df, "t", F.struct("i"), "id")
     assert rows(d) == [(0, "b"), (1, "a"), (2, "c"), (3, "d")]
 
 

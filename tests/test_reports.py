@@ -48,7 +48,7 @@ def test_segments_concatenate_to_the_whole_line(spark):
 
 def test_part_numbers(spark):
     df = spark.range(1101).withColumnRenamed("id", "g")
-    out = cleaning.assign_parts(df, ["g"], [F.floor(F.col("g") / 100)])
+    out = cleaning.assign_parts(df, ["g"])
     assert rows(out.groupBy("part_id").count()) == [(0, 500), (1, 500), (2, 101)]
     assert cleaning.cap_parts(out, 1).count() == 1000
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +24,12 @@ Test = tuple[int, int, tuple[int, ...]]
 CELL_BUDGET = 4_000_000
 GRAM_COLUMNS = 3_000
 CELLS = "test_id long, s long, x int, y int, cnt long"
+PAIR_CELLS = "a int, b int, x int, y int, cnt long"
+
+
+def _arrow_schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(","))])
 
 
 def cardinalities(patterns: DataFrame) -> list[int]:
@@ -41,21 +47,29 @@ def test_cells(test: Test, cards: Sequence[int]) -> int:
     return n
 
 
-def _matrix(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    return np.array(pdf["vec"].tolist(), np.int64), pdf["weight"].to_numpy(np.float64)
+def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Code matrix and weights of a batch, straight from its Arrow buffers."""
+    codes = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    weights = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
+    return codes.reshape(len(weights), -1), weights
+
+
+def _batch(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
 
 def count_cells(patterns: DataFrame, tests: Sequence[Test], cards: Sequence[int], first_id: int = 0) -> DataFrame:
     """Non-empty contingency cells of each test: (test_id, s, x, y, cnt); ``s`` codes the slice."""
     tests, cards = list(tests), list(cards)
+    cells = _arrow_schema(CELLS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = [None] * len(tests)
         sparse: list[dict | None] = [None] * len(tests)
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            m, w = _matrix(pdf)
+            m, w = _matrix(batch)
             for i, (x, y, given) in enumerate(tests):
                 code = np.zeros(len(m), np.int64)
                 for v in given:
@@ -79,17 +93,18 @@ def count_cells(patterns: DataFrame, tests: Sequence[Test], cards: Sequence[int]
                 cnt = np.fromiter(sparse[i].values(), np.float64)
             else:
                 continue
-            yield pd.DataFrame(
+            yield _batch(
                 {
-                    "test_id": first_id + i,
+                    "test_id": np.full(len(code), first_id + i),
                     "s": code // (cards[x] * cards[y]),
                     "x": code // cards[y] % cards[x],
                     "y": code % cards[y],
                     "cnt": np.rint(cnt).astype(np.int64),
-                }
+                },
+                cells,
             )
 
-    partial = patterns.select("vec", "weight").mapInPandas(run, CELLS)
+    partial = patterns.select("vec", "weight").mapInArrow(run, CELLS)
     return partial.groupBy("test_id", "s", "x", "y").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -114,30 +129,32 @@ def count_pair_cells(patterns: DataFrame, cards: Sequence[int]) -> DataFrame:
         return cells.join(names, "test_id").select("a", "b", "x", "y", "cnt")
     start = np.cumsum([0, *cards])
     owner = np.repeat(np.arange(len(cards)), cards)
+    cells = _arrow_schema(PAIR_CELLS)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((start[-1], start[-1]))
-        for pdf in batches:
-            if pdf.empty:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            m, w = _matrix(pdf)
+            m, w = _matrix(batch)
             hot = np.zeros((len(m), start[-1]))
             np.put_along_axis(hot, m + start[:-1], 1.0, axis=1)
             total += hot.T @ (hot * w[:, None])
         i, j = np.nonzero(total)
         keep = owner[i] < owner[j]
         i, j = i[keep], j[keep]
-        yield pd.DataFrame(
+        yield _batch(
             {
                 "a": owner[i],
                 "b": owner[j],
                 "x": i - start[owner[i]],
                 "y": j - start[owner[j]],
                 "cnt": np.rint(total[i, j]).astype(np.int64),
-            }
+            },
+            cells,
         )
 
-    partial = patterns.select("vec", "weight").mapInPandas(run, "a int, b int, x int, y int, cnt long")
+    partial = patterns.select("vec", "weight").mapInArrow(run, PAIR_CELLS)
     return partial.groupBy("a", "b", "x", "y").agg(F.sum("cnt").alias("cnt"))
 
 

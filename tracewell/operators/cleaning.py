@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import comma_parts, joined_template, non_empty
-from tracewell.operators.order import running_before
+from tracewell.operators.order import global_rank
 
 
 def _without(parts: Column, noise: Sequence[str]) -> Column:
@@ -63,9 +63,9 @@ def sequence_lines(
     )
 
 
-def assign_parts(groups: DataFrame, order: Sequence[str], bucket: Sequence[Column], size: int = 500) -> DataFrame:
+def assign_parts(groups: DataFrame, order: Sequence[str], size: int = 500) -> DataFrame:
     """Number the groups in order and put ``size`` of them into each part."""
-    numbered = running_before(groups, "group_pos", order, bucket)
+    numbered = global_rank(groups, order, "group_pos")
     return numbered.withColumn("part_id", F.floor(F.col("group_pos") / size).cast("long"))
 
 

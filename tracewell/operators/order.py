@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.session import cut_lineage
+
 HOT_ROWS = 2_000_000
 KEY_WIDTH = 1_000_000
 
@@ -37,7 +39,8 @@ def running_before(
 ) -> DataFrame:
     """Add ``out``: the sum of ``value`` (default: the row count) over the earlier rows of the group.
 
-    ``bucket`` must be non-decreasing along ``order``. Without a group all rows are bucketed.
+    ``bucket`` must be non-decreasing along ``order`` and bound the rows of one value, as a range of
+    a unique integer key does. Without a group all rows are bucketed.
     """
     value = F.lit(1).cast("long") if value is None else value.cast("long")
     group = list(group)
@@ -88,24 +91,34 @@ def distinct_first_seen(df: DataFrame, key: str, order: Column) -> DataFrame:
     return df.groupBy(key).agg(F.min(order).alias("first_order"))
 
 
-def first_seen_dictionary(
-    df: DataFrame, key: str, order: Column, bucket_fields: Sequence[tuple[str, int]], id_col: str
-) -> DataFrame:
-    """key -> 0-based id in first-seen order, numbered in parallel over the distinct keys.
+def global_rank(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """0-based rank over all rows by a unique ``order``.
 
-    ``bucket_fields`` names the leading fields of ``order`` with their bucket widths.
+    The rows are range-partitioned on sampled bounds and checkpointed, so every partition is of
+    similar size whatever the keys look like, and only one count per partition is summed up.
     """
+    columns = df.columns
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    # The id holds the partition number above bit 33 and the row number inside it below.
+    numbered = ranged.withColumn("_id", F.monotonically_increasing_id())
+    part = F.shiftright("_id", 33)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_part", _before(F.col("_size"), [], ["_part"]).alias("_start"))
+    # One row per partition.
+    joined = numbered.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    local = F.col("_id") - F.shiftleft("_part", 33)
+    return joined.select(*columns, (local + F.col("_start")).alias(out))
+
+
+def first_seen_dictionary(df: DataFrame, key: str, order: Column, id_col: str) -> DataFrame:
+    """key -> 0-based id in first-seen order."""
     seen = distinct_first_seen(df, key, order)
-    bucket = [key_range(F.col(f"first_order.{name}"), width) for name, width in bucket_fields]
-    return running_before(seen, id_col, ["first_order"], bucket).select(id_col, key)
+    return global_rank(seen, ["first_order"], id_col).select(id_col, key)
 
 
 def name_dictionary(df: DataFrame, key: str, id_col: str) -> DataFrame:
-    """key -> 0-based id in name order; the first two characters split the numbering."""
-    names = df.select(key).distinct()
-    lead = F.coalesce(F.ascii(F.substring(key, 1, 1)), F.lit(-1))
-    second = F.coalesce(F.ascii(F.substring(key, 2, 1)), F.lit(-1))
-    return running_before(names, id_col, [key], [lead, second]).select(id_col, key)
+    """key -> 0-based id in name order."""
+    return global_rank(df.select(key).distinct(), [key], id_col).select(id_col, key)
 
 
 def dense_index(

@@ -57,7 +57,8 @@ def row_patterns(spark, sf):
 
 
 def basket_matrix(spark, sf):
-    return matrix.basket_members(tables.basket_lines(spark, sf), "group_id")
+    # A very long order comes in segments that may share items.
+    return matrix.basket_members(tables.basket_lines(spark, sf), "group_id").distinct()
 
 
 def discretize_uniform(spark, sf):

@@ -56,7 +56,7 @@ BASKETS = """bk AS (
   SELECT DISTINCT l_orderkey AS row_id, p_brand AS var FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 BASKET_LINES = """bl AS (
-  SELECT l_orderkey AS group_id, string_agg(p_brand, ', ' ORDER BY l_linenumber, p_brand) AS line
+  SELECT l_orderkey AS group_id, string_agg(p_brand, ', ' ORDER BY l_linenumber, l_partkey, l_suppkey) AS line
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey)"""
 
 PHRASES = r"""ph AS (

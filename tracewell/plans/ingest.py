@@ -105,8 +105,7 @@ def group_keys(spark, sf):
 
 
 def _parts(spark, sf):
-    bucket = [F.col("file_no"), order.key_range("group_no", 10_000)]
-    return cleaning.assign_parts(group_keys(spark, sf), ["file_no", "group_no"], bucket)
+    return cleaning.assign_parts(group_keys(spark, sf), ["file_no", "group_no"])
 
 
 def part_assign(spark, sf):
@@ -119,7 +118,7 @@ def part_cap(spark, sf):
 
 def event_dictionary(spark, sf):
     return order.first_seen_dictionary(
-        tables.events(spark, sf), "template", tables.event_order(), tables.EVENT_BUCKET, "template_id"
+        tables.events(spark, sf), "template", tables.event_order(), "template_id"
     )
 
 
@@ -153,6 +152,12 @@ def last_part(spark, sf):
     return groups.last_part(tables.events(spark, sf).select("source_file"))
 
 
+def multi_item_groups(spark, sf):
+    lined = tables.basket_lines(spark, sf)
+    # Only an order of very many items is cut into segments, which are numbered above zero.
+    return cleaning.multi_item(lined.filter("seg = 0")).unionByName(lined.filter("seg > 0"))
+
+
 def noise_clean_drop(spark, sf):
     return cleaning.remove_noise(tables.basket_lines(spark, sf), NOISE, drop_empty=True)
 
@@ -161,13 +166,9 @@ def noise_clean_keep(spark, sf):
     return cleaning.remove_noise(tables.basket_lines(spark, sf), NOISE, drop_empty=False)
 
 
-def multi_item_groups(spark, sf):
-    return cleaning.multi_item(tables.basket_lines(spark, sf))
-
-
 def template_dict(spark, sf):
     return order.first_seen_dictionary(
-        tables.flat_lines(spark, sf), "template", F.struct("doc_id", "pos"), [("doc_id", 10_000)], "template_id"
+        tables.flat_lines(spark, sf), "template", F.struct("doc_id", "pos"), "template_id"
     )
 
 
@@ -252,10 +253,10 @@ SQL = {
     "events_flat": f"WITH {POSITIONED} SELECT source_file, group_key, pos, event_id, dup_id, raw, template FROM pe",
     "last_part": f"WITH {EVENTS} SELECT max(CAST(regexp_extract(source_file, 'part_(\\d+)', 1) AS BIGINT)) AS last_part FROM ev",
     "noise_clean_drop": f"""WITH {BASKET_LINES}, k AS (SELECT group_id, {_NOISE_SQL} AS kept FROM bl)
-        SELECT group_id, array_to_string(kept, ', ') AS line FROM k WHERE len(kept) > 0""",
+        SELECT group_id, CAST(0 AS BIGINT) AS seg, array_to_string(kept, ', ') AS line FROM k WHERE len(kept) > 0""",
     "noise_clean_keep": f"""WITH {BASKET_LINES}, k AS (SELECT group_id, {_NOISE_SQL} AS kept FROM bl)
-        SELECT group_id, coalesce(array_to_string(kept, ', '), '') AS line FROM k""",
-    "multi_item_groups": f"""WITH {BASKET_LINES} SELECT group_id, line FROM bl
+        SELECT group_id, CAST(0 AS BIGINT) AS seg, coalesce(array_to_string(kept, ', '), '') AS line FROM k""",
+    "multi_item_groups": f"""WITH {BASKET_LINES} SELECT group_id, CAST(0 AS BIGINT) AS seg, line FROM bl
         WHERE len(list_filter(string_split(line, ','), lambda x: trim(x) <> '')) > 1""",
     "template_dict": f"""WITH {FLAT_LINES}, f AS (SELECT template, min((doc_id, pos)) AS f FROM fl GROUP BY template)
         SELECT row_number() OVER (ORDER BY f) - 1 AS template_id, template FROM f""",

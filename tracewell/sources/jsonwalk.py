@@ -16,51 +16,57 @@ def _text(c):
 def walk_templates(docs: DataFrame, keys: list[str], levels: int = 8) -> DataFrame:
     """Every ``group[].template`` at any depth, in pre-order: a node's own group items come first.
 
-    Each round explodes one nesting level of all documents at once. After ``levels`` rounds the
-    open nodes are checkpointed, and the walk goes on while any is left. ``path`` is the list of
-    child numbers from the root, so sorting by it restores the walk.
+    Each step opens one nesting level of all documents at once and passes found templates on, so a
+    document is parsed once. After ``levels`` steps the rows are checkpointed, and the walk goes on
+    while any node is open. ``path`` is the list of child numbers from the root, so sorting by it
+    restores the walk.
     """
-    nodes = docs.select(
-        *keys, F.array().cast("array<int>").alias("path"), F.try_parse_json("json").alias("node")
+    rows = docs.select(
+        *keys,
+        F.array().cast("array<int>").alias("path"),
+        F.try_parse_json("json").alias("node"),
+        F.lit(None).cast("string").alias("template"),
     ).filter(F.col("node").isNotNull())
-    found = None
     while True:
         for _ in range(levels):
-            here, nodes = _level(nodes, keys)
-            found = here if found is None else found.unionByName(here)
-        nodes = cut_lineage(nodes)
-        if nodes.isEmpty():
-            return found
+            rows = _open_level(rows, keys)
+        rows = cut_lineage(rows)
+        if rows.filter(F.col("node").isNotNull()).isEmpty():
+            return rows.select(*keys, "path", "template")
 
 
-def _level(nodes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Templates directly under the nodes, and the nodes one level further down."""
-    group = F.try_variant_get("node", "$.group", "array<variant>")
-    items = nodes.select(*keys, "path", F.posexplode(group).alias("i", "item")).filter(
-        F.schema_of_variant("item").startswith("OBJECT")
-        & F.array_contains(
-            F.map_keys(F.try_variant_get("item", "$", "map<string,variant>")), "template"
-        )
-    )
-    # -1 sorts a node's own items before the items of its children.
-    here = items.select(
-        *keys,
-        F.concat("path", F.array(F.lit(-1), F.col("i"))).alias("path"),
-        F.regexp_replace(
-            _text(F.try_variant_get("item", "$.template", "variant")), r"\n+$", ""
-        ).alias("template"),
-    )
-    children = F.coalesce(
-        F.try_variant_get("node", "$", "array<variant>"),
-        F.map_values(F.try_variant_get("node", "$", "map<string,variant>")),
-    )
-    below = nodes.select(*keys, "path", F.posexplode(children).alias("i", "child")).filter(
-        F.schema_of_variant("child").rlike("^(OBJECT|ARRAY)")
+def _open_level(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Replace each open node by its templates and its child nodes; keep found templates."""
+    path, node = F.col("path"), F.col("node")
+    no_node, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
+
+    def item(x, i):
+        fields = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
+        has = F.schema_of_variant(x).startswith("OBJECT") & F.array_contains(fields, "template")
+        text = F.regexp_replace(_text(F.try_variant_get(x, "$.template", "variant")), r"\n+$", "")
+        # -1 sorts a node's own items before the items of its children.
+        at = F.concat(path, F.array(F.lit(-1), i))
+        return F.struct(at.alias("path"), no_node.alias("node"), F.when(has, text).alias("template"))
+
+    def child(x, i):
+        open_ = F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)")
+        at = F.concat(path, F.array(i))
+        return F.struct(at.alias("path"), F.when(open_, x).alias("node"), no_text.alias("template"))
+
+    items = F.transform(F.try_variant_get(node, "$.group", "array<variant>"), item)
+    children = F.transform(
+        F.coalesce(
+            F.try_variant_get(node, "$", "array<variant>"),
+            F.map_values(F.try_variant_get(node, "$", "map<string,variant>")),
+        ),
+        child,
     )
-    below = below.select(
-        *keys, F.concat("path", F.array("i")).alias("path"), F.col("child").alias("node")
+    same = F.array(F.struct(path.alias("path"), no_node.alias("node"), F.col("template").alias("template")))
+    none = F.filter(same, lambda x: F.lit(False))
+    opened = F.concat(F.coalesce(items, none), F.coalesce(children, none))
+    return rows.select(*keys, F.inline(F.when(node.isNull(), same).otherwise(opened))).filter(
+        F.col("node").isNotNull() | F.col("template").isNotNull()
     )
-    return here, below
 
 
 def flat_records(docs: DataFrame, keys: list[str]) -> DataFrame:

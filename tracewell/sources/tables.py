@@ -12,6 +12,9 @@ from tracewell.operators.order import dense_index, key_range, running_before
 
 # Events of one group that may share a row; longer groups span several rows (segments).
 SEGMENT = 10_000
+# Items of an order, or documents of a source, above which it is cut into key ranges.
+HOT_ITEMS = 1_000_000
+HOT_DOCS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +45,6 @@ def event_order() -> Column:
     return F.struct("file_no", "group_no", "seq")
 
 
-EVENT_BUCKET = [("file_no", 1), ("group_no", 10_000)]
-
-
 def positioned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their 0-based position ``pos`` inside (file, group)."""
     return dense_index(events(spark, sf_dir), "pos", ["file_no", "source_file", "group_no", "group_key"], "seq")
@@ -71,7 +71,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines: (source, line_no, template), numbered by (doc_id, position) per source."""
     docs = doc_lines(spark, sf_dir)
     numbered = running_before(
-        docs, "_start", ["doc_id"], [key_range("doc_id", 10_000)], ["source"], value=F.size("parts")
+        docs,
+        "_start",
+        ["doc_id"],
+        [key_range("doc_id", 10_000)],
+        ["source"],
+        value=F.size("parts"),
+        hot_rows=HOT_DOCS,
     )
     return numbered.select(
         "source", "_start", F.posexplode("parts").alias("_i", "template")
@@ -97,39 +103,55 @@ def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, line): the brands of each order as one ', '-joined line in line order."""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    """(group_id, seg, line): the brands of each order as one ', '-joined line in line order.
+
+    ``seg`` is 0; an order above HOT_ITEMS comes in segments of one line number and part range,
+    whose concatenation in ``seg`` order is its line.
+    """
+    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = item.join(part, item.l_partkey == part.p_partkey)
-    return joined.groupBy(F.col("l_orderkey").alias("group_id")).agg(
-        F.array_join(
-            F.transform(
-                F.sort_array(F.collect_list(F.struct("l_linenumber", "p_brand"))),
-                lambda x: x["p_brand"],
-            ),
-            ", ",
-        ).alias("line")
+    hot = (
+        item.groupBy("l_orderkey")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > HOT_ITEMS)
+        .select("l_orderkey", F.lit(True).alias("hot"))
+    )
+    # At most items / HOT_ITEMS orders are hot, which bounds the second broadcast.
+    joined = item.join(part, item.l_partkey == part.p_partkey).join(F.broadcast(hot), "l_orderkey", "left")
+    ranged = F.col("l_linenumber") * F.lit(1_000_000_000_000) + key_range("l_partkey", 10_000)
+    seg = F.when(F.col("hot"), ranged).otherwise(F.lit(0)).cast("long")
+    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_brand")))
+    return joined.groupBy(F.col("l_orderkey").alias("group_id"), seg.alias("seg")).agg(
+        F.array_join(F.transform(ordered, lambda x: x["p_brand"]), ", ").alias("line")
     )
 
 
 def group_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyed-group JSON text assembled from the events: (file_no, source_file, value).
+    """Keyed-group JSON text assembled from the events: (file_no, source_file, group_no, seg, value).
 
-    ``metadata`` is the raw text of the group's first 'signup' event in the segment, else null.
+    ``metadata`` is the raw text of the group's first 'signup' event, else null. Every segment of a
+    long group carries it.
     """
+    keys = ["file_no", "source_file", "group_no", "group_key"]
+    signup = F.min_by(
+        F.when(F.col("template") == "signup", F.col("raw")), F.when(F.col("template") == "signup", F.col("seq"))
+    )
     e = positioned_events(spark, sf_dir)
     seg = F.floor(F.col("pos") / SEGMENT).alias("seg")
     item = F.struct("pos", "event_id", "dup_id", "raw", "template")
-    grouped = e.groupBy("file_no", "source_file", "group_no", "group_key", seg).agg(
-        F.sort_array(F.collect_list(item)).alias("items"),
-        F.min_by(
-            F.when(F.col("template") == "signup", F.col("raw")),
-            F.when(F.col("template") == "signup", F.col("pos")),
-        ).alias("metadata"),
+    grouped = e.groupBy(*keys, seg).agg(
+        F.sort_array(F.collect_list(item)).alias("items"), signup.alias("metadata")
+    )
+    long = (
+        events(spark, sf_dir)
+        .groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), signup.alias("_metadata"))
+        .filter(F.col("_n") > SEGMENT)
     )
-    group = F.transform(
-        "items", lambda x: F.struct(x.event_id, x.dup_id, x.raw, x.template)
+    grouped = grouped.join(long, keys, "left").withColumn(
+        "metadata", F.when(F.col("_n").isNotNull(), F.col("_metadata")).otherwise(F.col("metadata"))
     )
+    group = F.transform("items", lambda x: F.struct(x.event_id, x.dup_id, x.raw, x.template))
     group = group.cast("array<struct<event_id:string,dup_id:string,raw:string,template:string>>")
     body = F.struct(F.col("metadata").alias("metadata"), group.alias("group"))
     return grouped.select(

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tracewell.operators.order import running_before
+from tracewell.operators.order import global_rank
 from tracewell.sources.groups import PART_NAME, explode_groups, flatten_groups, valid_groups
 
 DICTIONARY = "template_id long, template string, batch long"
@@ -46,7 +46,7 @@ def extend_dictionary(known: DataFrame, events: DataFrame) -> DataFrame:
         .join(known.select("template"), "template", "left_anti")
     )
     start = known.agg(F.coalesce(F.max("template_id") + 1, F.lit(0).cast("long"))).scalar()
-    ranked = running_before(fresh, "_rank", ["at"], [F.col("at.part")])
+    ranked = global_rank(fresh, ["at"], "_rank")
     return ranked.select((F.col("_rank") + start).alias("template_id"), "template")
 
 
