@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import citest, granger, matrix, pc, windows
+from tracewell.plans import discovery
 from tracewell.plans.fragments import BASKETS, SERIES
 from tracewell.sources import tables
 
@@ -95,11 +96,33 @@ def pc_orient(spark, sf):
 
 
 def pc_fisherz(spark, sf):
-    item = tables.table(spark, sf, "lineitem").select(*CONTINUOUS)
-    graph = pc.discover_gaussian(citest.correlations(item, CONTINUOUS), CONTINUOUS)
+    sizes = tables.doc_sizes(spark, sf)
+    graph = pc.discover_gaussian(citest.correlations(sizes, sizes.columns), sizes.columns)
     return pc.typed_edges(spark, graph)
 
 
+def _traits_graph(spark, sf):
+    traits = tables.doc_traits(spark, sf)
+    names = traits.columns
+    return pc.discover(matrix.coded_vectors(traits, names), names, "chi2", ALPHA, cards=binary(names))
+
+
+def pc_skeleton_traits(spark, sf):
+    return pc.skeleton_edges(spark, _traits_graph(spark, sf))
+
+
+def pc_orient_traits(spark, sf):
+    return pc.typed_edges(spark, _traits_graph(spark, sf))
+
+
+def chi2_bins(spark, sf):
+    """Pair tests over template counts per bin: multi-valued variables."""
+    names = variable_names(tables.events(spark, sf), "template")
+    patterns = discovery.bin_patterns(windows.bins_clamped(tables.series(spark, sf), 10), names)
+    stats = citest.pair_tests(patterns, names)
+    return stats.select("x", "y", F.round("stat", 6).alias("stat"), "dof")
+
+
 def pair_pmax(spark, sf):
     patterns, names = basket_patterns(spark, sf)
     graph = pc.discover(patterns, names, "chi2", ALPHA, max_level=1, cards=binary(names))
@@ -124,9 +147,8 @@ def pc_var_subset(spark, sf):
 
 
 def granger_lasso(spark, sf):
-    slots = windows.frequent_slots(tables.series(spark, sf))
-    names = variable_names(slots.filter(F.col("template").isNotNull()), "template")
-    return granger.granger_lasso(slots, names).withColumn("coefficient", F.round("coefficient", 6))
+    edges, _ = discovery.granger_from_log(tables.turns(spark, sf), min_freq=1)
+    return edges.withColumn("coefficient", F.round("coefficient", 6))
 
 
 def granger_moments(spark, sf):
@@ -146,6 +168,9 @@ QUERIES = {
     "pc_skeleton": pc_skeleton,
     "pc_orient": pc_orient,
     "pc_fisherz": pc_fisherz,
+    "pc_skeleton_traits": pc_skeleton_traits,
+    "pc_orient_traits": pc_orient_traits,
+    "chi2_bins": chi2_bins,
     "pair_pmax": pair_pmax,
     "test_compare": test_compare,
     "pc_var_subset": pc_var_subset,
@@ -182,6 +207,17 @@ _WINDOW_PATTERNS = (
 )
 
 
+_TRAIT_PATTERNS = """tr AS (
+  SELECT CASE WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END AS digit, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS english,
+         CASE WHEN n_chars > 1500 THEN 1 ELSE 0 END AS long, CASE WHEN contains(text, '@') THEN 1 ELSE 0 END AS mail,
+         CASE WHEN contains(text, chr(10)) THEN 1 ELSE 0 END AS multiline, CASE WHEN contains(text, 'http') THEN 1 ELSE 0 END AS url
+  FROM documents)
+, pt AS (SELECT *, count(*) AS w FROM tr GROUP BY ALL)
+, pi AS (SELECT row_number() OVER () AS pid, * FROM pt)
+, va AS (UNPIVOT pi ON digit, english, long, mail, multiline, url INTO NAME var VALUE bit)
+, na AS (SELECT DISTINCT var FROM va)"""
+
+
 def _stat_term(kind):
     if kind == "chi2":
         return "sum(o * o / (r * c / n) - o)"
@@ -258,6 +294,18 @@ def _chi2_multivalued_sql():
         SELECT x, y, round(sum(o * o / (r * c / n) - o), 6) AS stat, (count(DISTINCT xb) - 1) * (count(DISTINCT yb) - 1) AS dof FROM m GROUP BY x, y"""
 
 
+def _chi2_bins_sql():
+    return f"""WITH {SERIES}, b AS (SELECT source, template,
+            least(line_no // 10 + 1, greatest(1, count(*) OVER (PARTITION BY source) // 10)) AS bin FROM se),
+        t AS (SELECT DISTINCT template FROM se), d AS (SELECT DISTINCT source, bin FROM b),
+        v AS (SELECT d.source, d.bin, t.template, count(b.bin) AS k FROM d CROSS JOIN t
+          LEFT JOIN b ON b.source = d.source AND b.bin = d.bin AND b.template = t.template GROUP BY ALL),
+        ce AS (SELECT p.template AS x, q.template AS y, p.k AS xb, q.k AS yb, count(*)::DOUBLE AS o
+          FROM v p JOIN v q ON p.source = q.source AND p.bin = q.bin AND p.template < q.template GROUP BY ALL),
+        m AS (SELECT *, sum(o) OVER (PARTITION BY x, y, xb) AS r, sum(o) OVER (PARTITION BY x, y, yb) AS c, sum(o) OVER (PARTITION BY x, y) AS n FROM ce)
+        SELECT x, y, round(sum(o * o / (r * c / n) - o), 6) AS stat, (count(DISTINCT xb) - 1) * (count(DISTINCT yb) - 1) AS dof FROM m GROUP BY x, y"""
+
+
 def _statistics_sql(kind):
     return f"""WITH {_BASKET_PATTERNS}, {_level_sql(0, kind)}
         SELECT x, y, round(stat, 6) AS stat, dof, NOT independent AS dependent FROM d0"""
@@ -290,6 +338,8 @@ SQL = {
     "chi2_multivalued": _chi2_multivalued_sql(),
     "fisherz_pairs": _correlation_sql(),
     "pc_skeleton": f"WITH {_WINDOW_PATTERNS}, {_skeleton_sql('gsq', 3)} SELECT x, y FROM g3 WHERE x < y",
+    "pc_skeleton_traits": f"WITH {_TRAIT_PATTERNS}, {_skeleton_sql('chi2', 3)} SELECT x, y FROM g3 WHERE x < y",
+    "chi2_bins": _chi2_bins_sql(),
     "pair_pmax": f"WITH {_BASKET_PATTERNS}, {_skeleton_sql('chi2', 1)}, {_PMAX}",
     "test_compare": f"""WITH {_WINDOW_PATTERNS}, {_skeleton_sql('chi2', 3, 'c')}, {_skeleton_sql('gsq', 3, 'q')}
         SELECT 'chi2' AS test, count(*) AS edges FROM gc3 WHERE x < y UNION ALL SELECT 'gsq', count(*) FROM gq3 WHERE x < y""",

@@ -60,6 +60,40 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(e, "line_no", ["source"], "seq").select("source", "line_no", "template")
 
 
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speaker series: (source, line_no, template), one source per conversation."""
+    c = table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("string").alias("source"), "turn", F.col("role").alias("template")
+    )
+    return dense_index(c, "line_no", ["source"], "turn").select("source", "line_no", "template")
+
+
+def doc_traits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """0/1 traits of each document as columns."""
+    text = F.col("text")
+    traits = {
+        "digit": text.rlike("[0-9]"),
+        "english": F.col("lang") == "en",
+        "long": F.col("n_chars") > 1500,
+        "mail": text.contains("@"),
+        "multiline": text.contains("\n"),
+        "url": text.contains("http"),
+    }
+    return table(spark, sf_dir, "documents").select(*[c.cast("int").alias(n) for n, c in traits.items()])
+
+
+def doc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size measures of each document as columns."""
+    text = F.col("text")
+    lengths = {
+        "chars": F.col("n_chars"),
+        "commas": F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))),
+        "lines": F.size(F.split(text, "\n")),
+        "words": F.size(F.split(text, " ")),
+    }
+    return table(spark, sf_dir, "documents").select(*[c.cast("double").alias(n) for n, c in lengths.items()])
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their non-blank lines as an array."""
     return table(spark, sf_dir, "documents").select(
