@@ -38,8 +38,8 @@ def bins_adaptive(lines: DataFrame, k: int = 5, chunk: int = CHUNK) -> DataFrame
     long = [
         (r["source"],)
         for r in lines.groupBy("source")
-        .agg(F.max("line_no").alias("last"))
-        .filter(F.col("last") >= chunk)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter(F.col("n") > chunk)
         .collect()
     ]
 

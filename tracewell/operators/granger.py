@@ -37,7 +37,7 @@ def lag_tuples(slots: DataFrame, maxlag: int = 3, folds: int = FOLDS, chunk: int
 
     ``slots`` keeps every line position; rare templates are null and act as all-zero rows.
     """
-    sizes = slots.groupBy("source").agg((F.max("line_no") + 1 - maxlag).alias("_n"))
+    sizes = slots.groupBy("source").agg((F.count(F.lit(1)) - maxlag).alias("_n"))
     cut = with_halo(slots, "line_no", chunk, before=maxlag)
     near = Window.partitionBy("source", "_chunk").orderBy("line_no")
     earlier = [F.lag("template", k).over(near).alias(f"t{k}") for k in range(1, maxlag + 1)]
