@@ -20,7 +20,9 @@ CHILDREN = ["alpha x y", "beta x y", "gamma x y", "delta x y", "alpha x z"]
 
 def test_fixture_templates_ids_and_parameters(lines):
     df = lines(ERRORS, CHILDREN)
-    out = drain.structured(df, drain.mine_templates(df))
+    out = drain.structured(df)
+    hot = drain.structured(df, hot_rows=2)
+    assert rows(hot) == rows(out)
     out = out.withColumn("p", F.array_join(drain.parameters("Content", "EventTemplate"), "|"))
     got = rows(out.select("source", "LineId", "EventId", "EventTemplate", "p"))
     assert got == [

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import comma_parts, joined_template, non_empty
 from tracewell.operators.order import global_rank
+from tracewell.session import small_side
 
 
 def _without(parts: Column, noise: Sequence[str]) -> Column:
@@ -40,7 +41,7 @@ def multi_item(lines: DataFrame, line: str = "line") -> DataFrame:
 def encode(events: DataFrame, dictionary: DataFrame, key: str = "template") -> DataFrame:
     """Attach the dictionary id of each event's template (a missing template counts as '')."""
     filled = events.withColumn(key, F.coalesce(key, F.lit("")))
-    return filled.join(dictionary, key)
+    return filled.join(small_side(dictionary), key)
 
 
 def concat_pieces(events: DataFrame, column: str = "template") -> DataFrame:

@@ -192,18 +192,23 @@ def mine_templates(
     max_child: int = 3,
     patterns: Sequence[str] = (),
     hot_rows: int = HOT_ROWS,
+    content: bool = False,
 ) -> DataFrame:
-    """(source, line_no, template): every line with the final template of its cluster."""
+    """(source, line_no, template): every line with the final template of its cluster.
+
+    With ``content`` the raw line travels along, which spares a join of all lines afterwards.
+    """
+    raw = F.col("template") if content else F.lit(None).cast("string")
     # Three jobs read the masked lines; tokens hold no blanks, so the joined text splits back.
     tokenized = materialize(
         tokenize(lines, patterns).select(
-            "source", "line_no", "n_tokens", F.array_join("toks", " ").alias("text")
+            "source", "line_no", "n_tokens", raw.alias("content"), F.array_join("toks", " ").alias("text")
         ),
         "masked-lines",
     )
     # A line shorter than the routing depth never joins a cluster: its template is its own text.
     short = tokenized.filter(F.col("n_tokens") < depth - 2).select(
-        "source", "line_no", F.col("text").alias("template")
+        "source", "line_no", "content", F.col("text").alias("template")
     )
     long = tokenized.filter(F.col("n_tokens") >= depth - 2)
     # At most rows / hot_rows buckets come back.
@@ -214,45 +219,48 @@ def mine_templates(
         .collect()
     )
     args = (depth, st, max_child)
+    columns = ["source", "line_no", *(["content"] if content else []), "template"]
     if not hot:
-        return short.unionByName(_mine_whole(long, args))
+        return short.unionByName(_mine_whole(long, args)).select(columns)
     names = long.sparkSession.createDataFrame(
         [(r["source"], r["n_tokens"]) for r in hot], "source string, n_tokens int"
     )
     cold = long.join(F.broadcast(names), BUCKET, "left_anti")
     ranged = _mine_ranges(long.join(F.broadcast(names), BUCKET, "left_semi"), hot, args, hot_rows)
-    return short.unionByName(_mine_whole(cold, args)).unionByName(ranged)
+    return short.unionByName(_mine_whole(cold, args)).unionByName(ranged).select(columns)
 
 
 def _mine_whole(long: DataFrame, args: tuple) -> DataFrame:
     """Buckets of bounded size: sorted partitions stream through, one open bucket at a time."""
 
-    def finish(key, tree: Tree, line_no: list, cluster: list) -> pd.DataFrame:
-        final = [" ".join(t) for t in tree.templates()]
-        return pd.DataFrame(
-            {"source": key[0], "line_no": line_no, "template": [final[c] for c in cluster]}
-        )
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, tree, line_no, cluster, done, rows = None, None, [], [], [], 0
+        key, tree, cluster = None, None, []
+        names = ["source", "line_no", "content", "template"]
+        out: dict[str, list] = {n: [] for n in names}
+
+        def close() -> None:
+            """The bucket is complete: its lines get their final templates."""
+            if tree is not None:
+                final = [" ".join(t) for t in tree.templates()]
+                out["template"] += [final[c] for c in cluster]
+
         for pdf in batches:
-            for s, n, i, t in zip(pdf["source"], pdf["n_tokens"], pdf["line_no"], pdf["text"]):
+            for s, n, i, raw, text in zip(*(pdf[c] for c in [*BUCKET, "line_no", "content", "text"])):
                 if (s, n) != key:
-                    if tree is not None:
-                        done.append(finish(key, tree, line_no, cluster))
-                        rows += len(line_no)
-                        if rows >= OUT_ROWS:
-                            yield pd.concat(done)
-                            done, rows = [], 0
-                    key, tree, line_no, cluster = (s, n), Tree(*args), [], []
-                line_no.append(i)
-                cluster.append(tree.assign(t.split(" ")))
-        if tree is not None:
-            done.append(finish(key, tree, line_no, cluster))
-            yield pd.concat(done)
+                    close()
+                    if len(out["template"]) >= OUT_ROWS:
+                        yield pd.DataFrame(out)
+                        out = {n: [] for n in names}
+                    key, tree, cluster = (s, n), Tree(*args), []
+                out["source"].append(s)
+                out["line_no"].append(i)
+                out["content"].append(raw)
+                cluster.append(tree.assign(text.split(" ")))
+        close()
+        yield pd.DataFrame(out)
 
     placed = long.repartition(*BUCKET).sortWithinPartitions(*BUCKET, "line_no")
-    return placed.mapInPandas(run, "source string, line_no long, template string")
+    return placed.mapInPandas(run, "source string, line_no long, content string, template string")
 
 
 def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFrame:
@@ -324,6 +332,7 @@ def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFram
                 "source": data["source"],
                 "n_tokens": data["n_tokens"],
                 "line_no": data["line_no"],
+                "content": data["content"],
                 "cluster": [tree.assign(t.split(" ")) for t in data["text"]],
             }
         )
@@ -341,7 +350,8 @@ def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFram
         stored.groupBy(*keys)
         .cogroup(starts.groupBy(*keys))
         .applyInPandas(
-            _skip_empty(assign), "source string, n_tokens int, line_no long, cluster long"
+            _skip_empty(assign),
+            "source string, n_tokens int, line_no long, content string, cluster long",
         )
     )
     final = states.groupBy(*BUCKET).agg(F.max_by("state", "since").alias("state"))
@@ -351,7 +361,9 @@ def _mine_ranges(long: DataFrame, hot: list, args: tuple, rows: int) -> DataFram
             F.from_json("state", "struct<templates:array<array<string>>>")["templates"]
         ).alias("cluster", "t"),
     ).select(*BUCKET, F.col("cluster").cast("long").alias("cluster"), F.array_join("t", " ").alias("template"))
-    return assigned.join(templates, [*BUCKET, "cluster"]).select("source", "line_no", "template")
+    return assigned.join(templates, [*BUCKET, "cluster"]).select(
+        "source", "line_no", "content", "template"
+    )
 
 
 def _skip_empty(fn):
@@ -365,15 +377,14 @@ def _skip_empty(fn):
     return run
 
 
-def structured(lines: DataFrame, mined: DataFrame) -> DataFrame:
-    """LineId, Content, EventId, EventTemplate per line."""
-    labelled = mined.withColumnRenamed("template", "EventTemplate")
-    return lines.join(labelled, ["source", "line_no"]).select(
+def structured(lines: DataFrame, **mining) -> DataFrame:
+    """LineId, Content, EventId, EventTemplate per line; ``mining`` goes to ``mine_templates``."""
+    return mine_templates(lines, content=True, **mining).select(
         "source",
         (F.col("line_no") + 1).alias("LineId"),
-        F.col("template").alias("Content"),
-        short_id("EventTemplate").alias("EventId"),
-        "EventTemplate",
+        F.col("content").alias("Content"),
+        short_id("template").alias("EventId"),
+        F.col("template").alias("EventTemplate"),
     )
 
 

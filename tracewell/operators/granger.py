@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.order import with_halo
 from tracewell.operators.windows import CHUNK
+from tracewell.session import small_side
 
 FOLDS = 5
 GAP = 1e-4
 SWEEPS = 1_000
 # Regression columns whose moment matrix may be sent to every task.
-MAX_COLUMNS = 3_000
+MAX_COLUMNS = 1_500
 
 
 def fold_of(i: Column, n: Column, folds: int = FOLDS) -> Column:
@@ -44,7 +45,7 @@ def lag_tuples(slots: DataFrame, maxlag: int = 3, folds: int = FOLDS, chunk: int
     tuples = (
         cut.select("source", "line_no", "_own", F.col("template").alias("t0"), *earlier)
         .filter(F.col("_own") & (F.col("line_no") >= maxlag))
-        .join(sizes, "source")
+        .join(small_side(sizes), "source")
     )
     fold = fold_of(F.col("line_no") - maxlag, F.col("_n"), folds).alias("fold")
     names = [f"t{k}" for k in range(maxlag + 1)]

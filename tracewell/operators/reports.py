@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import strip
 from tracewell.operators.order import first_match
 
 KEYWORDS = ("make", "compile", "linker", "error")
@@ -93,8 +94,8 @@ def template_search(events: DataFrame, requested: DataFrame) -> DataFrame:
 
     Counted per (template, file) first, so one task never holds a template's whole file set twice.
     """
-    norm = F.lower(F.trim("template"))
-    wanted = requested.select(F.lower(F.trim("template")).alias("norm")).distinct()
+    norm = F.lower(strip("template"))
+    wanted = requested.select(F.lower(strip("template")).alias("norm")).distinct()
     per_file = (
         events.select(norm.alias("norm"), "source_file")
         .join(F.broadcast(wanted), "norm", "left_semi")  # a caller's request list
@@ -104,7 +105,7 @@ def template_search(events: DataFrame, requested: DataFrame) -> DataFrame:
     per_template = per_file.groupBy("norm").agg(
         F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n_files")
     )
-    asked = requested.withColumn("norm", F.lower(F.trim("template")))
+    asked = requested.withColumn("norm", F.lower(strip("template")))
     zero = F.lit(0).cast("long")
     return (
         asked.join(per_template, "norm", "left")
@@ -120,9 +121,9 @@ def template_search(events: DataFrame, requested: DataFrame) -> DataFrame:
 
 def template_search_files(events: DataFrame, requested: DataFrame) -> DataFrame:
     """The distinct files behind ``template_search``, one row each."""
-    wanted = requested.select(F.lower(F.trim("template")).alias("norm")).distinct()
+    wanted = requested.select(F.lower(strip("template")).alias("norm")).distinct()
     return (
-        events.select(F.lower(F.trim("template")).alias("norm"), "source_file")
+        events.select(F.lower(strip("template")).alias("norm"), "source_file")
         .join(F.broadcast(wanted), "norm", "left_semi")  # a caller's request list
         .groupBy("norm", "source_file")
         .agg(F.count(F.lit(1)).alias("occurrences"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.order import KEY_WIDTH, key_range, running_before, with_halo
+from tracewell.session import small_side
 
 CHUNK = 50_000
 
@@ -26,7 +27,7 @@ def frequent_templates(lines: DataFrame, min_freq: int = 5) -> DataFrame:
 def frequent_lines(lines: DataFrame, min_freq: int = 5) -> DataFrame:
     """Lines of frequent templates only, renumbered densely per source."""
     kept = lines.join(
-        frequent_templates(lines, min_freq), ["source", "template"], "left_semi"
+        small_side(frequent_templates(lines, min_freq)), ["source", "template"], "left_semi"
     )
     numbered = running_before(
         kept, "_new", ["line_no"], [key_range("line_no", KEY_WIDTH)], ["source"]
@@ -37,7 +38,7 @@ def frequent_lines(lines: DataFrame, min_freq: int = 5) -> DataFrame:
 def frequent_slots(lines: DataFrame, min_freq: int = 5) -> DataFrame:
     """All lines at their old position; infrequent templates become null."""
     frequent = frequent_templates(lines, min_freq).select("source", "template", F.lit(True).alias("_keep"))
-    return lines.join(frequent, ["source", "template"], "left").select(
+    return lines.join(small_side(frequent), ["source", "template"], "left").select(
         "source", "line_no", F.when(F.col("_keep"), F.col("template")).alias("template")
     )
 
@@ -82,7 +83,7 @@ def matrix_quality(sizes: DataFrame) -> DataFrame:
 def _with_length(lines: DataFrame) -> DataFrame:
     """Line numbers are dense, so the length is a plain count that needs no numbering."""
     sizes = lines.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
-    return lines.join(sizes, "source")
+    return lines.join(small_side(sizes), "source")
 
 
 def window_members(lines: DataFrame, w: int, chunk: int = CHUNK) -> DataFrame:

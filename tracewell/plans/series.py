@@ -25,7 +25,7 @@ def _mined(spark, sf):
 
 
 def drain_structured(spark, sf):
-    return drain.structured(tables.lines(spark, sf), _mined(spark, sf))
+    return drain.structured(tables.lines(spark, sf), patterns=MASKS)
 
 
 def template_summary(spark, sf):

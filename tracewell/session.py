@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", app: str = "tracewell", **conf: str) -> SparkSession:
@@ -56,6 +57,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """A join side computed once and broadcast only if it was counted to be small.
+
+    Aggregates and dictionaries are usually tiny, but the planner cannot know and would shuffle the
+    large side on what may be a skewed key. Above ``max_rows`` the join stays a shuffle join.
+    """
+    fixed = cut_lineage(df)
+    return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write rows that several jobs read as a Parquet table in the shared folder.
 
