@@ -31,13 +31,16 @@ def _bins(templates, k: int, seen: set) -> tuple[list[int], set]:
     return out, seen
 
 
-def bins_adaptive(lines: DataFrame, k: int = 5, chunk: int = CHUNK) -> DataFrame:
-    """Adds ``bin``, numbered from 0 per source."""
+def bins_adaptive(
+    lines: DataFrame, k: int = 5, chunk: int = CHUNK, unordered: DataFrame | None = None
+) -> DataFrame:
+    """Adds ``bin``, numbered from 0 per source. ``unordered`` holds the lines before numbering."""
     lines = lines.select("source", "line_no", "template")
     # At most rows / chunk sources are long.
     long = [
         (r["source"],)
-        for r in lines.groupBy("source")
+        for r in (lines if unordered is None else unordered)
+        .groupBy("source")
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") > chunk)
         .collect()

@@ -33,12 +33,18 @@ def fold_of(i: Column, n: Column, folds: int = FOLDS) -> Column:
     return F.when(i < head, F.floor(i / (q + 1))).otherwise(late).cast("int")
 
 
-def lag_tuples(slots: DataFrame, maxlag: int = 3, folds: int = FOLDS, chunk: int = CHUNK) -> DataFrame:
+def lag_tuples(
+    slots: DataFrame,
+    maxlag: int = 3,
+    folds: int = FOLDS,
+    chunk: int = CHUNK,
+    unordered: DataFrame | None = None,
+) -> DataFrame:
     """(fold, t0..t<maxlag>, weight): counted template tuples; t0 is the target line, tk lag k.
 
     ``slots`` keeps every line position; rare templates are null and act as all-zero rows.
     """
-    sizes = slots.groupBy("source").agg((F.count(F.lit(1)) - maxlag).alias("_n"))
+    sizes = (slots if unordered is None else unordered).groupBy("source").agg((F.count(F.lit(1)) - maxlag).alias("_n"))
     cut = with_halo(slots, "line_no", chunk, before=maxlag)
     near = Window.partitionBy("source", "_chunk").orderBy("line_no")
     earlier = [F.lag("template", k).over(near).alias(f"t{k}") for k in range(1, maxlag + 1)]

@@ -2,6 +2,9 @@
 
 Sliding operators work on fixed-length chunks with copied border rows, so a source that holds most
 of the data is spread over many tasks and every row is shuffled once.
+
+``unordered`` names the same lines before they were numbered: counting those spares a second pass
+through the numbering.
 """
 
 from __future__ import annotations
@@ -24,20 +27,19 @@ def frequent_templates(lines: DataFrame, min_freq: int = 5) -> DataFrame:
     )
 
 
-def frequent_lines(lines: DataFrame, min_freq: int = 5) -> DataFrame:
+def frequent_lines(lines: DataFrame, min_freq: int = 5, unordered: DataFrame | None = None) -> DataFrame:
     """Lines of frequent templates only, renumbered densely per source."""
-    kept = lines.join(
-        small_side(frequent_templates(lines, min_freq)), ["source", "template"], "left_semi"
-    )
+    frequent = small_side(frequent_templates(lines if unordered is None else unordered, min_freq))
+    kept = lines.join(frequent, ["source", "template"], "left_semi")
     numbered = running_before(
         kept, "_new", ["line_no"], [key_range("line_no", KEY_WIDTH)], ["source"]
     )
     return numbered.select("source", F.col("_new").alias("line_no"), "template")
 
 
-def frequent_slots(lines: DataFrame, min_freq: int = 5) -> DataFrame:
+def frequent_slots(lines: DataFrame, min_freq: int = 5, unordered: DataFrame | None = None) -> DataFrame:
     """All lines at their old position; infrequent templates become null."""
-    frequent = frequent_templates(lines, min_freq).select("source", "template", F.lit(True).alias("_keep"))
+    frequent = frequent_templates(lines if unordered is None else unordered, min_freq).select("source", "template", F.lit(True).alias("_keep"))
     return lines.join(small_side(frequent), ["source", "template"], "left").select(
         "source", "line_no", F.when(F.col("_keep"), F.col("template")).alias("template")
     )
@@ -80,19 +82,21 @@ def matrix_quality(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _with_length(lines: DataFrame) -> DataFrame:
+def _with_length(lines: DataFrame, unordered: DataFrame | None = None) -> DataFrame:
     """Line numbers are dense, so the length is a plain count that needs no numbering."""
-    sizes = lines.groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = (lines if unordered is None else unordered).groupBy("source").agg(F.count(F.lit(1)).alias("_n"))
     return lines.join(small_side(sizes), "source")
 
 
-def window_members(lines: DataFrame, w: int, chunk: int = CHUNK) -> DataFrame:
+def window_members(
+    lines: DataFrame, w: int, chunk: int = CHUNK, unordered: DataFrame | None = None
+) -> DataFrame:
     """Distinct (source, win, template) over all full windows of ``w`` lines.
 
     An occurrence adds only the windows that the previous occurrence of the same template does not
     reach already, so the rows come out distinct without a shuffle of the exploded windows.
     """
-    cut = with_halo(_with_length(lines), "line_no", chunk, before=w - 1)
+    cut = with_halo(_with_length(lines, unordered), "line_no", chunk, before=w - 1)
     near = Window.partitionBy("source", "_chunk", "template").orderBy("line_no")
     previous = F.lag("line_no").over(near)
     first = F.greatest(
@@ -128,11 +132,11 @@ def bins_open(lines: DataFrame, size: int = 60) -> DataFrame:
     return lines.withColumn("bin", F.floor(F.col("line_no") / size).cast("long") + 1)
 
 
-def bins_clamped(lines: DataFrame, size: int = 60) -> DataFrame:
+def bins_clamped(lines: DataFrame, size: int = 60, unordered: DataFrame | None = None) -> DataFrame:
     """Fixed bins whose short tail joins the last full bin; a short source has one bin."""
     full = F.greatest(F.lit(1).cast("long"), F.floor(F.col("_n") / size).cast("long"))
     number = F.floor(F.col("line_no") / size).cast("long") + 1
-    return _with_length(lines).withColumn("bin", F.least(number, full)).drop("_n")
+    return _with_length(lines, unordered).withColumn("bin", F.least(number, full)).drop("_n")
 
 
 def bin_counts(binned: DataFrame) -> DataFrame:

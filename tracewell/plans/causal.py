@@ -118,7 +118,7 @@ def pc_orient_traits(spark, sf):
 def chi2_bins(spark, sf):
     """Pair tests over template counts per bin: multi-valued variables."""
     names = variable_names(tables.events(spark, sf), "template")
-    patterns = discovery.bin_patterns(windows.bins_clamped(tables.series(spark, sf), 10), names)
+    patterns = discovery.bin_patterns(windows.bins_clamped(tables.series(spark, sf), 10, tables.flat_series(spark, sf)), names)
     stats = citest.pair_tests(patterns, names)
     return stats.select("x", "y", F.round("stat", 6).alias("stat"), "dof")
 
@@ -152,8 +152,9 @@ def granger_lasso(spark, sf):
 
 
 def granger_moments(spark, sf):
-    slots = windows.frequent_slots(tables.series(spark, sf))
-    return granger.moments(granger.lag_tuples(slots))
+    flat = tables.flat_series(spark, sf)
+    slots = windows.frequent_slots(tables.series(spark, sf), unordered=flat)
+    return granger.moments(granger.lag_tuples(slots, unordered=flat))
 
 
 QUERIES = {

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import graph, granger, matrix, pc, windows
+from tracewell.session import cut_lineage, materialize
 
 
 @dataclass
@@ -25,13 +26,15 @@ def windowed_dataset(lines: DataFrame, window_size: int | None = None, min_freq:
     Without a size each source gets the largest window that leaves enough samples per template.
     The distinct window sizes (at most 29) give one sliding pass each.
     """
-    kept = windows.frequent_lines(lines, min_freq)
+    # Read by the size choice, the name list and every window size.
+    kept = materialize(windows.frequent_lines(lines, min_freq), "frequent-lines")
     sizes = windows.choose_window(kept)
     if window_size is not None:
         sizes = sizes.withColumn("window_size", F.lit(window_size).cast("long"))
     names = [r[0] for r in kept.select("template").distinct().orderBy("template").collect()]
     if not names:
         raise ValueError("no template is frequent enough")
+    sizes = cut_lineage(sizes)
     sets = None
     for (w,) in sizes.select("window_size").distinct().orderBy("window_size").collect():
         part = kept
@@ -90,7 +93,7 @@ def compare_on_bins(
 
 def granger_from_log(lines: DataFrame, min_freq: int = 5, maxlag: int = 3) -> tuple[DataFrame, DataFrame]:
     """Weighted edges and a one-row report of the lagged LASSO over a template log."""
-    slots = windows.frequent_slots(lines, min_freq)
+    slots = materialize(windows.frequent_slots(lines, min_freq), "slots")
     kept = slots.select("template").filter(F.col("template").isNotNull()).distinct()
     names = [r[0] for r in kept.orderBy("template").collect()]
     if not names:

@@ -13,7 +13,7 @@ MASKS = [r"https?://[^ ]+", r"[0-9]{2,}"]
 
 
 def _frequent(spark, sf):
-    return windows.frequent_lines(tables.lines(spark, sf))
+    return windows.frequent_lines(tables.lines(spark, sf), unordered=tables.flat_lines(spark, sf))
 
 
 def _tokenized(spark, sf):
@@ -44,18 +44,28 @@ def template_similarity(spark, sf):
 
 QUERIES = {
     "frequent_lines": _frequent,
-    "frequent_slots": lambda spark, sf: windows.frequent_slots(tables.lines(spark, sf)),
+    "frequent_slots": lambda spark, sf: windows.frequent_slots(
+        tables.lines(spark, sf), unordered=tables.flat_lines(spark, sf)
+    ),
     "choose_window": lambda spark, sf: windows.choose_window(_frequent(spark, sf)),
     "matrix_quality": lambda spark, sf: windows.matrix_quality(windows.choose_window(_frequent(spark, sf))),
-    "win_sets": lambda spark, sf: windows.window_members(tables.series(spark, sf), 5),
+    "win_sets": lambda spark, sf: windows.window_members(
+        tables.series(spark, sf), 5, unordered=tables.flat_series(spark, sf)
+    ),
     "win_rows": lambda spark, sf: windows.window_sets(tables.series(spark, sf), 5).withColumn(
         "items", F.array_join("items", ",")
     ),
     "bin_open": lambda spark, sf: windows.bins_open(tables.lines(spark, sf)),
-    "bin_clamped": lambda spark, sf: windows.bins_clamped(tables.lines(spark, sf)),
+    "bin_clamped": lambda spark, sf: windows.bins_clamped(
+        tables.lines(spark, sf), unordered=tables.flat_lines(spark, sf)
+    ),
     "bin_counts": lambda spark, sf: windows.bin_counts(windows.bins_open(tables.lines(spark, sf))),
-    "bin_matrix_dense": lambda spark, sf: windows.bin_matrix(windows.bins_clamped(tables.series(spark, sf), 10)),
-    "bin_adaptive": lambda spark, sf: adaptive.bins_adaptive(tables.series(spark, sf)),
+    "bin_matrix_dense": lambda spark, sf: windows.bin_matrix(
+        windows.bins_clamped(tables.series(spark, sf), 10, tables.flat_series(spark, sf))
+    ),
+    "bin_adaptive": lambda spark, sf: adaptive.bins_adaptive(
+        tables.series(spark, sf), unordered=tables.flat_series(spark, sf)
+    ),
     "lag_pairs": lambda spark, sf: windows.lag_pairs(tables.series(spark, sf)),
     "lag_cooccurrence": lambda spark, sf: windows.lag_cooccurrence(tables.series(spark, sf)),
     "drain_tokens": lambda spark, sf: _tokenized(spark, sf).select(

@@ -60,6 +60,13 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense_index(e, "line_no", ["source"], "seq").select("source", "line_no", "template")
 
 
+def flat_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, template) of the time series without positions: no shuffle."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("template")
+    )
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speaker series: (source, line_no, template), one source per conversation."""
     c = table(spark, sf_dir, "conversations").select(
