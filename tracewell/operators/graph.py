@@ -88,8 +88,9 @@ def weak_components(edges: DataFrame) -> DataFrame:
     Each round takes the least label around every node and then follows the label's own label, so
     distances halve. The least-label aggregate combines map-side, which keeps hub nodes harmless.
     """
-    pairs = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    pairs = cut_lineage(pairs.unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct())
+    there = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    back = edges.select(F.col("target").alias("a"), F.col("source").alias("b"))
+    pairs = cut_lineage(there.unionByName(back).distinct())
     labels = cut_lineage(
         pairs.groupBy("a").agg(F.min("b").alias("b")).select(
             F.col("a").alias("node"), F.least("a", "b").alias("component")

@@ -39,7 +39,8 @@ def frequent_lines(lines: DataFrame, min_freq: int = 5, unordered: DataFrame | N
 
 def frequent_slots(lines: DataFrame, min_freq: int = 5, unordered: DataFrame | None = None) -> DataFrame:
     """All lines at their old position; infrequent templates become null."""
-    frequent = frequent_templates(lines if unordered is None else unordered, min_freq).select("source", "template", F.lit(True).alias("_keep"))
+    counted = frequent_templates(lines if unordered is None else unordered, min_freq)
+    frequent = counted.select("source", "template", F.lit(True).alias("_keep"))
     return lines.join(small_side(frequent), ["source", "template"], "left").select(
         "source", "line_no", F.when(F.col("_keep"), F.col("template")).alias("template")
     )
@@ -169,7 +170,11 @@ def lag_pairs(lines: DataFrame, maxlag: int = 3, chunk: int = CHUNK) -> DataFram
     cut = with_halo(lines, "line_no", chunk, after=0, before=maxlag)
     near = Window.partitionBy("source", "_chunk").orderBy("line_no")
     pairs = [
-        F.struct(F.lit(k).alias("lag"), F.lag("template", k).over(near).alias("earlier"), F.lag("line_no", k).over(near).alias("at"))
+        F.struct(
+            F.lit(k).alias("lag"),
+            F.lag("template", k).over(near).alias("earlier"),
+            F.lag("line_no", k).over(near).alias("at"),
+        )
         for k in range(1, maxlag + 1)
     ]
     return (
