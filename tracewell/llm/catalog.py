@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe
+from tracewell.llm import bpe, mixing, shards, tokencount
 from tracewell.llm.common import Query
 
-MODULES = (bpe,)
+MODULES = (bpe, tokencount, shards, mixing)
 
 
 def queries() -> dict[str, Query]:

@@ -26,7 +26,8 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    inner = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", 0).otherwise(F.size(F.split(inner, SPACE, -1))).cast("long")
 
 
 def free_name(df: DataFrame, wanted: str) -> str:
