@@ -64,4 +64,6 @@ def test_round_trip_and_odd_rows(spark):
     for r in out:
         assert r.decoded == (r.text or "")
         assert r.text or not r.ids
+    both = bpe.round_trip(docs).collect()
+    assert [(r.coded.ids, r.coded.decoded) for r in both] == [(r.ids, r.decoded) for r in out]
     assert bpe.decode(bpe.encode(docs.limit(0))).collect() == []

@@ -43,6 +43,24 @@ def _encode_slice(cut, texts: list[str]) -> list[bytes]:
     ]
 
 
+def _encode_batch(cut, batch: pd.Series) -> list[bytes]:
+    out: list[bytes] = []
+    waiting, chars = [], 0
+    for text in batch:
+        waiting.append(text or "")
+        chars += len(waiting[-1])
+        if chars >= SLICE_CHARS:
+            out += _encode_slice(cut, waiting)
+            waiting, chars = [], 0
+    return out + _encode_slice(cut, waiting)
+
+
+def _decode_batch(piece, batch) -> list[str]:
+    return [
+        b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())).decode(errors="replace") for ids in batch
+    ]
+
+
 def encoder(path: str):
     """Pandas UDF: text to packed ids."""
 
@@ -50,15 +68,7 @@ def encoder(path: str):
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         cut = splitter(path, "byte")
         for batch in batches:
-            out: list[bytes] = []
-            waiting, chars = [], 0
-            for text in batch:
-                waiting.append(text or "")
-                chars += len(waiting[-1])
-                if chars >= SLICE_CHARS:
-                    out += _encode_slice(cut, waiting)
-                    waiting, chars = [], 0
-            yield pd.Series(out + _encode_slice(cut, waiting), index=batch.index, dtype=object)
+            yield pd.Series(_encode_batch(cut, batch), dtype=object)
 
     return encode
 
@@ -70,15 +80,24 @@ def decoder(path: str):
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         piece = splitter(path, "byte").merges.bytes_of.__getitem__
         for batch in batches:
-            yield batch.map(
-                lambda ids: b"".join(map(piece, np.frombuffer(ids or b"", "<u4").tolist())).decode(
-                    errors="replace"
-                )
-            ).astype(object)
+            yield pd.Series(_decode_batch(piece, batch), dtype=object)
 
     return decode
 
 
+def coder(path: str):
+    """Pandas UDF: text to (packed ids, text decoded from them) in one worker."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def code(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        cut = splitter(path, "byte")
+        for batch in batches:
+            ids = _encode_batch(cut, batch)
+            yield pd.DataFrame({"ids": ids, "decoded": _decode_batch(cut.merges.bytes_of.__getitem__, ids)})
+
+    return code
+
+
 def encode(docs: DataFrame, path: str = BYTE_BPE, text: str = "text", ids: str = "ids") -> DataFrame:
     return docs.withColumn(ids, encoder(path)(text_of(text)))
 
@@ -87,18 +106,22 @@ def decode(docs: DataFrame, path: str = BYTE_BPE, ids: str = "ids", text: str =
     return docs.withColumn(text, decoder(path)(F.col(ids)))
 
 
+def round_trip(docs: DataFrame, path: str = BYTE_BPE, text: str = "text", result: str = "coded") -> DataFrame:
+    """Both directions at once: a struct of ids and decoded text."""
+    return docs.withColumn(result, coder(path)(text_of(text)))
+
+
 def n_tokens(ids: str | Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs))
-    return coded.select(
+    return round_trip(docs).select(
         "doc_id",
-        n_tokens("ids").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        n_tokens("coded.ids").alias("n_tokens"),
+        F.sha2("coded.ids", 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 
