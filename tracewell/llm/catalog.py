@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe, chat, mixing, rules, shards, tokencount
+from tracewell.llm import bpe, chat, mixing, ngram_join, pii, rules, shards, tokencount
 from tracewell.llm.common import Query
 
-MODULES = (bpe, tokencount, shards, mixing, chat, rules)
+MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join)
 
 
 def queries() -> dict[str, Query]:
