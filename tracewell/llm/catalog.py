@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tracewell.llm import bpe, chat, html_text, mixing, ngram_join, pii, rules, shards, tokencount
+from tracewell.llm import ann, bpe, chat, html_text, mixing, ngram_join, pii, rules, shards, tokencount
 from tracewell.llm.common import Query
 
-MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text)
+MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann)
 
 
 def queries() -> dict[str, Query]:
