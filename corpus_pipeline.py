@@ -3,19 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import bpe
+from tracewell.llm import bpe, mixing, ngram_join, pii, rules
 from tracewell.llm.common import table
 from tracewell.session import shared_folder
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that neither the base limits nor the learned decision list reject."""
+    return rules.keep(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts with a shingle similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data and disclosing terms replaced by their kinds."""
+    clean = pii.sanitise(pii.mark(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of the sources takes it."""
+    return mixing.repeat(mixing.mix(docs)).select(docs.columns)
+
+
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as packed token ids."""
     coded = bpe.encode(docs)
     return coded.select("doc_id", "lang", "source", bpe.n_tokens("ids").alias("n_tokens"), "ids")
 
 
-STAGES = [("bpe_encoding", bpe_encoding)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("mixture", mixture),
+    ("bpe_encoding", bpe_encoding),
+]
 
 #: The stages learn, iterate and tokenize, which SQL cannot state; tests hold them to brute force.
 ORACLE_SQL = None

@@ -261,6 +261,12 @@ def judge(docs: DataFrame, rules: list[Rule], text: str = "text", reason: str =
     return statistics(docs, text).withColumn(reason, verdict(rules))
 
 
+def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their own columns only."""
+    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    return judge(packed, rules).where("rejected_by IS NULL").select("row.*")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn(docs, table(spark, sf_dir, "labels"))
