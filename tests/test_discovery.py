@@ -82,3 +82,44 @@ def test_matrix_and_edge_files(spark, tmp_path):
     (tmp_path / "e.csv").write_text("source,target,relation\na,b,directed\nb,c,undirected\nc,b,undirected\n")
     edges = sinks.read_csv(spark, str(tmp_path / "e.csv"), "source string, target string, relation string")
     assert rows(graph.edge_report(edges)) == [(3, 1, 0, 2)]
+
+
+def test_long_groups_give_the_same_rows_whatever_the_segment(spark, monkeypatch):
+    from tracewell.plans import ingest
+    from tracewell.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    names = ["src_groups", "src_quarantine", "valid_groups", "events_flat", "json_path_templates"]
+    whole = {n: sorted(map(repr, ingest.QUERIES[n](spark, sf).collect())) for n in names}
+    monkeypatch.setattr(tables, "SEGMENT", 2)
+    for n in names:
+        assert sorted(map(repr, ingest.QUERIES[n](spark, sf).collect())) == whole[n], n
+
+
+def test_segments_concatenate_to_the_line(spark, tmp_path):
+    from tracewell.operators import cleaning
+
+    events = spark.createDataFrame([("g", i, str(i)) for i in range(5)] + [("h", 0, "9")], "g string, pos long, v string")
+    lined = cleaning.sequence_lines(events, ["g"], "pos", "v", " ", segment=2)
+    assert rows(lined) == [("g", 0, "0 1"), ("g", 1, " 2 3"), ("g", 2, " 4"), ("h", 0, "9")]
+    sinks.write_lines(lined, str(tmp_path / "text"), ["g", "seg"])
+    assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == ["0 1 2 3 4", "9"]
+
+
+def test_events_with_a_missing_template_are_encoded(spark):
+    from tracewell.operators import cleaning
+
+    events = spark.createDataFrame([(0, "a"), (1, None), (2, "a")], "pos long, template string")
+    dictionary = spark.createDataFrame([("a", 0), (None, 1)], "template string, template_id long")
+    assert sorted(r.template_id for r in cleaning.encode(events, dictionary).collect()) == [0, 0, 1]
+    lacking = dictionary.where("template = 'a'")
+    with pytest.raises(Exception, match="no dictionary id"):
+        cleaning.encode(events, lacking).collect()
+
+
+def test_no_samples_give_no_graph(spark):
+    from tracewell.operators import pc
+
+    patterns = spark.createDataFrame([], "vec array<int>, weight long")
+    with pytest.raises(ValueError, match="no samples"):
+        pc.discover(patterns, ["a", "b"], "chi2", cards=[2, 2])

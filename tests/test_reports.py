@@ -43,7 +43,7 @@ def test_segments_concatenate_to_the_whole_line(spark):
     df = spark.createDataFrame([("g", i, i * i) for i in range(25)], "g string, pos long, v long").repartition(4)
     whole = cleaning.sequence_lines(df, ["g"], "pos", "v", " ").collect()
     parts = cleaning.sequence_lines(df, ["g"], "pos", "v", " ", segment=10).orderBy("seg").collect()
-    assert len(parts) == 3 and " ".join(p.line for p in parts) == whole[0].line
+    assert len(parts) == 3 and "".join(p.line for p in parts) == whole[0].line
 
 
 def test_part_numbers(spark):
@@ -150,7 +150,12 @@ def test_part_files(spark, tmp_path):
 def test_text_lines_are_numbered_per_file(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\n\n  two \nthree\n")
     (tmp_path / "b.log").write_text("x\n")
-    got = rows(lines_.read_lines(spark, str(tmp_path)))
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.log").write_text("y\n")
+    below = [(s.rsplit("/", 1)[1], n, t) for s, n, t in rows(lines_.read_lines(spark, str(tmp_path / "sub")))]
+    assert below == [("a.log", 0, "y")]
+    assert len({r[0] for r in rows(lines_.read_lines(spark, [str(tmp_path), str(tmp_path / "sub")]))}) == 3
+    got = [(s.rsplit("/", 1)[1], n, t) for s, n, t in rows(lines_.read_lines(spark, f"{tmp_path}/*.log"))]
     assert got == [("a.log", 0, "one"), ("a.log", 1, "two"), ("a.log", 2, "three"), ("b.log", 0, "x")]
 
 

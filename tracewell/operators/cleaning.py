@@ -39,9 +39,16 @@ def multi_item(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def encode(events: DataFrame, dictionary: DataFrame, key: str = "template") -> DataFrame:
-    """Attach the dictionary id of each event's template (a missing template counts as '')."""
+    """Attach the dictionary id of each event's template (a missing template counts as '').
+
+    Events are never lost: one whose template the dictionary lacks fails the job.
+    """
     filled = events.withColumn(key, F.coalesce(key, F.lit("")))
-    return filled.join(small_side(dictionary), key)
+    named = dictionary.withColumn(key, F.coalesce(key, F.lit("")))
+    ids = [c for c in dictionary.columns if c != key]
+    joined = filled.join(small_side(named.groupBy(key).agg(*[F.min(c).alias(c) for c in ids])), key, "left")
+    lost = F.raise_error(F.concat(F.lit("no dictionary id for "), key)).cast(dict(dictionary.dtypes)[ids[0]])
+    return joined.withColumn(ids[0], F.coalesce(ids[0], lost))
 
 
 def concat_pieces(events: DataFrame, column: str = "template") -> DataFrame:
@@ -54,14 +61,15 @@ def sequence_lines(
 ) -> DataFrame:
     """One separator-joined line per group, in event order.
 
-    A group longer than ``segment`` gives several consecutive rows (``seg`` 0, 1, ...), whose
-    concatenation is its line, so no group is ever collected whole.
+    The row format is one of segments of ``segment`` events (``seg`` 0, 1, ...); each after the first
+    begins with the separator, so plain concatenation is the line and no group is collected whole.
     """
     seg = F.floor(F.col(pos) / segment).cast("long").alias("seg")
     ordered = F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(item).cast("string").alias("v"))))
-    return encoded.groupBy(*group, seg).agg(
-        F.array_join(F.transform(ordered, lambda x: x["v"]), sep).alias("line")
-    )
+    part = F.array_join(F.transform(ordered, lambda x: x["v"]), sep)
+    lead = F.when(F.col("seg") > 0, F.lit(sep)).otherwise(F.lit(""))
+    segments = encoded.groupBy(*group, seg).agg(part.alias("line"))
+    return segments.withColumn("line", F.concat(lead, "line"))
 
 
 def assign_parts(groups: DataFrame, order: Sequence[str], size: int = 500) -> DataFrame:

@@ -72,7 +72,7 @@ class Tree:
             kids = self.children.setdefault(path, set())
             if w not in kids:
                 room = self.max_child - len(kids) - (WILDCARD not in kids)
-                if room <= 0 or any(ch.isdigit() for ch in w):
+                if room <= 0 or any("0" <= ch <= "9" for ch in w):
                     w = WILDCARD
                 kids.add(w)
             path += (w,)

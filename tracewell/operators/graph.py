@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from tracewell.session import cut_lineage
 
-MAX_ORIENTED = 24
-
 
 def classify_endpoints(endpoints: DataFrame) -> DataFrame:
     """Endpoint table (i, j, at_i, at_j), -1 tail and 1 arrow, to typed edges.
@@ -133,8 +131,6 @@ def acyclic_orientations(edges: DataFrame, forbid_new_colliders: bool = False) -
     """
     edges = cut_lineage(edges)
     pairs = [tuple(r) for r in undirected_pairs(edges).orderBy("x", "y").collect()]
-    if len(pairs) > MAX_ORIENTED:
-        raise ValueError(f"{len(pairs)} undirected pairs give too many orientations")
     loose = set(pairs) | {(b, a) for a, b in pairs}
     fixed = [
         (r["source"], r["target"])

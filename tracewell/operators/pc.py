@@ -83,7 +83,7 @@ def gaussian_tester(correlated: DataFrame, names: Sequence[str]) -> Callable:
 
 
 def skeleton(
-    names: Sequence[str], evaluate: Callable, alpha: float = 0.01, max_level: int | None = 3
+    names: Sequence[str], evaluate: Callable, alpha: float = 0.01, max_level: int | None = None
 ) -> Graph:
     """Order-independent skeleton search: all tests of a level use the graph at its start."""
     n = len(names)
@@ -199,16 +199,24 @@ def max_p(tests: DataFrame) -> DataFrame:
     )
 
 
+def _sampled(patterns: DataFrame) -> DataFrame:
+    """Checkpointed patterns; without any, no test has a result and no graph would mean anything."""
+    fixed = cut_lineage(patterns)
+    if fixed.isEmpty():
+        raise ValueError("no samples to test")
+    return fixed
+
+
 def discover(
     patterns: DataFrame,
     names: Sequence[str],
     kind: str = "chi2",
     alpha: float = 0.01,
-    max_level: int | None = 3,
+    max_level: int | None = None,
     cards: Sequence[int] | None = None,
 ) -> Graph:
     """PC on discrete patterns. They are checkpointed once and read again by every level."""
-    tester = discrete_tester(cut_lineage(patterns), kind, cards)
+    tester = discrete_tester(_sampled(patterns), kind, cards)
     return skeleton(names, tester, alpha, max_level)
 
 
@@ -224,11 +232,11 @@ def compare_tests(
     patterns: DataFrame,
     names: Sequence[str],
     alpha: float,
-    max_level: int | None = 3,
+    max_level: int | None = None,
     cards: Sequence[int] | None = None,
 ) -> DataFrame:
     """Edges of the oriented chi-square graph against those of the G-square skeleton."""
-    patterns = cut_lineage(patterns)
+    patterns = _sampled(patterns)
     chi = skeleton(names, discrete_tester(patterns, "chi2", cards), alpha, max_level)
     gsq = skeleton(names, discrete_tester(patterns, "gsq", cards), alpha, max_level)
     return spark.createDataFrame(

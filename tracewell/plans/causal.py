@@ -87,7 +87,7 @@ def fisherz_pairs(spark, sf):
 
 def pc_skeleton(spark, sf):
     patterns, names = window_patterns(spark, sf)
-    return pc.skeleton_edges(spark, pc.discover(patterns, names, "gsq", ALPHA, cards=binary(names)))
+    return pc.skeleton_edges(spark, pc.discover(patterns, names, "gsq", ALPHA, 3, binary(names)))
 
 
 def pc_orient(spark, sf):
@@ -126,12 +126,12 @@ def chi2_bins(spark, sf):
 def pair_pmax(spark, sf):
     patterns, names = basket_patterns(spark, sf)
     graph = pc.discover(patterns, names, "chi2", ALPHA, max_level=1, cards=binary(names))
-    return pc.max_p(pc.test_table(spark, graph)).withColumn("p_max", F.round("p_max", 4)).filter("p_max > 0")
+    return pc.max_p(pc.test_table(spark, graph)).withColumn("p_max", F.round("p_max", 4))
 
 
 def test_compare(spark, sf):
     patterns, names = window_patterns(spark, sf)
-    return pc.compare_tests(spark, patterns, names, ALPHA, cards=binary(names))
+    return pc.compare_tests(spark, patterns, names, ALPHA, 3, binary(names))
 
 
 def pc_var_subset(spark, sf):
@@ -269,7 +269,7 @@ _ERFC = """t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t *
 _PMAX = f"""al AS (SELECT x, y, greatest(stat, 0) AS stat, dof FROM r0 UNION ALL SELECT x, y, greatest(stat, 0), dof FROM r1)
 , zz AS (SELECT *, sqrt(stat / 2) AS z, 1 / (1 + 0.5 * sqrt(stat / 2)) AS t FROM al)
 , pp AS (SELECT x, y, CASE dof WHEN 0 THEN 1.0 WHEN 1 THEN {_ERFC} ELSE exp(-stat / 2) END AS p FROM zz)
-SELECT x, y, round(max(p), 4) AS p_max, count(*) AS n_tests FROM pp GROUP BY x, y HAVING round(max(p), 4) > 0"""
+SELECT x, y, round(max(p), 4) AS p_max, count(*) AS n_tests FROM pp GROUP BY x, y HAVING max(p) > 0"""
 
 _BIN5 = """CASE WHEN hi_{c} > lo_{c} THEN greatest(0, least(4, floor(({c} - lo_{c}) * 5 / (hi_{c} - lo_{c})))) ELSE 0 END::BIGINT AS {c}"""
 

@@ -52,7 +52,7 @@ def pc_from_log(
     min_freq: int = 5,
     kind: str = "chi2",
     alpha: float = 0.01,
-    max_level: int | None = 3,
+    max_level: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Typed edges, one-row report and largest p per pair of the PC graph over a template log."""
     data = windowed_dataset(lines, window_size, min_freq)
@@ -85,7 +85,7 @@ def bin_patterns(binned: DataFrame, names: list[str]) -> DataFrame:
 
 
 def compare_on_bins(
-    binned: DataFrame, names: list[str], alpha: float = 0.01, max_level: int | None = 3
+    binned: DataFrame, names: list[str], alpha: float = 0.01, max_level: int | None = None
 ) -> DataFrame:
     """Edges of the chi-square graph and the G-square skeleton over bin counts."""
     return pc.compare_tests(binned.sparkSession, bin_patterns(binned, names), names, alpha, max_level)

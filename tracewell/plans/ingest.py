@@ -20,9 +20,23 @@ REQUESTED = ["7", "42", "7", "1000"]
 NOISE = ["Brand#11", "Brand#23"]
 
 
+def _group_sizes(g):
+    """One row per group from the rows of its segments."""
+    whole = g.groupBy("source_file", "group_key").agg(
+        F.max("metadata").alias("metadata"), F.sum(F.size("group")).cast("int").alias("n_events")
+    )
+    return whole.select("source_file", "group_key", "metadata", "n_events")
+
+
+def _flat_events(spark, sf):
+    """The events of the group documents; a segment's positions continue those before it."""
+    flat = groups.flatten_groups(groups.explode_groups(tables.group_documents(spark, sf), ("seg",)), ("seg",))
+    pos = (F.col("seg") * tables.SEGMENT + F.col("pos")).cast("int")
+    return flat.withColumn("pos", pos).drop("seg")
+
+
 def src_groups(spark, sf):
-    g = groups.explode_groups(tables.group_documents(spark, sf))
-    return g.select("source_file", "group_key", "metadata", F.size("group").alias("n_events"))
+    return _group_sizes(groups.explode_groups(tables.group_documents(spark, sf)))
 
 
 def src_part_scan(spark, sf):
@@ -43,7 +57,8 @@ def src_quarantine(spark, sf):
     whole = F.col("value").contains('"metadata":')
     half = F.substring(F.col("value"), F.lit(1), (F.length("value") / 2).cast("int"))
     broken = docs.withColumn("value", F.when(whole, F.col("value")).otherwise(half))
-    return groups.quarantine(broken).groupBy("source_file", "reason").agg(F.count(F.lit(1)).alias("n_docs"))
+    bad = groups.quarantine(broken, ("group_no",)).groupBy("source_file", "reason")
+    return bad.agg(F.count_distinct("group_no").alias("n_docs"))
 
 
 def json_walk_templates(spark, sf):
@@ -57,8 +72,7 @@ def json_walk_templates(spark, sf):
 
 
 def json_path_templates(spark, sf):
-    flat = groups.flatten_groups(groups.explode_groups(tables.group_documents(spark, sf)))
-    return flat.filter(F.col("template").isNotNull()).select("source_file", "group_key", "pos", "template")
+    return _flat_events(spark, sf).filter(F.col("template").isNotNull()).select("source_file", "group_key", "pos", "template")
 
 
 def kv_value_extract(spark, sf):
@@ -141,11 +155,11 @@ def group_lines(spark, sf):
 
 def valid_groups(spark, sf):
     g = groups.valid_groups(groups.explode_groups(tables.group_documents(spark, sf)))
-    return g.select("source_file", "group_key", F.size("group").alias("n_events"))
+    return _group_sizes(g).drop("metadata")
 
 
 def events_flat(spark, sf):
-    return groups.flatten_groups(groups.explode_groups(tables.group_documents(spark, sf)))
+    return _flat_events(spark, sf)
 
 
 def last_part(spark, sf):
@@ -246,9 +260,9 @@ SQL = {
         SELECT part_id, count(*) AS n_groups FROM o WHERE part_id <= 3 GROUP BY part_id""",
     "seq_encode": f"WITH {POSITIONED}, {_DICT} SELECT source_file, group_key, pos, template_id FROM pe JOIN di USING (template)",
     "seq_lines": f"""WITH {POSITIONED}, {_DICT} SELECT source_file, group_key, pos // 10000 AS seg,
-        string_agg(CAST(template_id AS VARCHAR), ' ' ORDER BY pos) AS line FROM pe JOIN di USING (template) GROUP BY ALL""",
+        CASE WHEN min(pos) >= 10000 THEN ' ' ELSE '' END || string_agg(CAST(template_id AS VARCHAR), ' ' ORDER BY pos) AS line FROM pe JOIN di USING (template) GROUP BY ALL""",
     "group_lines": f"""WITH {POSITIONED} SELECT source_file, group_key, pos // 10000 AS seg,
-        string_agg(template, ', ' ORDER BY pos) AS line FROM pe WHERE template <> '' GROUP BY ALL""",
+        CASE WHEN min(pos) >= 10000 THEN ', ' ELSE '' END || string_agg(template, ', ' ORDER BY pos) AS line FROM pe WHERE template <> '' GROUP BY ALL""",
     "valid_groups": f"WITH {GROUPS} SELECT source_file, group_key, n_events FROM gr WHERE metadata IS NOT NULL",
     "events_flat": f"WITH {POSITIONED} SELECT source_file, group_key, pos, event_id, dup_id, raw, template FROM pe",
     "last_part": f"WITH {EVENTS} SELECT max(CAST(regexp_extract(source_file, 'part_(\\d+)', 1) AS BIGINT)) AS last_part FROM ev",

@@ -34,10 +34,10 @@ def parse_documents(df: DataFrame) -> DataFrame:
     return df.withColumn("doc", F.from_json("value", KEYED_GROUPS))
 
 
-def quarantine(df: DataFrame) -> DataFrame:
+def quarantine(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Malformed documents, one row each, instead of a failed job."""
     return parse_documents(df).filter(F.col("doc").isNull()).select(
-        "source_file", F.lit("malformed JSON").alias("reason"), "value"
+        *keep, "source_file", F.lit("malformed JSON").alias("reason"), "value"
     )
 
 

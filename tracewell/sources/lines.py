@@ -11,7 +11,7 @@ from tracewell.functions.text import strip
 from tracewell.operators.order import running_before
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Stripped non-blank lines of text files as (source, line_no, template), numbered per file.
 
     A text scan does not number its lines; ``monotonically_increasing_id`` rises with the file
@@ -20,7 +20,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     raw = (
         spark.read.text(path)
         .select(
-            F.col("_metadata.file_name").alias("source"),
+            F.col("_metadata.file_path").alias("source"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("mid"),
             strip("value").alias("template"),

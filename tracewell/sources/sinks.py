@@ -39,8 +39,16 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 
 
 def write_lines(lined: DataFrame, path: str, order: Sequence[str], line: str = "line") -> None:
-    """One text line per row, sorted by ``order`` across the part files."""
-    lined.orderBy(*order).select(line).write.mode("overwrite").text(path)
+    """One text line per group, sorted by ``order`` across the part files.
+
+    Segments (column ``seg``) of a group are joined first: a line of a text file is one row.
+    """
+    if "seg" in lined.columns:
+        keys = [c for c in lined.columns if c not in ("seg", line)]
+        parts = F.sort_array(F.collect_list(F.struct("seg", line)))
+        whole = F.array_join(F.transform(parts, lambda p: p[line]), "").alias(line)
+        lined = lined.groupBy(*keys).agg(whole)
+    lined.orderBy(*[c for c in order if c != "seg"]).select(line).write.mode("overwrite").text(path)
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
