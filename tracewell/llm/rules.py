@@ -6,7 +6,7 @@ gain over the rows that no earlier rule covers, and is pruned from its end on ro
 growing. A rule that is not precise enough on those ends the list. The list becomes one conditional
 expression of Spark, first match first.
 
-Candidate thresholds are quantiles of each statistic. One grouped count per step gives the gains of
+Candidate thresholds lie halfway between neighbouring quantiles of each statistic. One grouped count per step gives the gains of
 all candidates, so the driver sees a few hundred numbers a step and never a row.
 
 A null text has no words. Rows with equal or null ids are judged one by one; a label counts once per
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,8 +92,9 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_digits": _count(body, "0123456789"),
         "n_marks": _count(body, "!?;:=_~^+/"),
     }
-    out = found.select("*", *[c.cast("long").alias(name) for name, c in counts.items()])
-    return out.drop(w, grams, twice, lines)
+    # a generator keeps filters on the counts above it: pushed down, they would compute them again
+    counted = F.stack(F.lit(1), *[c.cast("long") for c in counts.values()]).alias(*counts)
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], counted)
 
 
 def base_failed() -> Column:
@@ -149,7 +151,8 @@ class Learner:
         steps = [i / quantiles for i in range(quantiles)]
         wanted = [F.percentile_approx(ratio(r), steps, 10_000).alias(r) for r in RATIOS]
         found = labelled.agg(*wanted).first()
-        self.cuts = {r: cuts for r in RATIOS if (cuts := sorted(set(found[r] or [])))}
+        # halfway between neighbouring quantiles, so that a condition keeps a margin to both sides
+        self.cuts = {r: cuts for r in RATIOS if (cuts := [(a + b) / 2 for a, b in pairwise(sorted(set(found[r] or [])))])}
         self.rows = materialize(labelled.select("*", *map(self._bin, self.cuts)), "binned_statistics")
 
     def _bin(self, name: str) -> Column:
