@@ -220,3 +220,17 @@ def test_endpoint_classes(spark):
     nodes = spark.createDataFrame([("a",), ("b",), ("g",)], "template string")
     assert rows(graph.first_neighbours(nodes, e)) == [("a", "NA", "b"), ("b", "a", "NA"), ("g", "NA", "NA")]
     assert graph.drop_node(e, "a").count() == 5
+
+
+def test_cells_of_many_codes_do_not_overflow(spark):
+    from tracewell.operators import citest
+
+    top = 99_999
+    data = [([top, 0, top, top, top], 2), ([0, top, 0, 0, 0], 1), ([top, 0, top, top, None], 5)]
+    df = spark.createDataFrame(data, "vec array<int>, weight long")
+    cells = citest.count_cells(df, [(0, 1, (2, 3, 4))], [top + 1] * 5).collect()
+    assert sorted((list(r.s), r.x, r.y, r.cnt) for r in cells) == [([0, 0, 0], 0, top, 1), ([top] * 3, top, 0, 2)]
+    small = spark.createDataFrame([([0, 1, 1], 3), ([1, 1, None], 4)], "vec array<int>, weight long")
+    assert [(r.s, r.x, r.y, r.cnt) for r in citest.count_cells(small, [(0, 1, ())], [2, 2, 2]).collect()] == [([], 0, 1, 3)]
+    pairs = citest.count_pair_cells(small, [2, 2, 2]).collect()
+    assert sum(r.cnt for r in pairs) == 9

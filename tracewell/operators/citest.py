@@ -23,12 +23,12 @@ Test = tuple[int, int, tuple[int, ...]]
 # Cells that one task may hold in arrays; larger test lists run as several jobs.
 CELL_BUDGET = 4_000_000
 GRAM_COLUMNS = 3_000
-CELLS = "test_id long, s long, x int, y int, cnt long"
+CELLS = "test_id long, s array<int>, x int, y int, cnt long"
 PAIR_CELLS = "a int, b int, x int, y int, cnt long"
 
 
 def _arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(","))])
 
 
@@ -55,11 +55,29 @@ def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _batch(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    arrays = [columns[f.name] for f in schema]
+    made = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)]
+    return pa.RecordBatch.from_arrays(made, schema=schema)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """One list per row of a code matrix, which may have no columns."""
+    n, k = rows.shape
+    return pa.ListArray.from_arrays(
+        pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel(), pa.int32())
+    )
+
+
+def complete(patterns: DataFrame) -> DataFrame:
+    """Patterns without a missing code; the others take no part in a test."""
+    return patterns.select("vec", "weight").where(F.forall("vec", lambda v: v.isNotNull()))
 
 
 def count_cells(patterns: DataFrame, tests: Sequence[Test], cards: Sequence[int], first_id: int = 0) -> DataFrame:
-    """Non-empty contingency cells of each test: (test_id, s, x, y, cnt); ``s`` codes the slice."""
+    """Non-empty contingency cells of each test: (test_id, s, x, y, cnt); ``s`` is the slice.
+
+    The slice is the array of its conditioning codes, so no number of variables or codes overflows.
+    """
     tests, cards = list(tests), list(cards)
     cells = _arrow_schema(CELLS)
 
@@ -71,40 +89,41 @@ def count_cells(patterns: DataFrame, tests: Sequence[Test], cards: Sequence[int]
                 continue
             m, w = _matrix(batch)
             for i, (x, y, given) in enumerate(tests):
-                code = np.zeros(len(m), np.int64)
-                for v in given:
-                    code = code * cards[v] + m[:, v]
-                code = (code * cards[x] + m[:, x]) * cards[y] + m[:, y]
                 size = test_cells(tests[i], cards)
                 if size <= CELL_BUDGET:
+                    code = np.zeros(len(m), np.int64)
+                    for v in (*given, x, y):
+                        code = code * cards[v] + m[:, v]
                     part = np.bincount(code, w, minlength=size)
                     dense[i] = part if dense[i] is None else dense[i] + part
                 else:
-                    keys, inverse = np.unique(code, return_inverse=True)
+                    keys, inverse = np.unique(m[:, [*given, x, y]], axis=0, return_inverse=True)
                     held = sparse[i] = sparse[i] or {}
-                    for k, c in zip(keys.tolist(), np.bincount(inverse, w).tolist()):
+                    for k, c in zip(map(tuple, keys.tolist()), np.bincount(inverse.ravel(), w).tolist()):
                         held[k] = held.get(k, 0.0) + c
-        for i, (x, y, _) in enumerate(tests):
+        for i, (x, y, given) in enumerate(tests):
             if dense[i] is not None:
                 code = np.nonzero(dense[i])[0]
                 cnt = dense[i][code]
+                shape = [cards[v] for v in (*given, x, y)]
+                cell = np.stack(np.unravel_index(code, shape), axis=1)
             elif sparse[i]:
-                code = np.fromiter(sparse[i].keys(), np.int64)
+                cell = np.array(list(sparse[i]), np.int64)
                 cnt = np.fromiter(sparse[i].values(), np.float64)
             else:
                 continue
             yield _batch(
                 {
-                    "test_id": np.full(len(code), first_id + i),
-                    "s": code // (cards[x] * cards[y]),
-                    "x": code // cards[y] % cards[x],
-                    "y": code % cards[y],
+                    "test_id": np.full(len(cell), first_id + i),
+                    "s": _lists(cell[:, :-2]),
+                    "x": cell[:, -2],
+                    "y": cell[:, -1],
                     "cnt": np.rint(cnt).astype(np.int64),
                 },
                 cells,
             )
 
-    partial = patterns.select("vec", "weight").mapInArrow(run, CELLS)
+    partial = complete(patterns).mapInArrow(run, CELLS)
     return partial.groupBy("test_id", "s", "x", "y").agg(F.sum("cnt").alias("cnt"))
 
 
@@ -154,7 +173,7 @@ def count_pair_cells(patterns: DataFrame, cards: Sequence[int]) -> DataFrame:
             cells,
         )
 
-    partial = patterns.select("vec", "weight").mapInArrow(run, PAIR_CELLS)
+    partial = complete(patterns).mapInArrow(run, PAIR_CELLS)
     return partial.groupBy("a", "b", "x", "y").agg(F.sum("cnt").alias("cnt"))
 
 
