@@ -50,3 +50,14 @@ def test_first_match_ignores_partitioning(spark):
     for n in (1, 3):
         out = order.first_match(df.repartition(n), ["k"], F.struct("o"), ["v"])
         assert rows(out) == [("x", "early"), ("y", "only")]
+
+
+def test_small_side_is_bounded_in_rows_and_bytes(spark):
+    from tracewell.session import small_side
+
+    df = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k long, v string")
+    hinted = lambda d: "ResolvedHint" in d._jdf.queryExecution().analyzed().toString()
+    assert hinted(small_side(df))
+    assert not hinted(small_side(df, max_rows=49))
+    assert not hinted(small_side(df, max_bytes=1_000))
+    assert hinted(small_side(df.limit(0)))

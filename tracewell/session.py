@@ -41,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         "spark.checkpoint.dir", None
     )
     if not shared:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="tracewell-checkpoint-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
@@ -60,14 +60,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """A join side computed once and broadcast only if it was counted to be small.
+def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """A join side computed once and broadcast only if its rows and bytes were counted to be small.
 
     Aggregates and dictionaries are usually tiny, but the planner cannot know and would shuffle the
-    large side on what may be a skewed key. Above ``max_rows`` the join stays a shuffle join.
+    large side on what may be a skewed key. Above a bound the join stays a shuffle join.
     """
     fixed = cut_lineage(df)
-    return F.broadcast(fixed) if fixed.limit(max_rows + 1).count() <= max_rows else fixed
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, size = fixed.limit(max_rows + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(fixed) if rows <= max_rows and size <= max_bytes else fixed
 
 
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
