@@ -72,6 +72,23 @@ def test_links_and_groups_equal_brute_force(spark, monkeypatch, bucket, block):
     assert len({bytes(where[r.text]) for r in kept}) == len(kept)
 
 
+def test_components_by_contraction(spark):
+    random.seed(6)
+    n = 300
+    links = [(random.randrange(n), random.randrange(n)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)]
+    parent = list(range(500))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = nj.components(spark.createDataFrame(links, "source long, target long")).collect()
+    assert {(r.node, r.component) for r in got} == {(i, find(i)) for a, b in links if a != b for i in (a, b)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, cid string")
     assert nj.near_duplicates(docs).collect() == []

@@ -35,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracewell.llm.common import free_name, table, text_of
-from tracewell.operators.graph import weak_components
 from tracewell.session import materialize
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -168,10 +167,15 @@ def _brute_force(bucket: pa.Table) -> pa.Table:
     return pa.table([[ids[i] for i in moved], [ids[r] for r in root[moved]]], schema=schema)
 
 
+def text_id(text: str) -> Column:
+    """The name of a text, never null, so that joins on it share one exchange of the texts."""
+    return F.coalesce(F.unhex(F.md5(text_of(text))), F.lit(b""))
+
+
 def classes(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(cid, sketch, copies, least): one row per distinct text."""
     whole = text_of(text)
-    rows = docs.select(F.col(key).alias("key"), F.unhex(F.md5(whole)).alias("cid"), sketcher(n)(whole).alias("sketch"))
+    rows = docs.select(F.col(key).alias("key"), text_id(text).alias("cid"), sketcher(n)(whole).alias("sketch"))
     return rows.groupBy("cid").agg(
         F.first("sketch").alias("sketch"), F.count("*").alias("copies"), F.min("key").alias("least")
     )
@@ -235,6 +239,33 @@ def candidate_links(sketched: DataFrame, recall: float = RECALL, batch: int = 4)
     return materialize(reduce(DataFrame.unionByName, links).distinct(), "candidate_links")
 
 
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of (source, target) links, by contraction.
+
+    Each round maps every node to its least neighbour, moves the links along and drops those that
+    became loops or repeats, so the links shrink to nothing. Names are hashes, so chains of ever
+    smaller neighbours are short.
+    """
+    ends = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    edges = materialize(links.where("source != target").select(*ends("source", "target")).distinct(), "edges")
+    labels = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        low = materialize(low.select("node", F.least("node", "near").alias("low")), "least_neighbours")
+        if labels is None:
+            labels = low.withColumnRenamed("low", "component")
+        else:
+            onward = low.withColumnsRenamed({"node": "component", "low": "onward"})
+            moved = labels.join(onward, "component", "left")
+            labels = materialize(moved.select("node", F.coalesce("onward", "component").alias("component")), "labels")
+        left, right = (low.withColumnsRenamed({"node": c, "low": f"low_{c}"}) for c in ("a", "b"))
+        moved = edges.join(left, "a").join(right, "b").where("low_a != low_b")
+        edges = materialize(moved.select(*ends("low_a", "low_b")).distinct(), "edges")
+        if edges.isEmpty():
+            return labels
+
+
 def _exact_links(threshold: float):
     """Links between two blocks of one cluster, or within one."""
 
@@ -279,9 +310,9 @@ def near_duplicates(
     """
     known = materialize(classes(docs, key, text, n), "text_classes")
     links = candidate_links(known.where(F.length("sketch") > 0), recall)
-    clusters = materialize(weak_components(links), "clusters").withColumnsRenamed({"node": "cid", "component": "cluster"})
+    clusters = materialize(components(links), "clusters").withColumnsRenamed({"node": "cid", "component": "cluster"})
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
-    texts = docs.select(F.unhex(F.md5(text_of(text))).alias("cid"), text_of(text).alias("text"))
+    texts = docs.select(text_id(text).alias("cid"), text_of(text).alias("text"))
     one = texts.join(sized, "cid").groupBy("cid", "cluster", "members").agg(F.first("text").alias("text"))
     sets = one.join(known.select("cid", "copies"), "cid").withColumn("shingles", shingle_sets(n)("text")).drop("text")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
@@ -296,7 +327,7 @@ def near_duplicates(
         "exact_links",
     )
     partners = checked.groupBy("cid").agg(F.sum("partners").alias("partners"))
-    groups = weak_components(checked.where("cid != root").select(F.col("cid").alias("source"), F.col("root").alias("target")))
+    groups = components(checked.where("cid != root").select(F.col("cid").alias("source"), F.col("root").alias("target")))
     groups = groups.withColumnsRenamed({"node": "cid", "component": "group"})
     joined = known.drop("sketch").join(partners, "cid", "left").join(groups, "cid", "left")
     linked = F.coalesce("partners", F.lit(0)) + F.col("copies") - 1
@@ -310,7 +341,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options
     several = materialize(several.select("cid", "group"), "duplicate_classes")
     cid, group = free_name(docs, "cid"), free_name(docs, "group")
     several = several.withColumnsRenamed({"cid": cid, "group": group})
-    keyed = docs.withColumn(cid, F.unhex(F.md5(text_of(text))))
+    keyed = docs.withColumn(cid, text_id(text))
     alone = keyed.join(several, cid, "left_anti").select(docs.columns)
     first = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("own"), *docs.columns)
     best = keyed.join(several, cid).groupBy(group).agg(F.min(first).alias("row"))
@@ -322,7 +353,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(near_duplicates(docs), "near_duplicates")
     groups = found.groupBy("group").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"))
     per_text = found.join(groups, "group").select("cid", "class_id", "class_size", "n_links", "copies")
-    rows = docs.select("doc_id", F.unhex(F.md5(text_of("text"))).alias("cid"))
+    rows = docs.select("doc_id", text_id("text").alias("cid"))
     return rows.join(per_text, "cid").select("doc_id", "class_id", "class_size", "n_links", (F.col("copies") - 1).alias("n_copies"))
 
 
