@@ -12,7 +12,7 @@ from tracewell.session import shared_folder
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base limits nor the learned decision list reject."""
-    return rules.keep(docs, rules.learn(docs, table(spark, sf_dir, "labels")))
+    return rules.keep(docs, rules.learn(rules.count(docs), table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

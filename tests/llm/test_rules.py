@@ -54,10 +54,10 @@ def test_learned_list_separates_held_out_rows(spark):
     docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
     half = [(i, int(k == 0)) for i, k in enumerate(kinds) if i < 1200] + [(None, 0), (5, None)]
     labels = spark.createDataFrame(half, "doc_id long, quality int")
-    learned = rules.learn(docs, labels)
+    learned = rules.learn(rules.count(docs), labels)
     assert learned
     out = rules.judge(docs.where("doc_id >= 1200"), learned).select("doc_id", F.col("rejected_by").isNull()).collect()
     wrong = sum(kept != (kinds[i] == 0) for i, kept in out)
     assert wrong <= 12
-    assert rules.learn(docs, labels.limit(0)) == []
-    assert rules.learn(docs.limit(0), labels) == []
+    assert rules.learn(rules.count(docs), labels.limit(0)) == []
+    assert rules.learn(rules.count(docs.limit(0)), labels) == []

@@ -27,6 +27,7 @@ from tracewell.llm.common import SPACE, free_name, table, text_of
 from tracewell.session import materialize
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTS = (*BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks")
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 #: Statistics that conditions test: name to expression over the counts.
@@ -50,8 +51,7 @@ def _count(text: Column, characters: str) -> Column:
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts and those that the ratios need."""
-    names = (*BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks")
-    rows = docs.drop(*[c for c in docs.columns if c in names])
+    rows = docs.drop(*[c for c in docs.columns if c in COUNTS])
     w, grams, twice, lines = (free_name(docs, f"stat_{c}") for c in ("words", "grams", "twice", "lines"))
     body = text_of(text)
     inner = F.btrim(body, F.lit(" \t\n\x0b\f\r"))
@@ -224,31 +224,34 @@ class Learner:
         return out
 
 
+def count(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, counts) of all documents, written once: whatever follows never moves a text."""
+    narrow = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("text"))
+    return materialize(statistics(narrow).drop("text"), "statistics").withColumnRenamed("doc_key", key)
+
+
 def learn(
-    docs: DataFrame,
+    counted: DataFrame,
     labels: DataFrame,
     key: str = "doc_id",
-    text: str = "text",
     good: Column | None = None,
     quantiles: int = 40,
     most_rules: int = 8,
     most_conditions: int = 4,
     precision: float = 0.95,
 ) -> list[Rule]:
-    """The decision list from all labelled ``docs``; a third of them, by hash, is held for pruning.
+    """The decision list from all labelled rows of ``count``; a third, by hash, is held for pruning.
 
     Rows that fail the base limits are no examples: those limits decide them already.
     """
     good = F.col("quality") == 1 if good is None else good
     worst = labels.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(good).alias("good"))
-    joined = docs.select(key, F.col(text).alias("text")).join(worst.where("good is not null"), key)
-    counted = statistics(joined).where(~base_failed())
+    labelled = counted.join(worst.where("good is not null"), key).where(~base_failed())
     inputs = sorted({c for pair in RATIOS.values() for c in pair if c})
-    narrow = counted.select(
+    narrow = labelled.select(
         *inputs, (~F.col("good")).alias("reject"), (F.pmod(F.xxhash64(F.lit(7), key), F.lit(3)) == 0).alias("held")
     )
-    labelled = materialize(narrow, "labelled_statistics")
-    return Learner(labelled, quantiles, most_rules, most_conditions, precision).rules()
+    return Learner(materialize(narrow, "labelled_statistics"), quantiles, most_rules, most_conditions, precision).rules()
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -272,8 +275,9 @@ def keep(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    rules = learn(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, rules).select(
+    counted = count(docs)
+    rules = learn(counted, table(spark, sf_dir, "labels"))
+    return counted.withColumn("rejected_by", verdict(rules)).select(
         "doc_id", *BASE, base_failed().alias("base_failed"), F.col("rejected_by").isNull().alias("kept"), "rejected_by"
     )
 
