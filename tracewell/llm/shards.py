@@ -137,10 +137,10 @@ def shard(docs: DataFrame, shards: int = 8, tolerance: float = 0.005, text: str
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard(docs).select(
+    return shard(docs.withColumn("text_crc32", F.crc32(text_of("text")))).select(
         "doc_id",
         "size",
-        F.crc32(text_of("text")).alias("text_crc32"),
+        "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
         "slot",
