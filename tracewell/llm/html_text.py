@@ -390,9 +390,14 @@ def train(pages: list[str], seed: int = 1) -> Forest:
 
 
 def fit_on(pages: DataFrame, source: str = "html") -> Forest:
-    """Fit on at most ``TRAIN_PAGES`` pages of moderate length, the ones with the least hashes."""
+    """Fit on at most ``TRAIN_PAGES`` different pages of moderate length, the ones with the least hashes.
+
+    The hashes are ranked without the pages; only the chosen pages come to the driver.
+    """
     short = pages.where(F.length(source).between(1, TRAIN_CHARS)).select(F.xxhash64(source).alias("h"), source)
-    return train([r[1] for r in short.orderBy("h", source).limit(TRAIN_PAGES).collect()])
+    last = short.select("h").distinct().orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
+    chosen = short.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min(source).alias(source))
+    return train([r[1] for r in sorted(chosen.collect())])
 
 
 def extractor(forest: Forest):
