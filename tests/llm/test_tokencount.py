@@ -25,7 +25,7 @@ def test_counts_equal_the_library(spark, monkeypatch):
 
 def test_small_blocks_give_the_same(spark):
     docs = spark.createDataFrame([(i, f"word{i % 7} common text") for i in range(200)], "doc_id long, text string")
-    big = tokencount.postings(docs.coalesce(1), tokencount.WORD_BPE, "doc_id", "text")
-    small = tokencount.postings(docs.coalesce(1), tokencount.WORD_BPE, "doc_id", "text", block_chars=100)
+    big = tokencount.postings(docs.coalesce(1), tokencount.WORD_BPE, "doc_id", "text", 8)
+    small = tokencount.postings(docs.coalesce(1), tokencount.WORD_BPE, "doc_id", "text", 8, block_chars=100)
     assert big.where("keys is not null").count() == 1
     assert small.where("keys is not null").count() > 20
