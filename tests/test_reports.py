@@ -195,3 +195,35 @@ def test_prepared_data_is_reused(spark, tmp_path):
     assert not corpus.write_if_changed(df.repartition(3), key, "v1", path)
     assert corpus.write_if_changed(df, key, "v2", path)
     assert corpus.write_if_changed(df.limit(1), key, "v2", path)
+
+
+def test_long_orders_are_judged_whole(spark, tmp_path, monkeypatch):
+    from tracewell.plans import ingest
+    from tracewell.sources import tables
+
+    brands = ["Brand#11", "Brand#23", "a", "b", "c"]
+    spark.createDataFrame(list(enumerate(brands)), "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    orders = {1: [2, 0, 1, 0, 3, 4, 2], 2: [0, 1, 0, 1, 1], 3: [2], 4: [1], 5: [0, 0, 0, 0, 2, 3]}
+    items = [(o, n, p, 0) for o, parts in orders.items() for n, p in enumerate(parts)]
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"
+    spark.createDataFrame(items, columns).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    named = {o: [brands[p] for p in parts] for o, parts in orders.items()}
+    clean = {o: [b for b in parts if b not in ingest.NOISE] for o, parts in named.items()}
+    want = {
+        "multi_item_groups": {o: ", ".join(parts) for o, parts in named.items() if len(parts) > 1},
+        "noise_clean_drop": {o: ", ".join(parts) for o, parts in clean.items() if parts},
+        "noise_clean_keep": {o: ", ".join(parts) for o, parts in clean.items()},
+    }
+    length = {"multi_item_groups": named, "noise_clean_drop": clean, "noise_clean_keep": clean}
+    for hot, segment in ((1_000_000, 10_000), (2, 10_000), (2, 2)):
+        monkeypatch.setattr(tables, "HOT_ITEMS", hot)
+        monkeypatch.setattr(tables, "SEGMENT", segment)
+        for name, lines in want.items():
+            found = rows(ingest.QUERIES[name](spark, str(tmp_path)), "group_id", "seg")
+            got = {}
+            for order_id, _, line in found:
+                got[order_id] = got.get(order_id, "") + line
+            assert got == lines, (name, hot, segment)
+            # segments of one length for every order
+            segments = [(o, k) for o in lines for k in range(max(1, -(-len(length[name][o]) // segment)))]
+            assert [r[:2] for r in found] == segments, (name, hot, segment)

@@ -38,6 +38,13 @@ def multi_item(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.filter(F.size(non_empty(comma_parts(line))) > 1)
 
 
+def multi_item_groups(items: DataFrame, group: str, item: str = "item") -> DataFrame:
+    """The exploded items of the groups with more than one non-blank part, counted over the whole group."""
+    parts = F.sum(F.size(non_empty(comma_parts(item))))
+    many = items.filter(F.col(item).isNotNull()).groupBy(group).agg(parts.alias("_parts")).filter("_parts > 1")
+    return items.join(many.select(group), group, "left_semi")
+
+
 def encode(events: DataFrame, dictionary: DataFrame, key: str = "template") -> DataFrame:
     """Attach the dictionary id of each event's template (a missing template counts as '').
 

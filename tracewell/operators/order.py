@@ -110,6 +110,21 @@ def global_rank(df: DataFrame, order: Sequence[str | Column], out: str) -> DataF
     return joined.select(*columns, (local + F.col("_start")).alias(out))
 
 
+def group_rank(
+    df: DataFrame, out: str, group: Sequence[str], order: Sequence[str], width: int = KEY_WIDTH
+) -> DataFrame:
+    """0-based position inside each group by ``order``, whatever the groups and keys look like.
+
+    It is the global rank less that of the group's first row. The first rows meet per group and
+    range of ``width`` ranks, so no task ever holds a whole group.
+    """
+    ranked = global_rank(df, [*group, *order], "_rank").withColumn("_range", key_range("_rank", width))
+    first = ranked.groupBy(*group, "_range").agg(F.min("_rank").alias("_first"))
+    first = first.withColumn("_first", F.min("_first").over(Window.partitionBy(*group)))
+    placed = ranked.join(first, [*group, "_range"])
+    return placed.withColumn(out, F.col("_rank") - F.col("_first")).drop("_rank", "_range", "_first")
+
+
 def first_seen_dictionary(df: DataFrame, key: str, order: Column, id_col: str) -> DataFrame:
     """key -> 0-based id in first-seen order."""
     seen = distinct_first_seen(df, key, order)

@@ -58,8 +58,8 @@ def row_patterns(spark, sf):
 
 
 def basket_matrix(spark, sf):
-    # A very long order comes in segments that may share items.
-    return matrix.basket_members(tables.basket_lines(spark, sf), "group_id").distinct()
+    # Each item is a basket line of its own, so the length of an order does not matter.
+    return matrix.basket_members(tables.order_items(spark, sf), "group_id", "item").distinct()
 
 
 def discretize_uniform(spark, sf):

@@ -167,17 +167,20 @@ def last_part(spark, sf):
 
 
 def multi_item_groups(spark, sf):
-    lined = tables.basket_lines(spark, sf)
-    # Only an order of very many items is cut into segments, which are numbered above zero.
-    return cleaning.multi_item(lined.filter("seg = 0")).unionByName(lined.filter("seg > 0"))
+    return tables.item_lines(cleaning.multi_item_groups(tables.order_items(spark, sf), "group_id"))
 
 
 def noise_clean_drop(spark, sf):
-    return cleaning.remove_noise(tables.basket_lines(spark, sf), NOISE, drop_empty=True)
+    # Item by item: a line is the join of its items, and one whose items are all noise has no row.
+    return tables.item_lines(cleaning.remove_noise(tables.order_items(spark, sf), NOISE, drop_empty=True, line="item"))
 
 
 def noise_clean_keep(spark, sf):
-    return cleaning.remove_noise(tables.basket_lines(spark, sf), NOISE, drop_empty=False)
+    items = tables.order_items(spark, sf)
+    kept = cleaning.remove_noise(items, NOISE, drop_empty=True, line="item")
+    emptied = items.select("group_id").distinct().join(kept.select("group_id").distinct(), "group_id", "left_anti")
+    empty = emptied.select("group_id", F.lit(0).cast("long").alias("seg"), F.lit("").alias("line"))
+    return tables.item_lines(kept).unionByName(empty)
 
 
 def template_dict(spark, sf):

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import text_lines
-from tracewell.operators.order import dense_index, key_range, running_before
+from tracewell.operators.cleaning import sequence_lines
+from tracewell.operators.order import dense_index, group_rank, key_range, running_before
 
 # Events of one group that may share a row; longer groups span several rows (segments).
 SEGMENT = 10_000
-# Items of an order, or documents of a source, above which it is cut into key ranges.
+# Items of one range of the order, by which the positions in a group are found in parallel.
 HOT_ITEMS = 1_000_000
+# Documents of a source above which it is cut into key ranges.
 HOT_DOCS = 200_000
 
 
@@ -143,30 +145,25 @@ def basket_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def basket_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(group_id, seg, line): the brands of each order as one ', '-joined line in line order.
-
-    ``seg`` is 0; an order above HOT_ITEMS comes in segments of one line number and part range,
-    whose concatenation in ``seg`` order is its line.
-    """
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(group_id, l_linenumber, l_partkey, l_suppkey, item): the brand of each item of an order."""
     item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    hot = (
-        item.groupBy("l_orderkey")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") > HOT_ITEMS)
-        .select("l_orderkey", F.lit(True).alias("hot"))
-    )
-    # At most items / HOT_ITEMS orders are hot, which bounds the second broadcast.
-    joined = item.join(part, item.l_partkey == part.p_partkey).join(F.broadcast(hot), "l_orderkey", "left")
-    ranged = F.col("l_linenumber") * F.lit(1_000_000_000_000) + key_range("l_partkey", 10_000)
-    seg = F.when(F.col("hot"), ranged).otherwise(F.lit(0)).cast("long")
-    ordered = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "p_brand")))
-    return joined.groupBy(F.col("l_orderkey").alias("group_id"), seg.alias("seg")).agg(
-        F.array_join(F.transform(ordered, lambda x: x["p_brand"]), ", ").alias("line")
+    return item.join(part, item.l_partkey == part.p_partkey).select(
+        F.col("l_orderkey").alias("group_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("p_brand").alias("item")
     )
 
 
+def item_lines(items: DataFrame) -> DataFrame:
+    """(group_id, seg, line): the items of each order in line order, joined by ', '.
+
+    Every order has the format of ``sequence_lines``: segments of SEGMENT items, numbered from 0.
+    """
+    key = ["l_linenumber", "l_partkey", "l_suppkey"]
+    placed = group_rank(items.filter(F.col("item").isNotNull()), "pos", ["group_id"], key, HOT_ITEMS)
+    return sequence_lines(placed, ["group_id"], "pos", "item", ", ", SEGMENT)
+
+
 def group_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed-group JSON text assembled from the events: (file_no, source_file, group_no, seg, value).
 
