@@ -234,3 +234,47 @@ def test_cells_of_many_codes_do_not_overflow(spark):
     assert [(r.s, r.x, r.y, r.cnt) for r in citest.count_cells(small, [(0, 1, ())], [2, 2, 2]).collect()] == [([], 0, 1, 3)]
     pairs = citest.count_pair_cells(small, [2, 2, 2]).collect()
     assert sum(r.cnt for r in pairs) == 9
+
+
+def test_pair_pmax_tries_all_sets_of_up_to_three(spark, tmp_path):
+    from itertools import combinations
+
+    from tracewell.plans import causal
+
+    rng = np.random.default_rng(5)
+    hidden = rng.random(6000) < 0.5
+    bits = rng.random((6000, 5)) < np.where(hidden, 0.8, 0.2)[:, None]
+    bits = bits[bits.any(axis=1)].astype(int)
+    names = list("abcde")
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    items = [(int(o), int(v)) for o, v in np.argwhere(bits)]
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+
+    def p_value(x, y, given):
+        stat, dof = 0.0, 0
+        code = bits[:, list(given)] @ (2 ** np.arange(len(given))) if given else np.zeros(len(bits), int)
+        for z in np.unique(code):
+            o = np.histogram2d(bits[code == z, x], bits[code == z, y], bins=2, range=[[0, 1], [0, 1]])[0]
+            o = o[o.any(axis=1)][:, o.any(axis=0)]
+            e = o.sum(axis=1, keepdims=True) * o.sum(axis=0, keepdims=True) / o.sum()
+            stat, dof = stat + ((o - e) ** 2 / e).sum(), dof + (o.shape[0] - 1) * (o.shape[1] - 1)
+        return chi2_tail(stat, dof)
+
+    near = {v: set(range(5)) - {v} for v in range(5)}
+    tried = {}
+    for level in range(4):
+        frozen = {v: set(k) for v, k in near.items()}
+        for x, y in combinations(range(5), 2):
+            if y not in frozen[x]:
+                continue
+            sets = {s for end, other in ((x, y), (y, x)) for s in combinations(sorted(frozen[end] - {other}), level)}
+            found = [p_value(x, y, s) for s in sets]
+            tried.setdefault((x, y), []).extend(found)
+            if any(p > causal.ALPHA for p in found):
+                near[x].discard(y)
+                near[y].discard(x)
+    want = {(names[x], names[y]): (round(max(p), 4), len(p)) for (x, y), p in tried.items() if max(p) > 0}
+    got = {(r.x, r.y): (r.p_max, r.n_tests) for r in causal.pair_pmax(spark, str(tmp_path)).collect()}
+    assert any(n > 4 for _, n in want.values())
+    assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()}
+    assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-4) for k in want)

@@ -125,7 +125,7 @@ def chi2_bins(spark, sf):
 
 def pair_pmax(spark, sf):
     patterns, names = basket_patterns(spark, sf)
-    graph = pc.discover(patterns, names, "chi2", ALPHA, max_level=1, cards=binary(names))
+    graph = pc.discover(patterns, names, "chi2", ALPHA, max_level=3, cards=binary(names))
     return pc.max_p(pc.test_table(spark, graph)).withColumn("p_max", F.round("p_max", 4))
 
 
