@@ -61,3 +61,25 @@ def test_learned_list_separates_held_out_rows(spark):
     assert wrong <= 12
     assert rules.learn(rules.count(docs), labels.limit(0)) == []
     assert rules.learn(rules.count(docs.limit(0)), labels) == []
+
+
+def test_a_rare_kind_in_the_tail_is_learned_behind_an_imprecise_one(spark):
+    random.seed(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(random.choices(letters, k=5)) for _ in range(3000)]
+
+    def text(kind):
+        w = random.choices(vocabulary, k=80)
+        for i in random.sample(range(80), 5 if kind else 0):
+            w[i] = {"marks": "a=b=c", "symbols": "#a#b#"}[kind]
+        return " ".join(w)
+
+    kinds = ["symbols" if i % 50 == 0 else "marks" if i % 3 == 0 else "" for i in range(3000)]
+    docs = spark.createDataFrame([(i, text(k)) for i, k in enumerate(kinds)], "doc_id long, text string")
+    # marks are bad in six cases of ten, the rare symbols always
+    quality = [0 if k == "symbols" or (k == "marks" and random.random() < 0.6) else 1 for k in kinds]
+    labels = spark.createDataFrame(list(enumerate(quality)), "doc_id long, quality int").where("doc_id < 2000")
+    learned = rules.learn(rules.count(docs), labels)
+    out = rules.judge(docs.where("doc_id >= 2000"), learned).select("doc_id", F.col("rejected_by").isNull()).collect()
+    assert not [i for i, kept in out if kept and kinds[i] == "symbols"]
+    assert sum(not kept for i, kept in out if kinds[i] == "") <= 6

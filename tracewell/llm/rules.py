@@ -3,11 +3,15 @@
 Every text gets the same statistics. Sequential covering then learns, from all labelled documents,
 rules of threshold conditions that reject: a rule grows by the condition with the best information
 gain over the rows that no earlier rule covers, and is pruned from its end on rows held out of the
-growing. A rule that is not precise enough on those ends the list. The list becomes one conditional
-expression of Spark, first match first.
+growing. A rule that is not precise enough on those gives way to the one grown from the next best
+start, until every statistic has had its turn in both directions; a later try must also be better
+than chance allows among so many. The list becomes one conditional expression of Spark, first match
+first.
 
-Candidate thresholds lie halfway between neighbouring quantiles of each statistic. One grouped count per step gives the gains of
-all candidates, so the driver sees a few hundred numbers a step and never a row.
+Candidate thresholds lie halfway between neighbouring quantiles of each statistic, over all labelled
+rows and over those to reject. The quantiles grow dense towards both ends and include them, so that a
+rare kind in the tail of a statistic has its thresholds. One grouped count per step gives the gains
+of all candidates, so the driver sees a few thousand numbers a step and never a row.
 
 A null text has no words. Rows with equal or null ids are judged one by one; a label counts once per
 id, the worse one if they differ. Without labels the list is empty and only the base limits hold.
@@ -29,6 +33,10 @@ from tracewell.session import materialize
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTS = (*BASE, "n_lines", "n_distinct", "n_upper", "n_digits", "n_marks")
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
+#: The outermost quantile step is halved so many times towards both ends.
+TAIL = 8
+#: Chance, over all tries for a rule, of taking one that is no better than any rows.
+CHANCE = 0.01
 
 #: Statistics that conditions test: name to expression over the counts.
 RATIOS = {
@@ -142,17 +150,33 @@ def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else 0.0
 
 
+def _by_chance(p: int, n: int, share: float) -> float:
+    """The probability that of ``p + n`` rows at least ``p`` are to reject, if ``share`` of all are."""
+    if not 0 < share < 1:
+        return float(share >= 1)
+    odds = math.log(share), math.log1p(-share)
+    ways = lambda k: math.lgamma(p + n + 1) - math.lgamma(k + 1) - math.lgamma(p + n - k + 1)
+    return sum(math.exp(ways(k) + k * odds[0] + (p + n - k) * odds[1]) for k in range(p, p + n + 1))
+
+
 class Learner:
     """Sequential covering over ``labelled``: the ratios, ``reject`` and ``held`` per row."""
 
     def __init__(self, labelled: DataFrame, quantiles: int, most_rules: int, most_conditions: int, precision: float):
         self.most_rules, self.most_conditions = most_rules, most_conditions
         self.precision = precision
-        steps = [i / quantiles for i in range(quantiles)]
-        wanted = [F.percentile_approx(ratio(r), steps, 10_000).alias(r) for r in RATIOS]
+        tail = [1 / (quantiles * 2**i) for i in range(1, TAIL + 1)]
+        steps = sorted({i / quantiles for i in range(quantiles + 1)} | set(tail) | {1 - t for t in tail})
+        sides = {"all": F.lit(True), "bad": F.col("reject")}
+        wanted = [
+            F.percentile_approx(F.when(rows, ratio(r)), steps, 10_000).alias(f"{side}_{r}")
+            for side, rows in sides.items()
+            for r in RATIOS
+        ]
         found = labelled.agg(*wanted).first()
+        values = {r: sorted({v for side in sides for v in found[f"{side}_{r}"] or []}) for r in RATIOS}
         # halfway between neighbouring quantiles, so that a condition keeps a margin to both sides
-        self.cuts = {r: cuts for r in RATIOS if (cuts := [(a + b) / 2 for a, b in pairwise(sorted(set(found[r] or [])))])}
+        self.cuts = {r: cuts for r in RATIOS if (cuts := [(a + b) / 2 for a, b in pairwise(values[r])])}
         self.rows = materialize(labelled.select("*", *map(self._bin, self.cuts)), "binned_statistics")
 
     def _bin(self, name: str) -> Column:
@@ -170,8 +194,9 @@ class Learner:
             out.setdefault(r.b.name, []).append((r.b.bin, r.p, r.all - r.p))
         return out
 
-    def _best(self, open_rows: DataFrame) -> tuple[Condition | None, int, int]:
-        best, chosen = 1e-9, (None, 0, 0)
+    def _candidates(self, open_rows: DataFrame) -> list[tuple[float, Condition, int, int]]:
+        """Gain, condition and the rows that it keeps, to reject and others, of all conditions with a gain."""
+        out = []
         for name, bins in self._tally(open_rows).items():
             p0, n0 = sum(b[1] for b in bins), sum(b[2] for b in bins)
             if not p0 or not n0:
@@ -179,20 +204,30 @@ class Learner:
             for k, cut in enumerate(self.cuts[name]):
                 p, n = (sum(b[i] for b in bins if b[0] <= k) for i in (1, 2))
                 for above, (x, y) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
-                    if (gain := _gain(x, y, p0, n0)) > best:
-                        best, chosen = gain, (Condition(name, above, cut), x, y)
-        return chosen
-
-    def _grow(self, left: DataFrame) -> list[Condition]:
-        grown, rows = [], left.where("not held")
-        while len(grown) < self.most_conditions:
-            condition, _, n = self._best(rows)
+                    if (gain := _gain(x, y, p0, n0)) > 1e-9:
+                        out.append((gain, Condition(name, above, cut), x, y))
+        return out
+
+    def _starts(self, open_rows: DataFrame) -> list[tuple[Condition, int]]:
+        """Per statistic and direction the cut of most gain, and the precise one of most gain; best first."""
+        best: dict[tuple, tuple[float, Condition, int]] = {}
+        for gain, condition, p, n in self._candidates(open_rows):
+            for precise in {False, p >= self.precision * (p + n)}:
+                at = (condition.name, condition.above, precise)
+                if at not in best or gain > best[at][0]:
+                    best[at] = gain, condition, n
+        ordered = sorted(best.values(), key=lambda b: -b[0])
+        return list({condition: n for _, condition, n in ordered}.items())
+
+    def _grow(self, open_rows: DataFrame, start: Condition, others: int) -> list[Condition]:
+        grown, n = [start], others
+        rows = open_rows.where(start.column())
+        while n and len(grown) < self.most_conditions:
+            _, condition, _, n = max(self._candidates(rows), key=lambda c: c[0], default=(0, None, 0, 0))
             if condition is None:
                 break
             grown.append(condition)
             rows = rows.where(condition.column())
-            if not n:
-                break
         return grown
 
     def _prune(self, left: DataFrame, grown: list[Condition]) -> tuple[list[Condition], int, int]:
@@ -210,17 +245,24 @@ class Learner:
         _, k, p, n = max(worth)
         return grown[: 1 - k], p, n
 
+    def _next(self, left: DataFrame) -> Rule | None:
+        """The first rule, from the best start on, that is precise on held rows."""
+        starts = self._starts(left.where("not held"))
+        held = left.where("held").agg(F.count_if("reject").alias("p"), F.count("*").alias("all")).first() if starts else None
+        for tries, (start, others) in enumerate(starts):
+            kept, p, n = self._prune(left, self._grow(left.where("not held"), start, others))
+            if not p or p < self.precision * (p + n):
+                continue
+            # among many tries some rule is precise on a few rows by chance
+            if not tries or _by_chance(p, n, held.p / held.all) < CHANCE / len(starts):
+                return Rule(tuple(kept))
+        return None
+
     def rules(self) -> list[Rule]:
         out, left = [], self.rows
-        while self.cuts and len(out) < self.most_rules:
-            grown = self._grow(left)
-            if not grown:
-                break
-            kept, p, n = self._prune(left, grown)
-            if not p or p < self.precision * (p + n):
-                break
-            out.append(Rule(tuple(kept)))
-            left = left.where(~out[-1].column())
+        while self.cuts and len(out) < self.most_rules and (rule := self._next(left)):
+            out.append(rule)
+            left = left.where(~rule.column())
         return out
 
 
