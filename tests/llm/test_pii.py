@@ -71,3 +71,20 @@ def test_revealing_terms_are_marked_and_replaced(spark):
     assert "Again [TERM]." in texts[300] and "from [EMAIL] " in texts[300] and "Zeb" not in texts[300]
     assert "here [IP] today" in texts[306] and texts[None] is None
     assert pii.mark(docs.limit(0)).collect() == []
+
+
+def test_revealing_terms_go_from_documents_without_the_entity(spark):
+    random.seed(7)
+    common = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    line = lambda: " ".join(random.choices(common, k=12))
+    rows = [(i, "\n".join(line() for _ in range(4))) for i in range(400)]
+    rows += [(i, f"{line()} Zebulon Ng K7 wrote from zeb.1@mail.example.com {line()}") for i in range(400, 404)]
+    rows += [(404, f"{line()} ZEBULON came {line()}"), (405, f"{line()} Ng and K7 {line()}"), (406, "Zebulons K77 Ngo")]
+    rows += [(i, f"they wrote from {line()} and came {line()}") for i in range(410, 440)]
+    marked = pii.mark(spark.createDataFrame([*rows, (None, None)], "doc_id long, text string"))
+    words = {r.doc_id: {s.value for s in r.terms} for r in marked.collect()}
+    assert len(words) == len(rows) + 1
+    want = dict.fromkeys(range(400, 404), {"Zebulon", "Ng", "K7"}) | {404: {"ZEBULON"}, 405: {"Ng", "K7"}}
+    assert {i: w for i, w in words.items() if w} == want
+    texts = {r.doc_id: r.text for r in pii.sanitise(marked).collect()}
+    assert "[TERM] came" in texts[404] and "[TERM] and [TERM]" in texts[405] and texts[406] == "Zebulons K77 Ngo"

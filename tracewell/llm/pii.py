@@ -6,8 +6,8 @@ stands in lines of an entity and hardly elsewhere carries most of the entity's i
 disclosure is the pointwise mutual information of term and entity as a share of the entity's own
 information, ``1 + log2(P(entity | term)) / -log2(P(entity))``. A term passes as disclosing from the
 threshold on if it stands with the entity in at least ``min_lines`` different lines, so copies of a
-line prove nothing. Disclosing terms are marked in the documents that hold the entity, and the
-sanitised text replaces every span by its kind.
+line prove nothing. Disclosing terms are marked in every document, with or without the entity, and
+the sanitised text replaces every span by its kind.
 
 Everything is DataFrame operations. A null text is empty and has no spans. Rows are handled one by
 one, so null or repeated ids do no harm. Empty tables stay empty; result columns replace columns of
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import free_name, table, text_of
-from tracewell.session import materialize
+from tracewell.session import materialize, small_side
 
 KINDS = ("email", "ip", "card", "phone")
 #: The contract's patterns. No match starts inside a run of its first characters, so the look-behind
@@ -36,8 +36,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
-#: Terms are runs of letters of at least this length, in lower case.
-TERM = r"\p{L}{3,}+"
+#: Terms are runs of letters and digits of at least this length, in lower case.
+TERM = r"[\p{L}\p{N}]{2,}+"
 BLOCK = 256
 
 
@@ -168,25 +168,26 @@ def mark(docs: DataFrame, text: str = "text", min_lines: int = 2, threshold: flo
     """``docs`` with ``base`` and ``terms``: the spans of the patterns and of disclosing terms."""
     rows = docs.drop("base", "terms")
     based = find_base(rows, text)
-    row, entity, names = (free_name(based, c) for c in ("hit_row", "entity", "disclosing"))
-    hits = materialize(based.where(has_base()).withColumn(row, F.monotonically_increasing_id()), "pii_hits")
-    revealing = disclosing_terms(rows, hits, text, min_lines, threshold)
-    holders = hits.select(row, F.explode(entities_of("base")).alias("entity"))
-    # an entity's terms are gathered per document that holds it and are bounded by its lines
+    row, found, names = (free_name(based, c) for c in ("text_row", "found_terms", "disclosing"))
+    based = materialize(based.withColumn(row, F.monotonically_increasing_id()), "pii_rows")
+    revealing = disclosing_terms(rows, based.where(has_base()), text, min_lines, threshold)
+    passing = small_side(revealing.select("term").distinct())
+    whole = text_of(text)
+    # a document's list is bounded by its own distinct terms
     per_row = (
-        holders.join(revealing, "entity").groupBy(row).agg(F.array_sort(F.collect_set("term")).alias(names))
+        based.select(row, F.explode(_terms(whole)).alias("term"))
+        .join(passing, "term")
+        .groupBy(row)
+        .agg(F.array_sort(F.collect_set("term")).alias(names))
     )
-    marked = hits.join(per_row, row, "left")
-    pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
-    whole = text_of(text)
-    found = F.when(F.col(names).isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0)))
-    marked = marked.withColumn(entity, F.coalesce(found, F.array().cast("array<string>")))
+    marked = based.join(per_row, row, "left")
+    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    matches = F.when(F.col(names).isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0)))
+    marked = marked.withColumn(found, F.coalesce(matches, F.array().cast("array<string>")))
     base = F.flatten(F.array(*[F.col(f"base.{k}") for k in KINDS]))
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    spans = F.filter(spans_of(whole, F.coalesce(pattern, F.lit("$")), F.col(entity)), apart)
-    marked = marked.withColumn("terms", spans).drop(row, names, entity)
-    clean = based.where(~has_base()).withColumn("terms", F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    return clean.unionByName(marked)
+    spans = F.filter(spans_of(whole, F.coalesce(pattern, F.lit("$")), F.col(found)), apart)
+    return marked.withColumn("terms", spans).drop(row, names, found)
 
 
 def _listed_span(kind: str, span: Column) -> Column:
