@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from tracewell.llm import ann, bpe, chat, html_text, mixing, ngram_join, pii, rules, shards, tokencount
+from tracewell.llm import (
+    ann,
+    bpe,
+    chat,
+    html_text,
+    mixing,
+    ngram_join,
+    pii,
+    rules,
+    shards,
+    simhash,
+    tokencount,
+)
 from tracewell.llm.common import Query
 
-MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann)
+MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann, simhash)
 
 
 def queries() -> dict[str, Query]:
