@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewell.llm import (
+    align,
     ann,
     bpe,
     chat,
@@ -17,7 +18,7 @@ from tracewell.llm import (
 )
 from tracewell.llm.common import Query
 
-MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann, simhash)
+MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann, simhash, align)
 
 
 def queries() -> dict[str, Query]:
