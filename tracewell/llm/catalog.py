@@ -11,6 +11,7 @@ from tracewell.llm import (
     mixing,
     ngram_join,
     pii,
+    prefix_trie,
     rules,
     shards,
     simhash,
@@ -18,7 +19,7 @@ from tracewell.llm import (
 )
 from tracewell.llm.common import Query
 
-MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann, simhash, align)
+MODULES = (bpe, tokencount, shards, mixing, chat, rules, pii, ngram_join, html_text, ann, simhash, align, prefix_trie)
 
 
 def queries() -> dict[str, Query]:
