@@ -24,9 +24,20 @@ LEVEL0 = {
 }
 
 
-def patterns(spark, table, split=1):
-    rows_ = [(list(k), w // split + (i < w % split)) for k, w in table.items() for i in range(split)]
-    return spark.createDataFrame(rows_, "vec array<int>, weight long")
+def samples(spark, table, split=1):
+    """Sparse samples of code vectors with their weights, each cut into ``split`` rows."""
+    rows_ = [
+        ([(v, c) for v, c in enumerate(k) if c], w // split + (i < w % split)) for k, w in table.items() for i in range(split)
+    ]
+    return spark.createDataFrame(rows_, "items array<struct<v:int,c:int>>, weight long")
+
+
+def listed(spark, names):
+    return matrix.listed_variables(spark, list(names))
+
+
+def found(spark, table, names, kind="chi2", alpha=0.01, **kw):
+    return pc.discover(samples(spark, table), listed(spark, names), kind, alpha, **kw)
 
 
 COLLIDER = {(0, 0, 0): 100, (0, 1, 1): 100, (1, 0, 1): 100, (1, 1, 1): 100}
@@ -38,64 +49,178 @@ CHAIN = {
 
 @pytest.mark.parametrize("split", [1, 3])
 def test_level0_numbers(spark, split):
-    p = patterns(spark, BINARY, split).repartition(4)
-    table = citest.pair_table(citest.count_pair_cells(p, [2] * 5))
+    p = samples(spark, BINARY, split).repartition(4)
+    table = citest.pair_table(citest.pair_cells(p, 5))
     n11 = {"ACDLN"[r.a] + "ACDLN"[r.b]: r.n11 for r in table.collect()}
     assert n11 == {k: v[0] for k, v in LEVEL0.items()}
     for at, kind in ((1, "chi2"), (2, "gsq")):
-        got = {r.x + r.y: (r.stat, r.dof) for r in citest.pair_tests(p, list("ACDLN"), kind).collect()}
+        got = {r.x + r.y: (r.stat, r.dof) for r in citest.pair_tests(p, listed(spark, "ACDLN"), kind).collect()}
         for k, v in LEVEL0.items():
             assert got[k] == (pytest.approx(v[at], abs=1e-6), 1)
 
 
-def test_pair_counts_agree_without_the_product_path(spark, monkeypatch):
-    p = patterns(spark, BINARY)
-    want = rows(citest.count_pair_cells(p, [2] * 5))
-    monkeypatch.setattr(citest, "GRAM_COLUMNS", 3)
-    monkeypatch.setattr(citest, "CELL_BUDGET", 12)
-    assert rows(citest.count_pair_cells(p, [2] * 5)) == want
-    monkeypatch.setattr(citest, "CELL_BUDGET", 2)
-    assert rows(citest.count_pair_cells(p, [2] * 5)) == want
+def cells_of(codes, weights, x, y, given=()):
+    out = {}
+    for row, w in zip(codes, weights):
+        key = (tuple(row[v] for v in given), row[x], row[y])
+        out[key] = out.get(key, 0) + w
+    return out
+
+
+def statistic(cells, kind):
+    stat, dof = 0.0, 0
+    for z in {s for s, _, _ in cells}:
+        o = {(x, y): n for (s, x, y), n in cells.items() if s == z}
+        r, c = ({v: sum(n for k, n in o.items() if k[i] == v) for v in {k[i] for k in o}} for i in (0, 1))
+        total = sum(o.values())
+        for x, y in itertools.product(r, c):
+            n, e = o.get((x, y), 0), r[x] * c[y] / total
+            stat += (n - e) ** 2 / e if kind == "chi2" else 2 * n * math.log(n / e) if n else 0.0
+        dof += (len(r) - 1) * (len(c) - 1)
+    return stat, dof
+
+
+@pytest.mark.parametrize("kind", ["chi2", "gsq"])
+def test_sparse_cells_of_many_codes_equal_brute_force(spark, kind):
+    rng = np.random.default_rng(8)
+    codes = rng.integers(0, 4, (120, 6)) * (rng.random((120, 6)) < 0.6)
+    codes[:, 5] = 0  # a variable that never occurs
+    codes[:3, 4] = 99_999
+    codes, weights = [tuple(r) for r in codes.tolist()], rng.integers(1, 9, 120).tolist()
+    given = [([(v, c) for v, c in enumerate(k) if c], w) for k, w in zip(codes, weights)]
+    p = spark.createDataFrame(given, "items array<struct<v:int,c:int>>, weight long")
+    want = {(a, b): cells_of(codes, weights, a, b) for a, b in itertools.combinations(range(6), 2)}
+    got = {}
+    for r in citest.pair_cells(p, 6).collect():
+        got.setdefault((r.a, r.b), {})[(), r.x, r.y] = r.cnt
+    assert got == want
+    for r in citest.pair_independence(p, 6, kind).collect():
+        assert (pytest.approx(r.stat, abs=1e-9), r.dof) == statistic(want[r.a, r.b], kind)
+    tests = [(0, 1, [2]), (0, 4, [1, 2, 3]), (1, 3, []), (2, 5, [0]), (0, 1, [5])]
+    asked = spark.createDataFrame(tests, "a int, b int, given array<int>")
+    cells = citest.set_cells(p, asked)
+    got = {}
+    for r in cells.collect():
+        got.setdefault((r.a, r.b, tuple(r.given)), {})[tuple(r.s), r.x, r.y] = r.cnt
+    assert got == {(a, b, tuple(g)): cells_of(codes, weights, a, b, g) for a, b, g in tests}
+    for r in citest.independence(cells, kind=kind).collect():
+        assert (pytest.approx(r.stat, abs=1e-9), r.dof) == statistic(got[r.a, r.b, tuple(r.given)], kind)
+
+
+def test_pairs_of_five_thousand_variables(spark):
+    rng = np.random.default_rng(9)
+    v, n = 5_000, 150
+    members = [sorted(rng.choice(v, 8, replace=False).tolist()) for _ in range(n)]
+    p = spark.createDataFrame([([(m, 1) for m in row], 2) for row in members], "items array<struct<v:int,c:int>>, weight long")
+    stats = citest.pair_independence(p, v)
+    row = stats.selectExpr("count(*) AS n", "sum(stat) AS stat", "sum(dof) AS dof").first()
+    hot = np.zeros((n, v))
+    for i, m in enumerate(members):
+        hot[i, m] = 1
+    k = hot.sum(0)
+    some = np.flatnonzero(k)
+    both, k = hot[:, some].T @ hot[:, some], k[some]
+    chi = (both * n - np.outer(k, k)) ** 2 * n * 2 / (np.outer(k, k) * np.outer(n - k, n - k))
+    upper = np.triu_indices(len(some), 1)
+    assert row.n == v * (v - 1) // 2 and row.dof == len(some) * (len(some) - 1) // 2
+    assert row.stat == pytest.approx(chi[upper].sum())
 
 
 def results(graph_):
-    return {(x, y, s): (round(stat, 6), dof) for x, y, s, _, stat, dof, _ in graph_.tests}
+    return {(r.a, r.b, tuple(r.given)): (round(r.stat, 6), r.dof) for r in graph_.tests.collect()}
 
 
 def test_collider(spark):
-    g = pc.discover(patterns(spark, COLLIDER), list("XYZ"), "chi2", 0.01)
+    g = found(spark, COLLIDER, "XYZ")
     r = results(g)
     assert r[0, 1, ()] == (0.0, 1) and r[0, 2, ()] == (133.333333, 1)
-    assert rows(pc.typed_edges(spark, g)) == [("X", "Z", "directed"), ("Y", "Z", "directed")]
-    cells = citest.count_cells(patterns(spark, COLLIDER), [(0, 2, (1,)), (0, 1, (2,))], [2] * 3)
-    for kind, want in (("chi2", (200, 75)), ("gsq", (277.258872, 104.649629))):
-        got = rows(citest.independence(cells, ["test_id"], kind).select("test_id", "stat", "dof"))
-        assert [(t, round(s, 6), d) for t, s, d in got] == [(0, want[0], 1), (1, want[1], 1)]
+    assert rows(pc.typed_edges(g)) == [("X", "Z", "directed"), ("Y", "Z", "directed")]
+    asked = spark.createDataFrame([(0, 2, [1]), (0, 1, [2])], "a int, b int, given array<int>")
+    cells = citest.set_cells(samples(spark, COLLIDER), asked)
+    for kind, want in (("chi2", (75, 200)), ("gsq", (104.649629, 277.258872))):
+        got = rows(citest.independence(cells, kind=kind).select("b", "stat", "dof"))
+        assert [(b, round(s, 6), d) for b, s, d in got] == [(1, want[0], 1), (2, want[1], 1)]
 
 
 @pytest.mark.parametrize("kind,xy,xz,xz_y", [("chi2", 40, 160, 128), ("gsq", 40.427446, 167.439406, 127.01196)])
 def test_chain(spark, kind, xy, xz, xz_y):
-    g = pc.discover(patterns(spark, CHAIN), list("XYZ"), kind, 0.01)
+    g = found(spark, CHAIN, "XYZ", kind)
     r = results(g)
     assert r[0, 1, ()] == (xy, 1) and r[0, 2, ()] == (xz, 1)
     assert r[0, 1, (2,)] == (0.0, 2) and r[0, 2, (1,)] == (xz_y, 2)
     und = "undirected"
-    assert rows(pc.typed_edges(spark, g)) == [("X", "Z", und), ("Y", "Z", und), ("Z", "X", und), ("Z", "Y", und)]
-    assert rows(pc.skeleton_edges(spark, g)) == [("X", "Z"), ("Y", "Z")]
-    best = {(r.x, r.y): r.p_max for r in pc.max_p(pc.test_table(spark, g)).collect()}
+    assert rows(pc.typed_edges(g)) == [("X", "Z", und), ("Y", "Z", und), ("Z", "X", und), ("Z", "Y", und)]
+    assert rows(pc.skeleton_edges(g)) == [("X", "Z"), ("Y", "Z")]
+    assert [(r.a, r.b, r.given) for r in g.sepsets.collect()] == [(0, 1, [2])]
+    best = {(r.x, r.y): r.p_max for r in pc.max_p(g).collect()}
     assert best["X", "Y"] == pytest.approx(1.0)
+    table = {(r.x, r.y, r.given) for r in pc.test_table(g).collect()}
+    assert {("X", "Y", ""), ("X", "Y", "Z"), ("X", "Z", "Y")} <= table
 
 
 def test_level_cap_keeps_the_edge(spark):
-    g = pc.discover(patterns(spark, CHAIN), list("XYZ"), "chi2", 0.01, max_level=0)
-    assert len(g.pairs()) == 3
+    assert found(spark, CHAIN, "XYZ", max_level=0).edges.count() == 6
+
+
+def graph_of(spark, n, pairs, sepsets):
+    edges = [p for a, b in pairs for p in ((a, b), (b, a))]
+    return pc.Graph(
+        matrix.listed_variables(spark, [chr(97 + i) for i in range(n)]),
+        spark.createDataFrame(edges, "x int, y int"),
+        spark.createDataFrame([(a, b, list(g)) for (a, b), g in sepsets.items()], "a int, b int, given array<int>"),
+        spark.createDataFrame([], "a int, b int, given array<int>, level int, stat double, dof long, p double"),
+    )
+
+
+def arrows_of(graph_):
+    return {(r.s, r.t) for r in pc.orient(graph_).collect()}
+
+
+def plain_orient(n, pairs, sepsets):
+    """Colliders one after another, then rounds of the three rules, in sets."""
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(n)}
+    arrows = set()
+    for x, y, z in sorted((x, y, z) for x in range(n) for y in range(x + 1, n) for z in near[x] & near[y]):
+        if y not in near[x] and z not in sepsets.get((x, y), ()) and not {(z, x), (z, y)} & arrows:
+            arrows |= {(x, z), (y, z)}
+    while True:
+        plain = {(a, b) for a in near for b in near[a] if (a, b) not in arrows and (b, a) not in arrows}
+        new = set()
+        for s, t in plain:
+            chain = any((c, s) in arrows and t not in near[c] for c in near[s])
+            cycle = any((s, c) in arrows and (c, t) in arrows for c in near)
+            fork = [c for c in near if (s, c) in plain and (c, t) in arrows]
+            if chain or cycle or any(d not in near[c] for c, d in itertools.combinations(fork, 2)):
+                new.add((s, t))
+        new = {(s, t) for s, t in new if s < t or (t, s) not in new}
+        if not new:
+            return arrows
+        arrows |= new
+
+
+def test_orientation_rules(spark):
+    # Known start: c -> s forced by a collider, then a chain rule turns s - t.
+    pairs, sepsets = [(0, 2), (1, 2), (2, 3)], {(0, 1): (), (0, 3): (2,), (1, 3): (2,)}
+    assert arrows_of(graph_of(spark, 4, pairs, sepsets)) == {(0, 2), (1, 2), (2, 3)}
 
 
-def test_orientation_rules():
-    # Known start: c -> s forced by a collider, then a chain rule turns s - t.
-    g = pc.Graph(list("abst"), [{2}, {2}, {0, 1, 3}, {2}])
-    g.sepset = {(0, 1): (), (0, 3): (2,), (1, 3): (2,)}
-    assert pc.orient(g) == {(0, 2), (1, 2), (2, 3)}
+@pytest.mark.parametrize("seed", range(6))
+def test_orientation_equals_plain_sets(spark, seed):
+    """Random graphs with random separating sets: many colliders contradict each other."""
+    rng = np.random.default_rng(seed)
+    n = 9
+    pairs = [p for p in itertools.combinations(range(n), 2) if rng.random() < (0.3, 0.45, 0.6)[seed % 3]]
+    sepsets = {}
+    for p in itertools.combinations(range(n), 2):
+        if p not in pairs:
+            sepsets[p] = tuple(v for v in range(n) if v not in p and rng.random() < (0.5, 0.85)[seed % 2])
+    assert arrows_of(graph_of(spark, n, pairs, sepsets)) == plain_orient(n, pairs, sepsets)
+
+
+def test_conditioning_sets(spark):
+    edges = [p for a, b in [(0, 1), (0, 2), (0, 3), (1, 4)] for p in ((a, b), (b, a))]
+    got = {(r.a, r.b, tuple(r.given)) for r in pc.level_tests(spark.createDataFrame(edges, "x int, y int"), 2).collect()}
+    assert got == {(0, 1, (2, 3)), (0, 2, (1, 3)), (0, 3, (1, 2))}
 
 
 def test_chi2_tail():
@@ -113,13 +238,39 @@ def test_gaussian_pc_finds_a_collider(spark):
     z = x + y + 0.5 * rng.normal(size=4000)
     df = spark.createDataFrame(list(zip(x.tolist(), y.tolist(), z.tolist())), "x double, y double, z double")
     c = citest.correlations(df, ["x", "y", "z"])
-    g = pc.discover_gaussian(c, ["x", "y", "z"], alpha=0.001)
-    assert rows(pc.typed_edges(spark, g)) == [("x", "z", "directed"), ("y", "z", "directed")]
+    g = pc.discover_gaussian(c, listed(spark, "xyz"), alpha=0.001)
+    assert rows(pc.typed_edges(g)) == [("x", "z", "directed"), ("y", "z", "directed")]
     r = {(q.x, q.y): q for q in citest.fisher_z(c).collect()}
     want = np.corrcoef(x, z)[0, 1]
     assert r["x", "z"].z == pytest.approx(np.arctanh(want) * math.sqrt(3997))
 
 
+def test_partial_correlations_equal_the_inverse(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(500, 5)) @ rng.normal(size=(5, 5))
+    r = np.corrcoef(x.T)
+    known = [(a, b, 500, float(r[a, b])) for a, b in itertools.combinations(range(5), 2)]
+    correlated = spark.createDataFrame(known, "a int, b int, n long, r double")
+    tests = [(a, b, list(g)) for a, b in itertools.combinations(range(5), 2) for k in range(4)
+             for g in itertools.combinations([v for v in range(5) if v not in (a, b)], k)]
+    for t in citest.partial_z(spark.createDataFrame(tests, "a int, b int, given array<int>"), correlated).collect():
+        at = [t.a, t.b, *t.given]
+        inverse = np.linalg.inv(r[np.ix_(at, at)])
+        partial = -inverse[0, 1] / np.sqrt(inverse[0, 0] * inverse[1, 1])
+        assert t.stat == pytest.approx(np.arctanh(partial) * math.sqrt(500 - len(t.given) - 3), abs=1e-6)
+
+
+def test_partial_correlations_of_odd_columns(spark):
+    # column 1 repeats column 0, column 2 is constant, column 3 has fewer rows
+    known = [(0, 1, 50, 1.0), (0, 2, 50, None), (1, 2, 50, float("nan")), (0, 3, 20, 0.5), (1, 3, 20, 0.5), (2, 3, 20, None)]
+    correlated = spark.createDataFrame(known, "a int, b int, n long, r double")
+    tests = [(0, 3, []), (0, 3, [1]), (0, 3, [2]), (0, 2, []), (0, 3, [1, 2])]
+    asked = spark.createDataFrame(tests, "a int, b int, given array<int>")
+    got = {(r.a, r.b, tuple(r.given)): round(r.stat, 6) for r in citest.partial_z(asked, correlated).collect()}
+    half = lambda n: round(math.atanh(0.5) * math.sqrt(n), 6)
+    assert got == {(0, 3, ()): half(17), (0, 3, (1,)): 0.0, (0, 3, (2,)): half(16), (0, 2, ()): 0.0, (0, 3, (1, 2)): 0.0}
+
+
 def test_uniform_bins(spark):
     df = spark.createDataFrame([(0.0, 1.0), (5.0, 1.0), (10.0, 1.0)], "a double, b double")
     assert rows(matrix.discretize(df, ["a", "b"])) == [(0, 0), (2, 0), (4, 0)]
@@ -130,7 +281,15 @@ def test_baskets(spark):
     m = matrix.basket_members(df, "id")
     assert rows(m) == [(1, "a"), (1, "b"), (2, "a"), (3, "a"), (3, "b")]
     p = matrix.set_patterns(matrix.row_sets(m))
-    assert rows(matrix.indicator_vectors(p, ["a", "b"])) == [([1, 0], 1), ([1, 1], 2)]
+    assert rows(matrix.item_samples(p, listed(spark, "ab"))) == [([(0, 1)], 1), ([(0, 1), (1, 1)], 2)]
+    assert rows(matrix.item_samples(p, listed(spark, "b"))) == [([], 1), ([(0, 1)], 2)]
+
+
+def test_coded_samples(spark):
+    df = spark.createDataFrame([(0, 5), (0, 5), (1, None), (2, 0)], "a int, b int")
+    assert rows(matrix.coded_samples(df, ["a", "b"])) == [([(0, 2)], 1), ([(1, 5)], 2)]
+    named = spark.createDataFrame([("z",), ("k",), (None,), ("z",)], "flag string")
+    assert sorted(r.flag for r in matrix.coded_names(named, "flag").collect() if r.flag is not None) == [0, 1, 1]
 
 
 def one_hot(series, names, maxlag):
@@ -222,20 +381,6 @@ def test_endpoint_classes(spark):
     assert graph.drop_node(e, "a").count() == 5
 
 
-def test_cells_of_many_codes_do_not_overflow(spark):
-    from tracewell.operators import citest
-
-    top = 99_999
-    data = [([top, 0, top, top, top], 2), ([0, top, 0, 0, 0], 1), ([top, 0, top, top, None], 5)]
-    df = spark.createDataFrame(data, "vec array<int>, weight long")
-    cells = citest.count_cells(df, [(0, 1, (2, 3, 4))], [top + 1] * 5).collect()
-    assert sorted((list(r.s), r.x, r.y, r.cnt) for r in cells) == [([0, 0, 0], 0, top, 1), ([top] * 3, top, 0, 2)]
-    small = spark.createDataFrame([([0, 1, 1], 3), ([1, 1, None], 4)], "vec array<int>, weight long")
-    assert [(r.s, r.x, r.y, r.cnt) for r in citest.count_cells(small, [(0, 1, ())], [2, 2, 2]).collect()] == [([], 0, 1, 3)]
-    pairs = citest.count_pair_cells(small, [2, 2, 2]).collect()
-    assert sum(r.cnt for r in pairs) == 9
-
-
 def test_pair_pmax_tries_all_sets_of_up_to_three(spark, tmp_path):
     from itertools import combinations
 

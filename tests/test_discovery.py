@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from conftest import rows
 
-from tracewell.operators import graph, windows
+from tracewell.operators import graph, matrix, windows
 from tracewell.plans import discovery
 from tracewell.sources import sinks
 
@@ -15,8 +15,8 @@ def test_windowed_dataset_counts_every_window(lines):
     data = discovery.windowed_dataset(lines(*texts), min_freq=5)
     kept = [[t for t in x if x.count(t) >= 5] for x in texts]
     sizes = [max(2, min(30, len(k) - 5 * len(set(k)) + 1)) for k in kept]
-    assert data.patterns.agg({"weight": "sum"}).first()[0] == sum(len(k) - w + 1 for k, w in zip(kept, sizes))
-    assert data.names == sorted({t for k in kept for t in k})
+    assert data.samples.agg({"weight": "sum"}).first()[0] == sum(len(k) - w + 1 for k, w in zip(kept, sizes))
+    assert [r.name for r in data.templates.orderBy("v").collect()] == sorted({t for k in kept for t in k})
     assert [r.window_size for r in data.quality.orderBy("source").collect()] == sizes
     with pytest.raises(ValueError):
         discovery.windowed_dataset(lines(list("abc")))
@@ -50,9 +50,10 @@ def test_bins_as_samples(lines):
     for _ in range(300):
         t += ["x", "y", "n"] if rng.random() < 0.5 else ["n", "n", "m"]
     binned = windows.bins_open(lines(t), 3)
-    patterns = discovery.bin_patterns(binned, ["m", "n", "x", "y"])
-    assert sorted(map(tuple, (r.vec for r in patterns.collect()))) == [(0, 1, 1, 1), (1, 2, 0, 0)]
-    assert {r.test: r.edges for r in discovery.compare_on_bins(binned, ["x", "y"]).collect()} == {"chi2": 1, "gsq": 1}
+    samples = discovery.bin_samples(binned, matrix.variables(binned, "template"))
+    assert sorted(map(list, (r["items"] for r in samples.collect()))) == [[(0, 1), (1, 2)], [(1, 1), (2, 1), (3, 1)]]
+    pair = matrix.listed_variables(samples.sparkSession, ["x", "y"])
+    assert {r.test: r.edges for r in discovery.compare_on_bins(binned, pair).collect()} == {"chi2": 1, "gsq": 1}
 
 
 def test_granger_from_log(lines):

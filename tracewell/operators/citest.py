@@ -1,221 +1,149 @@
-"""Independence tests on weighted code vectors.
+"""Independence tests on sparse samples.
 
-Input is a pattern table (vec array<int>, weight): distinct rows of the variable matrix. Each task
-counts the cells of all tests over its own patterns in arrays, so only partial cell counts are
-shuffled, never row pairs.
+A sample table holds distinct rows of the variable matrix: ``items``, the codes that are not 0 as
+(v, c) sorted by variable, and ``weight``. Counts start from these items: variables that occur together
+are paired inside a row, a conditional test meets the rows that hold one of its variables, and what
+is left of each margin is the cells of code 0. No row has a place for every variable.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.stats import chi2_p, normal_p
-from tracewell.session import cut_lineage
+from tracewell.session import small_side
 
-# A test: (x, y, conditioning variables), all as positions in vec.
-Test = tuple[int, int, tuple[int, ...]]
+TEST = ("a", "b", "given")
 
-# Cells that one task may hold in arrays; larger test lists run as several jobs.
-CELL_BUDGET = 4_000_000
-GRAM_COLUMNS = 3_000
-CELLS = "test_id long, s array<int>, x int, y int, cnt long"
-PAIR_CELLS = "a int, b int, x int, y int, cnt long"
 
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda total, n: total + n)
 
-def _arrow_schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "array<int>": pa.list_(pa.int32())}
-    return pa.schema([(name, kinds[kind]) for name, kind in (f.split() for f in ddl.split(","))])
 
+def total_weight(samples: DataFrame) -> int:
+    return samples.agg(F.sum("weight")).first()[0] or 0
 
-def cardinalities(patterns: DataFrame) -> list[int]:
-    """Number of codes per variable: one row per variable."""
-    per_variable = (
-        patterns.select(F.posexplode("vec").alias("i", "code")).groupBy("i").agg(F.max("code").alias("top"))
-    )
-    return [r["top"] + 1 for r in per_variable.orderBy("i").collect()]
 
+def code_margins(samples: DataFrame) -> DataFrame:
+    """(v, codes): the codes of each variable other than 0 with their weights, as (c, n)."""
+    counted = samples.select(F.inline("items"), "weight").groupBy("v", "c").agg(F.sum("weight").alias("n"))
+    return counted.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("codes"))
 
-def test_cells(test: Test, cards: Sequence[int]) -> int:
-    n = cards[test[0]] * cards[test[1]]
-    for v in test[2]:
-        n *= cards[v]
-    return n
 
+def _together(samples: DataFrame) -> DataFrame:
+    """(a, b, cells): cells (x, y, cnt) of variables a < b that share a row, both codes other than 0."""
+    first = samples.select("weight", "items", F.posexplode("items").alias("at", "p"))
+    both = first.select("weight", "p", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("q"))
+    counted = both.groupBy(
+        F.col("p.v").alias("a"), F.col("q.v").alias("b"), F.col("p.c").alias("x"), F.col("q.c").alias("y")
+    ).agg(F.sum("weight").alias("cnt"))
+    return counted.groupBy("a", "b").agg(F.collect_list(F.struct("x", "y", "cnt")).alias("cells"))
 
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Code matrix and weights of a batch, straight from its Arrow buffers."""
-    codes = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    weights = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-    return codes.reshape(len(weights), -1), weights
 
+def all_pairs(spark, n_variables: int) -> DataFrame:
+    """(a, b) with a < b for every pair of variables."""
+    one = spark.range(n_variables).select(F.col("id").cast("int").alias("a")).where(F.col("a") < n_variables - 1)
+    return one.select("a", F.explode(F.sequence(F.col("a") + 1, F.lit(n_variables - 1))).alias("b"))
 
-def _batch(columns: dict[str, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-    arrays = [columns[f.name] for f in schema]
-    made = [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(arrays, schema, strict=True)]
-    return pa.RecordBatch.from_arrays(made, schema=schema)
 
+def _pairs_with_cells(samples: DataFrame, n_variables: int) -> DataFrame:
+    """(a, b, n_rows, n_cols, cells): the codes of either variable that occur, and all non-empty cells.
 
-def _lists(rows: np.ndarray) -> pa.Array:
-    """One list per row of a code matrix, which may have no columns."""
-    n, k = rows.shape
-    return pa.ListArray.from_arrays(
-        pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel(), pa.int32())
+    A cell is (x, y, cnt, r, c) with the margins of its row and its column.
+    """
+    n = F.lit(total_weight(samples))
+    margins = code_margins(samples).withColumn("rest", n - _sum(F.col("codes.n")))
+    margins = small_side(margins)
+    joined = all_pairs(samples.sparkSession, n_variables).join(_together(samples), ["a", "b"], "left")
+    for v in ("a", "b"):
+        named = margins.select(F.col("v").alias(v), F.struct("codes", "rest").alias(f"_{v}"))
+        never = F.struct(F.array().cast("array<struct<c:int,n:bigint>>").alias("codes"), n.alias("rest"))
+        joined = joined.join(named, v, "left").withColumn(f"_{v}", F.coalesce(f"_{v}", never))
+    joined = joined.withColumn("cells", F.coalesce("cells", F.array().cast("array<struct<x:int,y:int,cnt:bigint>>")))
+    zero, rest_a, rest_b = F.lit(0), F.col("_a.rest"), F.col("_b.rest")
+
+    def cell(x: Column, y: Column, cnt: Column, r: Column, c: Column) -> Column:
+        whole = zip(("x", "y", "cnt", "r", "c"), (x, y, cnt, r, c), ("int", "int", "long", "long", "long"), strict=True)
+        return F.struct(*[value.cast(kind).alias(name) for name, value, kind in whole])
+
+    size_of = lambda v, code: F.element_at(F.filter(f"_{v}.codes", lambda m: m["c"] == code), 1)["n"]
+    met = lambda end, m: _sum(F.transform(F.filter("cells", lambda c: c[end] == m["c"]), lambda c: c["cnt"]))
+    left = n - _sum(F.col("_a.codes.n")) - _sum(F.col("_b.codes.n")) + _sum(F.col("cells.cnt"))
+    cells = F.concat(
+        F.transform("cells", lambda c: cell(c["x"], c["y"], c["cnt"], size_of("a", c["x"]), size_of("b", c["y"]))),
+        F.transform("_a.codes", lambda m: cell(m["c"], zero, m["n"] - met("x", m), m["n"], rest_b)),
+        F.transform("_b.codes", lambda m: cell(zero, m["c"], m["n"] - met("y", m), rest_a, m["n"])),
+        F.array(cell(zero, zero, left, rest_a, rest_b)),
+    )
+    present = lambda v: (F.size(f"_{v}.codes") + (F.col(f"_{v}.rest") > 0).cast("int")).cast("long")
+    return joined.select(
+        "a", "b", present("a").alias("n_rows"), present("b").alias("n_cols"), F.filter(cells, lambda c: c["cnt"] > 0).alias("cells")
     )
 
 
-def complete(patterns: DataFrame) -> DataFrame:
-    """Patterns without a missing code; the others take no part in a test."""
-    return patterns.select("vec", "weight").where(F.forall("vec", lambda v: v.isNotNull()))
+def pair_cells(samples: DataFrame, n_variables: int) -> DataFrame:
+    """Non-empty cells of every variable pair: (a, b, x, y, cnt) with a < b."""
+    return _pairs_with_cells(samples, n_variables).select("a", "b", F.inline("cells")).drop("r", "c")
 
 
-def count_cells(patterns: DataFrame, tests: Sequence[Test], cards: Sequence[int], first_id: int = 0) -> DataFrame:
-    """Non-empty contingency cells of each test: (test_id, s, x, y, cnt); ``s`` is the slice.
+def _term(kind: str, cnt: Column, expected: Column) -> Column:
+    """chi2: its terms add up to the sum of (O-E)^2/E with empty cells included; gsq: 2 O ln(O/E)."""
+    return {"chi2": cnt * cnt / expected - cnt, "gsq": 2 * cnt * F.log(cnt / expected)}[kind]
 
-    The slice is the array of its conditioning codes, so no number of variables or codes overflows.
-    """
-    tests, cards = list(tests), list(cards)
-    cells = _arrow_schema(CELLS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = [None] * len(tests)
-        sparse: list[dict | None] = [None] * len(tests)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m, w = _matrix(batch)
-            for i, (x, y, given) in enumerate(tests):
-                size = test_cells(tests[i], cards)
-                if size <= CELL_BUDGET:
-                    code = np.zeros(len(m), np.int64)
-                    for v in (*given, x, y):
-                        code = code * cards[v] + m[:, v]
-                    part = np.bincount(code, w, minlength=size)
-                    dense[i] = part if dense[i] is None else dense[i] + part
-                else:
-                    keys, inverse = np.unique(m[:, [*given, x, y]], axis=0, return_inverse=True)
-                    held = sparse[i] = sparse[i] or {}
-                    for k, c in zip(map(tuple, keys.tolist()), np.bincount(inverse.ravel(), w).tolist()):
-                        held[k] = held.get(k, 0.0) + c
-        for i, (x, y, given) in enumerate(tests):
-            if dense[i] is not None:
-                code = np.nonzero(dense[i])[0]
-                cnt = dense[i][code]
-                shape = [cards[v] for v in (*given, x, y)]
-                cell = np.stack(np.unravel_index(code, shape), axis=1)
-            elif sparse[i]:
-                cell = np.array(list(sparse[i]), np.int64)
-                cnt = np.fromiter(sparse[i].values(), np.float64)
-            else:
-                continue
-            yield _batch(
-                {
-                    "test_id": np.full(len(cell), first_id + i),
-                    "s": _lists(cell[:, :-2]),
-                    "x": cell[:, -2],
-                    "y": cell[:, -1],
-                    "cnt": np.rint(cnt).astype(np.int64),
-                },
-                cells,
-            )
-
-    partial = complete(patterns).mapInArrow(run, CELLS)
-    return partial.groupBy("test_id", "s", "x", "y").agg(F.sum("cnt").alias("cnt"))
-
-
-def count_pair_cells(patterns: DataFrame, cards: Sequence[int]) -> DataFrame:
-    """Non-empty cells of every variable pair: (a, b, x, y, cnt) with a < b.
-
-    One matrix product per batch counts all pairs at once.
-    """
-    cards = list(cards)
-    if sum(cards) > GRAM_COLUMNS:
-        pairs = [(a, b, ()) for a in range(len(cards)) for b in range(a + 1, len(cards))]
-        parts = [
-            count_cells(patterns, batch, cards, start)
-            for start, batch in test_batches(pairs, cards)
-        ]
-        cells = parts[0]
-        for p in parts[1:]:
-            cells = cells.unionByName(p)
-        names = patterns.sparkSession.createDataFrame(
-            [(i, a, b) for i, (a, b, _) in enumerate(pairs)], "test_id long, a int, b int"
-        )
-        return cells.join(names, "test_id").select("a", "b", "x", "y", "cnt")
-    start = np.cumsum([0, *cards])
-    owner = np.repeat(np.arange(len(cards)), cards)
-    cells = _arrow_schema(PAIR_CELLS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((start[-1], start[-1]))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            m, w = _matrix(batch)
-            hot = np.zeros((len(m), start[-1]))
-            np.put_along_axis(hot, m + start[:-1], 1.0, axis=1)
-            total += hot.T @ (hot * w[:, None])
-        i, j = np.nonzero(total)
-        keep = owner[i] < owner[j]
-        i, j = i[keep], j[keep]
-        yield _batch(
-            {
-                "a": owner[i],
-                "b": owner[j],
-                "x": i - start[owner[i]],
-                "y": j - start[owner[j]],
-                "cnt": np.rint(total[i, j]).astype(np.int64),
-            },
-            cells,
-        )
 
-    partial = complete(patterns).mapInArrow(run, PAIR_CELLS)
-    return partial.groupBy("a", "b", "x", "y").agg(F.sum("cnt").alias("cnt"))
+def pair_independence(samples: DataFrame, n_variables: int, kind: str = "chi2") -> DataFrame:
+    """(a, b, stat, dof) of the unconditional test of every variable pair."""
+    n = F.lit(total_weight(samples))
+    term = lambda c: _term(kind, c["cnt"], c["r"] * c["c"] / n)
+    stat = F.aggregate("cells", F.lit(0.0), lambda total, c: total + term(c))
+    dof = (F.col("n_rows") - 1) * (F.col("n_cols") - 1)
+    return _pairs_with_cells(samples, n_variables).select("a", "b", stat.alias("stat"), dof.alias("dof"))
+
 
+def set_cells(samples: DataFrame, tests: DataFrame) -> DataFrame:
+    """Non-empty cells of conditional tests: (a, b, given, s, x, y, cnt); ``s`` is the slice.
 
-def test_batches(tests, cards: Sequence[int]) -> Iterator[tuple[int, list[Test]]]:
-    """Cut a stream of tests into (first id, tests) jobs within the cell budget."""
-    batch, cells, start = [], 0, 0
-    for t in tests:
-        n = min(test_cells(t, cards), CELL_BUDGET)
-        if batch and cells + n > CELL_BUDGET:
-            yield start, batch
-            start, batch, cells = start + len(batch), [], 0
-        batch.append(t)
-        cells += n
-    if batch:
-        yield start, batch
+    A row meets a test once, through the first of the test's variables that it holds. The weight
+    that no row brings belongs to the cell whose codes are all 0.
+    """
+    keys = [F.col(c) for c in TEST]
+    member = F.concat(F.array("a", "b"), "given").alias("members")
+    asked = tests.select(*keys, member).withColumn("v", F.explode("members"))
+    rows = samples.select("weight", F.map_from_entries("items").alias("codes"), F.explode("items.v").alias("v"))
+    met = rows.join(small_side(asked), "v")
+    held = F.filter("members", lambda m: F.try_element_at(F.col("codes"), m).isNotNull())
+    met = met.where(F.element_at(held, 1) == F.col("v"))
+    code = F.transform("members", lambda m: F.coalesce(F.try_element_at(F.col("codes"), m), F.lit(0)))
+    some = met.groupBy(*TEST, code.alias("code")).agg(F.sum("weight").alias("cnt"))
+    brought = some.groupBy(*TEST).agg(F.sum("cnt").alias("brought"))
+    rest = tests.select(*TEST).join(brought, list(TEST), "left").select(
+        *TEST,
+        F.array_repeat(F.lit(0), F.size("given") + 2).alias("code"),
+        (F.lit(total_weight(samples)) - F.coalesce("brought", F.lit(0))).alias("cnt"),
+    )
+    cells = some.unionByName(rest.where("cnt > 0"))
+    return cells.select(
+        *TEST, F.slice("code", 3, F.size("code")).alias("s"), F.col("code")[0].alias("x"), F.col("code")[1].alias("y"), "cnt"
+    )
 
 
-def independence(cells: DataFrame, keys: Sequence[str], kind: str = "chi2", slice_key: str | None = "s") -> DataFrame:
-    """Statistic and degrees of freedom per test, summed over its slices.
+def independence(cells: DataFrame, keys: Sequence[str] = TEST, kind: str = "chi2") -> DataFrame:
+    """Statistic and degrees of freedom per test, summed over its slices ``s``.
 
-    ``kind`` is chi2 (sum of O^2/E - n, equal to the sum of (O-E)^2/E with empty cells included) or
-    gsq (2 * sum of O ln(O/E)). Only non-empty margins of a slice count towards its freedom.
+    Only non-empty margins of a slice count towards its freedom.
     """
-    if slice_key is None:
-        cells, slice_key = cells.withColumn("s", F.lit(0)), "s"
-    at = [*keys, slice_key]
+    at = [*keys, "s"]
     # All windows refine one hash partitioning by the test keys.
     placed = cells.repartition(*keys)
     total = lambda *k: F.sum("cnt").over(Window.partitionBy(*at, *k))
-    margins = (
-        placed.withColumn("_r", total("x")).withColumn("_c", total("y")).withColumn("_n", total())
-    )
+    margins = placed.withColumn("_r", total("x")).withColumn("_c", total("y")).withColumn("_n", total())
     expected = F.col("_r") * F.col("_c") / F.col("_n")
-    term = {
-        "chi2": F.col("cnt") * F.col("cnt") / expected - F.col("cnt"),
-        "gsq": 2 * F.col("cnt") * F.log(F.col("cnt") / expected),
-    }[kind]
     per_slice = margins.groupBy(*at).agg(
-        F.sum(term).alias("stat"),
-        (
-            (F.count_distinct("x") - 1) * (F.count_distinct("y") - 1)
-        ).alias("dof"),
+        F.sum(_term(kind, F.col("cnt"), expected)).alias("stat"),
+        ((F.count_distinct("x") - 1) * (F.count_distinct("y") - 1)).alias("dof"),
     )
     return per_slice.groupBy(*keys).agg(F.sum("stat").alias("stat"), F.sum("dof").alias("dof"))
 
@@ -224,26 +152,18 @@ def with_p(stats: DataFrame) -> DataFrame:
     return stats.withColumn("p", chi2_p("stat", "dof"))
 
 
-def pair_tests(
-    patterns: DataFrame, names: Sequence[str], kind: str = "chi2", cards: Sequence[int] | None = None
-) -> DataFrame:
-    """Unconditional test of every variable pair: (x, y, stat, dof, p).
-
-    ``cards`` gives the number of codes per variable where it is known, such as 2 for 0/1 vectors.
-    """
-    if cards is None:
-        patterns = cut_lineage(patterns)
-        cards = cardinalities(patterns)
-    cells = count_pair_cells(patterns, cards)
-    stats = independence(cells, ["a", "b"], kind, None)
-    return with_p(name_pairs(stats, names))
+def pair_tests(samples: DataFrame, variables: DataFrame, kind: str = "chi2") -> DataFrame:
+    """Unconditional test of every variable pair: (x, y, stat, dof, p), by name."""
+    return with_p(name_pairs(pair_independence(samples, variables.count(), kind), variables))
 
 
-def name_pairs(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Replace pair positions a, b by names x, y."""
-    labels = F.array(*[F.lit(n) for n in names])
+def name_pairs(pairs: DataFrame, variables: DataFrame) -> DataFrame:
+    """Replace variable numbers a, b by names x, y."""
+    names = small_side(variables.select("v", "name"))
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    return pairs.select(labels[F.col("a")].alias("x"), labels[F.col("b")].alias("y"), *rest)
+    for number, name in (("a", "_x"), ("b", "_y")):
+        pairs = pairs.join(names.withColumnsRenamed({"v": number, "name": name}), number)
+    return pairs.select(F.col("_x").alias("x"), F.col("_y").alias("y"), *rest)
 
 
 def pair_table(cells: DataFrame) -> DataFrame:
@@ -274,3 +194,53 @@ def fisher_z(correlated: DataFrame) -> DataFrame:
     r = F.col("r")
     z = F.lit(0.5) * F.log((1 + r) / (1 - r)) * F.sqrt(F.col("n") - 3)
     return correlated.withColumn("z", z).withColumn("p", normal_p("z"))
+
+
+#: Residual variance under which a variable counts as explained by the others.
+EXPLAINED = 1e-12
+
+
+def partial_z(tests: DataFrame, correlated: DataFrame) -> DataFrame:
+    """Fisher-Z tests (a, b, given, stat, dof, p) from correlations (a, b, n, r) with a < b.
+
+    The correlations of a test's variables are gathered in one row and the conditioning variables
+    swept out one after another: what is left is the partial correlation. A conditioning variable
+    that the earlier ones explain adds nothing; a tested one without residual is independent. A
+    constant column correlates with nothing. ``n`` is the least of the pairs', for columns with nulls.
+    """
+    k = F.size("given") + 2
+    members = F.concat(F.array("a", "b"), "given")
+    ends = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), k - 2),
+            lambda i: F.transform(F.sequence(i + 1, k - 1), lambda j: F.struct(i.alias("i"), j.alias("j"))),
+        )
+    )
+    asked = tests.select(*TEST, members.alias("m"), k.alias("k"), F.inline(ends))
+    at = lambda end: F.element_at("m", F.col(end) + 1)
+    asked = asked.withColumn("low", F.least(at("i"), at("j"))).withColumn("high", F.greatest(at("i"), at("j")))
+    known = small_side(correlated.select(F.col("a").alias("low"), F.col("b").alias("high"), "n", F.coalesce(F.nanvl("r", F.lit(0.0)), F.lit(0.0)).alias("r")))
+    entry = F.struct((F.col("i") * F.col("k") + F.col("j")).alias("at"), "r")
+    gathered = asked.join(known, ["low", "high"]).groupBy(*TEST, "k").agg(
+        F.map_from_entries(F.collect_list(entry)).alias("upper"), F.min("n").alias("n")
+    )
+    row, col = lambda p: F.floor(p / F.col("k")), lambda p: p % F.col("k")
+    cell = lambda p: F.when(row(p) == col(p), F.lit(1.0)).otherwise(
+        F.try_element_at("upper", (F.least(row(p), col(p)) * F.col("k") + F.greatest(row(p), col(p))).cast("int"))
+    )
+    whole = F.transform(F.sequence(F.lit(0), F.col("k") * F.col("k") - 1), cell)
+    entry_of = lambda m, i, j: F.element_at(m, (i * F.col("k") + j + 1).cast("int"))
+
+    def swept(m: Column, z: Column) -> Column:
+        pivot = entry_of(m, z, z)
+        gone = lambda v, p: v - entry_of(m, row(p), z) * entry_of(m, z, col(p)) / pivot
+        return F.when(pivot > EXPLAINED, F.transform(m, gone)).otherwise(m)
+
+    order = F.when(F.col("k") > 2, F.sequence(F.lit(2), F.col("k") - 1)).otherwise(F.array().cast("array<int>"))
+    left = gathered.withColumn("m", whole).withColumn("m", F.aggregate(order, F.col("m"), swept))
+    zero, one = F.lit(0), F.lit(1)
+    own = entry_of(F.col("m"), zero, zero) * entry_of(F.col("m"), one, one)
+    r = F.when(own > EXPLAINED, entry_of(F.col("m"), zero, one) / F.sqrt(own)).otherwise(0.0)
+    r = F.greatest(F.lit(-0.999999999), F.least(F.lit(0.999999999), r))
+    z = 0.5 * F.log((1 + r) / (1 - r)) * F.sqrt(F.greatest(F.col("n") - F.col("k") - 1, F.lit(0)).cast("double"))
+    return left.select(*TEST, z.alias("stat"), F.lit(1).cast("long").alias("dof")).withColumn("p", normal_p("stat"))

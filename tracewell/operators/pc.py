@@ -1,245 +1,235 @@
-"""Constraint-based causal discovery: skeleton by levels, then orientation.
+"""Constraint-based causal discovery as relations: skeleton by levels, then orientation.
 
-Every level counts the contingency cells of all its tests in one Spark job (or a few, when the
-cells exceed the budget). The driver holds the graph over the variables, which does not grow with
-the rows.
+Edges, tests, separating sets and arrows are tables. A level joins the edge table with itself to get
+its conditioning sets, counts the cells of all tests, and takes decision and separating set as an
+aggregate per pair; orientation is joins and anti-joins until nothing changes. The driver only asks
+whether a table is empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
-from itertools import combinations
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.stats import normal_two_sided
-from tracewell.operators.citest import (
-    Test,
-    cardinalities,
-    count_cells,
-    count_pair_cells,
-    independence,
-    test_batches,
-    with_p,
-)
-from tracewell.session import cut_lineage
+from tracewell.operators.citest import TEST, all_pairs, independence, pair_independence, partial_z, set_cells, with_p
+from tracewell.session import cut_lineage, materialize
 
-TESTS = "x string, y string, given string, level int, stat double, dof long, p double"
-EDGES = "source string, target string, relation string"
+BOTH = ["x", "y"]
 
 
 @dataclass
 class Graph:
-    """Skeleton over variable positions with separating sets and all test results."""
+    """The graph over numbered variables.
 
-    names: list[str]
-    adjacent: list[set[int]]
-    sepset: dict[tuple[int, int], tuple[int, ...]] = field(default_factory=dict)
-    tests: list[tuple] = field(default_factory=list)
+    ``variables`` (v, name); ``edges`` (x, y) in both directions; ``sepsets`` (a, b, given) with a < b;
+    ``tests`` (a, b, given, level, stat, dof, p).
+    """
+
+    variables: DataFrame
+    edges: DataFrame
+    sepsets: DataFrame
+    tests: DataFrame
 
-    def pairs(self) -> list[tuple[int, int]]:
-        return [(a, b) for a, kin in enumerate(self.adjacent) for b in sorted(kin) if a < b]
 
+#: (tests, level) to (a, b, given, stat, dof, p).
+Tester = Callable[[DataFrame, int], DataFrame]
 
-def discrete_tester(patterns: DataFrame, kind: str, cards: Sequence[int] | None = None) -> Callable:
-    """Evaluates tests on pattern counts: yields (test, stat, dof, p)."""
-    cards = cards or cardinalities(patterns)
 
-    def evaluate(tests: Iterator[Test], level: int) -> Iterator[tuple]:
-        if level == 0:
-            pairs = with_p(independence(count_pair_cells(patterns, cards), ["a", "b"], kind, None))
-            for r in pairs.collect():
-                yield (r["a"], r["b"], ()), r["stat"], r["dof"], r["p"]
-            return
-        for start, batch in test_batches(tests, cards):
-            cells = count_cells(patterns, batch, cards, start)
-            for r in with_p(independence(cells, ["test_id"], kind)).collect():
-                yield batch[r["test_id"] - start], r["stat"], r["dof"], r["p"]
+def discrete_tester(samples: DataFrame, n_variables: int, kind: str) -> Tester:
+    def evaluate(tests: DataFrame, level: int) -> DataFrame:
+        if level:
+            return with_p(independence(set_cells(samples, tests), TEST, kind))
+        pairs = with_p(pair_independence(samples, n_variables, kind))
+        return pairs.withColumn("given", F.array().cast("array<int>"))
 
     return evaluate
 
 
-def gaussian_tester(correlated: DataFrame, names: Sequence[str]) -> Callable:
-    """Fisher-Z tests; only the variable-by-variable correlation matrix leaves Spark."""
-    at = {n: i for i, n in enumerate(names)}
-    matrix, n = np.eye(len(names)), 0
-    for r in correlated.collect():
-        i, j = at[r["x"]], at[r["y"]]
-        matrix[i, j] = matrix[j, i] = r["r"]
-        n = r["n"]
+def gaussian_tester(correlated: DataFrame) -> Tester:
+    return lambda tests, _: partial_z(tests, correlated)
 
-    def evaluate(tests: Iterator[Test], level: int) -> Iterator[tuple]:
-        for x, y, given in tests:
-            inverse = np.linalg.pinv(matrix[np.ix_([x, y, *given], [x, y, *given])])
-            r = -inverse[0, 1] / np.sqrt(inverse[0, 0] * inverse[1, 1])
-            r = min(max(r, -0.999999999), 0.999999999)
-            z = np.arctanh(r) * np.sqrt(max(n - level - 3, 0))
-            yield (x, y, given), float(z), 1, normal_two_sided(z)
 
-    return evaluate
+def _flipped(pairs: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
+    return pairs.select(F.col(b).alias(a), F.col(a).alias(b))
 
 
-def skeleton(
-    names: Sequence[str], evaluate: Callable, alpha: float = 0.01, max_level: int | None = None
-) -> Graph:
+def level_tests(edges: DataFrame, level: int) -> DataFrame:
+    """(a, b, given): for each edge a < b all sets of ``level`` other neighbours of a or of b."""
+    halves = []
+    for end, other in (("x", "y"), ("y", "x")):
+        sets = edges.where("x < y").withColumn("given", F.array().cast("array<int>"))
+        for _ in range(level):
+            kin = edges.select(F.col("x").alias("of"), F.col("y").alias("next"))
+            last = F.coalesce(F.try_element_at("given", F.lit(-1)), F.lit(-1))
+            sets = sets.join(kin, (F.col(end) == F.col("of")) & (F.col("next") != F.col(other)) & (F.col("next") > last))
+            sets = sets.select("x", "y", F.concat("given", F.array("next")).alias("given"))
+        halves.append(sets)
+    return halves[0].unionByName(halves[1]).distinct().withColumnsRenamed({"x": "a", "y": "b"})
+
+
+def skeleton(variables: DataFrame, evaluate: Tester, alpha: float = 0.01, max_level: int | None = None) -> Graph:
     """Order-independent skeleton search: all tests of a level use the graph at its start."""
-    n = len(names)
-    graph = Graph(list(names), [set(range(n)) - {i} for i in range(n)])
-    level = 0
-    while max_level is None or level <= max_level:
-        frozen = [sorted(kin) for kin in graph.adjacent]
-        if level and all(len(kin) <= level for kin in frozen):
+    pairs = cut_lineage(all_pairs(variables.sparkSession, variables.count()))
+    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))
+    edges = edges.unionByName(_flipped(edges))
+    none = F.array().cast("array<int>")
+    found, separated = [], []
+    for level in count():
+        if max_level is not None and level > max_level:
+            break
+        tests = cut_lineage(level_tests(edges, level)) if level else pairs.withColumn("given", none)
+        if level and tests.isEmpty():
             break
-        accepted: dict[tuple[int, int], tuple[int, ...]] = {}
-        for (x, y, given), stat, dof, p in evaluate(_tests(frozen, level), level):
-            graph.tests.append((x, y, given, level, stat, dof, p))
-            if p > alpha:
-                accepted[x, y] = min(given, accepted.get((x, y), given))
-        for (x, y), given in accepted.items():
-            graph.adjacent[x].discard(y)
-            graph.adjacent[y].discard(x)
-            graph.sepset[x, y] = given
-        level += 1
-    return graph
-
-
-def _tests(frozen: list[list[int]], level: int) -> Iterator[Test]:
-    for x, kin in enumerate(frozen):
-        for y in kin:
-            if x < y:
-                sets = set(combinations([v for v in kin if v != y], level))
-                sets |= set(combinations([v for v in frozen[y] if v != x], level))
-                for given in sorted(sets):
-                    yield x, y, given
-
-
-def orient(graph: Graph) -> set[tuple[int, int]]:
-    """Ordered pairs a->b that are allowed; a pair held in both directions is undirected.
-
-    Unshielded colliders first (an earlier arrow wins a conflict), then the three Meek rules until
-    nothing changes.
+        done = evaluate(tests, level).select(*TEST, F.lit(level).alias("level"), "stat", "dof", "p")
+        found.append(materialize(done, "tests"))
+        accepted = found[-1].where(F.col("p") > alpha).groupBy("a", "b").agg(F.min("given").alias("given"))
+        separated.append(cut_lineage(accepted))
+        gone = separated[-1].select(F.col("a").alias("x"), F.col("b").alias("y"))
+        edges = cut_lineage(edges.join(gone.unionByName(_flipped(gone)), BOTH, "left_anti"))
+    return Graph(variables, edges, *(reduce(DataFrame.unionByName, x) for x in (separated, found)))
+
+
+def _without(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+    """Rows that have no partner in the (x, y) pairs of ``other`` under the named columns."""
+    named = other.select(*[F.col(own).alias(key) for own, key in zip(BOTH, keys, strict=True)])
+    return rows.join(named, list(keys), "left_anti")
+
+
+def colliders(graph: Graph) -> DataFrame:
+    """(s, t): the arrows of unshielded colliders.
+
+    A collider x -> z <- y is taken unless an earlier taken one, in the order of (x, y, z), holds the
+    reverse of one of its arrows. All those whose earlier opponents are decided are decided at once.
     """
-    near = graph.adjacent
-    n = len(near)
-    arrows: set[tuple[int, int]] = set()
-    for x, y in combinations(range(n), 2):
-        if y in near[x]:
-            continue
-        for z in sorted(near[x] & near[y]):
-            if z in graph.sepset.get((x, y), ()):
-                continue
-            if (z, x) not in arrows and (z, y) not in arrows:
-                arrows |= {(x, z), (y, z)}
+    near = graph.edges
+    left, right = near.withColumnRenamed("y", "z"), near.select(F.col("x").alias("y"), F.col("y").alias("z"))
+    open_ = _without(left.join(right, "z").where("x < y"), near, "x", "y")
+    keyed = graph.sepsets.withColumnsRenamed({"a": "x", "b": "y"})
+    key = F.struct("x", "y", "z").alias("key")
+    wanted = open_.join(keyed, BOTH).where(~F.array_contains("given", F.col("z"))).select(key)
+    wanted = cut_lineage(wanted)
+    half = lambda rows: rows.select("key", F.explode(F.array("key.x", "key.y")).alias("s"), F.col("key.z").alias("t"))
+    mine, theirs = half(wanted), half(wanted).select(F.col("key").alias("early"), F.col("t").alias("s"), F.col("s").alias("t"))
+    opposed = cut_lineage(mine.join(theirs, ["s", "t"]).where("early < key").select("key", "early").distinct())
+    waiting, taken = wanted, wanted.limit(0)
     while True:
-        new = None
-        for a, b in graph.pairs():
-            if (a, b) in arrows or (b, a) in arrows:
-                continue
-            for s, t in ((a, b), (b, a)):
-                into_s = [c for c in near[s] if (c, s) in arrows]
-                chain = any(t not in near[c] for c in into_s)
-                cycle = any((s, c) in arrows and (c, t) in arrows for c in near[s] & near[t])
-                fork = [
-                    c
-                    for c in near[s] & near[t]
-                    if (c, t) in arrows and (s, c) not in arrows and (c, s) not in arrows
-                ]
-                kite = any(d not in near[c] for c, d in combinations(fork, 2))
-                if chain or cycle or kite:
-                    new = (s, t)
-                    break
-            if new:
-                break
-        if not new:
+        alive = waiting.unionByName(taken).withColumnRenamed("key", "early")
+        blocked = opposed.join(alive, "early", "left_semi").select("key").distinct()
+        free = cut_lineage(waiting.join(blocked, "key", "left_anti"))
+        taken = cut_lineage(taken.unionByName(free))
+        lost = opposed.join(taken.withColumnRenamed("key", "early"), "early", "left_semi").select("key").distinct()
+        waiting = cut_lineage(waiting.join(free, "key", "left_anti").join(lost, "key", "left_anti"))
+        if waiting.isEmpty():
+            return half(taken).select("s", "t").distinct()
+
+
+def orient(graph: Graph) -> DataFrame:
+    """Arrows (s, t): colliders first, then the three Meek rules in rounds until nothing changes.
+
+    A round applies every rule to the arrows at its start; a pair that both directions claim points
+    from the lower number to the higher.
+    """
+    near = graph.edges
+    arrows = cut_lineage(colliders(graph))
+    named = lambda rows, *names: rows.toDF(*names)
+    while True:
+        known = arrows.select(F.col("s").alias("x"), F.col("t").alias("y"))
+        plain = cut_lineage(near.join(known.unionByName(_flipped(known)), BOTH, "left_anti"))
+        if plain.isEmpty():
+            return arrows
+        st = named(plain, "s", "t")
+        chain = _without(st.join(named(arrows, "c", "s"), "s"), near, "c", "t").where("c != t")
+        cycle = st.join(named(arrows, "s", "c"), "s").join(named(arrows, "c", "t"), ["c", "t"])
+        fork = st.join(named(plain, "s", "c"), "s").join(named(arrows, "c", "t"), ["c", "t"])
+        kite = fork.join(fork.withColumnRenamed("c", "d"), ["s", "t"]).where("c < d")
+        kite = _without(kite, near, "c", "d")
+        new = reduce(DataFrame.unionByName, (rows.select("s", "t") for rows in (chain, cycle, kite))).distinct()
+        back = new.select(F.col("t").alias("s"), F.col("s").alias("t"), F.lit(True).alias("both"))
+        new = cut_lineage(new.join(back, ["s", "t"], "left").where("both IS NULL OR s < t").select("s", "t"))
+        if new.isEmpty():
             return arrows
-        arrows.add(new)
+        arrows = cut_lineage(arrows.unionByName(new))
 
 
-def typed_edges(spark, graph: Graph) -> DataFrame:
-    """(source, target, relation); an undirected pair appears in both directions."""
-    arrows = orient(graph)
-    rows = []
-    for a, b in graph.pairs():
-        forward, back = (a, b) in arrows, (b, a) in arrows
-        if forward and not back:
-            rows.append((graph.names[a], graph.names[b], "directed"))
-        elif back and not forward:
-            rows.append((graph.names[b], graph.names[a], "directed"))
-        else:
-            kind = "bidirectional" if forward else "undirected"
-            rows.append((graph.names[a], graph.names[b], kind))
-            rows.append((graph.names[b], graph.names[a], kind))
-    return spark.createDataFrame(rows, EDGES)
-
-
-def skeleton_edges(spark, graph: Graph) -> DataFrame:
-    """(x, y) with x < y by name."""
-    rows = [tuple(sorted((graph.names[a], graph.names[b]))) for a, b in graph.pairs()]
-    return spark.createDataFrame(rows, "x string, y string")
+def _named(graph: Graph, pairs: DataFrame, *ends: str) -> DataFrame:
+    """Replace the variable numbers in the columns ``ends`` by names."""
+    for end in ends:
+        names = graph.variables.select(F.col("v").alias(end), F.col("name").alias("_name"))
+        pairs = pairs.join(names, end).drop(end).withColumnRenamed("_name", end)
+    return pairs
 
 
-def test_table(spark, graph: Graph) -> DataFrame:
-    name = graph.names
-    rows = [
-        (name[x], name[y], ",".join(name[v] for v in given), level, float(stat), int(dof), float(p))
-        for x, y, given, level, stat, dof, p in graph.tests
-    ]
-    return spark.createDataFrame(rows, TESTS)
+def typed_edges(graph: Graph) -> DataFrame:
+    """(source, target, relation); an undirected pair appears in both directions."""
+    arrows = cut_lineage(orient(graph))
+    flag = lambda s, t, name: arrows.select(F.col(s).alias("x"), F.col(t).alias("y"), F.lit(True).alias(name))
+    marked = graph.edges.join(flag("s", "t", "there"), BOTH, "left").join(flag("t", "s", "back"), BOTH, "left")
+    marked = marked.where("there IS NOT NULL OR back IS NULL")
+    kind = F.when(F.col("there").isNull(), "undirected").when(F.col("back").isNull(), "directed").otherwise("bidirectional")
+    return _named(graph, marked.select("x", "y", kind.alias("relation")), "x", "y").select(
+        F.col("x").alias("source"), F.col("y").alias("target"), "relation"
+    )
 
 
-def max_p(tests: DataFrame) -> DataFrame:
-    """Largest p per variable pair over all tests tried, zeros left out."""
-    return (
-        tests.groupBy("x", "y")
-        .agg(F.max("p").alias("p_max"), F.count(F.lit(1)).alias("n_tests"))
-        .filter(F.col("p_max") != 0)
+def skeleton_edges(graph: Graph) -> DataFrame:
+    """(x, y) with x < y by name."""
+    return _named(graph, graph.edges, "x", "y").where("x < y").select("x", "y")
+
+
+def test_table(graph: Graph) -> DataFrame:
+    """(x, y, given, level, stat, dof, p) by name; the names in ``given`` are joined by commas."""
+    sets = graph.tests.select("given").distinct()
+    each = sets.select("given", F.posexplode("given").alias("at", "v")).join(graph.variables, "v")
+    names = F.array_sort(F.collect_list(F.struct("at", "name")))
+    labels = each.groupBy("given").agg(F.array_join(F.transform(names, lambda n: n["name"]), ",").alias("label"))
+    rows = graph.tests.join(labels, "given", "left").withColumn("given", F.coalesce("label", F.lit("")))
+    return _named(graph, rows.withColumnsRenamed({"a": "x", "b": "y"}), "x", "y").select(
+        "x", "y", "given", "level", "stat", "dof", "p"
     )
 
 
-def _sampled(patterns: DataFrame) -> DataFrame:
-    """Checkpointed patterns; without any, no test has a result and no graph would mean anything."""
-    fixed = cut_lineage(patterns)
+def max_p(graph: Graph) -> DataFrame:
+    """(x, y, p_max, n_tests): largest p per variable pair over all tests tried, zeros left out."""
+    best = graph.tests.groupBy("a", "b").agg(F.max("p").alias("p_max"), F.count(F.lit(1)).alias("n_tests"))
+    best = best.where(F.col("p_max") != 0).withColumnsRenamed({"a": "x", "b": "y"})
+    return _named(graph, best, "x", "y").select("x", "y", "p_max", "n_tests")
+
+
+def _sampled(samples: DataFrame) -> DataFrame:
+    """Checkpointed samples; without any, no test has a result and no graph would mean anything."""
+    fixed = cut_lineage(samples)
     if fixed.isEmpty():
         raise ValueError("no samples to test")
     return fixed
 
 
 def discover(
-    patterns: DataFrame,
-    names: Sequence[str],
-    kind: str = "chi2",
-    alpha: float = 0.01,
-    max_level: int | None = None,
-    cards: Sequence[int] | None = None,
+    samples: DataFrame, variables: DataFrame, kind: str = "chi2", alpha: float = 0.01, max_level: int | None = None
 ) -> Graph:
-    """PC on discrete patterns. They are checkpointed once and read again by every level."""
-    tester = discrete_tester(_sampled(patterns), kind, cards)
-    return skeleton(names, tester, alpha, max_level)
+    """PC on sparse samples. They are checkpointed once and read again by every level."""
+    variables = cut_lineage(variables)
+    return skeleton(variables, discrete_tester(_sampled(samples), variables.count(), kind), alpha, max_level)
 
 
 def discover_gaussian(
-    correlated: DataFrame, names: Sequence[str], alpha: float = 0.05, max_level: int | None = None
+    correlated: DataFrame, variables: DataFrame, alpha: float = 0.05, max_level: int | None = None
 ) -> Graph:
-    """PC on continuous columns with Fisher-Z."""
-    return skeleton(names, gaussian_tester(correlated, names), alpha, max_level)
-
-
-def compare_tests(
-    spark,
-    patterns: DataFrame,
-    names: Sequence[str],
-    alpha: float,
-    max_level: int | None = None,
-    cards: Sequence[int] | None = None,
-) -> DataFrame:
-    """Edges of the oriented chi-square graph against those of the G-square skeleton."""
-    patterns = _sampled(patterns)
-    chi = skeleton(names, discrete_tester(patterns, "chi2", cards), alpha, max_level)
-    gsq = skeleton(names, discrete_tester(patterns, "gsq", cards), alpha, max_level)
-    return spark.createDataFrame(
-        [("chi2", len(chi.pairs())), ("gsq", len(gsq.pairs()))], "test string, edges long"
-    )
-
+    """PC on continuous columns with Fisher-Z; ``correlated`` is (x, y, n, r) by name."""
+    numbers = variables.select("name", "v")
+    pairs = correlated.join(numbers.toDF("x", "i"), "x").join(numbers.toDF("y", "j"), "y")
+    pairs = cut_lineage(pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "n", "r"))
+    return skeleton(cut_lineage(variables), gaussian_tester(pairs), alpha, max_level)
+
+
+def compare_tests(samples: DataFrame, variables: DataFrame, alpha: float, max_level: int | None = None) -> DataFrame:
+    """(test, edges): edges of the chi-square graph against those of the G-square skeleton."""
+    samples, parts = _sampled(samples), []
+    for kind in ("chi2", "gsq"):
+        edges = discover(samples, variables, kind, alpha, max_level).edges.where("x < y")
+        parts.append(edges.agg(F.count(F.lit(1)).alias("edges")).select(F.lit(kind).alias("test"), "edges"))
+    return parts[0].unionByName(parts[1])

@@ -14,42 +14,32 @@ WINDOW = 3
 CONTINUOUS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def variable_names(rows, column):
-    """The variables of a matrix, in name order: one value per matrix column."""
-    return [r[0] for r in rows.select(column).distinct().orderBy(column).collect()]
-
-
-def basket_patterns(spark, sf):
-    """Brand baskets of the orders as weighted 0/1 vectors."""
-    names = variable_names(tables.table(spark, sf, "part"), "p_brand")
+def basket_samples(spark, sf):
+    """Brand baskets of the orders as sparse samples, and the brands."""
+    brands = matrix.variables(tables.table(spark, sf, "part"), "p_brand")
     sets = matrix.row_sets(tables.basket_items(spark, sf))
-    return matrix.indicator_vectors(matrix.set_patterns(sets), names), names
-
+    return matrix.item_samples(matrix.set_patterns(sets), brands), brands
 
-def binary(names):
-    return [2] * len(names)
 
-
-def window_patterns(spark, sf, w=WINDOW):
-    """Sliding windows of the event series as weighted 0/1 vectors."""
-    names = variable_names(tables.events(spark, sf), "template")
+def window_samples(spark, sf, w=WINDOW):
+    """Sliding windows of the event series as sparse samples, and the templates."""
+    templates = matrix.variables(tables.events(spark, sf), "template")
     sets = windows.window_sets(tables.series(spark, sf), w)
-    return matrix.indicator_vectors(matrix.set_patterns(sets), names), names
+    return matrix.item_samples(matrix.set_patterns(sets), templates), templates
 
 
 def _statistics(kind):
     def run(spark, sf):
-        patterns, names = basket_patterns(spark, sf)
-        out = citest.pair_tests(patterns, names, kind, binary(names))
+        out = citest.pair_tests(*basket_samples(spark, sf), kind)
         return out.select("x", "y", F.round("stat", 6).alias("stat"), "dof", (F.col("p") <= ALPHA).alias("dependent"))
 
     return run
 
 
 def pair_contingency(spark, sf):
-    patterns, names = basket_patterns(spark, sf)
-    cells = citest.count_pair_cells(patterns, binary(names))
-    return citest.name_pairs(citest.pair_table(cells), names)
+    samples, brands = basket_samples(spark, sf)
+    cells = citest.pair_cells(samples, brands.count())
+    return citest.name_pairs(citest.pair_table(cells), brands)
 
 
 def row_patterns(spark, sf):
@@ -71,11 +61,8 @@ def chi2_multivalued(spark, sf):
     names = ["l_discount", "l_linestatus", "l_quantity", "l_returnflag", "l_tax"]
     item = tables.table(spark, sf, "lineitem").select(*names)
     coded = matrix.discretize(item, ["l_discount", "l_quantity", "l_tax"], 5)
-    # Fixed category codes of the two flag columns.
-    flag = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
-    status = F.when(F.col("l_linestatus") == "F", 0).otherwise(1)
-    coded = coded.withColumn("l_returnflag", flag).withColumn("l_linestatus", status)
-    stats = citest.pair_tests(matrix.coded_vectors(coded, names), names)
+    coded = matrix.coded_names(matrix.coded_names(coded, "l_returnflag"), "l_linestatus")
+    stats = citest.pair_tests(matrix.coded_samples(coded, names), matrix.listed_variables(spark, names))
     return stats.select("x", "y", F.round("stat", 6).alias("stat"), "dof")
 
 
@@ -86,62 +73,56 @@ def fisherz_pairs(spark, sf):
 
 
 def pc_skeleton(spark, sf):
-    patterns, names = window_patterns(spark, sf)
-    return pc.skeleton_edges(spark, pc.discover(patterns, names, "gsq", ALPHA, 3, binary(names)))
+    return pc.skeleton_edges(pc.discover(*window_samples(spark, sf), "gsq", ALPHA, 3))
 
 
 def pc_orient(spark, sf):
-    patterns, names = window_patterns(spark, sf)
-    return pc.typed_edges(spark, pc.discover(patterns, names, "chi2", ALPHA, cards=binary(names)))
+    return pc.typed_edges(pc.discover(*window_samples(spark, sf), "chi2", ALPHA))
 
 
 def pc_fisherz(spark, sf):
     sizes = tables.doc_sizes(spark, sf)
-    graph = pc.discover_gaussian(citest.correlations(sizes, sizes.columns), sizes.columns)
-    return pc.typed_edges(spark, graph)
+    names = matrix.listed_variables(spark, sizes.columns)
+    return pc.typed_edges(pc.discover_gaussian(citest.correlations(sizes, sizes.columns), names))
 
 
 def _traits_graph(spark, sf):
     traits = tables.doc_traits(spark, sf)
-    names = traits.columns
-    return pc.discover(matrix.coded_vectors(traits, names), names, "chi2", ALPHA, cards=binary(names))
+    names = matrix.listed_variables(spark, traits.columns)
+    return pc.discover(matrix.coded_samples(traits, traits.columns), names, "chi2", ALPHA)
 
 
 def pc_skeleton_traits(spark, sf):
-    return pc.skeleton_edges(spark, _traits_graph(spark, sf))
+    return pc.skeleton_edges(_traits_graph(spark, sf))
 
 
 def pc_orient_traits(spark, sf):
-    return pc.typed_edges(spark, _traits_graph(spark, sf))
+    return pc.typed_edges(_traits_graph(spark, sf))
 
 
 def chi2_bins(spark, sf):
     """Pair tests over template counts per bin: multi-valued variables."""
-    names = variable_names(tables.events(spark, sf), "template")
-    patterns = discovery.bin_patterns(windows.bins_clamped(tables.series(spark, sf), 10, tables.flat_series(spark, sf)), names)
-    stats = citest.pair_tests(patterns, names)
+    binned = windows.bins_clamped(tables.series(spark, sf), 10, tables.flat_series(spark, sf))
+    templates = matrix.variables(tables.events(spark, sf), "template")
+    stats = citest.pair_tests(discovery.bin_samples(binned, templates), templates)
     return stats.select("x", "y", F.round("stat", 6).alias("stat"), "dof")
 
 
 def pair_pmax(spark, sf):
-    patterns, names = basket_patterns(spark, sf)
-    graph = pc.discover(patterns, names, "chi2", ALPHA, max_level=3, cards=binary(names))
-    return pc.max_p(pc.test_table(spark, graph)).withColumn("p_max", F.round("p_max", 4))
+    graph = pc.discover(*basket_samples(spark, sf), "chi2", ALPHA, max_level=3)
+    return pc.max_p(graph).withColumn("p_max", F.round("p_max", 4))
 
 
 def test_compare(spark, sf):
-    patterns, names = window_patterns(spark, sf)
-    return pc.compare_tests(spark, patterns, names, ALPHA, 3, binary(names))
+    return pc.compare_tests(*window_samples(spark, sf), ALPHA, 3)
 
 
 def pc_var_subset(spark, sf):
     """The test and its decision for a chosen pair of templates only."""
-    pair = ["click", "error"]
+    pair = matrix.listed_variables(spark, ["click", "error"])
     sets = windows.window_sets(tables.series(spark, sf), WINDOW)
-    patterns = matrix.indicator_vectors(matrix.set_patterns(sets), pair)
-    patterns = patterns.groupBy("vec").agg(F.sum("weight").alias("weight"))
-    graph = pc.discover(patterns, pair, "chi2", ALPHA, cards=binary(pair))
-    return pc.test_table(spark, graph).select(
+    graph = pc.discover(matrix.item_samples(matrix.set_patterns(sets), pair), pair, "chi2", ALPHA)
+    return pc.test_table(graph).select(
         "x", "y", F.round("stat", 6).alias("stat"), "dof", (F.col("p") <= ALPHA).alias("dependent")
     )
 
@@ -225,43 +206,121 @@ def _stat_term(kind):
     return "sum(2 * o * ln(o / (r * c / n)))"
 
 
+def _before(level: int, tag: str) -> str:
+    return f"g{tag}{level - 1}" if level else "(SELECT a.var AS x, b.var AS y FROM na a JOIN na b ON a.var <> b.var)"
+
+
+def _tests_sql(level: int, tag: str) -> str:
+    """Tests of a level on the frozen graph: pairs x < y and sets of neighbours of either end."""
+    before, out = _before(level, tag), f"{tag}{level}"
+    if level == 0:
+        return f"t{out} AS (SELECT x, y FROM {before} WHERE x < y)"
+    halves = []
+    for end, other in (("x", "y"), ("y", "x")):
+        joins = "".join(f" JOIN {before} k{i} ON k{i}.x = g.{end} AND k{i}.y <> g.{other}" for i in range(level))
+        order = "".join(f" AND k{i - 1}.y < k{i}.y" for i in range(1, level))
+        picked = "".join(f", k{i}.y AS s{i}" for i in range(level))
+        halves.append(f"SELECT g.x, g.y{picked} FROM {before} g{joins} WHERE g.x < g.y{order}")
+    return f"t{out} AS ({' UNION '.join(halves)})"
+
+
+def _survivors_sql(level: int, tag: str) -> str:
+    out = f"{tag}{level}"
+    return f"""g{out} AS MATERIALIZED (SELECT x, y FROM {_before(level, tag)} g WHERE NOT EXISTS
+  (SELECT 1 FROM d{out} d WHERE d.independent AND ((d.x = g.x AND d.y = g.y) OR (d.x = g.y AND d.y = g.x))))"""
+
+
 def _level_sql(level: int, kind: str, tag: str = "") -> str:
     """CTEs of one level: tests on the frozen graph, cells, statistics, surviving graph."""
     s = [f"s{i}" for i in range(level)]
     cols = "".join(f", t.{c}" for c in s)
     out = f"{tag}{level}"
-    before = f"g{tag}{level - 1}" if level else "(SELECT a.var AS x, b.var AS y FROM na a JOIN na b ON a.var <> b.var)"
-    if level == 0:
-        tests = f"t{out} AS (SELECT x, y FROM {before} WHERE x < y)"
-    else:
-        halves = []
-        for end, other in (("x", "y"), ("y", "x")):
-            joins = "".join(f" JOIN {before} k{i} ON k{i}.x = g.{end} AND k{i}.y <> g.{other}" for i in range(level))
-            order = "".join(f" AND k{i - 1}.y < k{i}.y" for i in range(1, level))
-            picked = "".join(f", k{i}.y AS s{i}" for i in range(level))
-            halves.append(f"SELECT g.x, g.y{picked} FROM {before} g{joins} WHERE g.x < g.y{order}")
-        tests = f"t{out} AS ({' UNION '.join(halves)})"
     slices = "".join(f" JOIN va v{i} ON v{i}.pid = a.pid AND v{i}.var = t.s{i}" for i in range(level))
     code = " || ".join(f"v{i}.bit" for i in range(level)) or "''"
     group = "x, y" + "".join(f", {c}" for c in s)
     critical = ", ".join(f"({i + 1}, {c})" for i, c in enumerate(CRITICAL))
-    return f"""{tests}
+    return f"""{_tests_sql(level, tag)}
 , c{out} AS (SELECT t.x, t.y{cols}, CAST({code} AS VARCHAR) AS z, a.bit AS xb, b.bit AS yb, sum(a.w)::DOUBLE AS o
   FROM t{out} t JOIN va a ON a.var = t.x JOIN va b ON b.pid = a.pid AND b.var = t.y{slices} GROUP BY ALL)
 , m{out} AS (SELECT *, sum(o) OVER (PARTITION BY {group}, z, xb) AS r, sum(o) OVER (PARTITION BY {group}, z, yb) AS c,
   sum(o) OVER (PARTITION BY {group}, z) AS n FROM c{out})
 , z{out} AS (SELECT {group}, z, {_stat_term(kind)} AS stat, (count(DISTINCT xb) - 1) * (count(DISTINCT yb) - 1) AS dof FROM m{out} GROUP BY ALL)
 , r{out} AS (SELECT {group}, sum(stat) AS stat, CAST(sum(dof) AS BIGINT) AS dof FROM z{out} GROUP BY ALL)
-, d{out} AS (SELECT r.*, coalesce(stat < crit, true) AS independent FROM r{out} r
+, d{out} AS MATERIALIZED (SELECT r.*, coalesce(stat < crit, true) AS independent FROM r{out} r
   LEFT JOIN (SELECT * FROM (VALUES {critical}) q(k, crit)) q ON q.k = r.dof)
-, g{out} AS (SELECT x, y FROM {before} g WHERE NOT EXISTS
-  (SELECT 1 FROM d{out} d WHERE d.independent AND ((d.x = g.x AND d.y = g.y) OR (d.x = g.y AND d.y = g.x))))"""
+, {_survivors_sql(level, tag)}"""
 
 
 def _skeleton_sql(kind: str, levels: int, tag: str = "") -> str:
     return "\n, ".join(_level_sql(i, kind, tag) for i in range(levels + 1))
 
 
+def _oriented_sql(levels: int, rounds: int = 12) -> str:
+    """CTEs and final SELECT of the typed edges of the graph ``g<levels>``; rounds are unrolled."""
+    given = [f"[{', '.join(f's{i}' for i in range(level))}]::VARCHAR[]" for level in range(levels + 1)]
+    sets = " UNION ALL ".join(f"SELECT x, y, {g} AS given FROM d{i} WHERE independent" for i, g in enumerate(given))
+    out = f"""sp AS (SELECT x, y, min(given) AS given FROM ({sets}) GROUP BY ALL)
+, nr AS MATERIALIZED (SELECT x, y FROM g{levels})
+, ca AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a.x, b.x, a.y) AS k, a.x, b.x AS y, a.y AS z
+  FROM nr a JOIN nr b ON a.y = b.y AND a.x < b.x JOIN sp ON sp.x = a.x AND sp.y = b.x
+  WHERE NOT list_contains(given, a.y) AND NOT EXISTS (SELECT 1 FROM nr n WHERE n.x = a.x AND n.y = b.x))
+, ha AS MATERIALIZED (SELECT k, x AS s, z AS t FROM ca UNION ALL SELECT k, y, z FROM ca)
+, co AS MATERIALIZED (SELECT DISTINCT j.k AS early, i.k AS late FROM ha i JOIN ha j ON i.s = j.t AND i.t = j.s AND j.k < i.k)
+, st0 AS MATERIALIZED (SELECT k, 'open' AS state FROM ca)"""
+    for r in range(rounds):
+        out += f"""
+, st{r + 1} AS MATERIALIZED (SELECT c.k, CASE WHEN c.state <> 'open' THEN c.state
+    WHEN EXISTS (SELECT 1 FROM co JOIN st{r} e ON e.k = early WHERE late = c.k AND e.state = 'taken') THEN 'lost'
+    WHEN EXISTS (SELECT 1 FROM co JOIN st{r} e ON e.k = early WHERE late = c.k AND e.state = 'open') THEN 'open'
+    ELSE 'taken' END AS state FROM st{r} c)"""
+    out += f"\n, w0 AS MATERIALIZED (SELECT DISTINCT s, t FROM ha JOIN st{rounds} USING (k) WHERE state = 'taken')"
+    for r in range(rounds):
+        out += f"""
+, p{r} AS MATERIALIZED (SELECT x AS s, y AS t FROM nr WHERE NOT EXISTS (SELECT 1 FROM w{r} w WHERE (w.s = x AND w.t = y) OR (w.s = y AND w.t = x)))
+, f{r} AS MATERIALIZED (SELECT p.s, p.t, q.t AS c FROM p{r} p JOIN p{r} q ON q.s = p.s JOIN w{r} w ON w.s = q.t AND w.t = p.t)
+, n{r} AS MATERIALIZED (
+  SELECT p.s, p.t FROM p{r} p JOIN w{r} w ON w.t = p.s WHERE NOT EXISTS (SELECT 1 FROM nr n WHERE n.x = w.s AND n.y = p.t) AND w.s <> p.t
+  UNION SELECT p.s, p.t FROM p{r} p JOIN w{r} w ON w.s = p.s JOIN w{r} v ON v.s = w.t AND v.t = p.t
+  UNION SELECT a.s, a.t FROM f{r} a JOIN f{r} b ON a.s = b.s AND a.t = b.t AND a.c < b.c
+    WHERE NOT EXISTS (SELECT 1 FROM nr n WHERE n.x = a.c AND n.y = b.c))
+, w{r + 1} AS MATERIALIZED (SELECT s, t FROM w{r} UNION
+  SELECT s, t FROM n{r} n WHERE s < t OR NOT EXISTS (SELECT 1 FROM n{r} m WHERE m.s = n.t AND m.t = n.s))"""
+    return out + f"""
+SELECT e.x AS source, e.y AS target, CASE WHEN a.s IS NULL THEN 'undirected' WHEN b.s IS NULL THEN 'directed' ELSE 'bidirectional' END AS relation
+FROM nr e LEFT JOIN w{rounds} a ON a.s = e.x AND a.t = e.y LEFT JOIN w{rounds} b ON b.s = e.y AND b.t = e.x
+WHERE a.s IS NOT NULL OR b.s IS NULL"""
+
+
+def _fisherz_sql() -> str:
+    """PC over the four size measures: partial correlations by recursion, then the orientation."""
+    levels, names = 2, ["chars", "commas", "lines", "words"]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    corr = " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, corr({a}, {b}) AS r FROM sz" for a, b in pairs)
+    out = f"""si AS (SELECT n_chars::DOUBLE AS chars, (length(text) - length(replace(text, ',', '')))::DOUBLE AS commas,
+    len(string_split(text, chr(10)))::DOUBLE AS lines, len(string_split(text, ' '))::DOUBLE AS words FROM documents)
+, sz AS (SELECT * FROM si WHERE chars IS NOT NULL AND commas IS NOT NULL)
+, na AS (SELECT unnest({names}) AS var)
+, nn AS (SELECT count(*) AS n FROM sz)
+, c0 AS ({corr})
+, q0 AS (SELECT x, y, r FROM c0 UNION ALL SELECT y, x, r FROM c0)"""
+    for level in range(1, levels + 1):
+        have = "".join(f", a.s{i}" for i in range(level - 1))
+        same = lambda e: "".join(f" AND a.s{i} = {e}.s{i}" for i in range(level - 1))
+        fresh = "".join(f" AND b.y <> a.s{i}" for i in range(level - 1))
+        out += f"""
+, q{level} AS (SELECT a.x, a.y{have}, b.y AS s{level - 1}, (a.r - b.r * c.r) / sqrt((1 - b.r * b.r) * (1 - c.r * c.r)) AS r
+  FROM q{level - 1} a JOIN q{level - 1} b ON b.x = a.x{same('b')} AND b.y <> a.y{fresh}
+  JOIN q{level - 1} c ON c.x = a.y AND c.y = b.y{same('c')})"""
+    for level in range(levels + 1):
+        given = "".join(f" AND q.s{i} = t.s{i}" for i in range(level))
+        out += f"""
+, {_tests_sql(level, '')}
+, d{level} AS MATERIALIZED (SELECT t.*, abs(atanh(q.r)) * sqrt(n - {level + 3}) < 1.959963984540054 AS independent
+  FROM t{level} t JOIN q{level} q ON q.x = t.x AND q.y = t.y{given}, nn)
+, {_survivors_sql(level, '')}"""
+    return f"WITH {out}\n, {_oriented_sql(levels)}"
+
+
 # Complementary error function by its published rational-exponential fit (error below 1.2e-7).
 _ERFC = """t * exp(-z * z - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806
   + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))"""
@@ -339,7 +398,10 @@ SQL = {
     "chi2_multivalued": _chi2_multivalued_sql(),
     "fisherz_pairs": _correlation_sql(),
     "pc_skeleton": f"WITH {_WINDOW_PATTERNS}, {_skeleton_sql('gsq', 3)} SELECT x, y FROM g3 WHERE x < y",
-    "pc_skeleton_traits": f"WITH {_TRAIT_PATTERNS}, {_skeleton_sql('chi2', 3)} SELECT x, y FROM g3 WHERE x < y",
+    "pc_orient": f"WITH {_WINDOW_PATTERNS}, {_skeleton_sql('chi2', 3)}\n, {_oriented_sql(3)}",
+    "pc_orient_traits": f"WITH {_TRAIT_PATTERNS}, {_skeleton_sql('chi2', 4)}\n, {_oriented_sql(4)}",
+    "pc_fisherz": _fisherz_sql(),
+    "pc_skeleton_traits": f"WITH {_TRAIT_PATTERNS}, {_skeleton_sql('chi2', 4)} SELECT x, y FROM g4 WHERE x < y",
     "chi2_bins": _chi2_bins_sql(),
     "pair_pmax": f"WITH {_BASKET_PATTERNS}, {_skeleton_sql('chi2', 1)}, {_PMAX}",
     "test_compare": f"""WITH {_WINDOW_PATTERNS}, {_skeleton_sql('chi2', 3, 'c')}, {_skeleton_sql('gsq', 3, 'q')}

@@ -13,15 +13,15 @@ from tracewell.session import cut_lineage, materialize
 
 @dataclass
 class Windowed:
-    """Window patterns of a log with the facts behind them."""
+    """Window samples of a log with the facts behind them."""
 
-    patterns: DataFrame
-    names: list[str]
+    samples: DataFrame
+    templates: DataFrame
     quality: DataFrame
 
 
 def windowed_dataset(lines: DataFrame, window_size: int | None = None, min_freq: int = 5) -> Windowed:
-    """Frequent lines, cut into sliding windows, as weighted 0/1 patterns.
+    """Frequent lines, cut into sliding windows, as sparse samples.
 
     Without a size each source gets the largest window that leaves enough samples per template.
     The distinct window sizes (at most 29) give one sliding pass each.
@@ -31,8 +31,8 @@ def windowed_dataset(lines: DataFrame, window_size: int | None = None, min_freq:
     sizes = windows.choose_window(kept)
     if window_size is not None:
         sizes = sizes.withColumn("window_size", F.lit(window_size).cast("long"))
-    names = [r[0] for r in kept.select("template").distinct().orderBy("template").collect()]
-    if not names:
+    templates = cut_lineage(matrix.variables(kept, "template"))
+    if templates.isEmpty():
         raise ValueError("no template is frequent enough")
     sizes = cut_lineage(sizes)
     sets = None
@@ -42,8 +42,8 @@ def windowed_dataset(lines: DataFrame, window_size: int | None = None, min_freq:
             part = kept.join(sizes.filter(F.col("window_size") == w).select("source"), "source", "left_semi")
         one = windows.window_sets(part, w)
         sets = one if sets is None else sets.unionByName(one)
-    patterns = matrix.indicator_vectors(matrix.set_patterns(sets), names)
-    return Windowed(patterns, names, windows.matrix_quality(sizes))
+    samples = matrix.item_samples(matrix.set_patterns(sets), templates)
+    return Windowed(samples, templates, windows.matrix_quality(sizes))
 
 
 def pc_from_log(
@@ -56,10 +56,9 @@ def pc_from_log(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Typed edges, one-row report and largest p per pair of the PC graph over a template log."""
     data = windowed_dataset(lines, window_size, min_freq)
-    spark = lines.sparkSession
-    found = pc.discover(data.patterns, data.names, kind, alpha, max_level, [2] * len(data.names))
-    edges = pc.typed_edges(spark, found)
-    return edges, graph.edge_report(edges, len(data.names)), pc.max_p(pc.test_table(spark, found))
+    found = pc.discover(data.samples, data.templates, kind, alpha, max_level)
+    edges = pc.typed_edges(found)
+    return edges, graph.edge_report(edges, data.templates.count()), pc.max_p(found)
 
 
 def pc_from_baskets(
@@ -68,27 +67,22 @@ def pc_from_baskets(
     """Typed edges and first-parent / first-child table over ', '-separated lines."""
     members = matrix.basket_members(lined, row_id)
     nodes = members.select(F.col("var").alias("template")).distinct()
-    names = [r[0] for r in nodes.orderBy("template").collect()]
-    patterns = matrix.indicator_vectors(matrix.set_patterns(matrix.row_sets(members)), names)
-    found = pc.discover(patterns, names, kind, alpha, max_level, [2] * len(names))
-    edges = pc.typed_edges(lined.sparkSession, found)
+    variables = matrix.variables(members, "var")
+    samples = matrix.item_samples(matrix.set_patterns(matrix.row_sets(members)), variables)
+    edges = pc.typed_edges(pc.discover(samples, variables, kind, alpha, max_level))
     return edges, graph.first_neighbours(nodes, edges)
 
 
-def bin_patterns(binned: DataFrame, names: list[str]) -> DataFrame:
-    """Template counts per bin as weighted code vectors: templates are variables, bins samples."""
-    counts = [F.count_if(F.col("template") == n).cast("int") for n in names]
-    return matrix.coded_vectors(
-        binned.groupBy("source", "bin").agg(*[c.alias(f"_{i}") for i, c in enumerate(counts)]),
-        [f"_{i}" for i in range(len(names))],
-    )
+def bin_samples(binned: DataFrame, variables: DataFrame) -> DataFrame:
+    """Template counts per bin as sparse samples: templates are variables, bins samples."""
+    return matrix.counted_samples(binned, ["source", "bin"], "template", variables)
 
 
 def compare_on_bins(
-    binned: DataFrame, names: list[str], alpha: float = 0.01, max_level: int | None = None
+    binned: DataFrame, variables: DataFrame, alpha: float = 0.01, max_level: int | None = None
 ) -> DataFrame:
     """Edges of the chi-square graph and the G-square skeleton over bin counts."""
-    return pc.compare_tests(binned.sparkSession, bin_patterns(binned, names), names, alpha, max_level)
+    return pc.compare_tests(bin_samples(binned, variables), variables, alpha, max_level)
 
 
 def granger_from_log(lines: DataFrame, min_freq: int = 5, maxlag: int = 3) -> tuple[DataFrame, DataFrame]:
