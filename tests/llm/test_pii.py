@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -88,3 +89,58 @@ def test_revealing_terms_go_from_documents_without_the_entity(spark):
     assert {i: w for i, w in words.items() if w} == want
     texts = {r.doc_id: r.text for r in pii.sanitise(marked).collect()}
     assert "[TERM] came" in texts[404] and "[TERM] and [TERM]" in texts[405] and texts[406] == "Zebulons K77 Ngo"
+
+
+TERM = re.compile(r"[^\W_]{2,}")
+WORDS = re.compile("|".join([*(PATTERNS[k].replace("(", "(?:").replace("\\+(?:", "\\+(") if k != "phone" else PATTERNS[k]
+                               for k in ("email", "phone", "ip", "card")), r"\n", TERM.pattern]))
+
+
+def brute_terms(texts, window=24, bound=0.4, bits=4.0):
+    """The disclosure rule by its definition: loops over entities, words and lines."""
+    near, holders = {}, {}
+    for d, text in enumerate(texts):
+        words, line = [], 0
+        for m in WORDS.finditer(text):
+            if m[0] == "\n":
+                line += 1
+            else:
+                kinds = [k for k in PATTERNS if re.fullmatch(PATTERNS[k], m[0]) and good(k, m[0])]
+                words.append((m[0], line, f"{kinds[0]}:{m[0]}" if kinds else None))
+        lines = text.split("\n")
+        for i, (_, _, entity) in enumerate(words):
+            if entity:
+                holders.setdefault(entity, set()).add(d)
+                for w, at, other in words[max(0, i - window - 1) : i + window + 2]:
+                    if not other and TERM.fullmatch(w):
+                        near.setdefault((entity, w.lower()), set()).add((d, at, lines[at]))
+    holding = {}
+    for d, text in enumerate(texts):
+        for n, line in enumerate(text.split("\n")):
+            for w in set(TERM.findall(line.lower())):
+                holding.setdefault(w, set()).add((d, n))
+    out = set()
+    for (entity, term), places in near.items():
+        k, miss = len({x for _, _, x in places}), max(0, len(holding[term]) - len(places))
+        n, z = k + miss, 1.645
+        low = (k / n + z * z / (2 * n) - z * (k * miss / n**3 + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+        share = len(holders[entity]) / len(texts)
+        if low >= bound and math.log2(low / share) >= bits:
+            out.add((entity, term))
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    random.seed(12)
+    common = [f"wort{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200)]
+    line = lambda n=9: " ".join(random.choices(common, k=n))
+    texts = ["\n".join(line() for _ in range(random.randrange(1, 5))) for _ in range(350)]
+    people = [("Odalys Vexler", "ody@mail.example.com"), ("Bram Quist", "+49 (743) 555-3824"), ("Ilse Maar", "10.20.30.40")]
+    for k, (name, value) in enumerate(people):
+        for i in range(3 + k):
+            texts.append(f"{line()}\n{line(3)} {name}\n{line(random.randrange(1, 12))}\n{line(4)}: {value} {line()}")
+    texts += [f"Vexler alone {line()}", f"{line()} Quist\n\n{line()}", "", "ody@mail.example.com"]
+    texts += [f"everywhere {line()} all@mail.example.com Footerword {line()}" for _ in range(60)]
+    got = {tuple(r) for r in pii.disclosing_terms(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == brute_terms(texts)
+    assert {t for _, t in got} >= {"odalys", "bram"} and "footerword" not in {t for _, t in got}

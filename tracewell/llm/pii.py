@@ -1,17 +1,20 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
 The patterns find emails, IP addresses, cards and phones. Each value found is a protected entity.
-The corpus then tells which terms give an entity away: over the lines of all documents, a term that
-stands in lines of an entity and hardly elsewhere carries most of the entity's information. Its
-disclosure is the pointwise mutual information of term and entity as a share of the entity's own
-information, ``1 + log2(P(entity | term)) / -log2(P(entity))``. A term passes as disclosing from the
-threshold on if it stands with the entity in at least ``min_lines`` different lines, so copies of a
-line prove nothing. Disclosing terms are marked in every document, with or without the entity, and
-the sanitised text replaces every span by its kind.
-
-Everything is DataFrame operations. A null text is empty and has no spans. Rows are handled one by
-one, so null or repeated ids do no harm. Empty tables stay empty; result columns replace columns of
-the same name. Spans count code points, the end is exclusive.
+The corpus then tells which terms give an entity away. A term stands *near* an entity if at most
+``window`` words lie between, across lines too. Of all lines that hold the term, those where it stands
+near the entity estimate P(entity | term). As few lines prove little, the estimate is taken at the
+lower end of its confidence interval, where different lines count for the entity, so copies of a line prove
+nothing, and every line away from it counts against. A term discloses if that bound reaches
+``bound`` and lies ``bits`` of information above the share of documents with the entity. Neither
+moves with the size of the corpus. Disclosing terms are marked in every document, with or without
+the entity, and the sanitised text replaces every span by its kind.
+
+Everything is DataFrame operations. Texts are neither copied nor shuffled: what leaves a document are
+terms near entities, counts of terms that stand near one, and the few documents with a passing term.
+A null text is empty and has no spans. Rows are handled one by one, so null or repeated ids do no
+harm. Empty tables stay empty; result columns replace columns of the same name. Spans count code
+points, the end is exclusive.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+#: Words between a term and an entity, and the confidence of the bound in standard deviations.
+WINDOW, DEVIATIONS = 24, 1.645
+BOUND, BITS = 0.4, 4.0
 #: Terms are runs of letters and digits of at least this length, in lower case.
 TERM = r"[\p{L}\p{N}]{2,}+"
 BLOCK = 256
@@ -130,64 +136,103 @@ def _terms(line: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(TERM), F.lit(0)))
 
 
+def _kind_of(word: Column) -> Column:
+    """The kind of a word that is a whole valid base match, else null."""
+    shape = {"email": word.contains("@"), "phone": word.startswith("+"), "ip": word.contains("."), "card": F.lit(True)}
+    kind = F.when(F.lit(False), F.lit(""))
+    for k, looks in shape.items():
+        kind = kind.when(looks, F.when(valid(k, word), F.lit(k)))
+    return F.when(F.regexp_like(word, F.lit("[@+0-9]")), kind)
+
+
+#: Base matches, line ends and terms in the order of the text.
+_WORDS = "|".join([PATTERNS["email"], PATTERNS["phone"], PATTERNS["ip"], PATTERNS["card"], r"\n", TERM])
+_SEP = "\x01"
+
+
+def _near_terms(text: Column, window: int) -> Column:
+    """Array of "entity, line number, line hash, term" for all terms near an entity, each line once."""
+    found = F.regexp_extract_all(text, F.lit(_WORDS), F.lit(0))
+    line = lambda tokens: let(F.transform(tokens, lambda t: (t == "\n").cast("int")), prefix_sums)
+    token = lambda t, n: F.struct(t.alias("t"), n.alias("line"), _kind_of(t).alias("kind"))
+    words = lambda tokens: F.filter(F.zip_with(tokens, line(tokens), token), lambda w: w["t"] != "\n")
+    place = lambda w, i: F.struct(F.concat_ws(":", w["kind"], w["t"]).alias("entity"), i.alias("at"), w["kind"].alias("kind"))
+    marks = lambda some: F.filter(F.transform(some, place), lambda m: m["kind"].isNotNull())
+    first = lambda m: F.greatest(m["at"] - window - 1, F.lit(0))
+    around = lambda some, m: F.slice(some, first(m) + 1, m["at"] - first(m) + window + 2)
+
+    def entries(some: Column, hashes: Column) -> Column:
+        entry = lambda m, w: F.concat_ws(_SEP, m["entity"], w["line"], hashes[w["line"]], F.lower(w["t"]))
+        plain = lambda m: F.filter(around(some, m), lambda w: w["kind"].isNull() & F.regexp_like(w["t"], F.lit(f"^{TERM}$")))
+        return F.array_distinct(F.flatten(F.transform(marks(some), lambda m: F.transform(plain(m), lambda w: entry(m, w)))))
+
+    hashes = F.transform(F.split(text, "\n", -1), lambda x: F.xxhash64(x))
+    made = let(found, lambda tokens: let(words(tokens), lambda some: let(hashes, lambda h: entries(some, h))))
+    return F.when(F.size(found) > 0, made).otherwise(F.array().cast("array<string>"))
+
+
+def lower_bound(hits: Column, misses: Column, deviations: float = DEVIATIONS) -> Column:
+    """Lower end of the score interval of the share hits / (hits + misses)."""
+    n, z2 = hits + misses, deviations * deviations
+    middle = hits / n + z2 / (2 * n)
+    spread = deviations * F.sqrt(hits / n * (misses / n) / n + z2 / (4 * n * n))
+    return (middle - spread) / (1 + z2 / n)
+
+
 def disclosing_terms(
-    docs: DataFrame, hits: DataFrame, text: str = "text", min_lines: int = 2, threshold: float = 0.95
+    docs: DataFrame, text: str = "text", window: int = WINDOW, bound: float = BOUND, bits: float = BITS
 ) -> DataFrame:
-    """(entity, term): terms of the corpus ``docs`` that reveal an entity of its documents ``hits``."""
-    lines = hits.select(F.explode(F.split(text_of(text), "\n", -1)).alias("line"))
-    lines = find_base(lines, "line").where(has_base())
-    bare = F.col("line")
-    for kind in KINDS:
-        bare = F.regexp_replace(bare, PATTERNS[kind], " ")
-    values = entities_of("base")
+    """(entity, term): terms of the corpus that reveal an entity of its documents."""
+    whole = docs.select(text_of(text).alias("text"))
+    hits = find_base(whole, "text").where(has_base())
+    hits = hits.select(entities_of("base").alias("entities"), _near_terms(F.col("text"), window).alias("near"))
+    hits = materialize(hits, "entity_terms")
+    part = {name: F.col("entry")[i].alias(name) for i, name in enumerate(("entity", "place", "line", "term"))}
     # copies of a line meet here, so a hot line is one row from now on
-    together = (
-        lines.select(F.xxhash64("line").alias("line_id"), values.alias("entities"), _terms(bare).alias("terms"))
-        .groupBy("line_id", "entities", "terms")
-        .agg(F.count("*").alias("copies"))
-    )
-    together = materialize(together, "entity_lines")
-    entity = together.select(F.explode("entities").alias("entity"), "terms", "copies")
-    pairs = (
-        entity.select("entity", F.explode("terms").alias("term"), "copies")
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("different"), F.sum("copies").alias("both"))
-        .where(F.col("different") >= min_lines)
-    )
-    entities = entity.groupBy("entity").agg(F.sum("copies").alias("entity_lines"))
-    corpus = docs.select(F.explode(F.split(text_of(text), "\n", -1)).alias("line"))
-    counted = corpus.select(F.explode(_terms(F.col("line"))).alias("term")).groupBy("term").agg(F.count("*").alias("term_lines"))
-    total = corpus.where("line != ''").agg(F.count("*").alias("n_lines"))
-    known = pairs.join(counted, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
-    chance = F.least(F.lit(1.0), F.col("both") / F.greatest("both", "term_lines"))
-    own = F.log2(F.greatest(F.lit(2.0), F.col("n_lines") / F.col("entity_lines")))
-    return known.where(1 + F.log2(chance) / own >= threshold).select("entity", "term")
-
-
-def mark(docs: DataFrame, text: str = "text", min_lines: int = 2, threshold: float = 0.95) -> DataFrame:
+    entries = hits.select(F.explode("near").alias("near")).select(F.split("near", _SEP, -1).alias("entry"))
+    lines = entries.groupBy(part["entity"], part["term"], part["line"]).agg(F.count("*").alias("copies"))
+    pairs = lines.groupBy("entity", "term").agg(F.count("*").alias("different"), F.sum("copies").alias("both"))
+    pairs = pairs.where(lower_bound(F.col("different"), F.lit(0)) >= bound)
+    entities = hits.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("entity_docs"))
+    n_docs = docs.count()
+    share = F.col("entity_docs") / F.lit(max(1, n_docs))
+    pairs = materialize(pairs.join(entities, "entity").where(F.lit(bound) / share >= 2.0**bits), "entity_pairs")
+    asked = small_side(pairs.select("term").distinct())
+    corpus = whole.select(F.explode(F.split("text", "\n", -1)).alias("line"))
+    counted = corpus.select(F.explode(_terms(F.col("line"))).alias("term")).join(asked, "term", "left_semi")
+    counted = counted.groupBy("term").agg(F.count("*").alias("term_lines"))
+    away = F.greatest(F.col("term_lines") - F.col("both"), F.lit(0))
+    known = pairs.join(counted, "term").withColumn("chance", lower_bound(F.col("different"), away))
+    return known.where((F.col("chance") >= bound) & (F.log2(F.col("chance") / share) >= bits)).select("entity", "term")
+
+
+def mark(
+    docs: DataFrame, text: str = "text", window: int = WINDOW, bound: float = BOUND, bits: float = BITS
+) -> DataFrame:
     """``docs`` with ``base`` and ``terms``: the spans of the patterns and of disclosing terms."""
     rows = docs.drop("base", "terms")
     based = find_base(rows, text)
-    row, found, names = (free_name(based, c) for c in ("text_row", "found_terms", "disclosing"))
-    based = materialize(based.withColumn(row, F.monotonically_increasing_id()), "pii_rows")
-    revealing = disclosing_terms(rows, based.where(has_base()), text, min_lines, threshold)
-    passing = small_side(revealing.select("term").distinct())
+    key, found, names = (free_name(based, c) for c in ("text_key", "found_terms", "disclosing"))
+    passing = small_side(disclosing_terms(rows, text, window, bound, bits).select("term").distinct())
     whole = text_of(text)
-    # a document's list is bounded by its own distinct terms
-    per_row = (
-        based.select(row, F.explode(_terms(whole)).alias("term"))
+    if passing.isEmpty():
+        return based.withColumn("terms", F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    # which terms a document holds depends on its text alone; the list is bounded by its distinct terms
+    text_key = F.unhex(F.md5(whole)).alias(key)
+    per_text = (
+        rows.select(text_key, F.explode(_terms(whole)).alias("term"))
         .join(passing, "term")
-        .groupBy(row)
+        .groupBy(key)
         .agg(F.array_sort(F.collect_set("term")).alias(names))
     )
-    marked = based.join(per_row, row, "left")
+    marked = based.select("*", text_key).join(small_side(per_text), key, "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{N}])"))
     matches = F.when(F.col(names).isNotNull(), F.regexp_extract_all(whole, pattern, F.lit(0)))
     marked = marked.withColumn(found, F.coalesce(matches, F.array().cast("array<string>")))
     base = F.flatten(F.array(*[F.col(f"base.{k}") for k in KINDS]))
     apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     spans = F.filter(spans_of(whole, F.coalesce(pattern, F.lit("$")), F.col(found)), apart)
-    return marked.withColumn("terms", spans).drop(row, names, found)
+    return marked.withColumn("terms", spans).drop(key, names, found)
 
 
 def _listed_span(kind: str, span: Column) -> Column:
