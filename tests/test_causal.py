@@ -328,17 +328,52 @@ def test_lasso_meets_its_optimality_conditions():
         assert np.allclose(slope[b != 0], alpha * np.sign(b[b != 0]), atol=0.05 * alpha + 1e-9)
 
 
+def dense_lasso(x, y, folds=5, alphas=100):
+    """The same regression on whole matrices: grid of penalties, contiguous folds, coordinate descent."""
+    solve = lambda a, b, grid: granger._solve_path(
+        (a - a.mean(0)).T @ (a - a.mean(0)) / len(a), (a - a.mean(0)).T @ (b - b.mean()) / len(a), b.var(), grid
+    )
+    top = np.abs((x - x.mean(0)).T @ (y - y.mean()) / len(x)).max()
+    grid, errors = np.geomspace(top, top * 1e-3, alphas), np.zeros(alphas)
+    for held in np.array_split(np.arange(len(x)), folds):
+        rest = np.setdiff1d(np.arange(len(x)), held)
+        path = solve(x[rest], y[rest], grid)
+        a = y[rest].mean() - path @ x[rest].mean(0)
+        errors += ((y[held][None] - path @ x[held].T - a[:, None]) ** 2).mean(1)
+    return solve(x, y, grid)[np.argmin(errors)]
+
+
+@pytest.mark.parametrize("group", [8, 2])
+def test_granger_of_several_variables_equals_whole_matrices(lines, monkeypatch, group):
+    monkeypatch.setattr(granger, "GROUP_TARGETS", group)
+    rng = np.random.default_rng(6)
+    names = list("abcdef")
+    t = []
+    for _ in range(140):
+        t += ["a", "b"] if rng.random() < 0.4 else ["c", str(rng.choice(["d", "e"])), "f"] if rng.random() < 0.3 else [str(rng.choice(names))]
+    log = lines(t)
+    got = {(e.source, e.target, e.lag): e.coefficient for e in granger.granger_lasso(log, listed(log.sparkSession, names)).collect()}
+    x, y = one_hot(t, names, 3)
+    want = {}
+    for k, name in enumerate(names):
+        b = dense_lasso(x, y[:, k])
+        want |= {(names[j % 6], name, j // 6 + 1): b[j] for j in np.flatnonzero(np.abs(b) > 1e-6) if j % 6 != k}
+    assert len(want) > 20 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
 def test_granger_finds_a_planted_lag(lines):
     rng = np.random.default_rng(3)
     t = []
     for _ in range(300):
         t += ["cause", "effect"] if rng.random() < 0.4 else [str(rng.choice(["n1", "n2"]))]
     names = ["cause", "effect", "n1", "n2"]
-    edges = granger.granger_lasso(windows.frequent_slots(lines(t)), names).collect()
+    spark = lines(t).sparkSession
+    edges = granger.granger_lasso(windows.frequent_slots(lines(t)), listed(spark, names)).collect()
     lag1 = {(e.source, e.target): e.coefficient for e in edges if e.lag == 1}
     assert max(lag1, key=lag1.get) == ("cause", "effect")
     assert all(e.source != e.target for e in edges)
-    assert granger.first_block(granger.granger_lasso(windows.frequent_slots(lines(t)), names)).columns == [
+    assert granger.first_block(granger.granger_lasso(windows.frequent_slots(lines(t)), listed(spark, names))).columns == [
         "source", "target", "coefficient",
     ]
 

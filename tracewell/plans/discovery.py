@@ -88,12 +88,11 @@ def compare_on_bins(
 def granger_from_log(lines: DataFrame, min_freq: int = 5, maxlag: int = 3) -> tuple[DataFrame, DataFrame]:
     """Weighted edges and a one-row report of the lagged LASSO over a template log."""
     slots = materialize(windows.frequent_slots(lines, min_freq), "slots")
-    kept = slots.select("template").filter(F.col("template").isNotNull()).distinct()
-    names = [r[0] for r in kept.orderBy("template").collect()]
-    if not names:
+    variables = cut_lineage(matrix.variables(slots, "template"))
+    if variables.isEmpty():
         raise ValueError("no template is frequent enough")
-    edges = granger.granger_lasso(slots, names, maxlag)
+    edges = granger.granger_lasso(slots, variables, maxlag)
     report = edges.agg(
-        F.lit(len(names)).cast("long").alias("n_variables"), F.count(F.lit(1)).alias("n_relations")
+        F.lit(variables.count()).cast("long").alias("n_variables"), F.count(F.lit(1)).alias("n_relations")
     )
     return edges, report
