@@ -108,7 +108,8 @@ def test_kv_values(spark):
 
 
 def test_json_head_skips_malformed(spark):
-    df = spark.createDataFrame([(0, "{bad"), (1, '{"a":1}'), (2, "[1]"), (3, '{"b":2}')], "line_no long, line string")
+    data = [(0, "{bad"), (1, '{"a":1}'), (2, "[1]"), (3, '{"b":2}'), (-1, '{"a":1} {"b":2}'), (-2, '{"a":1}, 2'), (-3, ""), (-4, None)]
+    df = spark.createDataFrame(data, "line_no long, line string")
     assert rows(lines_.valid_json_head(df, 2).select("line_no")) == [(1,), (2,)]
 
 
@@ -119,7 +120,18 @@ def test_walk_any_depth_in_pre_order(spark):
     doc = {"b": {"group": [{"template": "x\n", "z": {"group": [{"template": 3}, {"q": 1}, 7]}}, {"template": None}]}, "a": {"group": [deep]}}
     df = spark.createDataFrame([(1, json.dumps(doc)), (2, "{bad"), (3, "7")], "id long, json string")
     got = [r.template for r in jsonwalk.walk_templates(df, ["id"], levels=3).orderBy("path").collect()]
-    assert got == ["up"] * 12 + ["leaf"] + ["x", "None", "3"]
+    # the document has "b" before "a"
+    assert got == ["x", "None", "3"] + ["up"] * 12 + ["leaf"]
+
+
+def test_walk_keeps_document_order(spark):
+    item = lambda t: {"group": [{"template": t}]}
+    doc = {"z": item("1"), "a": [5, item("2"), {"y": item("3"), "b": {"ü": item("4"), "": item("5")}}], "m": '{"group":[{"template":"no"}]}',
+           "\U0001F600": item("6"), "\uff5e": item("7"), "A": None, "B": item("8")}
+    df = spark.createDataFrame([(1, json.dumps(doc)), (2, json.dumps([doc], ensure_ascii=False))], "id long, json string")
+    walked = jsonwalk.walk_templates(df, ["id"], levels=2)
+    for i in (1, 2):
+        assert [r.template for r in walked.filter(f"id = {i}").orderBy("path").collect()] == list("12345678")
 
 
 def test_flat_records(spark):
@@ -143,10 +155,26 @@ def test_part_files(spark, tmp_path):
     assert rows(valid.select("group_key")) == [("g1",)]
     flat = groups.flatten_groups(groups.explode_groups(docs))
     assert rows(flat.select("group_key", "pos", "event_id", "template"), "pos") == [("g1", 0, "1", "t"), ("g1", 1, "2", None)]
+    assert rows(flat.select("place", "group_key"), "pos") == [(0, "g1"), (0, "g1")]
     assert rows(groups.last_part(docs)) == [(10,)]
     assert rows(groups.last_part(docs.filter("false"))) == [(-1,)]
 
 
+def test_documents_are_strict_and_templates_typed(spark):
+    event = lambda t: {"event_id": 1, "template": t}
+    body = {"z": {"metadata": "m", "group": [event("t"), event(["a", "b"]), event(5), event(["a", 5]), event(None), event([])]},
+            "a": {"metadata": {"k": 1}, "group": [event(""), {"event_id": "2"}]}}
+    text = json.dumps(body)
+    docs = [text, text + " x", text + text, text + "," + text, "[]", "{}", "", "7", None, '{"g": {"group": [' ]
+    df = spark.createDataFrame([(f"part_{i}.json", t) for i, t in enumerate(docs)], "source_file string, value string")
+    bad = sorted(int(r.source_file[5:-5]) for r in groups.quarantine(df).collect())
+    assert bad == [1, 2, 3, 4, 6, 7, 8, 9]
+    flat = groups.flatten_groups(groups.explode_groups(df))
+    got = [tuple(r) for r in flat.orderBy("place", "pos").select("place", "group_key", "pos", "template").collect()]
+    assert got == [(0, "z", 0, "t"), (0, "z", 1, "ab"), (0, "z", 2, None), (0, "z", 3, None), (0, "z", 4, None), (0, "z", 5, ""),
+                   (1, "a", 0, ""), (1, "a", 1, None)]
+
+
 def test_text_lines_are_numbered_per_file(spark, tmp_path):
     (tmp_path / "a.log").write_text("one\n\n  two \nthree\n")
     (tmp_path / "b.log").write_text("x\n")

@@ -69,3 +69,12 @@ def hash60(c: str | Column) -> Column:
 def joined_template(c: str | Column) -> Column:
     """A template stored as pieces becomes one string; a missing one becomes ''."""
     return F.coalesce(F.array_join(_col(c), ""), F.lit(""))
+
+
+def piece_text(c: str | Column) -> Column:
+    """A VARIANT that is a string, or a list of strings joined to one; null for anything else."""
+    kind = F.schema_of_variant(_col(c))
+    pieces = F.try_variant_get(_col(c), "$", "array<variant>")
+    whole = F.forall(pieces, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))
+    joined = joined_template(F.transform(pieces, lambda x: F.try_variant_get(x, "$", "string")))
+    return F.when(kind == "STRING", F.try_variant_get(_col(c), "$", "string")).when(kind.startswith("ARRAY") & whole, joined)

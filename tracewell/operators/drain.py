@@ -158,6 +158,31 @@ def bucket_sizes(tokenized: DataFrame, depth: int = 5) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("cnt"))
 
 
+def consensus(tokenized: DataFrame, depth: int = 5) -> DataFrame:
+    """(source, n_tokens, route, template, n_lines, n_distinct): one template per routing bucket.
+
+    A position is constant if all distinct lines of the bucket agree there, else the wildcard. There is
+    no threshold and no order, so it is two aggregates: equal lines once with their number, then the
+    least and greatest token per bucket and position.
+    """
+    keys = ["source", "n_tokens", "route"]
+    route = F.array_join(route_key(F.col("toks"), depth), " ").alias("route")
+    distinct = tokenized.where("n_tokens > 0").groupBy("source", "n_tokens", route, "toks").agg(F.count(F.lit(1)).alias("n"))
+    # the count travels with the first token only
+    placed = distinct.select(*keys, "n", F.posexplode("toks").alias("pos", "tok"))
+    first = F.when(F.col("pos") == 0, F.col("n"))
+    folded = placed.groupBy(*keys, "pos").agg(
+        F.min("tok").alias("low"), F.max("tok").alias("high"), F.sum(first).alias("n"), F.count(first).alias("d")
+    )
+    tok = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILDCARD)
+    listed = F.array_sort(F.collect_list(F.struct("pos", tok.alias("tok"))))
+    return folded.groupBy(*keys).agg(
+        F.array_join(F.transform(listed, lambda x: x["tok"]), " ").alias("template"),
+        F.sum("n").alias("n_lines"),
+        F.sum("d").alias("n_distinct"),
+    )
+
+
 def similarity(template: Column, toks: Column) -> Column:
     """Share of equal non-wildcard positions of two token lists of one length."""
     equal = F.filter(

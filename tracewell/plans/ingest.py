@@ -32,7 +32,7 @@ def _flat_events(spark, sf):
     """The events of the group documents; a segment's positions continue those before it."""
     flat = groups.flatten_groups(groups.explode_groups(tables.group_documents(spark, sf), ("seg",)), ("seg",))
     pos = (F.col("seg") * tables.SEGMENT + F.col("pos")).cast("int")
-    return flat.withColumn("pos", pos).drop("seg")
+    return flat.withColumn("pos", pos).drop("seg", "place")
 
 
 def src_groups(spark, sf):

@@ -72,6 +72,7 @@ QUERIES = {
         "source", "line_no", F.array_join("toks", " ").alias("masked"), "n_tokens"
     ),
     "drain_buckets": lambda spark, sf: drain.bucket_sizes(_tokenized(spark, sf)),
+    "template_consensus": lambda spark, sf: drain.consensus(_tokenized(spark, sf)),
     "template_similarity": template_similarity,
     "drain_exact": _mined,
     "drain_structured": drain_structured,
@@ -127,6 +128,14 @@ SQL = {
     "drain_buckets": f"""WITH {_TOKENS} SELECT source, len(toks) AS n_tokens,
         array_to_string(list_transform(toks[1:2], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS route,
         count(*) AS cnt FROM tk GROUP BY ALL""",
+    "template_consensus": f"""WITH {_TOKENS}, bu AS (SELECT source, len(toks) AS n_tokens,
+          array_to_string(list_transform(toks[1:2], lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), ' ') AS route,
+          toks, count(*) AS n FROM tk WHERE len(toks) > 0 GROUP BY ALL)
+        , po AS (SELECT source, n_tokens, route, unnest(toks) AS tok, unnest(range(1, n_tokens + 1)) AS pos FROM bu)
+        , co AS (SELECT source, n_tokens, route, pos, CASE WHEN count(DISTINCT tok) = 1 THEN min(tok) ELSE '<*>' END AS tok FROM po GROUP BY ALL)
+        , te AS (SELECT source, n_tokens, route, string_agg(tok, ' ' ORDER BY pos) AS template FROM co GROUP BY ALL)
+        SELECT te.*, s.n_lines, s.n_distinct FROM te JOIN (SELECT source, n_tokens, route, sum(n)::BIGINT AS n_lines, count(*) AS n_distinct
+          FROM bu GROUP BY ALL) s USING (source, n_tokens, route)""",
     "template_similarity": f"""WITH {_TOKENS}, p AS (SELECT b.source, b.line_no, list_zip(a.toks, b.toks) AS z, len(b.toks) AS n
           FROM tk a JOIN tk b ON a.source = b.source AND b.line_no = a.line_no + 1 AND len(a.toks) = len(b.toks))
         SELECT source, line_no, round(len(list_filter(z, lambda x: x[1] = x[2] AND x[1] <> '<*>')) / n, 6) AS similarity,

@@ -7,7 +7,8 @@ EVENT = T.StructType(
         T.StructField("event_id", T.StringType()),
         T.StructField("dup_id", T.StringType()),
         T.StructField("raw", T.StringType()),
-        T.StructField("template", T.StringType()),
+        # a string or a list of pieces
+        T.StructField("template", T.VariantType()),
     ]
 )
 

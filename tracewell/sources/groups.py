@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracewell.functions.text import piece_text
 from tracewell.schema import KEYED_GROUPS
 
 PART_NAME = r"^part_\d+\.json$"
@@ -30,8 +32,12 @@ def part_names(df: DataFrame, strict: bool = True) -> DataFrame:
 
 
 def parse_documents(df: DataFrame) -> DataFrame:
-    """Add ``doc`` (null when the text is not a keyed-group document)."""
-    return df.withColumn("doc", F.from_json("value", KEYED_GROUPS))
+    """Add ``doc``, null when the whole text is not one keyed-group document.
+
+    The text is read as the only element of a list, so text behind a complete document counts too.
+    """
+    whole = F.from_json(F.concat(F.lit("["), "value", F.lit("]")), T.ArrayType(KEYED_GROUPS))
+    return df.withColumn("doc", F.when(F.size(whole) == 1, whole[0]))
 
 
 def quarantine(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -42,11 +48,16 @@ def quarantine(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def explode_groups(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per group: (source_file, group_key, metadata, group)."""
+    """One row per group: (source_file, place, group_key, metadata, group).
+
+    ``place`` is the group's position in its file. A template that is a list of pieces becomes one
+    string; one that is neither a string nor such a list becomes null.
+    """
+    whole = lambda e: F.struct(e["event_id"], e["dup_id"], e["raw"], piece_text(e["template"]).alias("template"))
     return (
         parse_documents(df)
-        .select(*keep, "source_file", F.explode("doc").alias("group_key", "_g"))
-        .select(*keep, "source_file", "group_key", "_g.metadata", "_g.group")
+        .select(*keep, "source_file", F.posexplode("doc").alias("place", "group_key", "_g"))
+        .select(*keep, "source_file", "place", "group_key", "_g.metadata", F.transform("_g.group", whole).alias("group"))
     )
 
 
@@ -58,8 +69,8 @@ def valid_groups(groups: DataFrame) -> DataFrame:
 def flatten_groups(groups: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per event with its position; a missing list gives no rows."""
     return groups.select(
-        *keep, "source_file", "group_key", F.posexplode("group").alias("pos", "_e")
-    ).select(*keep, "source_file", "group_key", "pos", "_e.*")
+        *keep, "source_file", "place", "group_key", F.posexplode("group").alias("pos", "_e")
+    ).select(*keep, "source_file", "place", "group_key", "pos", "_e.*")
 
 
 def last_part(files: DataFrame) -> DataFrame:

@@ -16,6 +16,9 @@ def _text(c):
 def walk_templates(docs: DataFrame, keys: list[str], levels: int = 8) -> DataFrame:
     """Every ``group[].template`` at any depth, in pre-order: a node's own group items come first.
 
+    Children are visited in document order. VARIANT gives the types of the values but sorts the keys
+    of an object, so each node also carries its text, whose keys keep their order.
+
     Each step opens one nesting level of all documents at once and passes found templates on, so a
     document is parsed once. After ``levels`` steps the rows are checkpointed, and the walk goes on
     while any node is open. ``path`` is the list of child numbers from the root, so sorting by it
@@ -25,6 +28,7 @@ def walk_templates(docs: DataFrame, keys: list[str], levels: int = 8) -> DataFra
         *keys,
         F.array().cast("array<int>").alias("path"),
         F.try_parse_json("json").alias("node"),
+        F.col("json").alias("text"),
         F.lit(None).cast("string").alias("template"),
     ).filter(F.col("node").isNotNull())
     while True:
@@ -37,31 +41,33 @@ def walk_templates(docs: DataFrame, keys: list[str], levels: int = 8) -> DataFra
 
 def _open_level(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace each open node by its templates and its child nodes; keep found templates."""
-    path, node = F.col("path"), F.col("node")
+    path, node, text = F.col("path"), F.col("node"), F.col("text")
     no_node, no_text = F.lit(None).cast("variant"), F.lit(None).cast("string")
 
+    def row(at, inner, json, template):
+        return F.struct(at.alias("path"), inner.alias("node"), json.alias("text"), template.alias("template"))
+
     def item(x, i):
         fields = F.map_keys(F.try_variant_get(x, "$", "map<string,variant>"))
         has = F.schema_of_variant(x).startswith("OBJECT") & F.array_contains(fields, "template")
-        text = F.regexp_replace(_text(F.try_variant_get(x, "$.template", "variant")), r"\n+$", "")
+        found = F.regexp_replace(_text(F.try_variant_get(x, "$.template", "variant")), r"\n+$", "")
         # -1 sorts a node's own items before the items of its children.
-        at = F.concat(path, F.array(F.lit(-1), i))
-        return F.struct(at.alias("path"), no_node.alias("node"), F.when(has, text).alias("template"))
+        return row(F.concat(path, F.array(F.lit(-1), i)), no_node, no_text, F.when(has, found))
 
-    def child(x, i):
+    def child(x, json, i):
         open_ = F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)")
-        at = F.concat(path, F.array(i))
-        return F.struct(at.alias("path"), F.when(open_, x).alias("node"), no_text.alias("template"))
+        return row(F.concat(path, F.array(i)), F.when(open_, x), F.when(open_, json), no_text)
 
     items = F.transform(F.try_variant_get(node, "$.group", "array<variant>"), item)
-    children = F.transform(
-        F.coalesce(
-            F.try_variant_get(node, "$", "array<variant>"),
-            F.map_values(F.try_variant_get(node, "$", "map<string,variant>")),
-        ),
-        child,
-    )
-    same = F.array(F.struct(path.alias("path"), no_node.alias("node"), F.col("template").alias("template")))
+    fields, written = F.try_variant_get(node, "$", "map<string,variant>"), F.from_json(text, "map<string,string>")
+    ranked = lambda m: F.array_sort(F.transform(F.map_keys(m), lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    values, texts = F.map_values(fields), F.map_values(written)
+    # both lists of keys in one order: which value of the object is which part of the text
+    of_object = F.zip_with(ranked(fields), ranked(written), lambda v, t: child(values[v["i"]], texts[t["i"]], t["i"]))
+    elements, parts = F.try_variant_get(node, "$", "array<variant>"), F.from_json(text, "array<string>")
+    of_array = F.transform(elements, lambda x, i: child(x, parts[i], i))
+    children = F.when(F.schema_of_variant(node).startswith("ARRAY"), of_array).otherwise(of_object)
+    same = F.array(row(path, no_node, no_text, F.col("template")))
     none = F.filter(same, lambda x: F.lit(False))
     opened = F.concat(F.coalesce(items, none), F.coalesce(children, none))
     return rows.select(*keys, F.inline(F.when(node.isNull(), same).otherwise(opened))).filter(

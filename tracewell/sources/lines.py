@@ -55,8 +55,9 @@ def kv_values(lines: DataFrame, line: str = "line", head: int | None = None) ->
 
 
 def valid_json_head(lines: DataFrame, n: int = 100) -> DataFrame:
-    """The first ``n`` lines that parse as JSON; malformed ones are skipped."""
-    ok = F.try_parse_json("line").isNotNull()
+    """The first ``n`` lines that are one JSON value as a whole; others are skipped."""
+    alone = F.try_parse_json(F.concat(F.lit("["), "line", F.lit("]")))
+    ok = F.size(F.try_variant_get(alone, "$", "array<variant>")) == 1
     return lines.filter(ok).orderBy("line_no").limit(n)
 
 

@@ -42,7 +42,7 @@ def extend_dictionary(known: DataFrame, events: DataFrame) -> DataFrame:
     fresh = (
         events.filter(F.col("template").isNotNull())
         .groupBy("template")
-        .agg(F.min(F.struct(number.alias("part"), F.col("group_key"), F.col("pos"))).alias("at"))
+        .agg(F.min(F.struct(number.alias("part"), F.col("place"), F.col("pos"))).alias("at"))
         .join(known.select("template"), "template", "left_anti")
     )
     start = known.agg(F.coalesce(F.max("template_id") + 1, F.lit(0).cast("long"))).scalar()
