@@ -54,3 +54,33 @@ def test_small_tables_are_exact(spark):
     check(spark, [(20, [1.0] * 8), (21, [1.0] * 8), (40, [2.0] * 8)], least=1)
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert ann.nearest(df, df.vec_id % 20 == 0).collect() == []
+
+
+def test_small_far_group_is_complete(spark, monkeypatch):
+    """A few vectors opposite to all others still get all the neighbours asked for."""
+    monkeypatch.setattr(ann, "LEAF", 64)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    r = np.random.default_rng(3)
+    rows = [(i, ([1.0] + (0.05 * r.normal(size=7)).tolist())) for i in range(1, 700)]
+    rows += [(i, ([-1.0] + (0.05 * r.normal(size=7)).tolist())) for i in (0, 1000, 1001)]
+    check(spark, rows, least=0.9)
+
+
+def test_whole_scan_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 50)
+    monkeypatch.setattr(ann.Index, "search", lambda self, starts: starts.select("query", starts.query.alias("node")))
+    r = np.random.default_rng(4)
+    check(spark, [(i, r.normal(size=8).tolist()) for i in range(330)], least=1)
+
+
+def test_blocks_follow_the_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(12, 8)) * 5
+    rows = [(i, (centres[i % 12] + r.normal(size=8) * 0.1).tolist()) for i in range(1200)]
+    index = ann.Index(spark.createDataFrame(rows, "id long, vector array<float>"), 21)
+    assert index.nodes.count() == index.nodes.select("node").distinct().count() == 1200
+    per_block = index.nodes.selectExpr("shiftright(node, 20) AS block").groupBy("block").count().collect()
+    assert max(b["count"] for b in per_block) < 200 and len(per_block) >= 10
+    graph = index.graph.selectExpr("shiftright(node, 20) AS a", "explode(nears) AS near").selectExpr("a", "shiftright(near, 20) AS b")
+    assert graph.where("abs(a - b) <= 1").count() > 0.5 * graph.count()

@@ -5,19 +5,22 @@ itself; of its rows only the smallest ids can ever be among the nearest. Vectors
 component that makes all lengths equal, so near in angle means large in product.
 
 *Graph.* Random hyperplanes deal the nodes to small buckets, whose best pairs start the neighbour
-lists. Each round joins neighbours of neighbours: every node sends its vector to the nodes in whose
-neighbourhood it is (their neighbours, and a sample of those that have them as neighbour); there all
-pairs of the neighbourhood are multiplied, and a pair that beats the last entry of a list goes to
-that list. Rounds end when lists hardly change.
-
-*Search.* A query keeps a beam of the best nodes found. Every round expands the best ones that are not
-expanded yet: their neighbours in the graph are scored and compete for the beam. A query that is a
-row starts at its own node.
-
-Nodes live in blocks by hash, about ``BLOCK`` each, and every step works on whole blocks in NumPy;
-a node's vector goes once to each block that needs it. All messages are joins or groupings of Spark,
-and every round is written to the shared folder. Found nodes are scored again in double precision on
-the original vectors.
+lists; one more deal at random links far groups and fills every list. Each round joins neighbours of
+neighbours: every node sends its vector to the nodes in whose neighbourhood it is (their neighbours,
+and a sample of those that have them as neighbour); there all pairs of the neighbourhood are
+multiplied, and a pair that beats the last entry of a list and is not in it goes to that list. Rounds
+end when lists hardly change.
+
+*Search.* A query keeps a beam of the best nodes found. Every round expands the ones that are not
+expanded yet: their neighbours in the graph are scored and compete for the beam, until none is left
+open. A query that is a row starts at its own node and at ``ENTRIES`` shared ones. A query that still
+has fewer rows than asked for is scored against all nodes, block by block.
+
+Nodes live in blocks of about ``BLOCK``, and every step works on whole blocks in NumPy; a node's
+vector goes once to each block that needs it. Blocks follow the nearest of at most ``CENTRES`` sampled
+vectors, so a neighbourhood lies in few blocks whatever their number; every node is indexed. All
+messages are joins or groupings of Spark, and every round is written to the shared folder. Found nodes
+are scored again in double precision on the original vectors.
 
 Vectors that are null, zero, hold nulls or non-finite components or have another length than most
 take no part, nor do rows without an id. Repeated rows are rows. With fewer rows than asked for, all
@@ -32,15 +35,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewell.llm.common import table
 from tracewell.session import materialize
 
 LIST, SAMPLE, TREES, LEAF, BLOCK = 32, 32, 4, 256, 2048
-#: A node's best candidates that one neighbourhood hands on in a round; the next round offers more.
+#: A node's best candidates outside its list that one neighbourhood hands on in a round; the next
+#: round, which knows these, offers others.
 OFFERS = 8
 ROUNDS, QUIET = 8, 0.5
-BEAM, SEARCH_ROUNDS, FINAL = 96, 4, 40
+BEAM, ENTRIES = 96, 32
+#: Sampled vectors by which nodes are laid out; bits of a node's number inside its block.
+CENTRES, PLACE_BITS = 1024, 20
 
 _STATE = "block int, node long, vector binary, nodes binary, sims binary, changed int"
 _OFFER = "block int, node long, nodes binary, sims binary"
@@ -76,8 +83,18 @@ def _packed(owner: np.ndarray, values: np.ndarray, count: int) -> list[bytes]:
     return [values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
-def block_of(node: Column | str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit("block"), node), F.lit(blocks)).cast("int")
+def block_of(node: str) -> Column:
+    return F.shiftright(node, PLACE_BITS).cast("int")
+
+
+def _chain(x: np.ndarray) -> np.ndarray:
+    """An order of the rows in which each is followed by the nearest one left."""
+    left, at, order = np.ones(len(x), bool), 0, []
+    for _ in range(len(x)):
+        order.append(at)
+        left[at] = False
+        at = int(np.argmax(np.where(left, x @ x[at], -np.inf)))
+    return np.array(order, int)
 
 
 def _offers(members: np.ndarray, a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> pa.Table:
@@ -108,6 +125,12 @@ def _local_join(block: pa.Table) -> pa.Table:
     members = block.column("sender").to_numpy()
     x = _matrix(block.column("vector"), "<f4")
     last = block.column("last").to_numpy()
+    # pairs that stand in a list already, as member * members + member
+    listed, owner = _lists(block.column("nodes"), "<i8")
+    sort = np.argsort(members)
+    at = sort[np.minimum(np.searchsorted(members[sort], listed), len(members) - 1)]
+    here = members[at] == listed
+    known = np.unique(owner[here] * len(members) + at[here])
     centre, sender = _lists(block.column("centres"), "<i8")
     order = np.argsort(centre, kind="stable")
     centre, sender = centre[order], sender[order]
@@ -120,6 +143,10 @@ def _local_join(block: pa.Table) -> pa.Table:
         sim = x[m] @ x[m].T
         np.fill_diagonal(sim, -np.inf)
         sim[sim <= last[m][:, None]] = -np.inf
+        i, j = np.nonzero(sim > -np.inf)
+        pair = m[i] * len(members) + m[j]
+        old = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair if len(known) else np.zeros(len(pair), bool)
+        sim[i[old], j[old]] = -np.inf
         k = min(OFFERS, len(m) - 1)
         near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
         value = np.take_along_axis(sim, near, 1)
@@ -185,12 +212,40 @@ class Index:
         some = slots.agg(F.slice(F.array_sort(F.collect_list("id")), 1, most_ids).alias("ids"))
         merged = some.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most_ids).alias("ids"))
         length = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v).alias("length")
-        self.nodes = materialize(
-            merged.select(F.monotonically_increasing_id().alias("node"), "vector", "ids", length), "ann_nodes"
-        )
-        n, longest = self.nodes.agg(F.count("*"), F.max("length")).first()
-        self.count, self.blocks = n, max(1, -(-n // BLOCK))
-        self.graph = self._build(longest or 0.0, width + 1, seed) if n else None
+        distinct = materialize(merged.select("vector", "ids", length), "ann_distinct")
+        n, longest = distinct.agg(F.count("*"), F.max("length")).first()
+        self.count = n
+        if n:
+            self.nodes = materialize(self._placed(distinct, n), "ann_nodes")
+            self.graph = self._build(longest, width + 1, seed)
+
+    @staticmethod
+    def _placed(distinct: DataFrame, n: int) -> DataFrame:
+        """Nodes numbered inside blocks of about ``BLOCK`` that follow the nearest sampled vector."""
+        mark = F.xxhash64("vector")
+        wanted = min(CENTRES, 4 * (n // BLOCK) + 1)
+        sample = distinct.orderBy(mark, "vector").select("vector").limit(wanted).collect()
+        centres = np.array([r.vector for r in sample])
+        centres /= np.linalg.norm(centres, axis=1)[:, None]
+        centres = centres[_chain(centres)].astype(np.float32)
+
+        @F.pandas_udf("int")
+        def nearest_centre(vectors):
+            import pandas as pd
+
+            x = np.array(vectors.tolist(), np.float32).reshape(len(vectors), -1)
+            return pd.Series(np.argmax(x @ centres.T, axis=1).astype(np.int32))
+
+        coded = materialize(distinct.withColumn("code", nearest_centre("vector")), "ann_coded")
+        sizes = coded.groupBy("code").agg(F.count("*").alias("size"))
+        # one row per centre
+        earlier = F.coalesce(F.sum("size").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = F.broadcast(sizes.withColumn("start", earlier))
+        spread = F.pmod(F.xxhash64(F.lit("place"), "vector"), F.col("size"))
+        block = F.floor((F.col("start") + spread) / BLOCK).cast("long")
+        dealt = coded.join(starts, "code").select("vector", "ids", "length", block.alias("block"))
+        place = F.row_number().over(Window.partitionBy("block").orderBy(mark, "vector")) - 1
+        return dealt.select((F.shiftleft("block", PLACE_BITS) + place).alias("node"), "vector", "ids", "length")
 
     def _build(self, longest: float, width: int, seed: int) -> DataFrame:
         @F.pandas_udf("binary")
@@ -210,9 +265,11 @@ class Index:
             weight = 1 << np.arange(bits)
             return __import__("pandas").Series(list(np.stack([(x @ p[:bits].T > 0) @ weight for p in planes], axis=1)))
 
-        vectors = self.nodes.select(block_of("node", self.blocks).alias("block"), "node", lifted("vector", "length").alias("vector"))
+        vectors = self.nodes.select(block_of("node").alias("block"), "node", lifted("vector", "length").alias("vector"))
         self.vectors = materialize(vectors, "ann_vectors")
         dealt = self.vectors.select("node", "vector", F.posexplode(codes("vector")).alias("tree", "code"))
+        random = F.pmod(F.xxhash64(F.lit("random"), "node"), F.lit(1 << bits)).alias("code")
+        dealt = dealt.unionByName(self.vectors.select("node", "vector", F.lit(-1).alias("tree"), random))
         sizes = dealt.groupBy("tree", "code").agg(F.count("*").alias("size"))
         part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / LEAF)).alias("part")
         buckets = dealt.join(sizes, ["tree", "code"]).select("tree", "code", part, "node", "vector")
@@ -226,7 +283,7 @@ class Index:
         return self._with_reverse(state)
 
     def _merged(self, state: DataFrame, offers: DataFrame) -> DataFrame:
-        offered = offers.withColumn("block", block_of("node", self.blocks))
+        offered = offers.withColumn("block", block_of("node"))
         both = state.unionByName(offered, allowMissingColumns=True)
         return materialize(both.groupBy("block").applyInArrow(_merge, _STATE), "ann_state")
 
@@ -244,13 +301,13 @@ class Index:
         edges = self._edges(state)
         pairs = edges.unionByName(self._reverse(edges)).distinct()
         # one message of a node per block that it goes to; at most one entry per centre
-        sends = pairs.groupBy(F.col("near").alias("node"), block_of("node", self.blocks).alias("to")).agg(
+        sends = pairs.groupBy(F.col("near").alias("node"), block_of("node").alias("to")).agg(
             F.collect_list("node").alias("centres")
         )
         last = F.when(F.octet_length("nodes") < 8 * LIST, float("-inf")).otherwise(_last_sim("sims")).alias("last")
-        senders = state.select("node", "vector", last)
+        senders = state.select("node", "vector", last, "nodes")
         messages = sends.join(senders, "node").select(
-            "to", F.col("node").alias("sender"), "vector", "last", _pack_longs(F.col("centres")).alias("centres")
+            "to", F.col("node").alias("sender"), "vector", "last", "nodes", _pack_longs(F.col("centres")).alias("centres")
         )
         offers = messages.groupBy("to").applyInArrow(_local_join, "node long, nodes binary, sims binary")
         return self._merged(state, offers)
@@ -265,24 +322,40 @@ class Index:
         """(query, node): the best nodes found for each query node of ``starts`` (query)."""
         start = F.array("query")
         beam = starts.select("query", _pack_longs(start).alias("nodes"), F.lit(b"\x00\x00\x80\x7f").alias("sims"), F.lit(b"\x00").alias("expanded"))
-        beam = beam.withColumn("seen", F.col("nodes"))
-        for _ in range(SEARCH_ROUNDS):
-            beam = self._expand(beam)
-        found, expanded = beam.select("query", F.explode(_longs("nodes")).alias("node")), None
-        return found
-
-    def _expand(self, beam: DataFrame) -> DataFrame:
-        beam = materialize(beam, "ann_beam")
-        opened = beam.select("query", F.explode(_open_nodes("nodes", "expanded")).alias("node"))
-        reached = opened.join(self.graph, "node").select("query", F.explode("nears").alias("near")).distinct()
-        wanted = reached.groupBy("query", block_of("near", self.blocks).alias("block")).agg(F.collect_list("near").alias("nears"))
+        beam = materialize(beam.withColumn("seen", F.col("nodes")), "ann_beam")
+        entries = self.nodes.select("node").orderBy(F.xxhash64(F.lit("entry"), "node")).limit(ENTRIES).collect()
+        reached = starts.select("query", F.explode(F.lit([r.node for r in entries])).alias("near")).where("near != query")
+        while True:
+            opened = beam.select("query", F.explode(_open_nodes("nodes", "expanded")).alias("node"))
+            if opened.isEmpty():
+                return beam.select("query", F.explode(_longs("nodes")).alias("node"))
+            nears = opened.join(self.graph, "node").select("query", F.explode("nears").alias("near"))
+            beam = self._expand(beam, (reached.unionByName(nears) if reached else nears).distinct())
+            reached = None
+
+    def _asked(self, wanted: DataFrame) -> DataFrame:
+        """``wanted`` (block, query, ..) with the vectors of the queries."""
         queries = self.vectors.select(F.col("node").alias("query"), F.col("vector").alias("query_vector"))
-        asked = wanted.join(queries, "query").select("block", "query", "query_vector", _pack_longs(F.col("nears")).alias("nears"))
+        return wanted.join(queries, "query")
+
+    def _expand(self, beam: DataFrame, reached: DataFrame) -> DataFrame:
+        wanted = reached.groupBy("query", block_of("near").alias("block")).agg(F.collect_list("near").alias("nears"))
+        asked = self._asked(wanted).select("block", "query", "query_vector", _pack_longs(F.col("nears")).alias("nears"))
         held = self.vectors.select("block", "node", "vector")
         scored = asked.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_score, "query long, nodes binary, sims binary")
         both = beam.unionByName(scored, allowMissingColumns=True)
-        keyed = both.withColumn("part", block_of("query", self.blocks))
-        return keyed.groupBy("part").applyInArrow(_merge_beams, "query long, nodes binary, sims binary, expanded binary, seen binary")
+        keyed = both.withColumn("part", block_of("query"))
+        merged = keyed.groupBy("part").applyInArrow(_merge_beams, "query long, nodes binary, sims binary, expanded binary, seen binary")
+        return materialize(merged, "ann_beam")
+
+    def scan(self, starts: DataFrame, most: int) -> DataFrame:
+        """(query, node): the ``most`` best nodes of every block for each query node of ``starts``."""
+        blocks = self.vectors.select("block").distinct()
+        listed = F.explode(blocks.agg(F.collect_list("block")).scalar()).alias("block")
+        asked = self._asked(starts.select("query", listed)).select("block", "query", "query_vector")
+        held = self.vectors.select(F.col("block").alias("home"), "node", "vector")
+        found = asked.groupBy("block").cogroup(held.groupBy("home")).applyInArrow(_score_block(most), "query long, nodes binary")
+        return found.select("query", F.explode(_longs("nodes")).alias("node"))
 
 
 def _last_sim(packed: str) -> Column:
@@ -321,6 +394,26 @@ def _score(asked: pa.Table, held: pa.Table) -> pa.Table:
     return pa.table([asked.column("query"), pa.array(near, pa.binary()), pa.array(sims, pa.binary())], schema=schema)
 
 
+def _score_block(most: int):
+    """The best nodes of one block for each query."""
+
+    def best(asked: pa.Table, held: pa.Table) -> pa.Table:
+        schema = pa.schema([("query", pa.int64()), ("nodes", pa.binary())])
+        if not asked.num_rows or not held.num_rows:
+            return schema.empty_table()
+        nodes, x = held.column("node").to_numpy(), _matrix(held.column("vector"), "<f4")
+        q = _matrix(asked.column("query_vector"), "<f4").copy()
+        q[:, -1] = 0
+        packed = []
+        for one in q:
+            sim = x @ one
+            k = min(most, len(sim))
+            packed.append(nodes[np.argpartition(-sim, k - 1)[:k]].astype("<i8").tobytes())
+        return pa.table([asked.column("query"), pa.array(packed, pa.binary())], schema=schema)
+
+    return best
+
+
 def _merge_beams(rows: pa.Table) -> pa.Table:
     """Beams with newly scored nodes; nodes that were open before count as expanded now."""
     query = rows.column("query").to_numpy()
@@ -362,7 +455,14 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id",
     asking = narrow.where("asks and id is not null").select("id", F.transform("vector", lambda v: v.cast("double")).alias("vector"))
     owners = asking.join(nodes.select("node", "vector"), "vector").select(F.col("id").alias("query_id"), F.col("node").alias("query"))
     owners = materialize(owners, "ann_queries")
-    found = materialize(index.search(owners.select("query").distinct()), "ann_found")
+    starts = owners.select("query").distinct()
+    found = materialize(index.search(starts), "ann_found")
+    # a query without enough rows is scored against all nodes; its own row is one of those counted
+    held = found.join(nodes.select("node", F.size("ids").alias("n")), "node").groupBy("query").agg(F.sum("n").alias("n"))
+    short = materialize(starts.join(held, "query", "left").where(f"coalesce(n, 0) < {k + 1}").select("query"), "ann_short")
+    if not short.isEmpty():
+        whole = index.scan(short, k + 1)
+        found = materialize(found.join(short, "query", "left_anti").unionByName(whole), "ann_found_all")
     product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     queries = nodes.select(F.col("node").alias("query"), F.col("vector").alias("query_vector"))
     scored = found.join(queries, "query").join(nodes.select("node", "vector", "ids"), "node")
