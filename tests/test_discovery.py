@@ -4,9 +4,9 @@ from decimal import Decimal
 import pytest
 from conftest import rows
 
-from tracewell.operators import graph, matrix, windows
+from tracewell.operators import graph, matrix, reports, windows
 from tracewell.plans import discovery
-from tracewell.sources import sinks
+from tracewell.sources import groups, sinks
 
 
 def test_windowed_dataset_counts_every_window(lines):
@@ -76,10 +76,33 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "d")).first().template == "x"
 
 
+def test_group_parts_can_be_read_back(spark, tmp_path):
+    event = "array<struct<event_id:string,template:string>>"
+    data = [(i, f'k"{i}', None if i == 3 else f"m{i}", [(str(j), f"t\n{j}") for j in range(i % 4)]) for i in range(11)]
+    given = spark.createDataFrame(data, f"n int, group_key string, metadata string, group {event}")
+    sinks.write_group_parts(given, str(tmp_path / "parts"), ["n"], size=4)
+    docs = groups.read_parts(spark, str(tmp_path / "parts"))
+    assert rows(docs.select("source_file")) == [(f"part_{i}.json",) for i in range(3)]
+    assert groups.quarantine(docs).count() == 0
+    back = groups.explode_groups(docs).orderBy("source_file", "place").collect()
+    assert [(r.group_key, r.metadata) for r in back] == [(k, m) for _, k, m, _ in data]
+    assert [[(e.event_id, e.template) for e in r.group] for r in back] == [g for *_, g in data]
+
+
+def test_report_is_written_in_order(spark, tmp_path):
+    events = [(f"part_{f}.json", i) for f, n in ((0, 2), (1, 3), (2, 1)) for i in ("x", "y") for _ in range(n)]
+    df = spark.createDataFrame(events, "source_file string, dup_id string")
+    sinks.write_report(reports.matching_report(df, ["y", "x", "y"]), str(tmp_path / "r"))
+    text = [r.value for r in spark.read.text(str(tmp_path / "r")).coalesce(1).collect()]
+    title = "Files by total occurrences of the ids"
+    assert text == [title, "File: part_1.json - total 6", "  y: 3", "  x: 3", "File: part_0.json - total 4", "  y: 2", "  x: 2"]
+    assert [r.line for r in reports.matching_report(df, ["x", "z"]).collect()] == ["No file holds every id at least 2 times"]
+
+
 def test_matrix_and_edge_files(spark, tmp_path):
     (tmp_path / "m.csv").write_text("a b,c.d\n1,0\n1,0\n0,1\n")
     patterns, names = sinks.read_binary_matrix(spark, str(tmp_path / "m.csv"))
-    assert names == ["a b", "c.d"] and rows(patterns) == [([0, 1], 1), ([1, 0], 2)]
+    assert rows(names, "v") == [(0, "a b"), (1, "c.d")] and rows(patterns, "weight") == [([(1, 1)], 1), ([(0, 1)], 2)]
     (tmp_path / "e.csv").write_text("source,target,relation\na,b,directed\nb,c,undirected\nc,b,undirected\n")
     edges = sinks.read_csv(spark, str(tmp_path / "e.csv"), "source string, target string, relation string")
     assert rows(graph.edge_report(edges)) == [(3, 1, 0, 2)]
@@ -121,6 +144,6 @@ def test_events_with_a_missing_template_are_encoded(spark):
 def test_no_samples_give_no_graph(spark):
     from tracewell.operators import pc
 
-    patterns = spark.createDataFrame([], "vec array<int>, weight long")
+    samples = spark.createDataFrame([], "items array<struct<v:int,c:int>>, weight long")
     with pytest.raises(ValueError, match="no samples"):
-        pc.discover(patterns, ["a", "b"], "chi2", cards=[2, 2])
+        pc.discover(samples, matrix.listed_variables(spark, ["a", "b"]), "chi2")

@@ -143,7 +143,7 @@ def test_flat_records(spark):
 def test_part_files(spark, tmp_path):
     body = {"g1": {"metadata": "m", "group": [{"event_id": "1", "template": "t", "extra": 1}, {"event_id": "2"}]},
             "g2": {"metadata": None, "group": []}, "g3": {"metadata": "m"}}
-    (tmp_path / "part_0.json").write_text(json.dumps(body))
+    (tmp_path / "part_0.json").write_text(json.dumps(body, indent=2))
     (tmp_path / "part_10.json").write_text("{bad")
     (tmp_path / "part_x.json").write_text(json.dumps(body))
     (tmp_path / "notes.txt").write_text("no")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import comma_parts, joined_template, non_empty
+from tracewell.functions.text import comma_parts, non_empty
 from tracewell.operators.order import global_rank
 from tracewell.session import small_side
 
@@ -58,11 +58,6 @@ def encode(events: DataFrame, dictionary: DataFrame, key: str = "template") -> D
     return joined.withColumn(ids[0], F.coalesce(ids[0], lost))
 
 
-def concat_pieces(events: DataFrame, column: str = "template") -> DataFrame:
-    """Templates stored as arrays of pieces become strings."""
-    return events.withColumn(column, joined_template(column))
-
-
 def sequence_lines(
     encoded: DataFrame, group: Sequence[str], pos: str, item: str, sep: str, segment: int = 10_000
 ) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import strip
-from tracewell.operators.order import first_match
+from tracewell.operators.order import first_match, global_rank
+from tracewell.session import cut_lineage, small_side
 
 KEYWORDS = ("make", "compile", "linker", "error")
 
@@ -54,6 +55,23 @@ def files_with_all_ids(events: DataFrame, ids: Sequence[str], at_least: int = 2)
     )
 
 
+def matching_report(events: DataFrame, ids: Sequence[str], at_least: int = 2) -> DataFrame:
+    """(place, line): the files of ``files_with_all_ids`` by falling total, each with its counts."""
+    wanted = list(dict.fromkeys(ids))
+    files = global_rank(files_with_all_ids(events, wanted, at_least), [F.desc("total"), "source_file"], "rank")
+    files = cut_lineage(files)
+    counts = id_filter(events, "dup_id", wanted).groupBy("source_file", "dup_id").agg(F.count(F.lit(1)).alias("cnt"))
+    at = F.array_position(F.array(*[F.lit(i) for i in wanted]), F.col("dup_id"))
+    start = 1 + F.col("rank") * (len(wanted) + 1)
+    heads = files.select(start.alias("place"), F.format_string("File: %s - total %d", "source_file", "total").alias("line"))
+    each = counts.join(small_side(files), "source_file").select(
+        (start + at).alias("place"), F.format_string("  %s: %d", "dup_id", "cnt").alias("line")
+    )
+    none = f"No file holds every id at least {at_least} times" if files.isEmpty() else "Files by total occurrences of the ids"
+    title = events.sparkSession.createDataFrame([(0, none)], "place long, line string")
+    return title.unionByName(heads).unionByName(each)
+
+
 def files_with_any_id(events: DataFrame, column: str, ids: Sequence[str]) -> DataFrame:
     """Per file the count of each listed id that occurs in it."""
     return (

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import cleaning, order, reports
+from tracewell.operators import cleaning, order, reports, windows
 from tracewell.plans.fragments import (
+    BASKETS,
     BASKET_LINES,
     EVENTS,
     FLAT_LINES,
@@ -14,7 +15,8 @@ from tracewell.plans.fragments import (
     POSITIONED,
     SERIES,
 )
-from tracewell.sources import groups, jsonwalk, lines, tables
+from tracewell.session import shared_folder
+from tracewell.sources import groups, jsonwalk, lines, sinks, tables
 
 REQUESTED = ["7", "42", "7", "1000"]
 NOISE = ["Brand#11", "Brand#23"]
@@ -61,13 +63,68 @@ def src_quarantine(spark, sf):
     return bad.agg(F.count_distinct("group_no").alias("n_docs"))
 
 
-def json_walk_templates(spark, sf):
+def parts_round_trip(spark, sf):
+    """Groups written as part files of 500 and read again: groups and events of each part."""
+    given = groups.explode_groups(tables.group_documents(spark, sf), ("file_no", "group_no", "seg"))
+    # users recur from file to file and in segments, keys of a part must not
+    unique = given.withColumn("group_key", F.concat_ws(":", "source_file", "group_key", "seg"))
+    path = shared_folder(spark, "parts")
+    sinks.write_group_parts(unique, path, ["file_no", "group_no", "seg"])
+    back = groups.explode_groups(groups.read_parts(spark, path))
+    return back.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_groups"), F.sum(F.size("group")).alias("n_events"))
+
+
+def csv_round_trip(spark, sf):
+    """Template counts written as CSV with an unusual separator and read again."""
+    counted = tables.events(spark, sf).groupBy("template", "dup_id").agg(F.count(F.lit(1)).alias("cnt"))
+    path = shared_folder(spark, "csv")
+    sinks.write_csv(counted, path, "\u00a1")
+    return sinks.read_csv(spark, path, "template string, dup_id string, cnt long", "\u00a1")
+
+
+def dictionary_round_trip(spark, sf):
+    """The template dictionary written as JSON and read again."""
+    path = shared_folder(spark, "dictionary")
+    sinks.write_dictionary(event_dictionary(spark, sf), path)
+    return spark.read.schema("template_id long, template string").json(path)
+
+
+def lines_round_trip(spark, sf):
+    """A line of templates per group written as text and read again: how often each line occurs."""
+    keys = ["file_no", "group_no"]
+    lined = cleaning.sequence_lines(tables.positioned_events(spark, sf), keys, "pos", "template", " ", tables.SEGMENT)
+    path = shared_folder(spark, "lines")
+    sinks.write_lines(lined, path, keys)
+    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def matrix_round_trip(spark, sf):
+    """The 0/1 matrix of brands per order written as wide CSV and read again as weighted samples."""
+    wide = windows.wide_matrix(tables.basket_items(spark, sf).withColumn("one", F.lit(1)), "row_id", "var", "one")
+    path = shared_folder(spark, "matrix")
+    sinks.write_csv(wide.drop("row_id"), path)
+    samples, names = sinks.read_binary_matrix(spark, path)
+    held = samples.select("weight", F.explode("items.v").alias("v"))
+    return held.join(names, "v").groupBy(F.col("name").alias("brand")).agg(F.sum("weight").alias("orders"))
+
+
+def _walked(spark, sf):
     turns = tables.table(spark, sf, "conversations")
     inner = F.struct(F.array(F.struct(F.col("role").alias("template"))).alias("group"))
     item = F.struct(inner.alias("sub"), F.col("text").alias("template"))
     body = F.struct(F.array(item).alias("group"), F.col("role").alias("metadata"))
     docs = turns.select("conv_id", "turn", F.to_json(F.struct(body.alias("turn"))).alias("json"))
-    walked = jsonwalk.walk_templates(docs, ["conv_id", "turn"])
+    return jsonwalk.walk_templates(docs, ["conv_id", "turn"])
+
+
+def json_unique_templates(spark, sf):
+    """Each template of the walk once, with the turn that shows it first."""
+    found = jsonwalk.unique_templates(_walked(spark, sf), ["conv_id", "turn"])
+    return found.where("template IS NOT NULL").select("template", "conv_id", "turn")
+
+
+def json_walk_templates(spark, sf):
+    walked = _walked(spark, sf)
     return walked.withColumn("path", F.array_join(F.col("path").cast("array<string>"), "/"))
 
 
@@ -190,6 +247,12 @@ def template_dict(spark, sf):
 
 
 QUERIES = {
+    "parts_round_trip": parts_round_trip,
+    "csv_round_trip": csv_round_trip,
+    "dictionary_round_trip": dictionary_round_trip,
+    "lines_round_trip": lines_round_trip,
+    "matrix_round_trip": matrix_round_trip,
+    "json_unique_templates": json_unique_templates,
     "src_groups": src_groups,
     "src_part_scan": src_part_scan,
     "src_quarantine": src_quarantine,
@@ -228,6 +291,17 @@ _NOISE_SQL = """list_filter(list_transform(string_split(trim(line), ','), lambda
 _DICT = "di AS (SELECT template, row_number() OVER (ORDER BY f) - 1 AS template_id FROM (SELECT template, min((file_no, group_no, seq)) AS f FROM ev GROUP BY template))"
 
 SQL = {
+    "parts_round_trip": f"""WITH {GROUPS}, nu AS (SELECT n_events, (row_number() OVER (ORDER BY file_no, group_no) - 1) // 500 AS part FROM gr)
+        SELECT 'part_' || part || '.json' AS source_file, count(*) AS n_groups, sum(n_events)::BIGINT AS n_events FROM nu GROUP BY part""",
+    "csv_round_trip": f"WITH {EVENTS} SELECT template, dup_id, count(*) AS cnt FROM ev GROUP BY ALL",
+    "dictionary_round_trip": f"WITH {EVENTS}, {_DICT} SELECT template_id, template FROM di",
+    "lines_round_trip": f"""WITH {POSITIONED}, li AS (SELECT string_agg(template, ' ' ORDER BY pos) AS line FROM pe GROUP BY file_no, group_no)
+        SELECT line, count(*) AS cnt FROM li GROUP BY line""",
+    "matrix_round_trip": f"WITH {BASKETS} SELECT var AS brand, count(*) AS orders FROM bk GROUP BY var",
+    "json_unique_templates": """WITH w AS (SELECT conv_id, turn, 0 AS deep, regexp_replace(text, '\\n+$', '') AS template FROM conversations
+          UNION ALL SELECT conv_id, turn, 1, role FROM conversations)
+        SELECT template, arg_min(conv_id, (conv_id, turn, deep)) AS conv_id, arg_min(turn, (conv_id, turn, deep)) AS turn FROM w
+        WHERE template IS NOT NULL GROUP BY template""",
     "src_groups": f"WITH {GROUPS} SELECT source_file, group_key, metadata, n_events FROM gr",
     "src_part_scan": f"""WITH {EVENTS} SELECT source_file, true AS strict, count(*) AS n_events FROM ev GROUP BY source_file
         UNION ALL SELECT replace(source_file, 'part_', 'part_old'), false, count(*) FROM ev GROUP BY source_file""",

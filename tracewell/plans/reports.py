@@ -95,6 +95,7 @@ QUERIES = {
         "source_file", "group_key", "event_id", "dup_id", "template"
     ),
     "files_all_ids": lambda spark, sf: reports.files_with_all_ids(_events(spark, sf), REQUESTED[:2]),
+    "match_report": lambda spark, sf: reports.matching_report(_events(spark, sf), REQUESTED[:2]),
     "files_any_id": lambda spark, sf: reports.files_with_any_id(_events(spark, sf), "dup_id", REQUESTED),
     "keyword_counts": lambda spark, sf: reports.keyword_counts(_events(spark, sf)),
     "top_dup_ids": lambda spark, sf: reports.top_ids(_events(spark, sf), tables.event_order()),
@@ -130,6 +131,13 @@ SQL = {
     "id_filter": f"WITH {EVENTS} SELECT source_file, group_key, event_id, dup_id, template FROM ev WHERE dup_id IN ('7', '42', '1000')",
     "files_all_ids": f"""WITH {EVENTS}, c AS (SELECT source_file, count(*) FILTER (WHERE dup_id = '7') AS a, count(*) FILTER (WHERE dup_id = '42') AS b
         FROM ev GROUP BY source_file) SELECT source_file, a + b AS total FROM c WHERE least(a, b) >= 2""",
+    "match_report": f"""WITH {EVENTS}, c AS (SELECT source_file, count(*) FILTER (WHERE dup_id = '7') AS a, count(*) FILTER (WHERE dup_id = '42') AS b
+          FROM ev GROUP BY source_file),
+        f AS (SELECT source_file, a, b, row_number() OVER (ORDER BY a + b DESC, source_file) - 1 AS rank FROM c WHERE least(a, b) >= 2)
+        SELECT 0::BIGINT AS place, CASE WHEN EXISTS (SELECT 1 FROM f) THEN 'Files by total occurrences of the ids'
+          ELSE 'No file holds every id at least 2 times' END AS line
+        UNION ALL SELECT 1 + 3 * rank, 'File: ' || source_file || ' - total ' || (a + b) FROM f
+        UNION ALL SELECT 2 + 3 * rank, '  7: ' || a FROM f UNION ALL SELECT 3 + 3 * rank, '  42: ' || b FROM f""",
     "files_any_id": f"""WITH {EVENTS} SELECT source_file, dup_id, count(*) AS cnt FROM ev
         WHERE dup_id IN ('7', '42', '1000') GROUP BY ALL""",
     "keyword_counts": f"""WITH {EVENTS} SELECT source_file, count(*) FILTER (WHERE contains(lower(template), 'make')) AS make,

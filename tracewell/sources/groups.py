@@ -13,14 +13,13 @@ PART_NAME = r"^part_\d+\.json$"
 
 
 def read_parts(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """Whole part files as (source_file, value). Files are bounded by the 500 groups of a part."""
-    df = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", "part_*.json")
-        .text(path)
-        .select(F.col("_metadata.file_name").alias("source_file"), "value")
-    )
-    return df.filter(F.col("source_file").rlike(PART_NAME)) if strict else df
+    """Whole part files as (source_file, value). Files are bounded by the 500 groups of a part.
+
+    The name is that of the file, or of its folder ``source_file=<name>`` as ``write_group_parts`` leaves it.
+    """
+    df = spark.read.text(path, wholetext=True)
+    name = F.col("source_file") if "source_file" in df.columns else F.col("_metadata.file_name")
+    return part_names(df.select(name.alias("source_file"), "value"), strict)
 
 
 def part_names(df: DataFrame, strict: bool = True) -> DataFrame:

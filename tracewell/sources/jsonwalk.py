@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.order import first_match
 from tracewell.session import cut_lineage
 
 
@@ -39,6 +40,11 @@ def walk_templates(docs: DataFrame, keys: list[str], levels: int = 8) -> DataFra
             return rows.select(*keys, "path", "template")
 
 
+def unique_templates(walked: DataFrame, keys: list[str]) -> DataFrame:
+    """Each template once, where the walk meets it first: (keys, path, template)."""
+    return first_match(walked, ["template"], F.struct(*keys, "path"), [*keys, "path"]).select(*keys, "path", "template")
+
+
 def _open_level(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Replace each open node by its templates and its child nodes; keep found templates."""
     path, node, text = F.col("path"), F.col("node"), F.col("text")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.operators.cleaning import assign_parts
+from tracewell.operators.matrix import coded_samples, listed_variables
 
 
 def write_parts(groups: DataFrame, path: str, order: Sequence[str], size: int = 500) -> None:
@@ -21,6 +22,35 @@ def write_parts(groups: DataFrame, path: str, order: Sequence[str], size: int =
     parts.repartition("part_id").write.partitionBy("part_id").mode("overwrite").json(path)
 
 
+def write_group_parts(groups: DataFrame, path: str, order: Sequence[str], size: int = 500) -> None:
+    """(group_key, metadata, group) as keyed-group documents of ``size`` groups, which ``read_parts`` reads.
+
+    A part is a folder ``source_file=part_<n>.json`` with one text file; a group is one line of it, so
+    a part is written row by row and never held whole.
+    """
+    numbered = assign_parts(decimals_to_double(groups), order, size)
+    last = numbered.count() - 1
+    inside = F.col("group_pos") % size
+    key = F.to_json(F.array("group_key"))
+    body = F.to_json(F.struct("metadata", "group"))
+    line = F.concat(
+        F.when(inside == 0, "{").otherwise(","),
+        F.substring(key, F.lit(2), F.length(key) - 2),
+        F.lit(":"),
+        body,
+        F.when((inside == size - 1) | (F.col("group_pos") == last), "}").otherwise(""),
+    )
+    name = F.concat(F.lit("part_"), "part_id", F.lit(".json"))
+    lines = numbered.select(name.alias("source_file"), "group_pos", line.alias("value")).repartition("source_file")
+    ordered = lines.sortWithinPartitions("source_file", "group_pos").select("source_file", "value")
+    ordered.write.partitionBy("source_file").mode("overwrite").text(path)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """The lines (place, line) of a report as text, in order across the part files."""
+    report.orderBy("place").select("line").write.mode("overwrite").text(path)
+
+
 def decimals_to_double(df: DataFrame) -> DataFrame:
     """Decimal columns, also nested ones, become double."""
 
@@ -74,9 +104,8 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",") -> Dat
     return reader.schema(schema).csv(path)
 
 
-def read_binary_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """A wide 0/1 CSV matrix as weighted code vectors with its column names."""
+def read_binary_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A wide 0/1 CSV matrix as sparse samples with its columns as variables."""
     wide = spark.read.option("header", True).option("escape", '"').csv(path)
-    cells = F.array(*[F.col(f"`{c}`").cast("int") for c in wide.columns])
-    patterns = wide.groupBy(cells.alias("vec")).agg(F.count(F.lit(1)).alias("weight"))
-    return patterns, wide.columns
+    numbered = wide.toDF(*[f"_{i}" for i in range(len(wide.columns))])
+    return coded_samples(numbered, numbered.columns), listed_variables(spark, wide.columns)

@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tracewell.operators.cleaning import encode, sequence_lines
 from tracewell.operators.order import global_rank
-from tracewell.sources.groups import PART_NAME, explode_groups, flatten_groups, valid_groups
+from tracewell.sources.groups import PART_NAME, explode_groups, flatten_groups, quarantine, valid_groups
 
 DICTIONARY = "template_id long, template string, batch long"
 
@@ -51,20 +52,29 @@ def extend_dictionary(known: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def ingest_parts(spark: SparkSession, source: str, target: str, files_per_trigger: int = 1_000) -> StreamingQuery:
-    """Read all new part files, append their valid events and extend the template dictionary.
+    """Read all new part files and append what they hold.
 
-    The stream checkpoint remembers finished files, so a restart continues where it stopped. Each
-    micro-batch writes its own folder, so a repeated batch replaces its earlier attempt.
+    ``events`` gets the events of valid groups, ``dictionary`` the templates not seen before,
+    ``sequences`` a line of template ids per group (in segments, see ``sequence_lines``) and ``quarantine``
+    the files that are no document. Events without a template take no part in a sequence. The stream
+    checkpoint remembers finished files, so a restart continues where it stopped. Each micro-batch
+    writes its own folders, so a repeated batch replaces its earlier attempt; ids never change.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         s = batch.sparkSession
+        quarantine(batch).write.mode("overwrite").parquet(f"{target}/quarantine/batch={batch_id}")
         events = flatten_groups(valid_groups(explode_groups(batch)))
         path = f"{target}/events/batch={batch_id}"
         events.write.mode("overwrite").parquet(path)
         known = _read_batches(s, f"{target}/dictionary", DICTIONARY, batch_id)
-        new = extend_dictionary(known, s.read.parquet(path))
-        new.write.mode("overwrite").parquet(f"{target}/dictionary/batch={batch_id}")
+        events = s.read.parquet(path)
+        added = f"{target}/dictionary/batch={batch_id}"
+        extend_dictionary(known, events).write.mode("overwrite").parquet(added)
+        ids = known.select("template_id", "template").unionByName(s.read.parquet(added).select("template_id", "template"))
+        encoded = encode(events.filter(F.col("template").isNotNull()), ids)
+        lines = sequence_lines(encoded, ["source_file", "place", "group_key"], "pos", "template_id", " ")
+        lines.write.mode("overwrite").parquet(f"{target}/sequences/batch={batch_id}")
 
     return (
         stream_parts(spark, source, files_per_trigger)

@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -88,14 +89,18 @@ def mine_stream(
 ) -> DataFrame:
     """Each line with its cluster and that cluster's template after the micro-batch.
 
-    Lines too short to be routed carry their own text and are left to the batch operator.
+    A line too short to be routed is its own template and has no cluster.
     """
     tokenized = tokenize(lines, patterns).select("source", "n_tokens", "line_no", "toks")
-    return (
-        tokenized.filter(tokenized["n_tokens"] >= depth - 2)
+    routed = tokenized["n_tokens"] >= depth - 2
+    mined = (
+        tokenized.filter(routed)
         .groupBy("source", "n_tokens")
         .transformWithStateInPandas(Miner(depth, st, max_child), MINED, "append", "none")
     )
+    own = F.array_join("toks", " ").alias("template")
+    short = tokenized.filter(~routed).select("source", "n_tokens", "line_no", F.lit(None).cast("long").alias("cluster"), own)
+    return mined.unionByName(short)
 
 
 def bins_stream(lines: DataFrame, k: int = 5) -> DataFrame:
