@@ -77,3 +77,31 @@ def test_every_stage_against_plain_python(spark, tmp_path):
     import numpy as np
 
     assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in kept["bpe_encoding"]) == want
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty, very long, tied and repeated rows, columns called like the operators'."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, base string, terms int, size int, copies string"
+    prose = " ".join(f"word{i}" for i in range(60))
+    longest = " ".join(f"w{i}" for i in range(30_000)) + " ann@mail.example.com"
+    texts = [None, "", " \t", prose, prose, f"{prose} more", f"call +1 (743) 555-3824 {prose[::-1]}", longest]
+    rows = [(i if i % 3 else None, t, None, "s" if i % 2 else None, None, "own", 7, i, "c") for i, t in enumerate(texts)]
+    rows += [rows[4], (None,) * 9]
+    docs = spark.createDataFrame(rows, schema)
+    own = lambda df: sorted(map(str, df.select("base", "terms", "size", "copies").collect()))
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality_rules"](spark, docs, SF)
+    assert good.columns == docs.columns and not Counter(good.collect()) - Counter(docs.collect())
+    assert {r.text for r in good.collect()} <= {t for t in texts if t and len(t.split()) >= 50}
+    one = stage["near_duplicates"](spark, docs, SF)
+    assert Counter(r.text or "" for r in one.collect()) == Counter(["", " \t", prose, texts[6], longest])
+    clean = stage["personal_data"](spark, docs, SF)
+    assert clean.columns == docs.columns and own(clean) == own(docs)
+    assert Counter(r.text for r in clean.collect())[None] == 2
+    assert all("@" not in (r.text or "") and "555-3824" not in (r.text or "") for r in clean.collect())
+    mixed = stage["mixture"](spark, docs, SF)
+    assert mixed.columns == docs.columns and set(own(mixed)) <= set(own(docs)) and mixed.count() > 0
+    coded = stage["bpe_encoding"](spark, docs, SF).collect()
+    assert len(coded) == len(rows) and sum(r.n_tokens == 0 for r in coded) == 3
+    for name, work in corpus_pipeline.STAGES:
+        assert work(spark, docs.limit(0), SF).collect() == [], name
