@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tracewell.llm.common import free_name, table, text_of
-from tracewell.session import materialize
+from tracewell.session import materialize, small_side
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 POSITIONS = 64
@@ -44,6 +44,8 @@ POSITIONS = 64
 #: within the second of the pivot has all its partners above the first.
 CANDIDATE, LEAVES = 0.6, 0.9
 BUCKET, BLOCK = 512, 256
+#: Rows of small buckets that are compared in one group.
+SHARD_ROWS = 1 << 15
 MAX_DEPTH = 12
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WORDS_KEPT = 300_000
@@ -83,7 +85,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray, positions: int = POSITIONS) -> bytes:
-    """Min-wise tokens by one permutation; an empty position copies from one that two sets agree on."""
+    """Min-wise tokens by one permutation; an empty position copies from one that two sets agree on.
+
+    Four bytes a token for the paths, then the last byte of each for comparisons.
+    """
     if not len(shingles):
         return b""
     least = np.full(positions, np.iinfo(np.uint64).max)
@@ -97,7 +102,8 @@ def sketch(shingles: np.ndarray, positions: int = POSITIONS) -> bytes:
         got = filled[donor]
         out[empty[got]] = least[donor[got]] + np.uint64(attempt + 1)
         empty, attempt = empty[~got], attempt + 1
-    return mixed(out).astype("<u4").tobytes()
+    tokens = mixed(out)
+    return tokens.astype("<u4").tobytes() + tokens.astype("u1").tobytes()
 
 
 def sketcher(n: int):
@@ -128,13 +134,17 @@ def token_at(sketch_: Column, position: Column) -> Column:
     return F.substring(sketch_, position * 4 + 1, F.lit(4))
 
 
+def short(sketch_: Column) -> Column:
+    return F.substring(sketch_, 4 * POSITIONS + 1, F.lit(POSITIONS))
+
+
 @F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of positions at which two sketches have the same token."""
+    """Share of positions at which two short sketches have the same token."""
     if not len(a):
         return pd.Series([], dtype=float)
-    x = np.frombuffer(b"".join(a), "<u4").reshape(len(a), -1)
-    y = np.frombuffer(b"".join(b), "<u4").reshape(len(b), -1)
+    x = np.frombuffer(b"".join(a), "u1").reshape(len(a), -1)
+    y = np.frombuffer(b"".join(b), "u1").reshape(len(b), -1)
     return pd.Series((x == y).mean(axis=1))
 
 
@@ -152,19 +162,29 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _brute_force(bucket: pa.Table) -> pa.Table:
-    """A forest over the candidate pairs of one bucket."""
-    ids = bucket.column("cid").to_pylist()
-    x = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), "<u4").reshape(len(ids), -1)
-    pairs = []
-    for i in range(len(ids) - 1):
-        near = np.flatnonzero((x[i + 1 :] == x[i]).mean(axis=1) >= CANDIDATE)
-        pairs.append(np.stack([np.full(len(near), i), near + i + 1]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), int)
-    root = _roots(len(ids), a, b)
-    moved = np.flatnonzero(root != np.arange(len(ids)))
+def _brute_force(shard: pa.Table) -> pa.Table:
+    """A forest over the candidate pairs of each bucket of a shard."""
+    bucket = shard.column("bucket").to_numpy()
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cids = shard.column("cid").to_pylist()
+    x = np.frombuffer(b"".join(shard.column("short").to_pylist()), "u1").reshape(len(cids), -1)
+    first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    ends = np.append(first[1:], len(bucket))
+    source, target = [], []
+    for lo, hi in zip(first[ends - first > 1].tolist(), ends[ends - first > 1].tolist(), strict=True):
+        at = order[lo:hi]
+        some = x[at]
+        pairs = []
+        for i in range(len(at) - 1):
+            near = np.flatnonzero((some[i + 1 :] == some[i]).mean(axis=1) >= CANDIDATE)
+            pairs.append(np.stack([np.full(len(near), i), near + i + 1]))
+        root = _roots(len(at), *np.concatenate(pairs, axis=1))
+        moved = np.flatnonzero(root != np.arange(len(at)))
+        source += [cids[i] for i in at[moved]]
+        target += [cids[i] for i in at[root[moved]]]
     schema = pa.schema([("source", pa.binary()), ("target", pa.binary())])
-    return pa.table([[ids[i] for i in moved], [ids[r] for r in root[moved]]], schema=schema)
+    return pa.table([source, target], schema=schema)
 
 
 def text_id(text: str) -> Column:
@@ -195,22 +215,24 @@ def _runs(sketched: DataFrame, first: int, runs: int) -> tuple[list[DataFrame],
     """Candidate links of some runs; per level, the rows of each run that it left in large buckets."""
     run = lambda r: F.struct(r.alias("run"), F.xxhash64(r).alias("bucket"))
     rows = sketched.select("cid", "sketch", F.inline(F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), run)))
+    setting = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(setting, sketched.count() * runs // SHARD_ROWS + 1)
     links, left = [], []
     for _ in range(MAX_DEPTH):
         rows = _split(rows)
-        keys = materialize(rows.select("run", "bucket", "cid"), "path_keys")
-        sizes = keys.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-        rows = keys.join(sizes, "bucket").join(sketched.select("cid", "sketch"), "cid")
-        rows = materialize(rows, "path_buckets")
-        small = rows.where(F.col("size") <= BUCKET).select("bucket", "cid", "sketch")
-        links.append(small.groupBy("bucket").applyInArrow(_brute_force, "source binary, target binary"))
-        large = rows.where(F.col("size") > BUCKET)
+        # at most one large bucket in BUCKET rows, so rows meet this list without moving
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
+        full = small_side(sizes.where(F.col("size") > BUCKET).select("bucket"))
+        shard = F.pmod(F.xxhash64(F.lit("shard"), "bucket"), F.lit(shards)).alias("shard")
+        small = rows.join(full, "bucket", "left_anti").select(shard, "bucket", "cid", short(F.col("sketch")).alias("short"))
+        links.append(small.groupBy("shard").applyInArrow(_brute_force, "source binary, target binary"))
+        large = materialize(rows.join(full, "bucket").select("run", "bucket", "cid", "sketch"), "path_buckets")
         left.append({r.run: r["count"] for r in large.groupBy("run").count().collect()})
         if not left[-1]:
             break
-        pivots = large.groupBy("bucket").agg(F.min(F.struct("cid", "sketch")).alias("pivot"))
-        to_pivot = large.join(pivots, "bucket").withColumn("near", agreement("sketch", "pivot.sketch"))
-        to_pivot = materialize(to_pivot, "pivot_links")
+        pivots = large.groupBy("bucket").agg(F.min(F.struct("cid", short(F.col("sketch")).alias("short"))).alias("pivot"))
+        near = agreement(short(F.col("sketch")), "pivot.short").alias("near")
+        to_pivot = materialize(large.join(small_side(pivots), "bucket").select("*", near), "pivot_links")
         near = to_pivot.where((F.col("near") >= CANDIDATE) & (F.col("cid") != F.col("pivot.cid")))
         links.append(near.select(F.col("cid").alias("source"), F.col("pivot.cid").alias("target")))
         rows = to_pivot.where(F.col("near") < LEAVES).select("run", "bucket", "cid", "sketch")
