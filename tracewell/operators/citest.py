@@ -103,17 +103,19 @@ def pair_independence(samples: DataFrame, n_variables: int, kind: str = "chi2")
     return _pairs_with_cells(samples, n_variables).select("a", "b", stat.alias("stat"), dof.alias("dof"))
 
 
-def set_cells(samples: DataFrame, tests: DataFrame) -> DataFrame:
+def set_cells(samples: DataFrame, tests: DataFrame, total: int | None = None, few: bool = False) -> DataFrame:
     """Non-empty cells of conditional tests: (a, b, given, s, x, y, cnt); ``s`` is the slice.
 
     A row meets a test once, through the first of the test's variables that it holds. The weight
-    that no row brings belongs to the cell whose codes are all 0.
+    that no row brings belongs to the cell whose codes are all 0. ``total`` is the weight of all
+    samples, if known; with ``few`` the caller has counted the tests to be few enough to broadcast.
     """
+    total = total_weight(samples) if total is None else total
     keys = [F.col(c) for c in TEST]
     member = F.concat(F.array("a", "b"), "given").alias("members")
     asked = tests.select(*keys, member).withColumn("v", F.explode("members"))
     rows = samples.select("weight", F.map_from_entries("items").alias("codes"), F.explode("items.v").alias("v"))
-    met = rows.join(small_side(asked), "v")
+    met = rows.join(F.broadcast(asked) if few else small_side(asked), "v")
     held = F.filter("members", lambda m: F.try_element_at(F.col("codes"), m).isNotNull())
     met = met.where(F.element_at(held, 1) == F.col("v"))
     code = F.transform("members", lambda m: F.coalesce(F.try_element_at(F.col("codes"), m), F.lit(0)))
@@ -122,7 +124,7 @@ def set_cells(samples: DataFrame, tests: DataFrame) -> DataFrame:
     rest = tests.select(*TEST).join(brought, list(TEST), "left").select(
         *TEST,
         F.array_repeat(F.lit(0), F.size("given") + 2).alias("code"),
-        (F.lit(total_weight(samples)) - F.coalesce("brought", F.lit(0))).alias("cnt"),
+        (F.lit(total) - F.coalesce("brought", F.lit(0))).alias("cnt"),
     )
     cells = some.unionByName(rest.where("cnt > 0"))
     return cells.select(

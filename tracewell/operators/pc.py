@@ -16,7 +16,16 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.citest import TEST, all_pairs, independence, pair_independence, partial_z, set_cells, with_p
+from tracewell.operators.citest import (
+    TEST,
+    all_pairs,
+    independence,
+    pair_independence,
+    partial_z,
+    set_cells,
+    total_weight,
+    with_p,
+)
 from tracewell.session import cut_lineage, materialize
 
 BOTH = ["x", "y"]
@@ -36,14 +45,19 @@ class Graph:
     tests: DataFrame
 
 
-#: (tests, level) to (a, b, given, stat, dof, p).
-Tester = Callable[[DataFrame, int], DataFrame]
+#: (tests, level, number of tests) to (a, b, given, stat, dof, p).
+Tester = Callable[[DataFrame, int, int], DataFrame]
+#: Variables of all tests of a level, one row each, up to which the tests are broadcast.
+FEW = 100_000
 
 
 def discrete_tester(samples: DataFrame, n_variables: int, kind: str) -> Tester:
-    def evaluate(tests: DataFrame, level: int) -> DataFrame:
+    total = total_weight(samples)
+
+    def evaluate(tests: DataFrame, level: int, n_tests: int) -> DataFrame:
         if level:
-            return with_p(independence(set_cells(samples, tests), TEST, kind))
+            cells = set_cells(samples, tests, total, n_tests * (level + 2) <= FEW)
+            return with_p(independence(cells, TEST, kind))
         pairs = with_p(pair_independence(samples, n_variables, kind))
         return pairs.withColumn("given", F.array().cast("array<int>"))
 
@@ -51,7 +65,7 @@ def discrete_tester(samples: DataFrame, n_variables: int, kind: str) -> Tester:
 
 
 def gaussian_tester(correlated: DataFrame) -> Tester:
-    return lambda tests, _: partial_z(tests, correlated)
+    return lambda tests, *_: partial_z(tests, correlated)
 
 
 def _flipped(pairs: DataFrame, a: str = "x", b: str = "y") -> DataFrame:
@@ -83,12 +97,13 @@ def skeleton(variables: DataFrame, evaluate: Tester, alpha: float = 0.01, max_le
         if max_level is not None and level > max_level:
             break
         tests = cut_lineage(level_tests(edges, level)) if level else pairs.withColumn("given", none)
-        if level and tests.isEmpty():
+        n_tests = tests.count() if level else 0
+        if level and not n_tests:
             break
-        done = evaluate(tests, level).select(*TEST, F.lit(level).alias("level"), "stat", "dof", "p")
+        done = evaluate(tests, level, n_tests).select(*TEST, F.lit(level).alias("level"), "stat", "dof", "p")
         found.append(materialize(done, "tests"))
-        accepted = found[-1].where(F.col("p") > alpha).groupBy("a", "b").agg(F.min("given").alias("given"))
-        separated.append(cut_lineage(accepted))
+        # read from the table of results, like all that follows from it
+        separated.append(found[-1].where(F.col("p") > alpha).groupBy("a", "b").agg(F.min("given").alias("given")))
         gone = separated[-1].select(F.col("a").alias("x"), F.col("b").alias("y"))
         edges = cut_lineage(edges.join(gone.unionByName(_flipped(gone)), BOTH, "left_anti"))
     return Graph(variables, edges, *(reduce(DataFrame.unionByName, x) for x in (separated, found)))
