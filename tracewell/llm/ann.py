@@ -11,9 +11,9 @@ and a sample of those that have them as neighbour); there all pairs of the neigh
 multiplied, and a pair that beats the last entry of a list and is not in it goes to that list. Rounds
 end when lists hardly change.
 
-*Search.* A query keeps a beam of the best nodes found. Every round expands the ones that are not
-expanded yet: their neighbours in the graph are scored and compete for the beam, until none is left
-open. A query that is a row starts at its own node and at ``ENTRIES`` shared ones. A query that still
+*Search.* A query keeps a beam of the best nodes found. Every round expands those of its best
+``EXPAND`` that are not expanded yet: their neighbours in the graph are scored and compete for the
+beam, until none of these is left open. An entry only ever falls in its beam, so one below is done. A query that is a row starts at its own node and at ``ENTRIES`` shared ones. A query that still
 has fewer rows than asked for is scored against all nodes, block by block.
 
 Nodes live in blocks of about ``BLOCK``, and every step works on whole blocks in NumPy; a node's
@@ -45,7 +45,8 @@ LIST, SAMPLE, TREES, LEAF, BLOCK = 32, 32, 4, 256, 2048
 #: round, which knows these, offers others.
 OFFERS = 8
 ROUNDS, QUIET = 8, 0.5
-BEAM, ENTRIES = 96, 32
+#: Entries of a beam, those of them that are expanded, and shared entry points.
+BEAM, EXPAND, ENTRIES = 96, 96, 32
 #: Sampled vectors by which nodes are laid out; bits of a node's number inside its block.
 CENTRES, PLACE_BITS = 1024, 20
 
@@ -372,7 +373,11 @@ def _open_nodes(nodes: str, expanded: str) -> Column:
         import pandas as pd
 
         return pd.Series(
-            [np.frombuffer(n, "<i8")[np.frombuffer(d, np.uint8) == 0] for n, d in zip(near, done, strict=True)], dtype=object
+            [
+                np.frombuffer(n, "<i8")[:EXPAND][np.frombuffer(d, np.uint8)[:EXPAND] == 0]
+                for n, d in zip(near, done, strict=True)
+            ],
+            dtype=object,
         )
 
     return unexpanded(nodes, expanded)
