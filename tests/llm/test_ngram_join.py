@@ -89,6 +89,55 @@ def test_components_by_contraction(spark):
     assert {(r.node, r.component) for r in got} == {(i, find(i)) for a, b in links if a != b for i in (a, b)}
 
 
+def family(m, words, kept, seed):
+    """``m`` texts that share a share ``kept`` of their runs of words, two of them near copies of each other."""
+    random.seed(seed)
+    vocabulary = [f"v{i}" for i in range(20_000)]
+    base = [random.choices(vocabulary, k=20) for _ in range(words // 20)]
+    texts = []
+    for _ in range(m):
+        parts = [b if random.random() < kept else random.choices(vocabulary, k=20) for b in base]
+        texts.append(" ".join(w for part in parts for w in part))
+    return texts
+
+
+def test_classes_of_a_half_similar_family_get_runs_until_each_meets_the_recall(spark, monkeypatch):
+    # one family that every token splits slowly among many texts that depth 1 parts
+    monkeypatch.setattr(nj, "BUCKET", 8)
+    texts = family(120, 400, 0.65, 7)
+    near = [t.rsplit(" ", 12)[0] + " " + " ".join(f"n{i}{k}" for k in range(12)) for i, t in enumerate(texts)]
+    rows = list(enumerate(texts + near + family(300, 100, 0.0, 8)))
+    runs = []
+    plain = nj._runs
+    monkeypatch.setattr(nj, "_runs", lambda open_, first, n: runs.append((open_.count(), first, n)) or plain(open_, first, n))
+    found = {bytes(r.cid): r for r in nj.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    links, _ = brute(rows)
+    import hashlib
+
+    assert [found[hashlib.md5(t.encode()).digest()].n_links for _, t in rows] == [links[i] for i, _ in rows]
+    # the first runs hold all texts, later ones the family
+    assert runs[0] == (540, 0, 5) and len(runs) > 1 and all(n <= 240 for n, _, _ in runs[1:])
+
+
+def test_texts_of_classes_are_the_same_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small = sorted(map(tuple, nj.near_duplicates(docs).collect()))
+    monkeypatch.setattr(nj, "SENT_CLASSES", 0)
+    assert sorted(map(tuple, nj.near_duplicates(docs).collect())) == small
+
+
+def test_least_row_of_a_group_stays(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [
+        (7, long, "b", 1), (3, long + " x", "a", 2), (3, long, "b", 3), (3, long, "a", 4), (3, long, "a", 4),
+        (None, long, "a", 0), (None, "alone", "a", 5), (None, "two", "z", 6), (None, "two", "y", 7),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, least string, cid int")
+    kept = sorted(map(tuple, nj.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(3, long, "a", 4), (None, "alone", "a", 5), (None, "two", "y", 7)], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, cid string")
     assert nj.near_duplicates(docs).collect() == []

@@ -5,9 +5,11 @@ number of min-wise tokens, so that sets with Jaccard similarity s share a share
 *run* of the chosen-path join splits the classes on a sampled token: classes that share the token
 fall into one bucket. Small buckets are compared by brute force on sketches. A large bucket first
 compares all its classes with one pivot; those very near to it are linked and leave, as whatever is
-near to them is linked to the pivot too. The rest is split again on another sampled token. Runs
-repeat until a pair at the threshold is missed with probability below ``1 - recall``, counted from
-the depth that the splits really took.
+near to them is linked to the pivot too. The rest is split again on another sampled token, until no
+bucket is large. A class that was compared at depth d of a run met a partner at the threshold with
+probability ``threshold ** d``; runs repeat for the classes whose own depths leave a chance above
+``1 - recall`` that a partner was missed in all of them. A family of half-similar texts is split
+deeply and so gets as many more runs as it needs, however few its classes are among all.
 
 Brute force and pivots emit a forest of candidate links, never all pairs. Candidate links cut the
 classes into clusters, and an exact check follows: within each cluster all pairs of shingle sets are
@@ -22,6 +24,7 @@ is the empty text. Rows with null or repeated ids count as rows. An empty table
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -40,13 +43,15 @@ from tracewell.session import materialize, small_side
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 POSITIONS = 64
 #: Similarity of sketches from which two classes become candidates, and from which a class leaves a
-#: large bucket with its pivot. The first is five deviations of a sketch under the threshold; a class
-#: within the second of the pivot has all its partners above the first.
+#: large bucket with its pivot. The first is four deviations of a sketch under the threshold (a pair at
+#: the threshold falls below it once in 10,000 times); a class within the second of the pivot has all
+#: its partners above the first.
 CANDIDATE, LEAVES = 0.6, 0.9
 BUCKET, BLOCK = 512, 256
 #: Rows of small buckets that are compared in one group.
 SHARD_ROWS = 1 << 15
-MAX_DEPTH = 12
+#: Classes of clusters, 40 bytes each, that are sent to the texts; more meet the distinct texts by a shuffle.
+SENT_CLASSES = 250_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WORDS_KEPT = 300_000
 
@@ -211,53 +216,63 @@ def _split(rows: DataFrame) -> DataFrame:
     return rows.withColumn("bucket", F.xxhash64("bucket", token))
 
 
-def _runs(sketched: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], list[dict[int, int]]]:
-    """Candidate links of some runs; per level, the rows of each run that it left in large buckets."""
+def _log_miss(depth: int) -> float:
+    """Logarithm of the chance that a run parts two classes at the threshold within ``depth`` splits."""
+    return math.log1p(-(THRESHOLD**depth))
+
+
+def _runs(sketched: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Candidate links of some runs; per class (cid, deeper), what depths below 1 add to its log miss."""
     run = lambda r: F.struct(r.alias("run"), F.xxhash64(r).alias("bucket"))
     rows = sketched.select("cid", "sketch", F.inline(F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), run)))
     setting = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = max(setting, sketched.count() * runs // SHARD_ROWS + 1)
-    links, left = [], []
-    for _ in range(MAX_DEPTH):
-        rows = _split(rows)
+    links, deeper, depth = [], [], 0
+    while True:
+        rows, depth = _split(rows), depth + 1
         # at most one large bucket in BUCKET rows, so rows meet this list without moving
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
         full = small_side(sizes.where(F.col("size") > BUCKET).select("bucket"))
         shard = F.pmod(F.xxhash64(F.lit("shard"), "bucket"), F.lit(shards)).alias("shard")
         small = rows.join(full, "bucket", "left_anti").select(shard, "bucket", "cid", short(F.col("sketch")).alias("short"))
         links.append(small.groupBy("shard").applyInArrow(_brute_force, "source binary, target binary"))
-        large = materialize(rows.join(full, "bucket").select("run", "bucket", "cid", "sketch"), "path_buckets")
-        left.append({r.run: r["count"] for r in large.groupBy("run").count().collect()})
-        if not left[-1]:
+        if full.isEmpty():
             break
+        large = materialize(rows.join(full, "bucket").select("run", "bucket", "cid", "sketch"), "path_buckets")
         pivots = large.groupBy("bucket").agg(F.min(F.struct("cid", short(F.col("sketch")).alias("short"))).alias("pivot"))
         near = agreement(short(F.col("sketch")), "pivot.short").alias("near")
         to_pivot = materialize(large.join(small_side(pivots), "bucket").select("*", near), "pivot_links")
         near = to_pivot.where((F.col("near") >= CANDIDATE) & (F.col("cid") != F.col("pivot.cid")))
         links.append(near.select(F.col("cid").alias("source"), F.col("pivot.cid").alias("target")))
+        # at least the pivot leaves, and a bucket that stays whole gets another position
         rows = to_pivot.where(F.col("near") < LEAVES).select("run", "bucket", "cid", "sketch")
-    # what is still large shares all sampled tokens; its classes have met a pivot at every level
-    return links, left
-
+        deeper.append(rows.select("cid", F.lit(_log_miss(depth + 1) - _log_miss(depth)).alias("more")))
+    if not deeper:
+        return links, None
+    return links, reduce(DataFrame.unionByName, deeper).groupBy("cid").agg(F.sum("more").alias("deeper"))
 
-def _missed(left: list[dict[int, int]], run: int, total: int) -> float:
-    """Probability that a run misses a pair at the threshold, averaged over the rows."""
-    before, caught = total, 0.0
-    for depth, rows in enumerate(left, 1):
-        caught += (before - rows.get(run, 0)) / total * THRESHOLD**depth
-        before = rows.get(run, 0)
-    return 1 - caught
 
+def candidate_links(sketched: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(source, target): forests that join each near pair with probability ``recall`` at least.
 
-def candidate_links(sketched: DataFrame, recall: float = RECALL, batch: int = 4) -> DataFrame:
-    """(source, target): forests that join each near pair with probability ``recall`` at least."""
-    links, missed, first, total = [], 1.0, 0, max(1, sketched.count())
-    while missed > 1 - recall:
-        found, left = _runs(sketched, first, batch)
+    A batch of runs is as long as classes need that depth 1 parts from large buckets; the others take
+    part in further batches, among themselves. A class that leaves has a chance below ``1 - recall`` of
+    having missed a partner, whether or not the partner stays.
+    """
+    bound = math.log(1 - recall)
+    batch = math.ceil(bound / _log_miss(1))
+    links, first, open_ = [], 0, sketched.select("cid", "sketch", F.lit(0.0).alias("missed"))
+    while True:
+        found, deeper = _runs(open_, first, batch)
         links += found
-        for run in range(first, first + batch):
-            missed *= _missed(left, run, total)
         first += batch
+        if deeper is None:
+            break
+        missed = F.col("missed") + batch * _log_miss(1) + F.coalesce("deeper", F.lit(0.0))
+        still = open_.join(deeper, "cid", "left").withColumn("missed", missed).drop("deeper")
+        open_ = materialize(still.where(F.col("missed") > bound), "open_classes")
+        if open_.isEmpty():
+            break
     return materialize(reduce(DataFrame.unionByName, links).distinct(), "candidate_links")
 
 
@@ -322,6 +337,14 @@ def _exact_links(threshold: float):
     return check
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (cid, ..) with the text of each class; copies are combined before any text moves."""
+    one = lambda rows, *keys: rows.groupBy(*keys).agg(F.first("text").alias("text"))
+    if wanted.count() <= SENT_CLASSES:
+        return one(texts.join(F.broadcast(wanted), "cid"), *wanted.columns)
+    return one(texts, "cid").join(wanted, "cid")
+
+
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = N, threshold: float = THRESHOLD, recall: float = RECALL
 ) -> DataFrame:
@@ -334,9 +357,9 @@ def near_duplicates(
     links = candidate_links(known.where(F.length("sketch") > 0), recall)
     clusters = materialize(components(links), "clusters").withColumnsRenamed({"node": "cid", "component": "cluster"})
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster")
-    texts = docs.select(text_id(text).alias("cid"), text_of(text).alias("text"))
-    one = texts.join(sized, "cid").groupBy("cid", "cluster", "members").agg(F.first("text").alias("text"))
-    sets = one.join(known.select("cid", "copies"), "cid").withColumn("shingles", shingle_sets(n)("text")).drop("text")
+    sized = materialize(sized.join(known.select("cid", "copies"), "cid"), "sized_classes")
+    one = _texts_of(docs.select(text_id(text).alias("cid"), text_of(text).alias("text")), sized)
+    sets = one.withColumn("shingles", shingle_sets(n)("text")).drop("text")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit("block"), "cid"), blocks).cast("int")
     # block pair (i, j): a class of block i meets the classes of block j once; one block meets itself
@@ -358,15 +381,16 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One document of each group: the one with the least id (nulls last), then the least row."""
-    found = near_duplicates(docs, key, text, **options)
-    several = found.join(found.groupBy("group").agg(F.sum("copies").alias("rows")), "group").where("rows > 1")
-    several = materialize(several.select("cid", "group"), "duplicate_classes")
-    cid, group = free_name(docs, "cid"), free_name(docs, "group")
-    several = several.withColumnsRenamed({"cid": cid, "group": group})
+    found = materialize(near_duplicates(docs, key, text, **options), "near_duplicates")
+    groups = found.groupBy("group").agg(F.sum("copies").alias("rows"), F.min("least").alias("least"))
+    several = found.select("cid", "group").join(groups.where("rows > 1"), "group").select("cid", "group", "least")
+    cid, group, least = (free_name(docs, c) for c in ("cid", "group", "least"))
+    several = small_side(several.withColumnsRenamed({"cid": cid, "group": group, "least": least}), SENT_CLASSES)
     keyed = docs.withColumn(cid, text_id(text))
     alone = keyed.join(several, cid, "left_anti").select(docs.columns)
-    first = F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("own"), *docs.columns)
-    best = keyed.join(several, cid).groupBy(group).agg(F.min(first).alias("row"))
+    # rows with the least id of their group, which are few; the least of them stays
+    some = keyed.join(several, cid).where(F.col(key).eqNullSafe(F.col(least)))
+    best = some.groupBy(group).agg(F.min(F.struct(*docs.columns)).alias("row"))
     return alone.unionByName(best.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns]))
 
 
