@@ -52,6 +52,8 @@ BUCKET, BLOCK = 512, 256
 SHARD_ROWS = 1 << 15
 #: Classes of clusters, 40 bytes each, that are sent to the texts; more meet the distinct texts by a shuffle.
 SENT_CLASSES = 250_000
+#: Large buckets, and their pivots, of at most 100 bytes each, that are sent to all rows of a level.
+SENT_BUCKETS = 100_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WORDS_KEPT = 300_000
 
@@ -221,35 +223,42 @@ def _log_miss(depth: int) -> float:
     return math.log1p(-(THRESHOLD**depth))
 
 
-def _runs(sketched: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """Candidate links of some runs; per class (cid, deeper), what depths below 1 add to its log miss."""
-    run = lambda r: F.struct(r.alias("run"), F.xxhash64(r).alias("bucket"))
-    rows = sketched.select("cid", "sketch", F.inline(F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), run)))
-    setting = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(setting, sketched.count() * runs // SHARD_ROWS + 1)
-    links, deeper, depth = [], [], 0
+def _sent(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """Narrow rows written once, and their number; broadcast if they are few."""
+    fixed = materialize(df, name)
+    rows = fixed.count()
+    return (F.broadcast(fixed) if rows <= SENT_BUCKETS else fixed), rows
+
+
+def _runs(open_: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Some runs over ``open_`` (cid, sketch): what each level leaves in small buckets (bucket, cid, short),
+    its links to pivots, and per class (cid, deeper), what depths below 1 add to its log miss.
+    """
+    run = lambda r: F.struct(F.xxhash64(r).alias("bucket"))
+    rows = open_.select("cid", "sketch", F.inline(F.transform(F.sequence(F.lit(first), F.lit(first + runs - 1)), run)))
+    small, links, deeper, depth = [], [], [], 0
+    mark = F.xxhash64("cid")
     while True:
         rows, depth = _split(rows), depth + 1
         # at most one large bucket in BUCKET rows, so rows meet this list without moving
-        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
-        full = small_side(sizes.where(F.col("size") > BUCKET).select("bucket"))
-        shard = F.pmod(F.xxhash64(F.lit("shard"), "bucket"), F.lit(shards)).alias("shard")
-        small = rows.join(full, "bucket", "left_anti").select(shard, "bucket", "cid", short(F.col("sketch")).alias("short"))
-        links.append(small.groupBy("shard").applyInArrow(_brute_force, "source binary, target binary"))
-        if full.isEmpty():
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min(mark).alias("mark"))
+        full, n_full = _sent(sizes.where(F.col("size") > BUCKET).select("bucket", "mark"), "large_buckets")
+        left = rows.join(full, "bucket", "left_anti") if n_full else rows
+        small.append(left.select("bucket", "cid", short(F.col("sketch")).alias("short")))
+        if not n_full:
             break
-        large = materialize(rows.join(full, "bucket").select("run", "bucket", "cid", "sketch"), "path_buckets")
-        pivots = large.groupBy("bucket").agg(F.min(F.struct("cid", short(F.col("sketch")).alias("short"))).alias("pivot"))
-        near = agreement(short(F.col("sketch")), "pivot.short").alias("near")
-        to_pivot = materialize(large.join(small_side(pivots), "bucket").select("*", near), "pivot_links")
-        near = to_pivot.where((F.col("near") >= CANDIDATE) & (F.col("cid") != F.col("pivot.cid")))
-        links.append(near.select(F.col("cid").alias("source"), F.col("pivot.cid").alias("target")))
+        pivots = rows.join(full, "bucket").where(mark == F.col("mark"))
+        pivots, _ = _sent(pivots.select("bucket", F.col("cid").alias("pivot"), short(F.col("sketch")).alias("short")), "pivots")
+        near = agreement(short(F.col("sketch")), "short").alias("near")
+        to_pivot = materialize(rows.join(pivots, "bucket").select("bucket", "cid", "sketch", "pivot", near), "pivot_links")
+        near = to_pivot.where((F.col("near") >= CANDIDATE) & (F.col("cid") != F.col("pivot")))
+        links.append(near.select(F.col("cid").alias("source"), F.col("pivot").alias("target")))
         # at least the pivot leaves, and a bucket that stays whole gets another position
-        rows = to_pivot.where(F.col("near") < LEAVES).select("run", "bucket", "cid", "sketch")
+        rows = to_pivot.where(F.col("near") < LEAVES).select("bucket", "cid", "sketch")
         deeper.append(rows.select("cid", F.lit(_log_miss(depth + 1) - _log_miss(depth)).alias("more")))
     if not deeper:
-        return links, None
-    return links, reduce(DataFrame.unionByName, deeper).groupBy("cid").agg(F.sum("more").alias("deeper"))
+        return small, links, None
+    return small, links, reduce(DataFrame.unionByName, deeper).groupBy("cid").agg(F.sum("more").alias("deeper"))
 
 
 def candidate_links(sketched: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -261,18 +270,25 @@ def candidate_links(sketched: DataFrame, recall: float = RECALL) -> DataFrame:
     """
     bound = math.log(1 - recall)
     batch = math.ceil(bound / _log_miss(1))
-    links, first, open_ = [], 0, sketched.select("cid", "sketch", F.lit(0.0).alias("missed"))
-    while True:
-        found, deeper = _runs(open_, first, batch)
-        links += found
-        first += batch
+    small, links, first, rows = [], [], 0, 0
+    open_, n_open = sketched.select("cid", "sketch", F.lit(0.0).alias("missed")), sketched.count()
+    while n_open:
+        left, found, deeper = _runs(open_, first, batch)
+        small, links = small + left, links + found
+        first, rows = first + batch, rows + n_open * batch
         if deeper is None:
             break
         missed = F.col("missed") + batch * _log_miss(1) + F.coalesce("deeper", F.lit(0.0))
         still = open_.join(deeper, "cid", "left").withColumn("missed", missed).drop("deeper")
         open_ = materialize(still.where(F.col("missed") > bound), "open_classes")
-        if open_.isEmpty():
-            break
+        n_open = open_.count()
+    if not small:
+        return sketched.select(F.col("cid").alias("source"), F.col("cid").alias("target"))
+    # the small buckets of all levels and runs are compared together; a bucket's name is its path
+    setting = int(sketched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod(F.xxhash64(F.lit("shard"), "bucket"), F.lit(max(setting, rows // SHARD_ROWS + 1)))
+    buckets = reduce(DataFrame.unionByName, small).withColumn("shard", shard)
+    links.append(buckets.groupBy("shard").applyInArrow(_brute_force, "source binary, target binary"))
     return materialize(reduce(DataFrame.unionByName, links).distinct(), "candidate_links")
 
 
