@@ -458,3 +458,30 @@ def test_pair_pmax_tries_all_sets_of_up_to_three(spark, tmp_path):
     assert any(n > 4 for _, n in want.values())
     assert {k: n for k, (_, n) in got.items()} == {k: n for k, (_, n) in want.items()}
     assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-4) for k in want)
+
+
+def test_many_sets_are_counted_from_shared_items(spark):
+    """All sets of five of twelve variables: too many meetings of rows and sets to make one by one."""
+    rng = np.random.default_rng(17)
+    codes = np.unique(rng.integers(1, 3, (1500, 12)) * (rng.random((1500, 12)) < 0.3), axis=0)
+    codes, weights = [tuple(r) for r in codes.tolist()], rng.integers(1, 9, len(codes)).tolist()
+    given = [([(v, c) for v, c in enumerate(k) if c], w) for k, w in zip(codes, weights)]
+    p = spark.createDataFrame(given, "items array<struct<v:int,c:int>>, weight long")
+    every = list(itertools.combinations(range(12), 5))
+    sets = spark.createDataFrame([(list(m),) for m in every], "members array<int>")
+    assert citest._supports_take_less(p, sets)
+    assert not citest._supports_take_less(p, sets.limit(1))
+    got = {(tuple(r.members), tuple(r.code)): r.cnt for r in citest._support_cells(p, sets).collect()}
+    want = {}
+    for code, w in zip(codes, weights):
+        for m in every:
+            key = m, tuple(code[v] for v in m)
+            want[key] = want.get(key, 0) + w
+    assert got == want
+    some = spark.createDataFrame([(3, 7, [11, 0, 5]), (0, 3, [5, 7, 11]), (1, 2, [])], "a int, b int, given array<int>")
+    for few in (True, False):
+        cells = {}
+        for r in citest.set_cells(p, some, few=few).collect():
+            cells.setdefault((r.a, r.b, tuple(r.given)), {})[tuple(r.s), r.x, r.y] = r.cnt
+        tests = [(3, 7, (11, 0, 5)), (0, 3, (5, 7, 11)), (1, 2, ())]
+        assert cells == {t: cells_of(codes, weights, *t) for t in tests}
