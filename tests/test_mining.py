@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -124,3 +125,30 @@ def test_log_format_drops_other_lines(lines):
     assert format_regex("<Level> <Part>: <Content>") == (["Level", "Part", "Content"], r"^(.*?)\s+(.*?):\s+(.*?)$")
     out = rows(parse_log_format(df, "<Level> <Part>: <Content>"))
     assert out == [("s0", 1, "I", "web", "up"), ("s0", 2, "E", "db", "down: now")]
+
+
+def test_consensus_equals_positions_held_against_each_other(spark):
+    """Buckets of one line, of many and of lines longer than a word of bits, with and without hot ones."""
+    rng = np.random.default_rng(23)
+    given = []
+    for n in (1, 2, 3, 62, 63, 64, 130):
+        for lead in ("a b", "a 7"):
+            start = lead.split()[:n]
+            for _ in range(12):
+                rest = [f"w{rng.integers(0, 2) if rng.random() < 0.1 else 0}" for _ in range(n - len(start))]
+                given.append((["s", None, "t"][rng.integers(0, 3)], " ".join(start + rest)))
+    given += [("s", "alone in its bucket"), ("s", ""), ("s", None), ("u", "x <*> 5 y"), ("u", "x <*> 5 z")]
+    tokenized = drain.tokenize(spark.createDataFrame(given, "source string, template string"))
+    buckets = {}
+    for source, line in given:
+        toks = (line or "").split()
+        if toks:
+            route = " ".join("<*>" if any(c.isdigit() for c in t) else t for t in toks[:2])
+            buckets.setdefault((source, len(toks), route), []).append(tuple(toks))
+    want = set()
+    for key, held in buckets.items():
+        template = " ".join(t[0] if len(set(t)) == 1 else "<*>" for t in zip(*held))
+        want.add((*key, template, len(held), len(set(held))))
+    for hot_lines in (1, 3, 1000):
+        got = [tuple(r) for r in drain.consensus(tokenized, hot_lines=hot_lines).collect()]
+        assert len(got) == len(want) and set(got) == want

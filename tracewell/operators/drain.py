@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from tracewell.session import cut_lineage, materialize
 
 HOT_ROWS = 500_000
 OUT_ROWS = 10_000
+# Distinct lines above which a bucket's lines are not moved to meet; positions whose bits fit a positive long.
+HOT_LINES, WORD_BITS = 100_000, 63
 BUCKET = ["source", "n_tokens"]
 
 
@@ -158,29 +161,50 @@ def bucket_sizes(tokenized: DataFrame, depth: int = 5) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def consensus(tokenized: DataFrame, depth: int = 5) -> DataFrame:
+def consensus(tokenized: DataFrame, depth: int = 5, hot_lines: int = HOT_LINES) -> DataFrame:
     """(source, n_tokens, route, template, n_lines, n_distinct): one template per routing bucket.
 
     A position is constant if all distinct lines of the bucket agree there, else the wildcard. There is
-    no threshold and no order, so it is two aggregates: equal lines once with their number, then the
-    least and greatest token per bucket and position.
+    no threshold and no order: equal lines are counted once, then every line of a bucket is held against
+    its least one, and only the bits of the positions that differ are gathered, never the tokens. A bucket
+    of one line is its template. At most lines / ``hot_lines`` buckets have more than ``hot_lines``; their
+    least lines go to the lines, which stay where they are.
     """
     keys = ["source", "n_tokens", "route"]
-    route = F.array_join(route_key(F.col("toks"), depth), " ").alias("route")
-    distinct = tokenized.where("n_tokens > 0").groupBy("source", "n_tokens", route, "toks").agg(F.count(F.lit(1)).alias("n"))
-    # the count travels with the first token only
-    placed = distinct.select(*keys, "n", F.posexplode("toks").alias("pos", "tok"))
-    first = F.when(F.col("pos") == 0, F.col("n"))
-    folded = placed.groupBy(*keys, "pos").agg(
-        F.min("tok").alias("low"), F.max("tok").alias("high"), F.sum(first).alias("n"), F.count(first).alias("d")
+    # tokens hold no blanks, so the joined text splits back
+    whole = tokenized.where("n_tokens > 0").groupBy("source", F.array_join("toks", " ").alias("text"))
+    distinct = materialize(whole.agg(F.count(F.lit(1)).alias("n")), "distinct-lines")
+    toks = F.split("text", " ")
+    route = F.array_join(route_key(toks, depth), " ").alias("route")
+    placed = distinct.select("source", F.size(toks).alias("n_tokens"), route, "text", "n")
+    buckets = materialize(
+        placed.groupBy(*keys).agg(F.min("text").alias("low"), F.sum("n").alias("n_lines"), F.count(F.lit(1)).alias("n_distinct")),
+        "buckets",
     )
-    tok = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(WILDCARD)
-    listed = F.array_sort(F.collect_list(F.struct("pos", tok.alias("tok"))))
-    return folded.groupBy(*keys).agg(
-        F.array_join(F.transform(listed, lambda x: x["tok"]), " ").alias("template"),
-        F.sum("n").alias("n_lines"),
-        F.sum("d").alias("n_distinct"),
+    alone = buckets.where("n_distinct = 1").select(*keys, F.col("low").alias("template"), "n_lines", "n_distinct")
+    several = buckets.where("n_distinct > 1").withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    hot, cold = several.where(F.col("n_distinct") > hot_lines), several.where(F.col("n_distinct") <= hot_lines)
+    met = placed.join(F.broadcast(hot), same).unionByName(placed.join(cold, same)).where("text != low")
+    # all lines of a bucket have the same words of bits, the last one shorter
+    differ = F.zip_with(toks, F.split("low", " "), lambda a, b: (a != b).cast("long"))
+    words = F.sequence(F.lit(0), F.floor((F.col("n_tokens") - 1) / WORD_BITS).cast("int"))
+    bits = lambda w: F.aggregate(
+        F.slice("differ", w * WORD_BITS + 1, F.lit(WORD_BITS)), F.lit(0).cast("long"), lambda all_, d: all_ * 2 + d
     )
+    known = [*keys, "low", "n_lines", "n_distinct"]
+    marked = met.withColumn("differ", differ).select(*known, F.posexplode(F.transform(words, bits)).alias("word", "mask"))
+    folded = marked.groupBy(*known, "word").agg(F.bit_or("mask").alias("mask"))
+    gathered = folded.groupBy(*known).agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("masks"))
+
+    def token(t: Column, i: Column) -> Column:
+        word = F.floor(i / WORD_BITS).cast("int")
+        length = F.least(F.lit(WORD_BITS), F.col("n_tokens") - word * WORD_BITS)
+        bit = F.getbit(F.element_at("masks", word + 1)["mask"], length - 1 - i % WORD_BITS)
+        return F.when(bit == 1, WILDCARD).otherwise(t)
+
+    template = F.array_join(F.transform(F.split("low", " "), token), " ")
+    return alone.unionByName(gathered.select(*keys, template.alias("template"), "n_lines", "n_distinct"))
 
 
 def similarity(template: Column, toks: Column) -> Column:

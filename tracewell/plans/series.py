@@ -72,7 +72,8 @@ QUERIES = {
         "source", "line_no", F.array_join("toks", " ").alias("masked"), "n_tokens"
     ),
     "drain_buckets": lambda spark, sf: drain.bucket_sizes(_tokenized(spark, sf)),
-    "template_consensus": lambda spark, sf: drain.consensus(_tokenized(spark, sf)),
+    # a template does not depend on the numbers of its lines
+    "template_consensus": lambda spark, sf: drain.consensus(drain.tokenize(tables.flat_lines(spark, sf), MASKS)),
     "template_similarity": template_similarity,
     "drain_exact": _mined,
     "drain_structured": drain_structured,
