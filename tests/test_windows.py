@@ -104,3 +104,17 @@ def test_adaptive_chunks_equal_the_plain_scan(lines, words, k):
     out = adaptive.bins_adaptive(lines(*texts).repartition(4), k, chunk=20)
     want = sorted((f"s{j}", i, b) for j, t in enumerate(texts) for i, b in enumerate(brute_bins(t, k)))
     assert rows(out.select("source", "line_no", "bin")) == want
+
+
+def test_wide_matrix_is_built_in_bounded_parts(spark, monkeypatch):
+    given = [(r, f"c{c}", r + c) for r in range(200) for c in range(5) if (r + c) % 3]
+    given += [(None, "c0", 4), (7, "c9", 2), (7, "c9", 2)]
+    cells = spark.createDataFrame(given, "row_id long, var string, n long")
+    whole = sorted(map(repr, windows.wide_matrix(cells, "row_id", "var", "n").collect()))
+    monkeypatch.setattr(windows, "WIDE_CELLS", 100)
+    cut = windows.wide_matrix(cells, "row_id", "var", "n")
+    places = len(given) * 6
+    assert cut.rdd.getNumPartitions() >= places // 100
+    assert sorted(map(repr, cut.collect())) == whole and len(whole) == 201
+    row = {tuple(r)[0]: tuple(r)[1:] for r in cut.collect()}
+    assert row[7] == (7, 8, 0, 10, 11, 2) and row[5] == (5, 0, 7, 8, 0, 0)

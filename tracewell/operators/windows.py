@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators.order import KEY_WIDTH, key_range, running_before, with_halo
-from tracewell.session import small_side
+from tracewell.session import materialize, small_side
 
 CHUNK = 50_000
+# Places of a wide matrix, rows times columns, that one task builds.
+WIDE_CELLS = 1 << 22
 
 
 def frequent_templates(lines: DataFrame, min_freq: int = 5) -> DataFrame:
@@ -161,8 +163,15 @@ def bin_matrix(binned: DataFrame) -> DataFrame:
 
 
 def wide_matrix(cells: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
-    """Wide form for export; the column side must be small."""
-    return cells.groupBy(rows).pivot(columns).agg(F.first(value)).na.fill(0)
+    """Wide form for export; the column side must be small.
+
+    A row under construction has a place for every column, so the cells are counted and dealt to as many
+    parts as keep the places of one part under ``WIDE_CELLS``.
+    """
+    fixed = materialize(cells.select(rows, columns, value), "matrix-cells")
+    places = fixed.count() * fixed.select(columns).distinct().count()
+    dealt = fixed.repartition(places // WIDE_CELLS + 1, rows)
+    return dealt.groupBy(rows).pivot(columns).agg(F.first(value)).na.fill(0)
 
 
 def lag_pairs(lines: DataFrame, maxlag: int = 3, chunk: int = CHUNK) -> DataFrame:
