@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tracewell.llm import ann
 
@@ -84,3 +85,52 @@ def test_blocks_follow_the_vectors(spark, monkeypatch):
     assert max(b["count"] for b in per_block) < 200 and len(per_block) >= 10
     graph = index.graph.selectExpr("shiftright(node, 20) AS a", "explode(nears) AS near").selectExpr("a", "shiftright(near, 20) AS b")
     assert graph.where("abs(a - b) <= 1").count() > 0.5 * graph.count()
+
+
+def test_offers_of_a_block_are_one_row_per_block_they_go_to():
+    """As many rows as blocks however many nodes get offers; each node gets its best unlisted pairs."""
+    r = np.random.default_rng(6)
+    members = np.array([b << ann.PLACE_BITS | i for b in range(3) for i in range(20)])
+    x = r.normal(size=(60, 8)).astype("<f4")
+    listed = [members[[(i + 1) % 60]] for i in range(60)]
+    centres = [np.array([7, 8] if i % 2 else [8], "<i8") for i in range(60)]
+    block = pa.table({
+        "sender": members, "vector": [v.tobytes() for v in x], "last": pa.array(np.full(60, 0.5), pa.float32()),
+        "nodes": [v.astype("<i8").tobytes() for v in listed], "centres": [c.tobytes() for c in centres],
+    })
+    got = ann._local_join(block)
+    assert got.num_rows == 3 and got.column("block").to_pylist() == [0, 1, 2]
+    pairs = {}
+    for row in got.to_pylist():
+        owners, nodes, sims = (np.frombuffer(row[c], d) for c, d in (("owners", "<i8"), ("nodes", "<i8"), ("sims", "<f4")))
+        assert set(owners >> ann.PLACE_BITS) == {row["block"]}
+        for o, n, v in zip(owners.tolist(), nodes.tolist(), sims.tolist(), strict=True):
+            assert (o, n) not in pairs
+            pairs[o, n] = v
+    place = {int(m): i for i, m in enumerate(members)}
+    want = set()
+    for i in range(60):
+        for part in [range(60), range(1, 60, 2)] if i % 2 else [range(60)]:
+            fits = [j for j in part if j not in (i, (i + 1) % 60) and x[i] @ x[j] > 0.5]
+            want |= {(i, j) for j in sorted(fits, key=lambda j: -(x[i] @ x[j]))[: ann.OFFERS]}
+    assert {(place[o], place[n]) for o, n in pairs} == want
+    assert all(np.isclose(v, x[place[o]] @ x[place[n]], atol=1e-5) for (o, n), v in pairs.items())
+
+
+def test_best_orders_and_keeps_the_first_of_a_node():
+    owner, node = np.array([1, 0, 1, 1, 0, 1]), np.array([5, 9, 3, 5, 2, 4])
+    sim = np.array([-2.0, 0.0, -0.5, -1.0, -0.0, np.inf], np.float32)
+    assert ann._best(owner, node, sim, 3).tolist() == [4, 1, 5, 2, 0]
+    assert ann._best(owner[:0], node[:0], sim[:0], 3).tolist() == []
+
+
+def test_ready_beams_go_into_no_later_round(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LEAF", 64)
+    monkeypatch.setattr(ann, "BLOCK", 200)
+    monkeypatch.setattr(ann, "BEAM", 24)
+    monkeypatch.setattr(ann, "EXPAND", 24)
+    sizes, expand = [], ann.Index._expand
+    monkeypatch.setattr(ann.Index, "_expand", lambda self, beam, reached: sizes.append(beam.count()) or expand(self, beam, reached))
+    r = np.random.default_rng(7)
+    check(spark, [(i, r.normal(size=8).tolist()) for i in range(1200)], least=0.8)
+    assert sizes[0] == 60 and sizes == sorted(sizes, reverse=True) and sizes[-1] < 60

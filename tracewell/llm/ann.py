@@ -8,13 +8,15 @@ component that makes all lengths equal, so near in angle means large in product.
 lists; one more deal at random links far groups and fills every list. Each round joins neighbours of
 neighbours: every node sends its vector to the nodes in whose neighbourhood it is (their neighbours,
 and a sample of those that have them as neighbour); there all pairs of the neighbourhood are
-multiplied, and a pair that beats the last entry of a list and is not in it goes to that list. Rounds
-end when lists hardly change.
+multiplied, and a pair that beats the last entry of a list and is not in it goes to that list; what a
+block offers to the lists of another is one row. Rounds end when lists hardly change.
 
 *Search.* A query keeps a beam of the best nodes found. Every round expands those of its best
 ``EXPAND`` that are not expanded yet: their neighbours in the graph are scored and compete for the
-beam, until none of these is left open. An entry only ever falls in its beam, so one below is done. A query that is a row starts at its own node and at ``ENTRIES`` shared ones. A query that still
-has fewer rows than asked for is scored against all nodes, block by block.
+beam, until none of these is left open; such a beam is ready and goes into no later round. An entry
+only ever falls in its beam, so one below is done and needs no record. A query that is a row starts at
+its own node and at ``ENTRIES`` shared ones. A query that still has fewer rows than asked for is
+scored against all nodes, block by block.
 
 Nodes live in blocks of about ``BLOCK``, and every step works on whole blocks in NumPy; a node's
 vector goes once to each block that needs it. Blocks follow the nearest of at most ``CENTRES`` sampled
@@ -33,6 +35,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -46,33 +49,55 @@ LIST, SAMPLE, TREES, LEAF, BLOCK = 32, 32, 4, 256, 2048
 OFFERS = 8
 ROUNDS, QUIET = 8, 0.5
 #: Entries of a beam, those of them that are expanded, and shared entry points.
-BEAM, EXPAND, ENTRIES = 96, 96, 32
+BEAM, EXPAND, ENTRIES = 160, 160, 32
 #: Sampled vectors by which nodes are laid out; bits of a node's number inside its block.
 CENTRES, PLACE_BITS = 1024, 20
+#: A row's number in its group above a node's, in one long.
+OWNER_SHIFT = 42
+
+#: Neighbourhoods that are multiplied at once.
+BATCH = 64
 
 _STATE = "block int, node long, vector binary, nodes binary, sims binary, changed int"
-_OFFER = "block int, node long, nodes binary, sims binary"
+_OFFERS = "block int, owners binary, nodes binary, sims binary"
+_BEAM = "query long, query_vector binary, nodes binary, sims binary, expanded binary, open int"
+
+
+def _flat(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a packed list column, and the number of each row."""
+    array = column.cast(pa.large_binary()).combine_chunks()
+    if not len(array):
+        return np.zeros(0, dtype), np.zeros(0, np.int64)
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data else np.zeros(0, np.uint8)
+    return np.frombuffer(raw.tobytes(), dtype), np.diff(ends) // np.dtype(dtype).itemsize
 
 
 def _matrix(column: pa.ChunkedArray, dtype: str) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), dtype).reshape(len(rows), -1)
+    return _flat(column, dtype)[0].reshape(len(column), -1)
 
 
 def _lists(column: pa.ChunkedArray, dtype: str) -> tuple[np.ndarray, np.ndarray]:
     """All values of a packed list column, and their rows."""
-    rows = column.to_pylist()
-    width = np.dtype(dtype).itemsize
-    lengths = np.array([len(r) // width for r in rows], np.int64)
-    return np.frombuffer(b"".join(rows), dtype), np.repeat(np.arange(len(rows)), lengths)
+    values, lengths = _flat(column, dtype)
+    return values, np.repeat(np.arange(len(lengths)), lengths)
+
+
+def _falling(sim: np.ndarray) -> np.ndarray:
+    """Unsigned numbers that order single floats from the largest down."""
+    bits = (sim.astype("<f4") + np.float32(0)).view("<u4")
+    return np.where(bits >> 31 == 1, bits, ~bits & 0x7FFFFFFF).astype(np.uint64)
 
 
 def _best(owner: np.ndarray, node: np.ndarray, sim: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best different nodes of each owner, by owner and falling similarity."""
-    order = np.lexsort((-sim, node, owner))
+    """Positions of the ``k`` best different nodes of each owner (a small number), by owner and falling
+    similarity; of entries for one node the first counts."""
+    order = np.argsort(owner << OWNER_SHIFT | node, kind="stable")
     o, n = owner[order], node[order]
     order = order[np.append(True, (o[1:] != o[:-1]) | (n[1:] != n[:-1]))] if len(order) else order
-    order = order[np.lexsort((node[order], -sim[order], owner[order]))]
+    # by node now, so equal similarities stay in that order
+    order = order[np.argsort(owner[order].astype(np.uint64) << np.uint64(32) | _falling(sim[order]), kind="stable")]
     o = owner[order]
     rank = np.arange(len(o)) - np.searchsorted(o, o)
     return order[rank < k]
@@ -99,12 +124,14 @@ def _chain(x: np.ndarray) -> np.ndarray:
 
 
 def _offers(members: np.ndarray, a: np.ndarray, b: np.ndarray, sim: np.ndarray, k: int) -> pa.Table:
-    """The ``k`` best (b, sim) for each member index ``a``."""
-    keep = _best(a, members[b], sim, k)
-    owners, at = np.unique(a[keep], return_inverse=True)
-    schema = pa.schema([("node", pa.int64()), ("nodes", pa.binary()), ("sims", pa.binary())])
-    columns = [members[owners], _packed(at, members[b[keep]], len(owners)), _packed(at, sim[keep].astype("<f4"), len(owners))]
-    return pa.table(columns, schema=schema)
+    """The ``k`` best (b, sim) for each member index ``a``: one row per block that owns some of them."""
+    keep = _best(a, b, sim, k)
+    owner, near, sim = members[a[keep]], members[b[keep]], sim[keep].astype("<f4")
+    order = np.argsort(owner >> PLACE_BITS, kind="stable")
+    blocks, at = np.unique(owner[order] >> PLACE_BITS, return_inverse=True)
+    packed = [_packed(at, v[order], len(blocks)) for v in (owner.astype("<i8"), near.astype("<i8"), sim)]
+    schema = pa.schema([("block", pa.int32()), *((c, pa.binary()) for c in ("owners", "nodes", "sims"))])
+    return pa.table([pa.array(blocks.astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)], schema=schema)
 
 
 def _all_pairs(bucket: pa.Table) -> pa.Table:
@@ -133,26 +160,32 @@ def _local_join(block: pa.Table) -> pa.Table:
     here = members[at] == listed
     known = np.unique(owner[here] * len(members) + at[here])
     centre, sender = _lists(block.column("centres"), "<i8")
-    order = np.argsort(centre, kind="stable")
+    order = np.lexsort((sender, centre))
     centre, sender = centre[order], sender[order]
-    ends = np.append(np.flatnonzero(np.append(True, centre[1:] != centre[:-1])), len(centre))
+    starts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1]))
+    sizes = np.diff(np.append(starts, len(centre)))
+    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
     found: list[tuple[np.ndarray, ...]] = []
-    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-        m = sender[lo:hi]
-        if len(m) < 2:
-            continue
-        sim = x[m] @ x[m].T
-        np.fill_diagonal(sim, -np.inf)
-        sim[sim <= last[m][:, None]] = -np.inf
-        i, j = np.nonzero(sim > -np.inf)
-        pair = m[i] * len(members) + m[j]
-        old = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] == pair if len(known) else np.zeros(len(pair), bool)
-        sim[i[old], j[old]] = -np.inf
-        k = min(OFFERS, len(m) - 1)
-        near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-        value = np.take_along_axis(sim, near, 1)
-        i, j = np.nonzero(value > -np.inf)
-        found.append((m[i], m[near[i, j]], value[i, j]))
+    for lo in range(0, len(starts), BATCH):
+        size = sizes[lo : lo + BATCH, None]
+        slot = np.arange(size.max())
+        m = sender[np.minimum(starts[lo : lo + BATCH, None] + slot, len(sender) - 1)]
+        v = x[m]
+        sim = v @ v.transpose(0, 2, 1)
+        sim[:, slot, slot] = -np.inf
+        use = (sim > last[m][:, :, None]) & (slot < size)[:, :, None] & (slot < size)[:, None, :]
+        c, i, j = np.nonzero(use)
+        pair = m[c, i] * len(members) + m[c, j]
+        if len(known):
+            new = known[np.minimum(np.searchsorted(known, pair), len(known) - 1)] != pair
+            c, i, j = c[new], i[new], j[new]
+        # rows with more than OFFERS candidates keep the best of them
+        row, value = c * len(slot) + i, sim[c, i, j]
+        order = np.argsort(row.astype(np.uint64) << np.uint64(32) | _falling(value), kind="stable")
+        row = row[order]
+        order = order[np.arange(len(row)) - np.searchsorted(row, row) < OFFERS]
+        c, i, j = c[order], i[order], j[order]
+        found.append((m[c, i], m[c, j], value[order]))
     if not found:
         return _offers(members, *(np.zeros(0, int),) * 2, np.zeros(0, np.float32), 1)
     return _offers(members, *map(np.concatenate, zip(*found, strict=True)), LIST)
@@ -160,16 +193,17 @@ def _local_join(block: pa.Table) -> pa.Table:
 
 def _merge(block: pa.Table) -> pa.Table:
     """The lists of a block with what was offered to them."""
-    is_state = np.array(block.column("vector").is_valid())
-    state = block.filter(pa.array(is_state))
+    is_state = block.column("vector").is_valid()
+    state, offers = block.filter(is_state), block.filter(pa.compute.invert(is_state))
     nodes = state.column("node").to_numpy()
+    listed, row = _lists(state.column("nodes"), "<i8")
+    owners, _ = _flat(offers.column("owners"), "<i8")
     sort = np.argsort(nodes)
-    owner_row = np.searchsorted(nodes[sort], block.column("node").to_numpy())
-    owner_row = sort[np.minimum(owner_row, len(sort) - 1)]
-    near, row = _lists(block.column("nodes"), "<i8")
-    sim, _ = _lists(block.column("sims"), "<f4")
-    owner, old = owner_row[row], is_state[row]
-    keep = _best(owner, near, sim - 1e-7 * ~old, LIST)
+    owner = np.append(row, sort[np.searchsorted(nodes[sort], owners)])
+    near = np.append(listed, _flat(offers.column("nodes"), "<i8")[0])
+    sim = np.append(_flat(state.column("sims"), "<f4")[0], _flat(offers.column("sims"), "<f4")[0])
+    old = np.arange(len(near)) < len(listed)
+    keep = _best(owner, near, sim, LIST)
     changed = np.bincount(owner[keep], ~old[keep], len(nodes)).astype(np.int32)
     return pa.table(
         [state.column("block"), nodes, state.column("vector"), _packed(owner[keep], near[keep], len(nodes)),
@@ -274,7 +308,7 @@ class Index:
         sizes = dealt.groupBy("tree", "code").agg(F.count("*").alias("size"))
         part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("size") / LEAF)).alias("part")
         buckets = dealt.join(sizes, ["tree", "code"]).select("tree", "code", part, "node", "vector")
-        offers = buckets.groupBy("tree", "code", "part").applyInArrow(_all_pairs, "node long, nodes binary, sims binary")
+        offers = buckets.groupBy("tree", "code", "part").applyInArrow(_all_pairs, _OFFERS)
         empty = self.vectors.select("*", F.lit(b"").alias("nodes"), F.lit(b"").alias("sims"), F.lit(0).alias("changed"))
         state = self._merged(empty, offers)
         for _ in range(ROUNDS):
@@ -284,8 +318,7 @@ class Index:
         return self._with_reverse(state)
 
     def _merged(self, state: DataFrame, offers: DataFrame) -> DataFrame:
-        offered = offers.withColumn("block", block_of("node"))
-        both = state.unionByName(offered, allowMissingColumns=True)
+        both = state.unionByName(offers, allowMissingColumns=True)
         return materialize(both.groupBy("block").applyInArrow(_merge, _STATE), "ann_state")
 
     @staticmethod
@@ -300,54 +333,61 @@ class Index:
 
     def _round(self, state: DataFrame) -> DataFrame:
         edges = self._edges(state)
-        pairs = edges.unionByName(self._reverse(edges)).distinct()
+        pairs = edges.unionByName(self._reverse(edges))
         # one message of a node per block that it goes to; at most one entry per centre
         sends = pairs.groupBy(F.col("near").alias("node"), block_of("node").alias("to")).agg(
-            F.collect_list("node").alias("centres")
+            F.collect_set("node").alias("centres")
         )
         last = F.when(F.octet_length("nodes") < 8 * LIST, float("-inf")).otherwise(_last_sim("sims")).alias("last")
         senders = state.select("node", "vector", last, "nodes")
         messages = sends.join(senders, "node").select(
             "to", F.col("node").alias("sender"), "vector", "last", "nodes", _pack_longs(F.col("centres")).alias("centres")
         )
-        offers = messages.groupBy("to").applyInArrow(_local_join, "node long, nodes binary, sims binary")
+        offers = messages.groupBy("to").applyInArrow(_local_join, _OFFERS)
         return self._merged(state, offers)
 
     def _with_reverse(self, state: DataFrame) -> DataFrame:
         """(node, nears): the lists and a sample of the reverse ones."""
         edges = self._edges(state)
-        both = edges.unionByName(self._reverse(edges)).distinct()
-        return materialize(both.groupBy("node").agg(F.collect_list("near").alias("nears")), "ann_graph")
+        both = edges.unionByName(self._reverse(edges))
+        return materialize(both.groupBy("node").agg(F.collect_set("near").alias("nears")), "ann_graph")
 
     def search(self, starts: DataFrame) -> DataFrame:
         """(query, node): the best nodes found for each query node of ``starts`` (query)."""
-        start = F.array("query")
-        beam = starts.select("query", _pack_longs(start).alias("nodes"), F.lit(b"\x00\x00\x80\x7f").alias("sims"), F.lit(b"\x00").alias("expanded"))
-        beam = materialize(beam.withColumn("seen", F.col("nodes")), "ann_beam")
+        start = _pack_longs(F.array("query")).alias("nodes")
+        beam = self._asked(starts.select("query")).select(
+            "query", "query_vector", start, F.lit(b"\x00\x00\x80\x7f").alias("sims"), F.lit(b"\x00").alias("expanded")
+        )
+        beam = materialize(beam, "ann_beam")
         entries = self.nodes.select("node").orderBy(F.xxhash64(F.lit("entry"), "node")).limit(ENTRIES).collect()
         reached = starts.select("query", F.explode(F.lit([r.node for r in entries])).alias("near")).where("near != query")
-        while True:
+        found = None
+        while not beam.isEmpty():
             opened = beam.select("query", F.explode(_open_nodes("nodes", "expanded")).alias("node"))
-            if opened.isEmpty():
-                return beam.select("query", F.explode(_longs("nodes")).alias("node"))
             nears = opened.join(self.graph, "node").select("query", F.explode("nears").alias("near"))
-            beam = self._expand(beam, (reached.unionByName(nears) if reached else nears).distinct())
+            every = self._expand(beam, (reached.unionByName(nears) if reached else nears).distinct())
             reached = None
+            # a beam without open entries is ready and goes into no later round
+            ready = every.where("open = 0").select("query", F.explode(_longs("nodes")).alias("node"))
+            found = found.unionByName(ready) if found else ready
+            beam = every.where("open > 0")
+        return found if found else starts.select("query", F.col("query").alias("node"))
 
     def _asked(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (block, query, ..) with the vectors of the queries."""
+        """``wanted`` (query, ..) with the vectors of the queries."""
         queries = self.vectors.select(F.col("node").alias("query"), F.col("vector").alias("query_vector"))
         return wanted.join(queries, "query")
 
     def _expand(self, beam: DataFrame, reached: DataFrame) -> DataFrame:
         wanted = reached.groupBy("query", block_of("near").alias("block")).agg(F.collect_list("near").alias("nears"))
-        asked = self._asked(wanted).select("block", "query", "query_vector", _pack_longs(F.col("nears")).alias("nears"))
+        least = F.when(F.octet_length("nodes") < 8 * BEAM, float("-inf")).otherwise(_last_sim("sims")).alias("least")
+        asked = wanted.join(beam.select("query", "query_vector", least), "query")
+        asked = asked.select("block", "query", "query_vector", "least", _pack_longs(F.col("nears")).alias("nears"))
         held = self.vectors.select("block", "node", "vector")
         scored = asked.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(_score, "query long, nodes binary, sims binary")
-        both = beam.unionByName(scored, allowMissingColumns=True)
+        both = beam.select("query", "query_vector", "nodes", "sims").unionByName(scored, allowMissingColumns=True)
         keyed = both.withColumn("part", block_of("query"))
-        merged = keyed.groupBy("part").applyInArrow(_merge_beams, "query long, nodes binary, sims binary, expanded binary, seen binary")
-        return materialize(merged, "ann_beam")
+        return materialize(keyed.groupBy("part").applyInArrow(_merge_beams, _BEAM), "ann_beam")
 
     def scan(self, starts: DataFrame, most: int) -> DataFrame:
         """(query, node): the ``most`` best nodes of every block for each query node of ``starts``."""
@@ -384,7 +424,11 @@ def _open_nodes(nodes: str, expanded: str) -> Column:
 
 
 def _score(asked: pa.Table, held: pa.Table) -> pa.Table:
-    """Products of queries with the nodes of one block."""
+    """Products of queries with the nodes of one block, as far as they can enter the beam.
+
+    A node's product does not depend on the other nodes of its call, so one that left a beam for
+    better ones can never come back.
+    """
     schema = pa.schema([("query", pa.int64()), ("nodes", pa.binary()), ("sims", pa.binary())])
     if not asked.num_rows or not held.num_rows:
         return schema.empty_table()
@@ -393,10 +437,20 @@ def _score(asked: pa.Table, held: pa.Table) -> pa.Table:
     nodes, x = nodes[order], _matrix(held.column("vector"), "<f4")[order]
     q = _matrix(asked.column("query_vector"), "<f4").copy()
     q[:, -1] = 0  # the query side of the product has no lift
-    near, sims = asked.column("nears").to_pylist(), []
-    for i, packed in enumerate(near):
-        sims.append((x[np.searchsorted(nodes, np.frombuffer(packed, "<i8"))] @ q[i]).astype("<f4").tobytes())
-    return pa.table([asked.column("query"), pa.array(near, pa.binary()), pa.array(sims, pa.binary())], schema=schema)
+    least = asked.column("least").to_numpy()
+    near, lengths = _flat(asked.column("nears"), "<i8")
+    at, ends = np.searchsorted(nodes, near), np.append(0, np.cumsum(lengths))
+    query, packed, sims = asked.column("query").to_numpy(), [], []
+    for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        sim = (x[at[lo:hi]] * q[i]).sum(axis=1)
+        keep = np.flatnonzero(sim >= least[i])
+        if len(keep) > BEAM:
+            keep = keep[np.lexsort((near[lo + keep], -sim[keep]))[:BEAM]]
+        packed.append(near[lo + keep].tobytes())
+        sims.append(sim[keep].astype("<f4").tobytes())
+    some = np.array([len(p) > 0 for p in packed])
+    scored = pa.table([pa.array(query), pa.array(packed, pa.binary()), pa.array(sims, pa.binary())], schema=schema)
+    return scored.filter(pa.array(some))
 
 
 def _score_block(most: int):
@@ -421,31 +475,24 @@ def _score_block(most: int):
 
 def _merge_beams(rows: pa.Table) -> pa.Table:
     """Beams with newly scored nodes; nodes that were open before count as expanded now."""
-    query = rows.column("query").to_numpy()
-    queries, owner_row = np.unique(query, return_inverse=True)
-    is_beam = np.array(rows.column("seen").is_valid())
-    near, row = _lists(rows.column("nodes"), "<i8")
-    sim, _ = _lists(rows.column("sims"), "<f4")
-    owner, done = owner_row[row], is_beam[row]
-    seen_rows = rows.filter(pa.array(is_beam))
-    seen, at = _lists(seen_rows.column("seen"), "<i8")
-    seen_owner = owner_row[np.flatnonzero(is_beam)][at]
-    # what left a beam before does not come back
-    pair = np.stack([owner, near], axis=1)
-    old = np.stack([seen_owner, seen], axis=1)
-    code = np.unique(np.concatenate([pair, old]), axis=0, return_inverse=True)[1].ravel()
-    known = np.isin(code[: len(pair)], code[len(pair) :])
-    use = done | ~known
-    owner, near, sim, done = owner[use], near[use], sim[use], done[use]
+    is_beam = rows.column("query_vector").is_valid()
+    beams, scored = rows.filter(is_beam), rows.filter(pa.compute.invert(is_beam))
+    queries = beams.column("query").to_numpy()
+    held, row = _lists(beams.column("nodes"), "<i8")
+    offered, offer_row = _lists(scored.column("nodes"), "<i8")
+    sort = np.argsort(queries)
+    owner_row = sort[np.searchsorted(queries[sort], scored.column("query").to_numpy())]
+    owner, near = np.append(row, owner_row[offer_row]), np.append(held, offered)
+    sim = np.append(_flat(beams.column("sims"), "<f4")[0], _flat(scored.column("sims"), "<f4")[0])
+    # an entry of the beam comes before its own second score
     keep = _best(owner, near, sim, BEAM)
-    total = np.concatenate([owner, seen_owner])
-    every = np.concatenate([near, seen])
-    unique = np.unique(np.stack([total, every], axis=1), axis=0)
-    n = len(queries)
+    done, n = keep < len(held), len(queries)
+    rank = np.arange(len(keep)) - np.searchsorted(owner[keep], owner[keep])
+    still = np.bincount(owner[keep], ~done & (rank < EXPAND), n).astype(np.int32)
     return pa.table(
-        [queries, _packed(owner[keep], near[keep], n), _packed(owner[keep], sim[keep], n),
-         _packed(owner[keep], done[keep].astype(np.uint8), n), _packed(unique[:, 0], unique[:, 1], n)],
-        ["query", "nodes", "sims", "expanded", "seen"],
+        [queries, beams.column("query_vector"), _packed(owner[keep], near[keep], n), _packed(owner[keep], sim[keep], n),
+         _packed(owner[keep], done.astype(np.uint8), n), still],
+        ["query", "query_vector", "nodes", "sims", "expanded", "open"],
     )
 
 
