@@ -92,12 +92,15 @@ def test_offers_of_a_block_are_one_row_per_block_they_go_to():
     r = np.random.default_rng(6)
     members = np.array([b << ann.PLACE_BITS | i for b in range(3) for i in range(20)])
     x = r.normal(size=(60, 8)).astype("<f4")
-    listed = [members[[(i + 1) % 60]] for i in range(60)]
-    centres = [np.array([7, 8] if i % 2 else [8], "<i8") for i in range(60)]
-    block = pa.table({
-        "sender": members, "vector": [v.tobytes() for v in x], "last": pa.array(np.full(60, 0.5), pa.float32()),
-        "nodes": [v.astype("<i8").tobytes() for v in listed], "centres": [c.tobytes() for c in centres],
+    edges = [(i, c) for i in range(60) for c in ([7, 8] if i % 2 else [8])]
+    edges = pa.table({"sender": members[[i for i, _ in edges] * 2], "centre": np.array([c for _, c in edges] * 2)})
+    state = pa.table({
+        "node": members, "vector": [v.tobytes() for v in x],
+        "nodes": [np.append(members[(i + 1) % 60], np.arange(-33, -2)).astype("<i8").tobytes() for i in range(60)],
+        "sims": [np.append(np.full(31, 2.0), 0.5).astype("<f4").tobytes() for _ in range(60)],
     })
+    block = ann._messages(edges, state)
+    assert block.num_rows == 1 and block.column("to").to_pylist() == [0]
     got = ann._local_join(block)
     assert got.num_rows == 3 and got.column("block").to_pylist() == [0, 1, 2]
     pairs = {}

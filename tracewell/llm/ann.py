@@ -9,7 +9,7 @@ lists; one more deal at random links far groups and fills every list. Each round
 neighbours: every node sends its vector to the nodes in whose neighbourhood it is (their neighbours,
 and a sample of those that have them as neighbour); there all pairs of the neighbourhood are
 multiplied, and a pair that beats the last entry of a list and is not in it goes to that list; what a
-block offers to the lists of another is one row. Rounds end when lists hardly change.
+block sends or offers to another is one row. Rounds end when lists hardly change.
 
 *Search.* A query keeps a beam of the best nodes found. Every round expands those of its best
 ``EXPAND`` that are not expanded yet: their neighbours in the graph are scored and compete for the
@@ -57,8 +57,11 @@ OWNER_SHIFT = 42
 
 #: Neighbourhoods that are multiplied at once.
 BATCH = 64
+#: Pairs of sender and centre that one task deals to messages.
+EDGES = 1 << 20
 
 _STATE = "block int, node long, vector binary, nodes binary, sims binary, changed int"
+_MESSAGES = "to int, senders binary, vectors binary, lasts binary, lists binary, centres binary, counts binary"
 _OFFERS = "block int, owners binary, nodes binary, sims binary"
 _BEAM = "query long, query_vector binary, nodes binary, sims binary, expanded binary, open int"
 
@@ -148,18 +151,49 @@ def _all_pairs(bucket: pa.Table) -> pa.Table:
     return _offers(members, a, near.ravel(), np.take_along_axis(sim, near, 1).ravel(), k)
 
 
+def _messages(edges: pa.Table, state: pa.Table) -> pa.Table:
+    """What the nodes of a block send to the blocks of their centres: one row per block it goes to, with each
+    sender's vector, list (filled up with -1) and the similarity to beat."""
+    names = [c.split()[0] for c in _MESSAGES.split(", ")]
+    schema = pa.schema([("to", pa.int32()), *((c, pa.binary()) for c in names[1:])])
+    if not edges.num_rows or not state.num_rows:
+        return schema.empty_table()
+    nodes, x = state.column("node").to_numpy(), _matrix(state.column("vector"), "<f4")
+    near, row = _lists(state.column("nodes"), "<i8")
+    sim, held = _flat(state.column("sims"), "<f4")
+    lists, last = np.full((len(nodes), LIST), -1, "<i8"), np.full(len(nodes), -np.inf, "<f4")
+    lists[row, np.arange(len(row)) - np.searchsorted(row, row)] = near
+    last[held == LIST] = sim[np.cumsum(held)[held == LIST] - 1]
+    sort, centre = np.argsort(nodes), edges.column("centre").to_numpy()
+    sender = sort[np.searchsorted(nodes[sort], edges.column("sender").to_numpy())]
+    order = np.lexsort((centre, sender, centre >> PLACE_BITS))
+    sender, centre = sender[order], centre[order]
+    # a centre that both lists and is listed by the sender counts once
+    once = np.append(True, (sender[1:] != sender[:-1]) | (centre[1:] != centre[:-1]))
+    sender, centre = sender[once], centre[once]
+    to, starts = np.unique(centre >> PLACE_BITS, return_index=True)
+    columns: list[list[bytes]] = [[] for _ in names[1:]]
+    for lo, hi in zip(starts, np.append(starts[1:], len(centre)), strict=True):
+        m, counts = np.unique(sender[lo:hi], return_counts=True)
+        for column, values in zip(columns, (nodes[m], x[m], last[m], lists[m], centre[lo:hi], counts.astype("<i8")), strict=True):
+            column.append(values.tobytes())
+    return pa.table([pa.array(to.astype(np.int32)), *(pa.array(c, pa.binary()) for c in columns)], schema=schema)
+
+
 def _local_join(block: pa.Table) -> pa.Table:
     """All pairs of each neighbourhood in a block; only what beats the last entry of a list goes on."""
-    members = block.column("sender").to_numpy()
-    x = _matrix(block.column("vector"), "<f4")
-    last = block.column("last").to_numpy()
+    members, _ = _flat(block.column("senders"), "<i8")
+    x = _flat(block.column("vectors"), "<f4")[0].reshape(len(members), -1)
+    last, _ = _flat(block.column("lasts"), "<f4")
     # pairs that stand in a list already, as member * members + member
-    listed, owner = _lists(block.column("nodes"), "<i8")
+    listed, _ = _flat(block.column("lists"), "<i8")
+    owner = np.repeat(np.arange(len(members)), LIST)
     sort = np.argsort(members)
     at = sort[np.minimum(np.searchsorted(members[sort], listed), len(members) - 1)]
     here = members[at] == listed
     known = np.unique(owner[here] * len(members) + at[here])
-    centre, sender = _lists(block.column("centres"), "<i8")
+    centre, _ = _flat(block.column("centres"), "<i8")
+    sender = np.repeat(np.arange(len(members)), _flat(block.column("counts"), "<i8")[0])
     order = np.lexsort((sender, centre))
     centre, sender = centre[order], sender[order]
     starts = np.flatnonzero(np.append(True, centre[1:] != centre[:-1]))
@@ -333,16 +367,18 @@ class Index:
 
     def _round(self, state: DataFrame) -> DataFrame:
         edges = self._edges(state)
-        pairs = edges.unionByName(self._reverse(edges))
-        # one message of a node per block that it goes to; at most one entry per centre
-        sends = pairs.groupBy(F.col("near").alias("node"), block_of("node").alias("to")).agg(
-            F.collect_set("node").alias("centres")
-        )
-        last = F.when(F.octet_length("nodes") < 8 * LIST, float("-inf")).otherwise(_last_sim("sims")).alias("last")
-        senders = state.select("node", "vector", last, "nodes")
-        messages = sends.join(senders, "node").select(
-            "to", F.col("node").alias("sender"), "vector", "last", "nodes", _pack_longs(F.col("centres")).alias("centres")
+        pairs = edges.unionByName(self._reverse(edges)).select(
+            block_of("near").alias("block"), F.col("near").alias("sender"), F.col("node").alias("centre")
         )
+        pairs = materialize(pairs, "ann_pairs")
+        # a block with a node that very many others list sends in several parts
+        parts = pairs.groupBy("block").agg(F.ceil(F.count("*") / EDGES).alias("parts"))
+        part = F.pmod(F.xxhash64(block_of("centre")), F.col("parts")).alias("part")
+        dealt = pairs.join(parts, "block").select("block", part, "sender", "centre")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+        senders = state.join(parts, "block").select("block", each, "node", "vector", "nodes", "sims")
+        keys = ["block", "part"]
+        messages = dealt.groupBy(*keys).cogroup(senders.groupBy(*keys)).applyInArrow(_messages, _MESSAGES)
         offers = messages.groupBy("to").applyInArrow(_local_join, _OFFERS)
         return self._merged(state, offers)
 
